@@ -89,7 +89,7 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
 def op8(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents, in training order; documents that are not taken come last."""
     m = mix(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy(F.col("position").asc_nulls_last())
+    return m.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 ORACLE8 = r"""

@@ -1,15 +1,20 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
+from .fingerprints import op4
 from .mixing import ORACLE8, op8
 from .packing import op9
+from .quality import ORACLE5, op5
 from .sharding import op1
 
 QUERIES = {
     "op1_sharding": op1,
+    "op4_fingerprints": op4,
+    "op5_quality": op5,
     "op8_mixing": op8,
     "op9_packing": op9,
 }
 ORACLE = {
+    "op5_quality": ORACLE5,
     "op8_mixing": ORACLE8,
 }
