@@ -39,7 +39,7 @@ RULES = (
     Rule("words", "n_words", "one", 10, 1_000_000),
     Rule("word length", "word_chars", "n_words", 2, 20),
     Rule("symbols", "n_symbols", "n_words", None, 0.1),
-    Rule("stop words", "n_stop_words", "n_words", 0.05, None),
+    Rule("stop words", "n_stop_words", "n_words", 0.04, None),
     Rule("repeated lines", "n_dup_lines", "n_lines", None, 0.3),
 )
 
@@ -121,6 +121,6 @@ c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
     AND n_words BETWEEN 10 AND 1000000 AND word_chars::DOUBLE / n_words BETWEEN 2 AND 20 AND n_symbols::DOUBLE / n_words <= 0.1
-    AND n_stop_words::DOUBLE / n_words >= 0.05 AND coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) <= 0.3 AS kept, n_stop_words, n_lines FROM v
+    AND n_stop_words::DOUBLE / n_words >= 0.04 AND coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) <= 0.3 AS kept, n_stop_words, n_lines FROM v
 """
 )
