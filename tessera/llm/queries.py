@@ -6,11 +6,13 @@ from .mixing import ORACLE8, op8
 from .packing import op9
 from .quality import ORACLE5, op5
 from .sharding import op1
+from .simhash import op3
 from .substrings import op2
 
 QUERIES = {
     "op1_sharding": op1,
     "op2_substrings": op2,
+    "op3_simhash": op3,
     "op4_fingerprints": op4,
     "op5_quality": op5,
     "op8_mixing": op8,
