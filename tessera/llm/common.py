@@ -1,7 +1,9 @@
 """What the operators share: tables, words, the shared folder and chunk sizes."""
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,3 +43,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = shared_path(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_by_worker(name: str) -> dict:
+    """A dict that a Python worker keeps from task to task; only for what can be computed again."""
+    store = sys.modules.setdefault("tessera_worker_store", types.ModuleType("tessera_worker_store"))
+    return store.__dict__.setdefault(name, {})

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from .fingerprints import op4
+from .language import op6
 from .mixing import ORACLE8, op8
 from .packing import op9
 from .quality import ORACLE5, op5
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_simhash": op3,
     "op4_fingerprints": op4,
     "op5_quality": op5,
+    "op6_language": op6,
     "op8_mixing": op8,
     "op9_packing": op9,
 }
