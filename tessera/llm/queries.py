@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from .fingerprints import op4
+from .html_text import op10
 from .language import op6
 from .mixing import ORACLE8, op8
 from .packing import op9
@@ -9,6 +10,7 @@ from .quality import ORACLE5, op5
 from .sharding import op1
 from .simhash import op3
 from .substrings import op2
+from .warc import op7
 
 QUERIES = {
     "op1_sharding": op1,
@@ -17,8 +19,10 @@ QUERIES = {
     "op4_fingerprints": op4,
     "op5_quality": op5,
     "op6_language": op6,
+    "op7_warc": op7,
     "op8_mixing": op8,
     "op9_packing": op9,
+    "op10_html_text": op10,
 }
 ORACLE = {
     "op5_quality": ORACLE5,
