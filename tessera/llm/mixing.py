@@ -49,13 +49,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies, position for every row of docs.
+    """doc_id, source, size, source_size, target, taken, positions for every row of docs.
 
     docs needs doc_id, text and source. taken counts the words of the document
     that the mix takes, repeats counted; the source's stream is cut at its
     target, in the middle of a document, unless ``whole``: then a copy is taken
-    if half of it or more lies before the cut. position is the training time of
-    the first copy (null if none is taken). A null text has size 0; a null
+    if half of it or more lies before the cut. positions holds the training time
+    of each copy that is taken, also in part. A null text has size 0; a null
     source is a source of its own, ranked last; repeated rows count each.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -76,20 +76,23 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     if whole:
         left = [F.when((x > 0) & (2 * x >= F.col("size")), F.col("size")).otherwise(F.lit(0)) for x in left]
     taken = sum(left[1:], left[0]).cast("long")
-    copies = sum((F.when(x > 0, 1).otherwise(0) for x in left[1:]), F.when(left[0] > 0, 1).otherwise(0))
     ramp = F.pmod(F.col("rank"), F.lit(len(RAMPS)))
     a = F.element_at(F.array(*[F.lit(x) for x, _ in RAMPS]), ramp + 1)
     b = F.element_at(F.array(*[F.lit(x) for _, x in RAMPS]), ramp + 1)
-    # Demand a*t + b*t*t/2 of a total of a + b/2 is the fraction x of the target; the root is written so that b may be 0.
-    x = F.col("offset") / F.col("target") * (a + b / 2)
-    position = F.when(taken > 0, 2 * x / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 2 * b * x))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), position.alias("position"))
+
+    def needed(offset):
+        # Demand a*t + b*t*t/2 of a total of a + b/2 is the fraction x of the target; the root is written so that b may be 0.
+        x = offset / F.col("target") * (a + b / 2)
+        return 2 * x / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 2 * b * x)))
+
+    each = F.array(*[F.when(x > 0, needed(F.col("offset") + F.col("source_size") * e)) for e, x in enumerate(left)])
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.filter(each, lambda p: p.isNotNull()).alias("positions"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents, in training order; documents that are not taken come last."""
     m = mix(table(spark, sf_dir, "documents"))
-    return m.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return m.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 ORACLE8 = r"""
