@@ -3,13 +3,16 @@
 Every window of 50 words that also starts in a document with a smaller doc_id
 is a repeat, and each word that a repeat covers goes.
 
-1. Each text is parsed to high-level symbols (see recompression). Symbols that
+1. A copy of a whole text with a smaller doc_id is a repeat from end to end and
+   reveals nothing else; only the first of equal texts is parsed.
+2. Each text is parsed to high-level symbols (see recompression). Symbols that
    two documents share *reveal* where repeats may lie: a repeated window's core
    consists of shared symbols only. Most windows end here.
-2. The other windows are named by 128 bits and dealt by name, which *verifies*
-   them: all but those of the least doc_id are repeats. Windows without a core
-   (4 % of prose, and long runs) skip step 1.
-3. The places of repeats go back to their texts.
+3. The other windows are named by 128 bits and dealt by name, which *verifies*
+   them: all but those of the least doc_id are repeats. A window without a core
+   (4 % of prose, and long runs) is a symbol of its own in step 2.
+4. The places of repeats go back to their texts. All steps share one exchange
+   of the texts, by doc_id.
 
 A name that many documents share is dealt to several groups, as many as its
 first core symbol's documents call for. In a group all but the least doc_id are
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from . import recompression as rc
 from .common import table
 
-#: Documents that share a symbol for each group of a window's name, and groups of a window without a core.
-GROUP, CORELESS = 1000, 32
+#: Documents that share a symbol for each group of a window's name.
+GROUP = 1000
 
 
 def _columns(batch, docs_at: int, text_at: int):
@@ -40,8 +43,11 @@ def _symbols(batches):
     for batch in batches:
         ids, null, parts = _columns(batch, 0, 1)
         for row, data, offsets in parts:
-            names, first = rc.parse(rc.Words(data, offsets))
-            text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+            words = rc.Words(data, offsets)
+            names, first, starts, lo, hi = rc.parse(words, windows=True)
+            coreless = starts[lo >= hi]
+            text = np.concatenate([np.repeat(np.arange(len(offsets) - 1), np.diff(first)), words.text[coreless]])
+            names = np.concatenate([names, rc.window_names(words, coreless)[0]])
             order = np.lexsort((names, text))
             names, text = names[order], text[order] + row
             new = np.ones(len(names), bool)
@@ -50,6 +56,14 @@ def _symbols(batches):
             yield pa.RecordBatch.from_arrays([pa.array(names[new].view(np.int64)), pa.array(ids[text[new]])], ["symbol", "doc_id"])
 
 
+def _among(known: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where names stand in the sorted array known, and whether they do."""
+    if not len(known):
+        return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+    return at, known[at] == names
+
+
 def _windows(batches):
     """Of (doc_id, tie, text, shared symbols, their documents): windows whose core symbols are all shared."""
     import pyarrow as pa
@@ -68,23 +82,24 @@ def _windows(batches):
                 continue
             known, where = np.unique(symbols[at[row] : at[row + len(offsets) - 1]], return_index=True)
             docs = counts[at[row] : at[row + len(offsets) - 1]][where]
-            found = np.searchsorted(known, names)
-            shared = np.zeros(len(names), bool)
-            inside = found < len(known)
-            shared[inside] = known[found[inside]] == names[inside]
+            found, shared = _among(known, names)
             unshared = np.concatenate([[0], np.cumsum(~shared)])
-            coreless = lo >= hi
-            keep = coreless | (unshared[np.clip(lo, 0, len(names))] == unshared[np.clip(hi, 0, len(names))])
+            keep = unshared[np.clip(lo, 0, len(names))] == unshared[np.clip(hi, 0, len(names))]
+            a, b = rc.window_names(words, starts)
+            coreless = np.flatnonzero(lo >= hi)
+            at_own, keep[coreless] = _among(known, a[coreless])
+            symbol = np.zeros(len(starts), np.int64)
+            symbol[coreless] = at_own
+            cored = lo < hi
+            symbol[cored] = found[lo[cored]]
             text = words.text[starts] + row
             keep &= ~null[text]
-            starts, lo, coreless, text = starts[keep], lo[keep], coreless[keep], text[keep]
-            groups = np.full(len(starts), CORELESS, np.int64)
-            groups[~coreless] = -(-docs[found[lo[~coreless]]] // GROUP)
-            a, b = rc.window_names(words, starts)
+            starts, text, symbol, a, b = starts[keep], text[keep], symbol[keep], a[keep], b[keep]
+            groups = -(-docs[symbol] // GROUP)
             doc = ids[text]
-            salt = (rc.mix(doc.view(np.uint64) + np.uint64(1)) % groups.astype(np.uint64)).astype(np.int32)
+            salt = np.where(groups > 1, rc.mix(doc.view(np.uint64) + np.uint64(1)) % groups.astype(np.uint64), 0).astype(np.int32) - (groups == 1)
             place = (ties[text] << 32) | (starts - words.first[text - row])
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(salt), pa.array(groups > 1), pa.array(doc), pa.array(place)], ["a", "b", "salt", "many", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(salt), pa.array(doc), pa.array(place)], ["a", "b", "salt", "doc_id", "place"])
 
 
 def cover(n: int, places: np.ndarray) -> np.ndarray:
@@ -95,23 +110,35 @@ def cover(n: int, places: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs with tie_, repeats): repeats has doc_id and places, an array of tie_ << 32 | first word.
+def repeats(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text and others) plus copy_ (the text is a copy of one with a smaller doc_id),
+    tie_ (tells rows of one doc_id apart) and places (of other repeats): an array of tie_ << 32 | first word.
 
-    tie_ tells rows of one doc_id apart. Rows with a null doc_id have no
-    smaller or larger id: they lose nothing and cost others nothing. Rows of
-    one doc_id don't repeat each other.
+    Rows with a null doc_id have no smaller or larger id: they lose nothing and
+    cost others nothing. Rows of one doc_id don't repeat each other.
     """
-    docs = docs.withColumn("tie_", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    found = docs.select("doc_id", "text").mapInArrow(_symbols, "symbol long, doc_id long")
-    shared = found.groupBy("symbol").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("docs")).filter("lo < hi").select("symbol", "docs")
+    narrow = docs.select("doc_id", F.md5("text").alias("md5_"))
+    firsts = narrow.groupBy("md5_").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("md5_", "least")
+    copies = narrow.join(firsts, "md5_").filter("doc_id > least").groupBy("doc_id").agg(F.collect_set("md5_").alias("copies_"))
+    # The order is the text itself: an expression would be computed before the exchange and keep it from being shared.
+    tied = docs.withColumn("tie_", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    is_copy = F.coalesce(F.array_contains("copies_", F.md5("text")), F.lit(False))
+    tied = tied.join(copies, "doc_id", "left").withColumn("copy_", is_copy).drop("copies_")
+    fresh = tied.select("doc_id", "tie_", F.when(~F.col("copy_"), F.col("text")).alias("text"))
+    found = fresh.select("doc_id", "text").mapInArrow(_symbols, "symbol long, doc_id long")
+    # A symbol comes once from each row of docs.
+    shared = found.groupBy("symbol").agg(F.count(F.lit(1)).alias("docs")).filter("docs > 1")
     anchors = found.join(shared, "symbol").groupBy("doc_id").agg(F.collect_list(F.struct("symbol", "docs")).alias("anchors"))
-    known = docs.join(anchors, "doc_id", "left").select("doc_id", "tie_", "text", F.col("anchors.symbol").alias("symbols"), F.col("anchors.docs").alias("counts"))
-    windows = known.mapInArrow(_windows, "a long, b long, salt int, many boolean, doc_id long, place long")
+    known = fresh.join(anchors, "doc_id", "left").select("doc_id", "tie_", "text", F.col("anchors.symbol").alias("symbols"), F.col("anchors.docs").alias("counts"))
+    # salt is -1 for names that are dealt to one group.
+    windows = known.mapInArrow(_windows, "a long, b long, salt int, doc_id long, place long")
     windows = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b", "salt").orderBy("doc_id")))
-    again = windows.filter("many and doc_id = least").withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b").orderBy("doc_id")))
-    hits = windows.filter("doc_id > least").unionAll(again.filter("doc_id > least"))
-    return docs, hits.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    # Sure repeats only pass the second exchange, each under a key of its own, so that windows are computed once.
+    sure = F.col("doc_id") > F.col("least")
+    found = windows.withColumn("sure", sure).filter("sure or salt >= 0")
+    found = found.select(F.when(F.col("sure"), F.col("doc_id")).otherwise(F.col("a")).alias("k1"), F.when(F.col("sure"), F.col("place")).otherwise(F.col("b")).alias("k2"), "sure", "doc_id", "place")
+    hits = found.withColumn("least", F.min("doc_id").over(Window.partitionBy("k1", "k2").orderBy("doc_id"))).filter("sure or doc_id > least")
+    return tied.join(hits.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "doc_id", "left")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -121,8 +148,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     a text of fewer than 50 words loses none. An empty docs gives no rows.
     """
     own = docs.columns
-    docs, places = repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    joined = docs.join(places, "doc_id", "left").select(*[F.col(f"`{c}`") for c in own], "tie_", "places")
+    joined = repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select(*[F.col(f"`{c}`") for c in own], "copy_", "tie_", "places")
     text_at = own.index("text")
 
     def kept(batches):
@@ -133,11 +159,13 @@ def dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
             n_words, n_removed, kept_text, digest = [], [], [], []
-            for text, tie, places in zip(texts, batch.column(len(own)).to_pylist(), batch.column(len(own) + 1)):
+            for text, copy, tie, places in zip(texts, *(batch.column(len(own) + k).to_pylist() for k in (0, 1)), batch.column(len(own) + 2)):
                 words = (text or b"").split()  # bytes split at the white space of the contract
                 n = len(words)
                 gone = 0
-                if places.is_valid:
+                if copy and n >= rc.WINDOW:
+                    words, gone = [], n
+                elif places.is_valid and not copy:
                     at = places.values.to_numpy(zero_copy_only=False)
                     mask = cover(n, at[at >> 32 == tie] & 0xFFFFFFFF)
                     gone = int(mask.sum())
