@@ -95,11 +95,19 @@ def _windows(batches):
             text = words.text[starts] + row
             keep &= ~null[text]
             starts, text, symbol, a, b = starts[keep], text[keep], symbol[keep], a[keep], b[keep]
-            groups = -(-docs[symbol] // GROUP)
-            doc = ids[text]
-            salt = np.where(groups > 1, rc.mix(doc.view(np.uint64) + np.uint64(1)) % groups.astype(np.uint64), 0).astype(np.int32) - (groups == 1)
             place = (ties[text] << 32) | (starts - words.first[text - row])
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(salt), pa.array(doc), pa.array(place)], ["a", "b", "salt", "doc_id", "place"])
+            # A window that a text holds again and again goes out once, with all its places.
+            key = rc.mix(a + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            order = np.argsort(key, kind="stable")
+            new = np.ones(len(order), bool)
+            new[1:] = key[order[1:]] != key[order[:-1]]
+            rows = order[new]
+            others = np.diff(np.append(np.flatnonzero(new), len(order))) - 1
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(others)]).astype(np.int32)), pa.array(place[order[~new]]), mask=pa.array(others == 0))
+            doc = ids[text[rows]]
+            groups = -(-docs[symbol[rows]] // GROUP)
+            salt = np.where(groups > 1, rc.mix(doc.view(np.uint64) + np.uint64(1)) % groups.astype(np.uint64), 0).astype(np.int32) - (groups == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a[rows].view(np.int64)), pa.array(b[rows].view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(doc), pa.array(place[rows]), more], ["a", "b", "salt", "doc_id", "place", "more"])
 
 
 def cover(n: int, places: np.ndarray) -> np.ndarray:
@@ -131,14 +139,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     anchors = found.join(shared, "symbol").groupBy("doc_id").agg(F.collect_list(F.struct("symbol", "docs")).alias("anchors"))
     known = fresh.join(anchors, "doc_id", "left").select("doc_id", "tie_", "text", F.col("anchors.symbol").alias("symbols"), F.col("anchors.docs").alias("counts"))
     # salt is -1 for names that are dealt to one group.
-    windows = known.mapInArrow(_windows, "a long, b long, salt int, doc_id long, place long")
+    windows = known.mapInArrow(_windows, "a long, b long, salt int, doc_id long, place long, more array<long>")
     windows = windows.withColumn("least", F.min("doc_id").over(Window.partitionBy("a", "b", "salt").orderBy("doc_id")))
     # Sure repeats only pass the second exchange, each under a key of its own, so that windows are computed once.
     sure = F.col("doc_id") > F.col("least")
     found = windows.withColumn("sure", sure).filter("sure or salt >= 0")
-    found = found.select(F.when(F.col("sure"), F.col("doc_id")).otherwise(F.col("a")).alias("k1"), F.when(F.col("sure"), F.col("place")).otherwise(F.col("b")).alias("k2"), "sure", "doc_id", "place")
+    found = found.select(F.when(F.col("sure"), F.col("doc_id")).otherwise(F.col("a")).alias("k1"), F.when(F.col("sure"), F.col("place")).otherwise(F.col("b")).alias("k2"), "sure", "doc_id", "place", "more")
     hits = found.withColumn("least", F.min("doc_id").over(Window.partitionBy("k1", "k2").orderBy("doc_id"))).filter("sure or doc_id > least")
-    return tied.join(hits.groupBy("doc_id").agg(F.collect_list("place").alias("places")), "doc_id", "left")
+    return tied.join(hits.groupBy("doc_id").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("more"))).alias("places")), "doc_id", "left")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
