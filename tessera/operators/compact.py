@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
 from tessera.operators.context import compiled
+from tessera.operators.expand import written
 from tessera.operators.rdf import native
 
 
@@ -60,19 +61,21 @@ def _chosen() -> Column:
 def values(statements: DataFrame, context: str) -> DataFrame:
     """(doc_id, g, s, term, container, mk, list, pos, value): every statement under its term, its value as compact JSON."""
     spark = statements.sparkSession
-    ctx = inverse(compiled(spark.createDataFrame([(context,)], "ctx string"))).filter("error is null").select("vocab", F.col("language").alias("own_language"), "terms", "by_iri", "prefixes")
+    # Written first: a filter that moves below the rounds of name resolution would repeat them within each other.
+    ctx = written(inverse(written(compiled(spark.createDataFrame([(context,)], "ctx string")), "context")), "context").filter("error is null").select("vocab", F.col("language").alias("own_language"), "terms", "by_iri", "prefixes")
     st = statements.crossJoin(F.broadcast(ctx))  # one row: the target context
     is_type = F.col("p") == "@type"
     st = st.withColumn("term", F.when(is_type, "@type").otherwise(F.coalesce(_chosen(), short_iri(F.col("p")))))
     d = F.element_at("terms", F.col("term"))
     st = st.withColumn("def", d)
-    ref = F.when(is_type | (F.col("def.type") == "@vocab"), short_iri(F.col("o"))).otherwise(short_iri(F.col("o"), vocab=False))
+    st = st.withColumns({"short": short_iri(F.col("o")), "short_id": short_iri(F.col("o"), vocab=False), "short_type": short_iri(F.col("datatype"))})
+    ref = F.when(is_type | (F.col("def.type") == "@vocab"), F.col("short")).otherwise(F.col("short_id"))
     as_id = F.when(is_type | F.col("def.type").isin("@id", "@vocab"), lit.json_string(ref)).otherwise(F.concat(F.lit('{"@id":'), lit.json_string(ref), F.lit("}")))
     number = F.when(F.col("def.type").isNull(), native(F.col("o"), F.col("datatype")))
     bare = lit.json_string(F.col("o"))
     own = F.coalesce("def.language", F.when(~F.coalesce("def.plain", F.lit(False)), F.col("own_language")))
     in_map = F.coalesce(F.array_contains("def.container", "@language"), F.lit(False))
-    typed = F.concat(F.lit('{"@type":'), lit.json_string(short_iri(F.col("datatype"))), F.lit(',"@value":'), bare, F.lit("}"))
+    typed = F.concat(F.lit('{"@type":'), lit.json_string(F.col("short_type")), F.lit(',"@value":'), bare, F.lit("}"))
     tagged = F.concat(F.lit('{"@language":'), lit.json_string(F.col("language")), F.lit(',"@value":'), bare, F.lit("}"))
     literal = (
         F.when(F.col("language").isNotNull(), F.when(in_map | (own == F.col("language")), bare).otherwise(tagged))

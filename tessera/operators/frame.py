@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
 from tessera.operators.context import compiled, expand_iri
+from tessera.operators.expand import written
 from tessera.operators.graph import merged, properties
 
 FLAGS = {"@embed", "@explicit", "@requireAll", "@omitDefault", "@default", "@null", "@context"}
@@ -30,7 +31,7 @@ class FrameError(ValueError):
 
 def resolved(spark, frame: dict) -> dict:
     """The frame with its keys, types and names in full, under its own context (a single row)."""
-    ctx = compiled(spark.createDataFrame([(json.dumps(frame.get("@context", {})),)], "ctx string"))
+    ctx = written(compiled(spark.createDataFrame([(json.dumps(frame.get("@context", {})),)], "ctx string")), "context")
     names: set[str] = set()
 
     def collect(f):
@@ -100,10 +101,9 @@ def _value(pattern: dict) -> Column:
         return column.isNotNull() if {} in options else column.isin([str(x).lower() if isinstance(x, bool) else str(x) for x in options])
 
     untyped = F.col("datatype").isin(lit.STRING, lit.LANG_STRING)
-    typed = F.col("datatype") if "@type" in pattern else F.col("datatype")
     return (
         (F.col("o_kind") == "lit") & part("@value", F.col("o"), F.lit(True)) & part("@language", F.col("language"), F.col("language").isNull())
-        & (part("@type", F.when(~untyped, typed), untyped | F.col("datatype").isin(lit.INTEGER, lit.DOUBLE, lit.BOOLEAN)) if pattern else F.lit(True))
+        & (part("@type", F.when(~untyped, F.col("datatype")), untyped | F.col("datatype").isin(lit.INTEGER, lit.DOUBLE, lit.BOOLEAN)) if pattern else F.lit(True))
     )
 
 
@@ -151,9 +151,9 @@ def matching(statements: DataFrame, frame: dict, require_all: bool = False) -> D
             tests[p] = has(here & F.col("list").isNotNull() & (_value(inner) if inner else F.lit(True)))
         else:
             # The referenced node must fit in turn: its edges are marked by a join with those that do.
-            fit = matching(statements, pattern, require_all).select("doc_id", F.col("s").alias("o")).distinct().withColumn(f"fit {p}", F.lit(True))
+            fit = matching(statements, pattern, require_all).select("doc_id", F.col("s").alias("o")).distinct().withColumn(mark := f"fits{len(tests)}", F.lit(True))
             st = st.join(fit, ["doc_id", "o"], "left")
-            tests[p] = has(here & F.col("o_kind").isin("iri", "bnode") & F.col(f"fit {p}"))
+            tests[p] = has(here & F.col("o_kind").isin("iri", "bnode") & F.col(mark))
     if not tests:
         return st.select(*node).distinct()
     names = {k: f"t{i}" for i, k in enumerate(tests)}
@@ -196,8 +196,8 @@ def framed(statements: DataFrame, frame: dict, native_types: bool = True) -> Dat
     values, or go under @explicit. @embed: @never leaves references. Depth is
     the frame's own, so a circle in the data ends where the frame ends.
     """
-    st = merged(statements)
-    found = matching(st, frame).select("doc_id", "s").distinct()
+    st = written(merged(statements), "merged")
+    found = written(matching(st, frame).select("doc_id", "s").distinct(), "found")
     return _nodes(st, frame, found, native_types).select("doc_id", F.col("s").alias("id"), "node")
 
 
@@ -214,7 +214,7 @@ def _nodes(st: DataFrame, frame: dict, found: DataFrame, native_types: bool) ->
         fit = edges.select("doc_id", F.col("o").alias("s")).distinct()
         if any(not k.startswith("@") or k in ("@id", "@type") for k in sub):
             fit = fit.join(matching(st, sub).select("doc_id", "s").distinct(), ["doc_id", "s"], "left_semi")
-        child = _nodes(st, sub, fit, native_types).select("doc_id", F.col("s").alias("o"), F.col("node").alias("child"))
+        child = _nodes(st, sub, written(fit, "found"), native_types).select("doc_id", F.col("s").alias("o"), F.col("node").alias("child"))
         ref = F.concat(F.lit('{"@id":'), lit.json_string(F.col("o")), F.lit("}"))
         held = edges.join(child, ["doc_id", "o"], "left").groupBy("doc_id", "s").agg(F.array_sort(F.collect_list(F.struct("o", F.coalesce("child", ref).alias("child")))).alias("held"))
         held = held.select("doc_id", "s", F.lit(p).alias("p"), F.concat(F.lit(json.dumps(p) + ":["), F.array_join(F.transform("held", lambda x: x["child"]), ","), F.lit("]")).alias("embedded"))
@@ -222,7 +222,7 @@ def _nodes(st: DataFrame, frame: dict, found: DataFrame, native_types: bool) ->
     for p, sub in frame.get("@reverse", {}).items():
         edges = st.filter((F.col("p") == p) & F.col("o_kind").isin("iri", "bnode")).select("doc_id", F.col("s").alias("from_"), F.col("o").alias("s")).join(found, ["doc_id", "s"], "left_semi")
         fit = edges.select("doc_id", F.col("from_").alias("s")).distinct()
-        child = _nodes(st, sub, fit, native_types).select("doc_id", F.col("s").alias("from_"), F.col("node").alias("child"))
+        child = _nodes(st, sub, written(fit, "found"), native_types).select("doc_id", F.col("s").alias("from_"), F.col("node").alias("child"))
         held = edges.join(child, ["doc_id", "from_"]).groupBy("doc_id", "s").agg(F.array_sort(F.collect_set(F.struct("from_", "child"))).alias("held"))
         entries = entries.unionByName(held.select("doc_id", "s", F.lit("@reverse").alias("p"), F.concat(F.lit('"@reverse":{' + json.dumps(p) + ":["), F.array_join(F.transform("held", lambda x: x["child"]), ","), F.lit("]}")).alias("entry")))
     each = found.join(entries.groupBy("doc_id", "s").agg(F.collect_list(F.struct("p", "entry")).alias("es")), ["doc_id", "s"], "left")

@@ -46,22 +46,28 @@ def serialize(quads: DataFrame) -> DataFrame:
     return quads.select("doc_id", line().alias("line"))
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns computed in a step of their own, which filters and projections above don't repeat."""
+    one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("settled_")
+    return df.select(*[F.col(c) for c in df.columns if c not in columns], one).select(*[c for c in df.columns if c not in columns], "settled_.*")
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Quads of (doc_id, line), plus an error for lines that are none; blank lines and comments give no row.
 
     A literal is cut out between its quotes first, so no pattern runs over it
     and its length doesn't matter.
     """
-    c = lines.select("doc_id", F.col("line")).filter(~F.col("line").rlike(r"^\s*(#.*)?$"))
+    c = settled(lines.select("doc_id", "line"), line=F.col("line")).filter(~F.col("line").rlike(r"^\s*(#.*)?$"))
     # Escapes hide their second character, so that the next quote is the closing one.
-    c = c.withColumn("hidden", F.when(F.contains("line", F.lit("\\")), F.regexp_replace("line", r"(?s)\\.", "__")).otherwise(F.col("line")))
+    c = settled(c, hidden=F.when(F.contains("line", F.lit("\\")), F.regexp_replace("line", r"(?s)\\.", "__")).otherwise(F.col("line")))
     first = F.instr("hidden", '"')
-    c = c.withColumn("q1", first).withColumn("q2", F.when(first > 0, F.expr("locate('\"', hidden, q1 + 1)")).otherwise(0))
+    c = settled(c, q1=first, q2=F.when(first > 0, F.expr("locate('\"', hidden, instr(hidden, '\"') + 1)")).otherwise(0))
     quoted = F.col("q2") > 0
-    c = c.withColumn("head", F.when(quoted, F.expr("substring(line, 1, q1 - 1)")).otherwise(F.col("line")))
-    c = c.withColumn("body", F.when(quoted, F.expr("substring(line, q1 + 1, q2 - q1 - 1)"))).withColumn("tail", F.when(quoted, F.expr("substring(line, q2 + 1)")))
+    inside = {"body": F.when(quoted, F.expr("substring(line, q1 + 1, q2 - q1 - 1)")), "tail": F.when(quoted, F.expr("substring(line, q2 + 1)"))}
+    c = settled(c, head=F.when(quoted, F.expr("substring(line, 1, q1 - 1)")).otherwise(F.col("line")), **inside)
     ok = F.when(quoted, F.col("head").rlike(_HEAD) & F.col("tail").rlike(_TAIL) & ~F.col("body").rlike(r"[\n\r]")).otherwise(F.col("head").rlike(_PLAIN))
-    c = c.withColumn("ok", ok)
+    c = settled(c, ok=F.coalesce(ok, F.lit(False)))
 
     def name(x):
         inner = F.when(x.startswith("<"), lit.unescape(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
@@ -72,12 +78,12 @@ def parse(lines: DataFrame) -> DataFrame:
     tail = lambda i: F.regexp_extract("tail", _TAIL, i)
     literal = F.col("ok") & quoted
     language = F.when(literal & (tail(1) != ""), tail(1))
-    out = c.select(
-        "doc_id", name(node(1)).alias("s"), name(node(2)).alias("p"), F.when(literal, lit.unescape(F.col("body"))).otherwise(name(plain(3))).alias("o"),
-        F.when(literal, "lit").when(F.col("ok"), F.when(plain(3).startswith("_:"), "bnode").otherwise("iri")).alias("o_kind"),
-        F.when(language.isNotNull(), lit.LANG_STRING).when(literal, F.coalesce(name(tail(2)), F.lit(lit.STRING))).alias("datatype"),
-        language.alias("language"), name(F.when(quoted, tail(3)).otherwise(plain(4))).alias("g"), "ok",
-    )
+    out = settled(
+        c, s=name(node(1)), p=name(node(2)), o=F.when(literal, lit.unescape(F.col("body"))).otherwise(name(plain(3))),
+        o_kind=F.when(literal, "lit").when(F.col("ok"), F.when(plain(3).startswith("_:"), "bnode").otherwise("iri")),
+        datatype=F.when(language.isNotNull(), lit.LANG_STRING).when(literal, F.coalesce(name(tail(2)), F.lit(lit.STRING))),
+        language=language, g=name(F.when(quoted, tail(3)).otherwise(plain(4))),
+    ).select(*QUAD, "ok")
     # An unknown escape leaves a null where a term should be.
     sound = F.col("ok") & F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()
     return out.withColumn("error", F.when(~sound, "invalid line")).drop("ok")
