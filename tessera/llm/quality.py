@@ -109,8 +109,9 @@ ORACLE5 = (
 WITH d AS (SELECT doc_id, row_number() OVER () AS rn, coalesce(text, '') AS t,
     list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
-g AS (SELECT rn, unnest(generate_series(1, len(ws) - 4)) AS i, ws FROM d WHERE len(ws) >= 5),
-h AS (SELECT rn, i, count(*) OVER (PARTITION BY rn, list_slice(ws, i, i + 4)) AS n FROM g),
+u AS (SELECT rn, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM d),
+g AS (SELECT rn, i, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4 FROM u WINDOW o AS (PARTITION BY rn ORDER BY i)),
+h AS (SELECT rn, i, count(*) OVER (PARTITION BY rn, w, w1, w2, w3, w4) AS n FROM g WHERE w4 IS NOT NULL),
 p AS (SELECT rn, i, lag(i) OVER (PARTITION BY rn ORDER BY i) AS before FROM h WHERE n > 1),
 r AS (SELECT rn, sum(least(5, i - coalesce(before, i - 5)))::BIGINT AS n_repeat_words FROM p GROUP BY rn),
 c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
