@@ -1,6 +1,7 @@
 """Every query against brute force, on the small corpus and on empty tables."""
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -137,7 +138,9 @@ def test_op5(spark, data, docs_rows):
 def test_op6(spark, data, docs_rows):
     got = rows(spark, data, "op6_language")
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in docs_rows)
-    lang = {d: la for d, t, la, *_ in docs_rows if d is not None and d < 120}
+    # Rows that carry the shared passage or another row's text have a label that their text contradicts.
+    mixed = {*range(0, 60, 4), *range(61, 100, 6), *range(62, 100, 6)}
+    lang = {d: la for d, t, la, *_ in docs_rows if d is not None and d < 120 and d not in mixed}
     judged = [r for r in got if r["doc_id"] in lang and r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in judged) and len(judged) > 20
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in judged) >= 0.9 * len(judged)
@@ -172,7 +175,7 @@ def test_warc_round_trip_and_pushdown(spark, data, pages_rows):
     assert Counter((r["page_id"], r["payload"].decode()) for r in back.collect()) == Counter((p, h or "") for p, _, h, _ in pages_rows)
     one = warc.read(spark, path, "skip").filter("page_id = 4 and warc_type in ('response', 'revisit')")
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" not in plan.replace("PushedFilters", "")
+    assert not re.search(r"[-)] Filter ", plan), plan  # the source does it all
     assert [r["page_id"] for r in one.collect()] == [4]
 
 
@@ -256,7 +259,6 @@ def test_best_fit_keeps_every_capacity(by):
 
 def test_op10(spark, data, pages_rows):
     import html
-    import re
 
     got = rows(spark, data, "op10_html_text")
     assert Counter((r["page_id"], r["url"]) for r in got) == Counter((p, u) for p, u, *_ in pages_rows)
