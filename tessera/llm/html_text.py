@@ -321,10 +321,12 @@ def labelled_pages(count: int = PAGES, seed: int = 7) -> list[tuple[list, list[i
 
     out = []
     for _ in range(count):
-        kind = pick(["article", "article", "main", "both", "div", "div", "bare", "plain", "section"])
+        kind = pick(["article", "article", "main", "both", "div", "div", "bare", "plain", "section", "loose"])
         inner = story(kind in ("bare", "plain"))
         content = ["content", "post", "entry-content", "story-body", "article-body", "main-content", "post-text", "page-content"]
-        body = {"article": f"<article>{inner}</article>", "main": f"<main>{inner}</main>", "both": f"<main><article>{inner}</article></main>", "div": f"<div {named(content)}>{inner}</div>", "bare": inner, "plain": f"<div>{inner}</div>", "section": f"<section {named(content)}>{inner}</section>"}[kind]
+        text = "<br><br>".join(say(M, 3, 60) for _ in range(rng.randint(1, 4)))
+        loose = pick([text, f"<article>{text}</article>", f"<div {named(content)}>{text}</div>", f"<h1>{say(M, 2, 8, '')}</h1>{text}"])
+        body = {"loose": loose, "article": f"<article>{inner}</article>", "main": f"<main>{inner}</main>", "both": f"<main><article>{inner}</article></main>", "div": f"<div {named(content)}>{inner}</div>", "bare": inner, "plain": f"<div>{inner}</div>", "section": f"<section {named(content)}>{inner}</section>"}[kind]
         before = [f() for f in (header, nav, notice, ad, form, sidebar) if rng.random() < 0.45]
         after = [f() for f in (ad, sidebar, comments, form, nav, notice) if rng.random() < 0.35]
         rng.shuffle(before)
