@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
 from tessera.operators.context import compiled
-from tessera.operators.expand import written
 from tessera.operators.rdf import native
+from tessera.sources.shared import written
 
 
 def inverse(contexts: DataFrame) -> DataFrame:

@@ -11,8 +11,6 @@ ends in a written table, so the plan stays small however deep documents are.
 """
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
 from tessera.operators.context import KEYWORDS, compiled, expand_iri, is_null, items, key_of, members, text_of
+from tessera.sources.shared import written
 
 STATEMENT = ["doc_id", "g", "s", "p", "o", "o_kind", "datatype", "language", "direction", "idx", "list", "pos"]
 
@@ -30,25 +29,6 @@ class Expanded:
     errors: DataFrame
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage at a table in the shared folder spark.checkpoint.dir (one of our own where that is unset)."""
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tessera.own.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.tessera.own.dir", place)
-    path = f"{place.rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _number(v: Column) -> tuple[Column, Column]:
-    """Text and XSD type of a number: whole ones below 1e21 are integers, as text 1.0 is."""
-    x = F.try_variant_get(v, "$", "double")
-    whole = F.coalesce(F.try_variant_get(v, "$", "decimal(38,0)").cast("string"), lit.xsd_integer(x))
-    return F.when(lit.is_integral(x), whole).otherwise(lit.xsd_double(x)), F.when(lit.is_integral(x), lit.INTEGER).otherwise(lit.DOUBLE)
-
-
 def _scalar(v: Column, kind: Column) -> tuple[Column, Column]:
     """Text and XSD type of a scalar variant of a kind."""
     number, number_type = _number(v)

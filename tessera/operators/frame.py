@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
 from tessera.operators.context import compiled, expand_iri
-from tessera.operators.expand import written
 from tessera.operators.graph import merged, properties
+from tessera.sources.shared import written
 
 FLAGS = {"@embed", "@explicit", "@requireAll", "@omitDefault", "@default", "@null", "@context"}
 EMBED = ("@always", "@once", "@never", "@first", "@last", "@link", True, False, "true", "false")

@@ -5,8 +5,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
-from tessera.operators.expand import STATEMENT, written
+from tessera.operators.expand import STATEMENT
 from tessera.operators.rdf import value_json, with_lists
+from tessera.sources.shared import written
 
 
 def merged(statements: DataFrame) -> DataFrame:

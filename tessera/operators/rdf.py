@@ -5,8 +5,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
-from tessera.operators.expand import STATEMENT, written
+from tessera.operators.expand import STATEMENT
 from tessera.sources.nquads import QUAD, kind_of, well_formed
+from tessera.sources.shared import written
 
 
 def to_rdf(statements: DataFrame, keep_ill_formed: bool = False) -> DataFrame:
