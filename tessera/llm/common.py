@@ -1,14 +1,11 @@
-"""What the operators share: tables, words, the shared folder and chunk sizes."""
+"""What the operators share: tables, words, and the folder that all executors see."""
 from __future__ import annotations
 
-import sys
-import tempfile
-import types
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import shared_path, written  # noqa: F401
+
 #: White space that separates words: space and \t \n \v \f \r, nothing else.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -20,32 +17,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text in order; none for null and for white space alone."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or where that is unset one of our own."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = spark.conf.get("spark.tessera.own.dir", None)
-        if not place:
-            place = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark.conf.set("spark.tessera.own.dir", place)
-    return place.rstrip("/")
-
-
-def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet in the shared folder and read them back."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def kept_by_worker(name: str) -> dict:
-    """A dict that a Python worker keeps from task to task; only for what can be computed again."""
-    store = sys.modules.setdefault("tessera_worker_store", types.ModuleType("tessera_worker_store"))
-    return store.__dict__.setdefault(name, {})
