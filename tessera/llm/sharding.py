@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RING = 1 << 16
-BUCKET = 20_000
+BUCKET = 1000
 
 
 def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
