@@ -221,7 +221,6 @@ def test_op9(spark, data, docs_rows):
     from tokenizers import Tokenizer
 
     k = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    k.encode_special_tokens = True
     want = Counter()
     for d, t, *_ in docs_rows:
         ids = [*k.encode(t or "", add_special_tokens=False).ids, 0]
@@ -244,6 +243,31 @@ def test_op9(spark, data, docs_rows):
     assert len(bins) <= sum(r["length"] for r in got) / 2048 * 1.02 + 1
 
 
+def test_token_ids_are_the_tokenizers():
+    """Also for its special token, and for texts that are long runs of one kind."""
+    import public_tokenizers
+    from tessera.llm.packing import encoder
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path
+    k = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    encode = encoder(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert 50256 in encode("a <|endoftext|> b")
+    for text in ("a <|endoftext|> b", "<|endoftext|>", " " * 1_000_000, "x" + "\n \u3000" * 400_000 + "y", "a" * 300_000, "\u4e2d" * 100_000, "!" * 100_000, "7" * 100_000, " \t" * 600, "it's\u00a0\u00e9\U0001f600"):
+        assert encode(text) == k.encode(text, add_special_tokens=False).ids, text[:20]
+
+
+def test_packing_binds_the_number_of_documents(spark):
+    """Empty and null texts, and null ids: one token each, so the count of documents fills a sequence."""
+    from tessera.llm import packing
+
+    df = spark.range(9000).selectExpr("if(id < 5000, null, id) as doc_id", "if(id % 2 = 0, null, '') as text", "1 as offset")
+    got = packing.pack(df).collect()
+    assert len(got) == 9000 and all(r["length"] == 1 for r in got)
+    per = Counter(r["sequence_id"] for r in got)
+    assert max(per.values()) == 256 and len(per) <= 9000 // 256 + 3
+
+
 @pytest.mark.parametrize("by", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(by):
     import numpy as np
