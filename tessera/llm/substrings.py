@@ -8,9 +8,10 @@ is a repeat, and each word that a repeat covers goes.
 2. Each text is parsed to high-level symbols (see recompression). Symbols that
    two documents share *reveal* where repeats may lie: a repeated window's core
    consists of shared symbols only. Most windows end here.
-3. The other windows are named by 128 bits and dealt by name, which *verifies*
-   them: all but those of the least doc_id are repeats. A window without a core
-   (4 % of prose, and long runs) is a symbol of its own in step 2.
+3. The other windows are dealt by their 128-bit names, made of their core's
+   symbols and the words on either side of it, which *verifies* them: all but
+   those of the least doc_id are repeats. A window without a core (4 % of
+   prose, and long runs) is a symbol of its own in step 2.
 4. The places of repeats go back to their texts. All steps share one exchange
    of the texts, by doc_id.
 
@@ -44,10 +45,10 @@ def _symbols(batches):
         ids, null, parts = _columns(batch, 0, 1)
         for row, data, offsets in parts:
             words = rc.Words(data, offsets)
-            names, first, starts, lo, hi = rc.parse(words, windows=True)
-            coreless = starts[lo >= hi]
-            text = np.concatenate([np.repeat(np.arange(len(offsets) - 1), np.diff(first)), words.text[coreless]])
-            names = np.concatenate([names, rc.window_names(words, coreless)[0]])
+            parsed = rc.parse(words)
+            coreless = np.flatnonzero(parsed.lo >= parsed.hi)
+            text = np.concatenate([np.repeat(np.arange(len(offsets) - 1), np.diff(parsed.first)), words.text[parsed.starts[coreless]]])
+            names = np.concatenate([parsed.names[0], rc.window_names(words, parsed, coreless)[0]])
             order = np.lexsort((names, text))
             names, text = names[order], text[order] + row
             new = np.ones(len(names), bool)
@@ -77,7 +78,8 @@ def _windows(batches):
         counts = batch.column(4).flatten().to_numpy(zero_copy_only=False)
         for row, data, offsets in parts:
             words = rc.Words(data, offsets)
-            names, _, starts, lo, hi = rc.parse(words, windows=True)
+            parsed = rc.parse(words)
+            names, starts, lo, hi = parsed.names[0], parsed.starts, parsed.lo, parsed.hi
             if not len(starts):
                 continue
             known, where = np.unique(symbols[at[row] : at[row + len(offsets) - 1]], return_index=True)
@@ -85,16 +87,16 @@ def _windows(batches):
             found, shared = _among(known, names)
             unshared = np.concatenate([[0], np.cumsum(~shared)])
             keep = unshared[np.clip(lo, 0, len(names))] == unshared[np.clip(hi, 0, len(names))]
-            a, b = rc.window_names(words, starts)
             coreless = np.flatnonzero(lo >= hi)
-            at_own, keep[coreless] = _among(known, a[coreless])
+            at_own, keep[coreless] = _among(known, rc.window_names(words, parsed, coreless)[0])
             symbol = np.zeros(len(starts), np.int64)
             symbol[coreless] = at_own
             cored = lo < hi
             symbol[cored] = found[lo[cored]]
             text = words.text[starts] + row
             keep &= ~null[text]
-            starts, text, symbol, a, b = starts[keep], text[keep], symbol[keep], a[keep], b[keep]
+            a, b = rc.window_names(words, parsed, np.flatnonzero(keep))
+            starts, text, symbol = starts[keep], text[keep], symbol[keep]
             place = (ties[text] << 32) | (starts - words.first[text - row])
             # A window that a text holds again and again goes out once, with all its places.
             key = rc.mix(a + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
