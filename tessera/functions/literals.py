@@ -29,28 +29,71 @@ def xsd_integer(x: Column) -> Column:
     return x.try_cast("decimal(38,0)").cast("string")
 
 
+def _lower_hex(json: Column) -> Column:
+    """JSON text with the hex digits of its control characters in lower case."""
+    out = json
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u00" + code, r"$1\\u00" + code.lower())
+    return F.when(json.rlike(r"\\u00(?:0[BEF]|1[A-F])"), out).otherwise(json)
+
+
 def json_string(text: Column) -> Column:
     """A JSON string with the escapes of canonical JSON (RFC 8785) only."""
     quoted = F.substring(F.to_json(F.array(text)), 2, 1 << 30)
-    return F.regexp_replace(quoted, r"\]$", "")
+    return _lower_hex(F.regexp_replace(quoted, r"\]$", ""))
+
+
+def shortest(x: Column) -> Column:
+    """A double with as few digits as name it, in some decimal or E notation."""
+    tiny = [F.when((F.abs(x) < 1e-300), F.format_string(f"%.{n}E", x)) for n in range(4)]
+    tries = [*tiny, *[F.format_string(f"%.{n}E", x) for n in (14, 15, 16)]]
+    return F.coalesce(*[F.when(t.try_cast("double") == x, t) for t in tries], x.cast("string"))
+
+
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _ecma(plain: Column) -> Column:
+    """Digits in decimal or E notation as ECMAScript writes them, without a sign."""
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(plain, r"^-?([0-9.]+)", 1), r"\.0*$", ""), r"\.", "")
+    power = F.coalesce(F.regexp_extract(plain, r"E([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0)) + F.length(F.regexp_extract(plain, r"^-?([0-9]+)", 1))
+    # digits are d1 d2 ...; the value is 0.d1d2... times ten to the power. Leading zeros of 0.00x move the point.
+    parts = lambda d: F.struct(F.regexp_replace(F.regexp_replace(d, r"^0+", ""), r"0+$", "").alias("d"), (power - F.length(F.regexp_extract(d, r"^(0*)", 1))).alias("n"))
+
+    def written(x):
+        d, n = x["d"], x["n"]
+        k = F.length(d)
+        return (
+            F.when((k <= n) & (n <= 21), F.concat(d, F.repeat(F.lit("0"), n - k)))
+            .when((n > 0) & (n <= 21), F.concat(F.substring(d, F.lit(1), n), F.lit("."), F.substring(d, n + 1, F.lit(400))))
+            .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), d))
+            .otherwise(F.concat(F.substring(d, 1, 1), F.when(k > 1, F.concat(F.lit("."), F.substring(d, 2, 400))).otherwise(""), F.when(n - 1 < 0, "e").otherwise("e+"), (n - 1).cast("string")))
+        )
+
+    return bound(bound(digits, parts), written)
 
 
 def json_number(x: Column) -> Column:
     """A double as ECMAScript prints it: shortest round trip, exponent from 1e21 and below 1e-6."""
-    plain = x.cast("string")
-    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(plain, r"^-?([0-9.]+)", 1), r"\.0$", ""), r"\.", "")
-    power = F.coalesce(F.regexp_extract(plain, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0)) + F.length(F.regexp_extract(plain, r"^-?([0-9]+)", 1))
-    # digits are d1 d2 ...; the value is 0.d1d2... times ten to the power. Leading zeros of 0.00x move the point.
-    zeros = F.length(F.regexp_extract(digits, r"^(0*)", 1))
-    d = F.regexp_replace(F.regexp_replace(digits, r"^0+", ""), r"0+$", "")
-    n, k = power - zeros, F.length(d)
-    body = (
-        F.when((k <= n) & (n <= 21), F.concat(d, F.repeat(F.lit("0"), n - k)))
-        .when((n > 0) & (n <= 21), F.concat(F.substring(d, F.lit(1), n), F.lit("."), F.substring(d, n + 1, F.lit(400))))
-        .when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), d))
-        .otherwise(F.concat(F.substring(d, 1, 1), F.when(k > 1, F.concat(F.lit("."), F.substring(d, 2, 400))).otherwise(""), F.when(n - 1 < 0, "e").otherwise("e+"), (n - 1).cast("string")))
-    )
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), "null").when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), body))
+    whole = F.when((F.abs(x) < 1e15) & (F.floor(x).cast("double") == x), F.floor(x).cast("string"))
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), "null").when(x == 0, "0").when(whole.isNotNull(), whole).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), bound(shortest(x), _ecma)))
+
+
+#: Strings, numbers and what lies between them in JSON text.
+_TOKEN = r'"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+\-]*+|[^"0-9\-]++'
+
+
+def canonical_text(v: Column | str) -> Column:
+    """A JSON value (a variant) as canonical JSON (RFC 8785), at any depth.
+
+    A variant keeps an object's members in the order that the form wants, by
+    UTF-16 code units; numbers and escapes are what is left to do.
+    """
+    tokens = F.regexp_extract_all(_lower_hex(F.to_json(v)), F.lit(_TOKEN), F.lit(0))
+    number = lambda t: F.when(t.rlike(r"^(?:-?[1-9][0-9]{0,14}|0)$"), t).when(t.rlike("^-?[0-9]"), json_number(t.cast("double"))).otherwise(t)
+    return F.array_join(F.transform(tokens, number), "")
 
 
 def escape(text: Column) -> Column:

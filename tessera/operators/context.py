@@ -1,29 +1,28 @@
-"""Contexts as a dimension table: one row per distinct @context, with its terms in a map.
+"""Contexts as a dimension table: one row per distinct active context.
 
-Documents meet it by a join on the context's hash, so a context is compiled
-once however many documents carry it.
+An active context is what a chain of local contexts makes of the initial one:
+the document's own, those embedded in nodes, and those scoped to types and
+properties. Rows that need one ask for (context, steps); requests are reduced
+to distinct ones, compiled, and met again by a join, so a context is compiled
+once however many documents carry it. Its key is a hash of its content.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import json
 
-from tessera.functions import iri
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Fixed values of the data model.
-KEYWORDS = [
-    "@base", "@container", "@context", "@default", "@direction", "@embed", "@explicit", "@graph", "@id", "@import", "@included", "@index", "@json", "@language", "@list", "@nest",
-    "@none", "@null", "@omitDefault", "@prefix", "@preserve", "@propagate", "@protected", "@requireAll", "@reverse", "@set", "@type", "@value", "@version", "@vocab",
-]
-SETTINGS = ["@base", "@direction", "@import", "@language", "@propagate", "@protected", "@version", "@vocab"]
-CONTAINERS = ["@list", "@set", "@index", "@language", "@id", "@type", "@graph"]
+from tessera.functions import definitions, iri
+from tessera.functions.definitions import KEYWORDS  # noqa: F401
+from tessera.sources.shared import written
 
-#: Definitions that lean on each other are resolved in so many rounds; what still changes then is a cycle.
-ROUNDS = 8
-#: Remote contexts that refer to remote contexts.
-CHAIN = 3
+#: Contexts of a chain of remote contexts, at most.
+CHAIN = 50
 
-TERM = "struct<iri:string,type:string,container:array<string>,language:string,plain:boolean,direction:string,reverse:boolean>"
+TERM = "struct<iri:string,type:string,container:array<string>,language:string,plain:boolean,direction:string,undirected:boolean,reverse:boolean,nest:string,index:string,prefix:boolean,scoped:string,scoped_base:string>"
+ROW = f"ctx_key string, state string, base string, vocab string, language string, direction string, prev string, aliases map<string,string>, terms map<string,{TERM}>"
+DERIVED = "parent string, steps string, ctx_key string, error string, state string"
 
 
 def text_of(v: Column) -> Column:
@@ -44,137 +43,135 @@ def items(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
 
 
-def key_of(ctx: Column) -> Column:
-    return F.sha2(ctx, 256)
-
-
-def _parts(contexts: DataFrame, remote: DataFrame | None) -> DataFrame:
-    """(ctx_key, at, part, error): the members of every context in order, remote ones replaced by what they hold."""
-    c = contexts.select(key_of(F.col("ctx")).alias("ctx_key"), F.array().cast("array<int>").alias("at"), F.try_parse_json("ctx").alias("part"))
-    c = c.select("ctx_key", "at", F.posexplode(items(F.col("part")))).select("ctx_key", F.concat("at", F.array("pos")).alias("at"), F.col("col").alias("part"), F.lit(None).cast("string").alias("error"))
-    if remote is not None:
-        remote = remote.select(F.col("url").alias("url_"), F.try_variant_get(F.try_parse_json("document"), "$['@context']", "variant").alias("held_"))
-        for _ in range(CHAIN):
-            c = c.withColumn("url", text_of(F.col("part"))).join(remote, F.col("url") == F.col("url_"), "left")
-            c = c.withColumn("part", F.coalesce("held_", "part")).select("ctx_key", "at", "error", F.posexplode(items(F.col("part"))))
-            c = c.select("ctx_key", F.concat("at", F.array("pos")).alias("at"), F.col("col").alias("part"), "error")
-    wrong = F.when(text_of(F.col("part")).isNotNull(), "loading remote context failed").when(members(F.col("part")).isNull() & ~is_null(F.col("part")), "invalid local context")
-    return c.withColumn("error", F.coalesce("error", wrong))
-
-
-def _term_error(v: Column) -> Column:
-    get = lambda name: F.try_variant_get(v, f"$['{name}']", "variant")
-    kinds = F.transform(items(get("@container")), text_of)
-    kind = text_of(get("@type"))
-    return (
-        F.when(F.col("term") == "", "invalid term definition")
-        .when(F.col("term").isin([k for k in KEYWORDS if k not in SETTINGS and k != "@type"]), "keyword redefinition")
-        .when(members(v).isNull() & text_of(v).isNull() & ~is_null(v), "invalid term definition")
-        .when(get("@reverse").isNotNull() & (get("@id").isNotNull() | get("@nest").isNotNull()), "invalid reverse property")
-        .when((get("@id").isNotNull() & text_of(get("@id")).isNull() & ~is_null(get("@id"))) | (get("@reverse").isNotNull() & text_of(get("@reverse")).isNull()), "invalid IRI mapping")
-        .when(text_of(get("@id")) == "@context", "invalid keyword alias")
-        .when(get("@type").isNotNull() & (kind.isNull() | kind.startswith("_:")), "invalid type mapping")
-        .when(get("@container").isNotNull() & (F.exists(kinds, lambda k: k.isNull() | ~k.isin(CONTAINERS)) | (F.array_contains(kinds, "@list") & (F.size(kinds) > 1))), "invalid container mapping")
-        .when(get("@language").isNotNull() & text_of(get("@language")).isNull() & ~is_null(get("@language")), "invalid language mapping")
-        .when(get("@prefix").isNotNull() & (F.schema_of_variant(get("@prefix")) != "BOOLEAN"), "invalid @prefix value")
-    )
-
-
-def _setting_error() -> Column:
-    v, t = F.col("v"), F.col("term")
-    text = text_of(v)
-    return (
-        F.when((t == "@version") & (F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(0.0)) != 1.1), "invalid @version value")
-        .when((t == "@vocab") & text.isNull() & ~is_null(v), "invalid vocab mapping")
-        .when((t == "@base") & text.isNull() & ~is_null(v), "invalid base IRI")
-        .when((t == "@language") & text.isNull() & ~is_null(v), "invalid default language")
-        .when((t == "@direction") & ~is_null(v) & ~F.coalesce(text.isin("ltr", "rtl"), F.lit(False)), "invalid base direction")
-        .when((t == "@propagate") & (F.schema_of_variant(v) != "BOOLEAN"), "invalid @propagate value")
-    )
+def step(local: Column, base: Column | str | None = None, override: bool = False, propagate: bool = True) -> Column:
+    """One local context (JSON text) to be applied, as an element of steps; base is where it came from."""
+    base = base if isinstance(base, Column) else F.lit(base).cast("string")
+    return F.concat(F.lit('{"local":'), local, F.when(base.isNotNull(), F.concat(F.lit(',"base":'), F.get(F.split(F.to_json(F.array(base)), r"^\[|\]$"), F.lit(1)))).otherwise(""), F.lit(f',"override":{json.dumps(override)},"propagate":{json.dumps(propagate)}}}'))
+
+
+def _derived(batches, most: int):
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for parent, steps, state, remote in zip(*(c.to_pylist() for c in b.columns)):
+            loading = definitions.Loading(None if remote is None else dict(remote), {}, most)
+            try:
+                active = json.loads(state)
+                for s in json.loads(steps):
+                    active = definitions.apply(active, s["local"], loading, s.get("base"), (), s["override"], s["propagate"])
+                    loading.kept[definitions.key_of(active)] = active
+            except definitions.Invalid as e:
+                out.append((parent, steps, None, e.args[0], None))
+                continue
+            except ValueError:
+                out.append((parent, steps, None, "invalid local context", None))
+                continue
+            out.append((parent, steps, definitions.key_of(active), None, None))
+            out += [(None, None, k, None, json.dumps(a, ensure_ascii=False)) for k, a in loading.kept.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 5)], ["parent", "steps", "ctx_key", "error", "state"])
+
+
+def _urls(batches):
+    """(id, base, text of steps or of a context) -> (id, url) of the remote contexts that it names."""
+    import pyarrow as pa
+
+    for b in batches:
+        ids, urls = [], []
+        for i, base, text in zip(*(c.to_pylist() for c in b.columns)):
+            try:
+                local = json.loads(text)
+            except (TypeError, ValueError):
+                continue
+            found: list[str] = []
+            if base is None:
+                for s in local:
+                    own: list[str] = []
+                    definitions.strings(s["local"], own)
+                    found += [definitions.resolve(s.get("base"), u) for u in own]
+            else:
+                definitions.strings(local.get("@context") if isinstance(local, dict) else None, found)
+                found = [definitions.resolve(base, u) for u in found]
+            ids += [i] * len(found)
+            urls += found
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(urls, pa.string())], ["id", "url"])
+
+
+class Contexts:
+    """The dimension as far as it is needed. remote is (url, document).
+
+    rows: ctx_key, base, vocab, language, direction, prev (the context to go
+    back to), aliases (term -> keyword), terms; and state for further steps.
+    """
 
+    def __init__(self, spark: SparkSession, base: str | None = None, remote: DataFrame | None = None, mode: str = "json-ld-1.1", chain: int = CHAIN):
+        self.spark, self.remote, self.chain = spark, remote, chain
+        first = definitions.initial(base, mode == "json-ld-1.0")
+        self.start = definitions.key_of(first)
+        self._set(spark.createDataFrame([(self.start, json.dumps(first))], "ctx_key string, state string"))
+
+    def _set(self, states: DataFrame) -> None:
+        if getattr(self, "rows", None) is not None:
+            states = self.rows.select("ctx_key", "state").unionByName(states).dropDuplicates(["ctx_key"])
+        parsed = F.from_json("state", f"struct<base:string,vocab:string,language:string,direction:string,prev:string,terms:map<string,{TERM}>>")
+        rows = states.select("ctx_key", "state", parsed.alias("s")).select("ctx_key", "state", "s.base", "s.vocab", "s.language", "s.direction", "s.prev", "s.terms")
+        aliases = F.transform_values(F.map_filter("terms", lambda k, t: t["iri"].isin(sorted(KEYWORDS))), lambda k, t: t["iri"])
+        self.rows = written(rows.withColumn("aliases", aliases), "contexts")
+        scoped = F.exists(F.map_values("terms"), lambda t: t["scoped"].isNotNull())
+        nests = F.array_contains(F.map_values("aliases"), "@nest")
+        known = self.rows.agg(F.count("prev") > 0, F.max(scoped), F.max(nests)).first()
+        #: Whether any context goes back to another, has scoped contexts, or has a name for @nest.
+        self.reverts, self.scoped, self.nests = (bool(k) for k in known)
+
+    def derive(self, requests: DataFrame) -> DataFrame:
+        """parent, steps, ctx_key, error of every distinct (parent, steps): steps is a JSON array of ``step``. Rows of new contexts are added."""
+        asked = requests.select("parent", "steps").distinct()
+        if self.remote is None:
+            asked = asked.withColumn("remote", F.lit(None).cast("map<string,string>"))
+        else:
+            asked = written(asked.withColumn("id", F.sha2(F.concat("parent", "steps"), 256)), "asked")
+            asked = asked.join(self._fetched(asked), "id", "left").select("parent", "steps", F.coalesce("remote", F.create_map().cast("map<string,string>")).alias("remote"))
+        most = self.chain
+        of = asked.join(self.rows.select(F.col("ctx_key").alias("parent"), "state"), "parent").select("parent", "steps", "state", "remote")
+        done = written(of.mapInArrow(lambda batches: _derived(batches, most), DERIVED), "derived")
+        self._set(done.filter("state is not null").select("ctx_key", "state"))
+        return done.filter("state is null").drop("state")
+
+    def _fetched(self, asked: DataFrame) -> DataFrame:
+        """id, remote: the documents that a request can come to, by URL."""
+        documents = self.remote.select("url", "document").dropDuplicates(["url"])
+        new = asked.select("id", F.lit(None).cast("string").alias("base"), F.col("steps").alias("text")).mapInArrow(_urls, "id string, url string").distinct()
+        seen = None
+        for _ in range(self.chain + 1):
+            new = written(new.join(documents, "url").select("id", "url", "document"), "remote")
+            if new.isEmpty():
+                break
+            seen = new if seen is None else seen.unionByName(new)
+            new = new.select("id", F.col("url").alias("base"), F.col("document").alias("text")).mapInArrow(_urls, "id string, url string").distinct().join(seen.select("id", "url"), ["id", "url"], "left_anti")
+        if seen is None:
+            return self.spark.createDataFrame([], "id string, remote map<string,string>")
+        return seen.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("url", "document"))).alias("remote"))
 
-def compiled(contexts: DataFrame, remote: DataFrame | None = None, base: str | None = None) -> DataFrame:
-    """One row per distinct context of (ctx): ctx_key, vocab, base, language, direction, terms, error.
 
-    remote is (url, document). Later members of a context override earlier
-    ones, null forgets them. error is a code of the data model, the first in
-    order of terms; a context with an error still has a row.
-    """
-    distinct = contexts.select("ctx").filter("ctx is not null").distinct()
-    parts = _parts(distinct, remote)
-    failed = parts.groupBy("ctx_key").agg(F.min("error").alias("error"))
-    forgotten = parts.filter(is_null(F.col("part"))).groupBy("ctx_key").agg(F.max("at").alias("after"))
-    live = parts.join(forgotten, "ctx_key", "left").filter("after is null or at > after")
-    entry = live.select("ctx_key", "at", F.explode(F.map_entries(members(F.col("part")))).alias("e")).select("ctx_key", "at", F.col("e.key").alias("term"), F.to_json("e.value").alias("def"))
-    latest = entry.groupBy("ctx_key", "term").agg(F.max_by("def", "at").alias("def")).withColumn("v", F.parse_json("def"))
-
-    of = lambda name: F.max(F.when(F.col("term") == name, text_of(F.col("v"))))
-    settings = latest.filter(F.col("term").isin(SETTINGS))
-    settings = settings.groupBy("ctx_key").agg(of("@vocab").alias("vocab_"), of("@base").alias("base"), F.lower(of("@language")).alias("language"), of("@direction").alias("direction"), F.min(_setting_error()).alias("error_"))
-
-    terms = latest.filter(~F.col("term").isin(SETTINGS) & (~F.col("term").rlike(iri.KEYWORD_FORM) | F.col("term").isin(KEYWORDS)))
-    get = lambda name: F.try_variant_get("v", f"$['{name}']", "variant")
-    gone = is_null(F.col("v")) | is_null(get("@id"))
-    raw = F.coalesce(text_of(F.col("v")), text_of(get("@id")), text_of(get("@reverse")), F.col("term"))
-    terms = terms.select(
-        "ctx_key", "term", F.when(~gone, raw).alias("raw"), text_of(get("@type")).alias("type"), F.transform(items(get("@container")), text_of).alias("container"),
-        F.lower(text_of(get("@language"))).alias("language"), is_null(get("@language")).alias("plain"), text_of(get("@direction")).alias("direction"), get("@reverse").isNotNull().alias("reverse"),
-        _term_error(F.col("v")).alias("error"),
-    )
-    # Names are resolved in a map per context, a round at a time.
-    maps = terms.groupBy("ctx_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "raw"))).alias("names"), F.map_from_entries(F.collect_list(F.struct("term", F.struct("type", "container", "language", "plain", "direction", "reverse")))).alias("facts"), F.min("error").alias("error_2")
-    )
-    c = distinct.select(key_of(F.col("ctx")).alias("ctx_key")).join(settings, "ctx_key", "left").join(maps, "ctx_key", "left").join(failed, "ctx_key", "left")
-    c = c.withColumn("names", F.coalesce("names", F.create_map().cast("map<string,string>")))
-
-    def step(names, k, v):
-        prefix, suffix = F.substring_index(v, ":", 1), F.substring(v, F.length(F.substring_index(v, ":", 1)) + 2, F.lit(1 << 30))
-        compact = F.contains(v, F.lit(":")) & (prefix != "_") & ~suffix.startswith("//") & (prefix != k)
-        known = F.element_at(names, prefix)
-        return F.when(v.isin(KEYWORDS), v).when(compact & known.isNotNull(), F.concat(known, suffix)).when(~F.contains(v, F.lit(":")) & (v != k) & F.element_at(names, v).isNotNull(), F.element_at(names, v)).otherwise(v)
-
-    for _ in range(ROUNDS):
-        c = c.withColumn("before", F.col("names")).withColumn("names", F.transform_values("before", lambda k, v: step(F.col("before"), k, v)))
-    # What still changes, or still begins with a term, leans on itself.
-    leans = lambda v: F.coalesce(F.contains(v, F.lit(":")) & ~v.rlike("^[^:]*://") & F.map_contains_key("names", F.substring_index(v, ":", 1)), F.lit(False))
-    cyclic = F.exists(F.map_entries("names"), lambda e: ~e["value"].eqNullSafe(F.element_at("before", e["key"])) | leans(e["value"]))
-    c = c.withColumn("cyclic", cyclic)
-    prefix = F.substring_index("vocab_", ":", 1)
-    vocab = F.when(F.contains("vocab_", F.lit(":")) & F.element_at("names", prefix).isNotNull() & ~F.col("vocab_").rlike("^[^:]*://"), F.concat(F.element_at("names", prefix), F.expr("substring(vocab_, length(substring_index(vocab_, ':', 1)) + 2)"))).otherwise(F.col("vocab_"))
-    c = c.withColumn("vocab", vocab)
-    full = lambda v: F.when(v.isin(KEYWORDS) | iri.is_absolute(v) | v.startswith("_:"), v).when(F.col("vocab").isNotNull(), F.concat("vocab", v))
-    c = c.withColumn("names", F.transform_values("names", lambda k, v: full(v)))
-    unmapped = F.exists(F.map_entries("before"), lambda e: e["value"].isNotNull() & F.element_at("names", e["key"]).isNull())
-
-    def typed(f):
-        t = f["type"]
-        p = F.substring_index(t, ":", 1)
-        named = F.coalesce(F.element_at("names", t), F.when(F.contains(t, F.lit(":")) & ~t.rlike("^[^:]*://"), F.concat(F.element_at("names", p), F.substring(t, F.length(p) + 2, F.lit(1 << 30)))))
-        return F.when(t.isin("@id", "@vocab", "@json", "@none"), t).otherwise(F.coalesce(named, full(t)))
-
-    facts = F.transform_values(
-        "facts", lambda k, f: F.struct(F.element_at("names", k).alias("iri"), typed(f).alias("type"), f["container"].alias("container"), f["language"].alias("language"), f["plain"].alias("plain"), f["direction"].alias("direction"), f["reverse"].alias("reverse")).cast(TERM)
-    )
-    error = F.coalesce("error", "error_", "error_2", F.when(F.col("cyclic"), "cyclic IRI mapping"), F.when(unmapped, "invalid IRI mapping"))
-    return c.select("ctx_key", "vocab", F.coalesce("base", F.lit(base)).alias("base"), "language", "direction", F.coalesce(facts, F.create_map().cast(f"map<string,{TERM}>")).alias("terms"), error.alias("error"))
-
-
-def compact_iri_parts(value: Column) -> tuple[Column, Column]:
-    prefix = F.substring_index(value, ":", 1)
-    return prefix, F.substring(value, F.length(prefix) + 2, F.lit(1 << 30))
+def compiled(contexts: DataFrame, remote: DataFrame | None = None, base: str | None = None) -> DataFrame:
+    """One row per distinct context of (ctx), JSON text: ctx, ctx_key, base, vocab, language, direction, aliases, terms, error (a code of the data model; then the rest is null)."""
+    c = Contexts(contexts.sparkSession, base, remote)
+    asked = contexts.filter("ctx is not null").select("ctx", F.lit(c.start).alias("parent"), F.concat(F.lit("["), step(F.col("ctx"), base), F.lit("]")).alias("steps")).distinct()
+    return asked.join(c.derive(asked), ["parent", "steps"]).join(c.rows, "ctx_key", "left").select("ctx", "ctx_key", "base", "vocab", "language", "direction", "aliases", "terms", "error")
 
 
 def expand_iri(value: Column, terms: Column, vocab: Column | None, base: Column | None, by_term: Column | None = None) -> Column:
     """A name in full: by term and vocabulary (if vocab is given, and by_term allows it), by prefix, or against base; null for a null-mapped or keyword-like name."""
-    prefix, suffix = compact_iri_parts(value)
-    by_prefix = F.element_at(terms, prefix)["iri"]
+    prefix = F.substring_index(value, ":", 1)
+    suffix = F.substring(value, F.length(prefix) + 2, F.lit(1 << 30))
+    of = F.element_at(terms, prefix)
     by_term = F.lit(vocab is not None) if by_term is None else by_term
-    out = F.when(value.isin(KEYWORDS), value).when(iri.is_keyword_form(value), None)
+    out = F.when(value.isin(sorted(KEYWORDS)), value).when(iri.is_keyword_form(value), None)
+    term = F.element_at(terms, value)
     if vocab is not None:
-        out = out.when(by_term & F.map_contains_key(terms, value), F.element_at(terms, value)["iri"])
-    colon = F.when(by_prefix.isNotNull() & (prefix != "_") & ~suffix.startswith("//"), F.concat(by_prefix, suffix)).otherwise(value)
-    out = out.when(F.contains(value, F.lit(":")), colon)
+        out = out.when(term.isNotNull() & (by_term | term["iri"].isin(sorted(KEYWORDS))), term["iri"])
+    colon = F.when((prefix != "_") & ~suffix.startswith("//") & (F.length(prefix) > 0) & of["prefix"] & of["iri"].isNotNull(), F.concat(of["iri"], suffix)).when(value.startswith("_:") | iri.is_absolute(value), value)
+    out = out.when(colon.isNotNull() & F.contains(value, F.lit(":")), colon)
     if vocab is not None:
         out = out.when(by_term & vocab.isNotNull(), F.concat(vocab, value))
     return out.otherwise(iri.resolve(base, value) if base is not None else value)

@@ -1,32 +1,51 @@
 """Expansion: JSON-LD documents to statements, level by level.
 
 A statement is a row (doc_id, g, s, p, o, o_kind, datatype, language,
-direction, idx, list, pos). o_kind is iri, bnode, lit or json. Items of an
-ordered list share ``list`` and count up in ``pos``; an empty list is one row
-with pos null. Native numbers and booleans keep their text under their XSD type.
+direction, idx, list, pos). o_kind is iri, bnode, lit, json or list. Items of
+an ordered list share ``list`` and count up in ``pos``; an empty list is one
+row with pos null. A list in a list is an item of kind list, and its own items
+have it as s and "@list" as p. Native numbers and booleans keep their text
+under their XSD type.
 
-Each level explodes the node objects of one depth, resolves their keys through
-the context dimension, and hands nested node objects to the next level; a level
-ends in a written table, so the plan stays small however deep documents are.
+A level holds the objects of one depth. Each finds its active context (going
+back from type-scoped ones, then its property's, its own and its types'), is
+judged by its keys under that context (a value, list, set or node object), and
+its keys are exploded into values: scalars become rows, objects the next
+level. A level ends in a written table, so the plan stays small however deep
+documents are.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
-from tessera.operators.context import KEYWORDS, compiled, expand_iri, is_null, items, key_of, members, text_of
+from tessera.operators.context import KEYWORDS, Contexts, expand_iri, is_null, items, members, step, text_of
 from tessera.sources.shared import written
 
 STATEMENT = ["doc_id", "g", "s", "p", "o", "o_kind", "datatype", "language", "direction", "idx", "list", "pos"]
+#: Of a row in the document's tree: the place of the object it lies in, its own place (of objects and lists), its order there, whether under @reverse, whether it wrote its name, and a leaf's JSON.
+TREE = ["up", "at", "ord", "rev", "named", "json"]
+#: How values under a property are read.
+HOW = "struct<type:string,language:string,plain:boolean,direction:string,undirected:boolean>"
+FRONTIER = f"doc_id long, ctx_key string, enter string, lone boolean, g string, s string, p string, rev boolean, how {HOW}, list string, pos int, mk_kind string, mk string, ip string, graph boolean, up string, at string, ord array<int>, obj string"
+LEVEL = "doc_id long, g string, s string, p string, o string, o_kind string, datatype string, language string, direction string, idx string, list string, pos int, error string, up string, at string, ord array<int>, rev boolean, named boolean, json string"
 
 
 @dataclass
 class Expanded:
+    """statements; errors (doc_id, code); tree: the rows with what the JSON form needs of them (STATEMENT and TREE columns, p and o null where a row is no statement)."""
+
     statements: DataFrame
     errors: DataFrame
+    tree: DataFrame
+
+
+def _no(x: Column) -> Column:
+    return F.coalesce(x, F.lit(False))
 
 
 def _number(v: Column) -> tuple[Column, Column]:
@@ -36,158 +55,318 @@ def _number(v: Column) -> tuple[Column, Column]:
     return F.when(lit.is_integral(x), whole).otherwise(lit.xsd_double(x)), F.when(lit.is_integral(x), lit.INTEGER).otherwise(lit.DOUBLE)
 
 
-def _scalar(v: Column, kind: Column) -> tuple[Column, Column]:
-    """Text and XSD type of a scalar variant of a kind."""
-    number, number_type = _number(v)
-    text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind == "BOOLEAN", F.to_json(v)).otherwise(number)
-    return text, F.when(kind == "STRING", lit.STRING).when(kind == "BOOLEAN", lit.BOOLEAN).otherwise(number_type)
+def _blank(doc: Column, label: Column) -> Column:
+    """Blank labels are of one document: d<doc>x<label> for labels it wrote, d<doc>n<place> for nodes it left unnamed, d<doc>l<place> for lists."""
+    return F.concat(F.lit("_:d"), F.coalesce(doc.cast("string"), F.lit("null")), label)
 
 
-def _blank(doc: Column, label: Column) -> Column:
-    """Blank labels are of one document: d<doc>x<label> for labels it wrote, d<doc>n<path> for nodes it left unnamed."""
-    return F.concat(F.lit("_:d"), doc.cast("string"), label)
-
-
-def _level(nodes: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Items of (doc_id, ctx_key, g, s, path, obj, also): one row per value, with what its key says of it."""
-    n = nodes.join(contexts, "ctx_key", "left")
-    entry = lambda m, rev: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(rev).alias("rev")))
-    under = lambda k: F.coalesce(members(F.element_at("obj", k)), F.create_map().cast("map<string,variant>"))
-    every = F.concat(entry("obj", False), entry(under("@reverse"), True), entry(under("@nest"), False))
-    n = n.select("*", F.posexplode(every).alias("key_at", "entry")).withColumn("key", F.col("entry.key")).withColumn("value", F.col("entry.value")).withColumn("rev", F.col("entry.rev"))
-    n = n.filter(~F.col("key").isin("@context", "@id", "@reverse", "@nest", "@index"))
-    n = n.withColumn("term", F.element_at("terms", F.col("key"))).withColumn("p", expand_iri(F.col("key"), F.col("terms"), F.col("vocab"), None))
-    n = n.filter(F.col("p").isin(KEYWORDS) | F.contains("p", F.lit(":"))).filter("p != '@id'")
+def _written_blank(doc: Column, name: Column) -> Column:
+    return F.when(name.startswith("_:"), _blank(doc, F.concat(F.lit("x"), F.substring(name, F.lit(3), F.lit(1 << 30))))).otherwise(name)
+
+
+def _entries(m: Column) -> Column:
+    return F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
+def _role(key: Column) -> Column:
+    """The keyword that a key is or stands for."""
+    return F.when(key.startswith("@"), F.when(key.isin(sorted(KEYWORDS)), key)).otherwise(F.element_at("aliases", key))
+
+
+def _has(entries: str, keyword: str) -> Column:
+    return F.exists(entries, lambda e: e["role"] == keyword)
+
+
+def _of(entries: str, keyword: str) -> Column:
+    return F.get(F.filter(entries, lambda e: e["role"] == keyword), F.lit(0))["value"]
+
+
+def _roles(df: DataFrame) -> DataFrame:
+    """df with its obj as entries (key, value, role); @context is left out."""
+    own = F.transform(_entries(members(F.parse_json("obj"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _role(e["key"]).alias("role")))
+    return df.withColumn("entries", F.filter(own, lambda e: ~e["role"].eqNullSafe(F.lit("@context"))))
+
+
+def _enter(frontier: DataFrame, contexts: Contexts, local: bool) -> tuple[DataFrame, DataFrame]:
+    """The frontier with every object's active context as ctx_key, the one that its types are read in as type_key, and ``fail``."""
+    f = frontier.withColumn("fail", F.lit(None).cast("string"))
+    if contexts.reverts:
+        f = _roles(f.join(contexts.rows.select("ctx_key", "prev", "aliases"), "ctx_key"))
+        stays = F.col("lone") | _has("entries", "@value") | (_has("entries", "@id") & (F.size("entries") == 1))
+        f = f.withColumn("ctx_key", F.when(stays, F.col("ctx_key")).otherwise(F.coalesce("prev", "ctx_key"))).drop("prev", "aliases", "entries")
+
+    def apply(f: DataFrame, steps: Column) -> DataFrame:
+        f = f.withColumn("steps", steps)
+        made = contexts.derive(f.filter("steps is not null").select(F.col("ctx_key").alias("parent"), "steps"))
+        made = made.select(F.col("parent").alias("ctx_key"), "steps", F.col("ctx_key").alias("new"), F.col("error").alias("wrong"))
+        f = f.join(made, ["ctx_key", "steps"], "left")
+        return f.withColumns({"ctx_key": F.coalesce("new", "ctx_key"), "fail": F.coalesce("fail", "wrong")}).drop("steps", "new", "wrong")
+
+    if local:
+        own = F.try_variant_get(F.parse_json("obj"), "$['@context']", "variant")
+        # The context of an object comes from its document, whose address is that of relative URLs.
+        both = F.concat_ws(",", F.expr("substring(enter, 2, length(enter) - 2)"), F.when(own.isNotNull(), step(F.to_json(own), F.col("base_url"))))
+        f = written(apply(f, F.when(both != "", F.concat(F.lit("["), both, F.lit("]")))), "entered")
+    f = f.withColumn("type_key", F.col("ctx_key"))
+    if contexts.scoped:
+        f = _roles(f.join(contexts.rows.select("ctx_key", "aliases", "terms"), "ctx_key"))
+        types = F.filter(F.flatten(F.transform(F.filter("entries", lambda e: e["role"] == "@type"), lambda e: F.transform(items(e["value"]), text_of))), lambda t: t.isNotNull())
+        types = F.array_sort(F.array_distinct(F.concat(types, F.when(F.col("mk_kind") == "@type", F.array("mk")).otherwise(F.array().cast("array<string>")))))
+        each = F.filter(F.transform(types, lambda t: F.when(F.element_at("terms", t)["scoped"].isNotNull(), step(F.element_at("terms", t)["scoped"], F.element_at("terms", t)["scoped_base"], propagate=False))), lambda x: x.isNotNull())
+        f = f.withColumn("each", each).drop("aliases", "terms", "entries")
+        f = written(apply(f, F.when(F.size("each") > 0, F.concat(F.lit("["), F.array_join("each", ","), F.lit("]")))).drop("each"), "entered")
+    bad = f.filter("fail is not null").select("doc_id", F.col("fail").alias("code"))
+    return f.filter("fail is null").drop("fail", "enter", "lone"), bad
+
+
+def _unnested(e: DataFrame, contexts: Contexts) -> DataFrame:
+    """Entries under @nest, at any depth, as the object's own."""
+    held = lambda x: F.when(x["role"] == "@nest", F.flatten(F.transform(items(x["value"]), lambda v: F.coalesce(_entries(members(v)), F.array().cast("array<struct<key:string,value:variant>>"))))).otherwise(F.array(F.struct(x["key"].alias("key"), x["value"].alias("value"))))
+    wrong = F.exists("entries", lambda x: (x["role"] == "@nest") & F.exists(items(x["value"]), lambda v: members(v).isNull()))
+    role = lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), _role(x["key"]).alias("role"))
+    as_text = lambda c: F.to_json(F.transform(c, lambda x: F.struct(x["key"].alias("key"), F.to_json(x["value"]).alias("value"))))
+    back = lambda c: F.transform(F.from_json(c, "array<struct<key:string,value:string>>"), lambda x: role({"key": x["key"], "value": F.parse_json(x["value"])}))
+    e = e.withColumn("bad_nest", F.lit(False))
+    while True:
+        e = e.withColumn("bad_nest", F.col("bad_nest") | _no(wrong)).withColumn("entries", as_text(F.flatten(F.transform("entries", held))))
+        e = written(e.drop("aliases"), "unnested").join(contexts.rows.select("ctx_key", "aliases"), "ctx_key").withColumn("entries", back("entries"))
+        if e.filter(_has("entries", "@nest") & ~F.col("bad_nest")).isEmpty():
+            return e
+
+
+def _judged(e: DataFrame, contexts: Contexts, nests: bool) -> DataFrame:
+    """Objects with their kind (value, list, set, node), their name, and what is wrong with them."""
+    c = F.col
+    e = _roles(e.join(contexts.rows.select("ctx_key", "aliases"), "ctx_key"))
+    e = _unnested(e, contexts) if nests else e.withColumn("bad_nest", F.lit(False))
+    top = c("p").isNull()
+    only_graph = top & _has("entries", "@graph") & (F.size("entries") == 1)
+    e = e.withColumn("kind", F.when(_has("entries", "@value"), "value").when(_has("entries", "@list"), "list").when(_has("entries", "@set") | only_graph, "set").when(_has("entries", "@language") & (F.size("entries") == 1), "none").otherwise("node"))
+    e = e.withColumns({
+        "content": F.when(only_graph, _of("entries", "@graph")).when(c("kind") == "list", _of("entries", "@list")).when(c("kind") == "set", _of("entries", "@set")).when(c("kind") == "value", _of("entries", "@value")),
+        "id_in": _of("entries", "@id"), "type_in": _of("entries", "@type"), "lang_in": _of("entries", "@language"), "dir_in": _of("entries", "@direction"), "index_in": _of("entries", "@index"), "roles": F.transform("entries", lambda x: x["role"]),
+    })
+    e = e.join(contexts.rows.select("ctx_key", "base", "vocab", F.col("language").alias("own_language"), F.col("direction").alias("own_direction"), "terms"), "ctx_key")
+    id_text = text_of(c("id_in"))
+    raw = F.coalesce(id_text, F.when((c("mk_kind") == "@id") & ~c("graph"), c("mk")))
+    e = e.withColumns({"raw": raw, "index_": F.coalesce(F.when((c("mk_kind") == "@index") & c("ip").isNull() & ~c("graph"), c("mk")), text_of(c("index_in")))})
+    e = e.withColumn("full_id", expand_iri(c("raw"), c("terms"), None, c("base")))
+    node_s = F.when(c("full_id").isNull(), _blank(c("doc_id"), F.concat(F.lit("n"), c("at")))).otherwise(_written_blank(c("doc_id"), c("full_id")))
+    # A graph container holds an object unless a map already holds a graph object.
+    graph_only = _has("entries", "@graph") & (F.size(F.filter("roles", lambda r: ~_no(r.isin("@graph", "@id", "@index")))) == 0)
+    e = e.withColumns({"node": node_s, "named": c("full_id").isNotNull(), "wrapped": c("graph") & (c("kind") == "node") & ~(c("mk_kind").isNotNull() & graph_only)})
+    map_id = F.when(c("mk_kind") == "@id", expand_iri(c("mk"), c("terms"), None, c("base")))
+    e = e.withColumn("graph_id", F.when(c("wrapped"), F.coalesce(_written_blank(c("doc_id"), map_id), _blank(c("doc_id"), F.concat(F.lit("g"), c("at"))))))
+    singular = F.filter("roles", lambda r: r.isNotNull() & ~r.isin("@type", "@included", "@reverse", "@nest"))
+    beside = lambda *allowed: F.exists("roles", lambda r: ~_no(r.isin(*allowed)))
+    is_json = F.get(F.transform(items(c("type_in")), text_of), F.lit(0)) == "@json"
+    reverse = _of("entries", "@reverse")
+    free = c("p").isNull() | (c("p") == "@graph")
+    error = (
+        F.when(c("bad_nest"), "invalid @nest value")
+        .when(F.size(singular) != F.size(F.array_distinct(singular)), "colliding keywords")
+        .when(c("index_in").isNotNull() & text_of(c("index_in")).isNull(), "invalid @index value")
+        .when((c("kind") == "value") & (beside("@value", "@type", "@language", "@direction", "@index") | (c("type_in").isNotNull() & (c("lang_in").isNotNull() | c("dir_in").isNotNull())) | c("ip").isNotNull()), "invalid value object")
+        .when((c("kind") == "value") & c("lang_in").isNotNull() & text_of(c("lang_in")).isNull(), "invalid language-tagged string")
+        .when((c("kind") == "value") & c("dir_in").isNotNull() & ~_no(text_of(c("dir_in")).isin("ltr", "rtl")), "invalid base direction")
+        .when((c("kind") == "value") & ~_no(is_json) & (members(c("content")).isNotNull() | F.try_variant_get("content", "$", "array<variant>").isNotNull()), "invalid value object value")
+        .when((c("kind") == "value") & c("lang_in").isNotNull() & ~is_null(c("content")) & text_of(c("content")).isNull(), "invalid language-tagged value")
+        .when((c("kind") == "value") & c("type_in").isNotNull() & text_of(c("type_in")).isNull() & ~is_null(c("type_in")), "invalid typed value")
+        .when(c("kind").isin("list", "set") & ~only_graph & beside("@list", "@set", "@index") | (_has("entries", "@list") & _has("entries", "@set")), "invalid set or list object")
+        .when((c("kind") == "node") & c("id_in").isNotNull() & id_text.isNull(), "invalid @id value")
+        .when((c("kind") == "node") & reverse.isNotNull() & members(reverse).isNull(), "invalid @reverse value")
+        .when((c("p") == "@included") & ~c("kind").isin("node", "set"), "invalid @included value")
+        .when(c("rev") & c("kind").isin("value", "list") & ~free, "invalid reverse property value")
+    )
+    return e.withColumn("error", error)
+
+
+def _values(e: DataFrame, contexts: Contexts) -> DataFrame:
+    """One row for each object itself (role "self") and for each value under its keys, with what its key says of it."""
+    c = F.col
+    row = lambda key, value, rev, role: F.struct(key.alias("key"), value.alias("value"), F.lit(rev).alias("under"), role.alias("role"))
+    none, variant = F.lit(None).cast("string"), F.lit(None).cast("variant")
+    own = F.transform(F.filter("entries", lambda x: x["role"].isNull() | x["role"].isin("@type", "@graph", "@included")), lambda x: row(x["key"], x["value"], False, x["role"]))
+    back = F.flatten(F.transform(F.filter("entries", lambda x: x["role"] == "@reverse"), lambda x: F.transform(_entries(members(x["value"])), lambda y: row(y["key"], y["value"], True, F.when(_role(y["key"]).isNotNull(), "bad reverse")))))
+    # A map's key is the type of what it holds, or a property's value.
+    given = F.filter(F.array(F.when((c("mk_kind") == "@type") & c("mk").isNotNull(), row(F.lit("@type"), F.parse_json(lit.json_string(c("mk"))), False, F.lit("@type"))), F.when(c("ip").isNotNull() & c("mk").isNotNull(), row(c("ip"), F.parse_json(lit.json_string(c("mk"))), False, none))), lambda x: x.isNotNull())
+    every = F.when(c("kind") == "node", F.concat(F.array(row(none, variant, False, F.lit("self"))), given, own, F.coalesce(back, F.array().cast("array<struct<key:string,value:variant,under:boolean,role:string>>"))))
+    every = every.when(c("kind") == "set", F.array(row(none, c("content"), False, F.lit("members"))))
+    every = every.when(c("kind") == "list", F.array(row(none, variant, False, F.lit("self")), row(none, c("content"), False, F.lit("members")))).otherwise(F.array(row(none, variant, False, F.lit("self"))))
+    n = e.select("*", F.posexplode(every).alias("key_at", "e_")).select("*", "e_.key", "e_.value", "e_.under", F.col("e_.role").alias("role")).drop("e_", "entries", "roles")
+    n = n.withColumn("term", F.when(c("role").isNull(), F.element_at("terms", c("key"))))
+    n = n.withColumn("prop", F.when(c("role").isNull(), F.when(F.map_contains_key("terms", c("key")), c("term.iri")).otherwise(expand_iri(c("key"), c("terms"), c("vocab"), None))).otherwise(F.when(c("role").isin("@type", "@graph", "@included"), c("role"))))
+    n = n.withColumn("dropped", c("role").isNull() & ~_no(F.contains("prop", F.lit(":"))))
     kinds = F.coalesce("term.container", F.array().cast("array<string>"))
-    n = n.withColumn("map_kind", F.when(members(F.col("value")).isNotNull(), F.get(F.array_intersect(kinds, F.array(*[F.lit(k) for k in ("@language", "@index", "@id", "@type")])), F.lit(0))))
-    simple = F.transform(items(F.col("value")), lambda x: F.struct(x.alias("v"), F.lit(None).cast("string").alias("mk")))
-    by_key = F.flatten(F.transform(F.map_entries(members(F.col("value"))), lambda e: F.transform(items(e["value"]), lambda x: F.struct(x.alias("v"), F.when(e["key"] != "@none", e["key"]).alias("mk")))))
-    whole = F.array(F.struct(F.col("value").alias("v"), F.lit(None).cast("string").alias("mk")))
-    is_list = F.array_contains(kinds, "@list")
-    values = F.when((F.col("term.type") == "@json") | is_list, whole).when(F.col("map_kind").isNotNull(), by_key).otherwise(simple)
-    n = n.withColumn("is_list", is_list).select("*", F.posexplode(values).alias("at", "item")).withColumn("v", F.col("item.v")).withColumn("mk", F.col("item.mk"))
-    obj = members(F.col("v"))
-    listed = F.element_at(obj, F.lit("@list"))
-    n = n.withColumn("listed", F.when(F.col("is_list") & listed.isNull(), F.col("v")).otherwise(listed)).withColumn("grouped", F.element_at(obj, F.lit("@set")))
-    more = F.when(F.col("term.type") == "@json", F.array("v")).when(F.col("listed").isNotNull(), items(F.col("listed"))).when(F.col("grouped").isNotNull(), items(F.col("grouped"))).otherwise(F.array("v"))
-    n = n.select("*", F.posexplode_outer(more).alias("pos", "o"))
-    here = F.concat_ws("_", "path", F.col("key_at"), F.col("at"))
-    n = n.withColumn("list", F.when(F.col("listed").isNotNull(), _blank(F.col("doc_id"), F.concat(F.lit("l"), here)))).withColumn("path", F.concat_ws("_", here, F.coalesce("pos", F.lit(0))))
-    return n.filter((F.col("o").isNotNull() & (~is_null(F.col("o")) | (F.col("term.type") == "@json"))) | F.col("list").isNotNull())
-
-
-def _subject(obj: Column, doc: Column, path: Column, terms: Column, base: Column, key: Column | None = None) -> Column:
-    """A node object's name: its @id (or an alias of it), the id-map key, or a blank label of its place."""
-    aliases = F.map_keys(F.map_filter(terms, lambda k, t: t["iri"] == "@id"))
-    raw = F.coalesce(text_of(F.element_at(obj, F.lit("@id"))), F.get(F.filter(F.transform(aliases, lambda a: text_of(F.element_at(obj, a))), lambda x: x.isNotNull()), F.lit(0)))
-    raw = raw if key is None else F.coalesce(raw, key)
-    named = expand_iri(raw, terms, None, base)
-    return F.when(raw.isNull(), _blank(doc, F.concat(F.lit("n"), path))).when(raw.startswith("_:"), _blank(doc, F.concat(F.lit("x"), F.substring(raw, F.lit(3), F.lit(1 << 30))))).otherwise(named)
-
-
-def expand(docs: DataFrame, remote: DataFrame | None = None, base: str | None = None, max_depth: int = 64) -> Expanded:
-    """Statements and errors of (doc_id, doc), doc being JSON text.
-
-    A document that isn't JSON, whose context is invalid, that has an invalid
-    value, or nests deeper than max_depth has an error row (doc_id, code) and
-    no statements. A null doc counts as one that isn't JSON.
-    """
-    parsed = docs.select("doc_id", F.try_parse_json("doc").alias("v"))
-    bad = parsed.filter("v is null").select("doc_id", F.lit("loading document failed").alias("code"))
-    tops = parsed.filter("v is not null").select("doc_id", F.posexplode(items(F.col("v"))).alias("at", "v"))
-    tops = tops.withColumn("ctx", F.coalesce(F.to_json(F.try_variant_get("v", "$['@context']", "variant")), F.lit("null"))).withColumn("ctx_key", key_of(F.col("ctx"))).withColumn("obj", members(F.col("v"))).filter("obj is not null")
-    contexts = written(compiled(tops, remote, base), "contexts")
-    bad = bad.unionByName(tops.join(contexts.filter("error is not null"), "ctx_key").select("doc_id", F.col("error").alias("code")))
-    tops = tops.join(contexts.filter("error is null"), "ctx_key")
-    tops = tops.select("doc_id", "ctx_key", "obj", F.col("at").cast("string").alias("path"), "terms", "base")
-    # A top object of @graph alone is no node: its members are.
-    alone = F.map_contains_key("obj", F.lit("@graph")) & (F.size(F.map_filter("obj", lambda k, x: ~k.isin("@graph", "@context"))) == 0)
-    tops = tops.withColumn("inner", F.when(alone, items(F.element_at("obj", F.lit("@graph"))))).select("*", F.posexplode_outer("inner").alias("inner_at", "in_v"))
-    tops = tops.withColumn("path", F.when(F.col("inner_at").isNotNull(), F.concat_ws("_", "path", F.lit("g"), F.col("inner_at"))).otherwise(F.col("path"))).withColumn("obj", F.when(F.col("in_v").isNotNull(), members(F.col("in_v"))).otherwise(F.when(F.col("inner").isNull(), F.col("obj"))))
-    tops = tops.filter("obj is not null").withColumn("s", _subject(F.col("obj"), F.col("doc_id"), F.col("path"), F.col("terms"), F.col("base")))
-    as_text = lambda df: df.withColumn("obj", F.to_json(F.to_variant_object("obj")))  # noqa: E731  variants of maps travel as JSON text
-    frontier = written(as_text(tops.select("doc_id", "ctx_key", F.lit(None).cast("string").alias("g"), "s", "path", "obj")), "nodes")
-    tables: list[DataFrame] = []
-    for depth in range(max_depth + 1):
-        if frontier.isEmpty():
-            break
-        if depth == max_depth:
-            bad = bad.unionByName(frontier.select("doc_id", F.lit("nesting too deep").alias("code")))
-            break
-        nodes = frontier.withColumn("obj", members(F.parse_json("obj")))
-        level = written(_rows(_level(nodes, contexts)), "level")
-        tables.append(level.drop("child"))
-        frontier = level.filter("child is not null").select("doc_id", "ctx_key", "child_g", "child_s", "child_path", "child").toDF("doc_id", "ctx_key", "g", "s", "path", "obj")
-    rows = tables[0] if tables else None
-    for t in tables[1:]:
-        rows = rows.unionByName(t)
-    if rows is None:
-        rows = docs.sparkSession.createDataFrame([], "doc_id long, g string, s string, p string, o string, o_kind string, datatype string, language string, direction string, idx string, list string, pos int, error string")
-    bad = written(bad.unionByName(rows.filter("error is not null").select("doc_id", F.col("error").alias("code"))).groupBy("doc_id").agg(F.min("code").alias("code")), "errors")
-    good = rows.filter("error is null and p is not null").join(bad, "doc_id", "left_anti")
-    return Expanded(good.select(*STATEMENT), bad)
-
-
-def _rows(n: DataFrame) -> DataFrame:
-    """Statements of a level's items, and the child node objects that the next level takes.
+    n = n.withColumns({"kinds": kinds, "is_json": _no(c("term.type") == "@json"), "is_list": F.array_contains(kinds, "@list")})
+    n = n.withColumn("map_kind", F.when(~c("is_json") & members(c("value")).isNotNull(), F.get(F.array_intersect("kinds", F.array(*[F.lit(k) for k in ("@language", "@index", "@id", "@type")])), F.lit(0))))
+    pair = lambda v, mk=none: F.struct(v.alias("v"), mk.alias("mk"))
+    # A map's key may stand for @none.
+    key_of = lambda k: F.when(~_no(_role(k) == "@none"), k)
+    by_key = F.flatten(F.transform(F.map_entries(members(c("value"))), lambda x: F.transform(items(x["value"]), lambda v: pair(v, key_of(x["key"])))))
+    array = F.try_variant_get("value", "$", "array<variant>")
+    # What a list container holds is a list, or becomes one.
+    listed = F.exists(F.map_keys(members(c("value"))), lambda k: _role(k) == "@list")
+    as_list = F.when(_no(listed), c("value")).otherwise(F.parse_json(F.concat(F.when(array.isNull(), '{"@list":[').otherwise('{"@list":'), F.to_json("value"), F.when(array.isNull(), "]}").otherwise("}"))))
+    whole = F.when(c("is_json"), F.array(pair(c("value")))).when(c("is_list"), F.array(pair(as_list)))
+    n = n.withColumn("holds", F.when(c("role") == "self", F.array(pair(variant))).otherwise(whole.when(c("map_kind").isNotNull(), by_key).otherwise(F.transform(items(c("value")), lambda v: pair(v)))))
+    n = n.withColumn("null_value", _no(is_null(c("value"))) & ~c("is_json") & (c("role").isNull() | (c("role") != "self")))
+    n = n.filter(~c("null_value")).select("*", F.posexplode_outer("holds").alias("item_at", "item")).drop("holds", "value").withColumns({"v": c("item.v"), "item_mk": c("item.mk")}).drop("item")
+    return n.filter(~(_no(is_null(c("v"))) & ~c("is_json")))
+
+
+def _rows(n: DataFrame, safe: bool) -> DataFrame:
+    """LEVEL rows of a level's values, and the objects of the next level under ``next``.
 
     Steps go through named columns, so that each expression stands in the plan once.
     """
     c = F.col
-    no = lambda x: F.coalesce(x, F.lit(False))
-    of = lambda key: F.element_at("in", F.lit(key))
-    blank = lambda x: F.when(x.startswith("_:"), _blank(c("doc_id"), F.concat(F.lit("x"), F.substring(x, F.lit(3), F.lit(1 << 30))))).otherwise(x)
-    n = n.withColumns({"in": members(c("o")), "t": c("term.type"), "is_type": c("p") == "@type"})
-    n = n.withColumns({"val": of("@value"), "type_in": of("@type"), "lang_in": of("@language"), "id_in": of("@id"), "text": text_of(c("o"))})
-    n = n.withColumns({"type_text": text_of(c("type_in")), "lang_text": F.lower(text_of(c("lang_in"))), "x": F.coalesce("val", "o"), "by_id": c("text").isNotNull() & no(c("t").isin("@id", "@vocab")) & ~c("is_type")})
-    n = n.withColumns({"is_json": no((c("t") == "@json") | (c("type_text") == "@json")), "x_kind": F.schema_of_variant("x")})
-    n = n.withColumns({"is_string": c("x_kind") == "STRING", "is_node": c("in").isNotNull() & ~c("is_json") & c("val").isNull()})
-    # One name of an item needs its full form: a reference, the type of a literal, or the type that a type map gives.
-    n = n.withColumn("short", F.when(c("is_type") | c("by_id"), c("text")).when(c("val").isNotNull(), c("type_text")).when(c("is_node") & (c("map_kind") == "@type"), c("mk")))
-    n = n.withColumn("full", expand_iri(c("short"), c("terms"), c("vocab"), c("base"), ~(c("by_id") & (c("t") == "@id"))))
-    # An item of an id map is named by its key.
-    n = n.withColumn("child_s", F.when(c("is_node"), _subject(c("in"), c("doc_id"), c("path"), c("terms"), c("base"), F.when(c("map_kind") == "@id", c("mk")))))
-    text, text_type = _scalar(c("x"), c("x_kind"))
-    coerced = F.when(~no(c("t").isin("@id", "@vocab", "@none", "@json")), c("t"))
-    n = n.withColumns({"scalar": text, "scalar_type": text_type, "coerced": coerced})
-    plain = c("is_string") & c("coerced").isNull()
-    language = F.when(c("val").isNotNull(), c("lang_text")).when(c("map_kind") == "@language", F.lower("mk")).when(plain & ~no(c("term.plain")), F.coalesce("term.language", "language"))
-    direction = F.when(c("val").isNotNull(), text_of(of("@direction"))).when(plain, F.coalesce("term.direction", "direction"))
-    n = n.withColumns({"language_": language, "direction_": direction})
-    n = n.withColumn("datatype_", F.when(c("is_json"), lit.JSON).when(c("language_").isNotNull(), lit.LANG_STRING).when(c("val").isNotNull(), F.coalesce("full", "scalar_type")).otherwise(F.coalesce("coerced", "scalar_type")))
-    lexical = F.when(c("is_json"), F.to_json("x")).when((c("datatype_") == lit.DOUBLE) & ~c("is_string"), lit.xsd_double(F.try_variant_get("x", "$", "double"))).otherwise(c("scalar"))
-    n = n.withColumns({"o_": F.when(c("is_type") | c("by_id"), blank(c("full"))).when(c("is_node"), c("child_s")).otherwise(lexical)})
-    names = c("is_type") | c("by_id") | c("is_node")
-    n = n.withColumn("o_kind", F.when(c("o").isNull(), None).when(names, F.when(c("o_").startswith("_:"), "bnode").otherwise("iri")).when(c("is_json"), "json").otherwise("lit"))
-    tagged = c("val").isNotNull() & c("lang_in").isNotNull()
-    error = (
-        F.when(c("is_type") & c("text").isNull(), "invalid type value")
-        .when(c("val").isNotNull() & ~c("is_json") & (members(c("val")).isNotNull() | F.try_variant_get("val", "$", "array<variant>").isNotNull()), "invalid value object value")
-        .when(tagged & c("type_in").isNotNull(), "invalid value object")
-        .when(tagged & c("lang_text").isNull(), "invalid language-tagged string")
-        .when(tagged & ~c("is_string"), "invalid language-tagged value")
-        .when(c("val").isNotNull() & c("type_in").isNotNull() & c("full").isNull(), "invalid typed value")
-        .when((c("map_kind") == "@language") & ~c("is_string"), "invalid language map value")
-        .when((c("p") == "@included") & ~c("is_node"), "invalid @included value")
-        .when(c("is_node") & c("id_in").isNotNull() & text_of(c("id_in")).isNull(), "invalid @id value")
-        .when(c("rev") & ~c("is_node") & ~c("by_id"), "invalid reverse property value")
-    )
-    literal = c("o_kind").isin("lit", "json")
-    holds = F.size(F.map_filter("in", lambda k, x: k != "@id")) > 0
+    none = F.lit(None).cast("string")
+    me, part, typed = _no(c("role") == "self"), _no(c("role") == "members"), _no(c("role") == "@type")
+    n = n.withColumns({"me": me, "part": part, "is_type": typed, "arr": F.try_variant_get("v", "$", "array<variant>").isNotNull()})
+    n = n.withColumns({"value_object": c("me") & (c("kind") == "value"), "how_": F.when(c("part"), c("how")).otherwise(F.struct(c("term.type"), c("term.language"), c("term.plain"), c("term.direction"), c("term.undirected")).cast(HOW))})
+    n = n.withColumns({"x": F.when(c("value_object"), c("content")).otherwise(c("v")), "t": c("how_.type"), "json_part": c("part") & _no(c("how.type") == "@json")})
+    n = n.withColumns({"x_kind": F.schema_of_variant("x"), "text": text_of(c("x")), "is_json": F.when(c("value_object"), _no(text_of(c("type_in")) == "@json")).otherwise(c("is_json") | c("json_part"))})
+    is_obj = F.col("v").isNotNull() & members(c("v")).isNotNull()
+    n = n.withColumns({"deeper": ~c("me") & ~c("is_json") & ~c("is_type") & (is_obj | c("arr") | ((c("map_kind") == "@type") & c("text").isNotNull()))})
+    n = n.withColumns({"deeper": _no(c("deeper")), "by_id": ~c("me") & ~c("is_type") & c("text").isNotNull() & _no(c("t").isin("@id", "@vocab"))})
+    n = n.withColumn("short", F.when(c("is_type") | c("by_id"), c("text")).when(c("value_object"), text_of(c("type_in"))))
+    # Types are read in the context before that of the types.
+    n = n.withColumn("full", expand_iri(c("short"), F.when(c("is_type") | c("value_object"), c("type_terms")).otherwise(c("terms")), F.when(c("is_type"), c("type_vocab")).otherwise(c("vocab")), c("base"), ~(c("by_id") & (c("t") == "@id"))))
+    is_string = c("x_kind") == "STRING"
+    plain = is_string & ~_no(~c("t").isin("@id", "@vocab", "@none", "@json"))
+    in_map = c("map_kind") == "@language"
+    language = F.when(c("value_object"), F.lower(text_of(c("lang_in")))).when(in_map, F.lower("item_mk")).when(plain & ~_no(c("how_.plain")), F.coalesce("how_.language", "own_language"))
+    direction = F.when(c("value_object"), text_of(c("dir_in"))).when(plain & ~_no(c("how_.undirected")), F.coalesce("how_.direction", "own_direction"))
+    number, number_type = _number(c("x"))
+    scalar = F.when(is_string, c("text")).when(c("x_kind") == "BOOLEAN", F.to_json("x")).otherwise(number)
+    scalar_type = F.when(is_string, lit.STRING).when(c("x_kind") == "BOOLEAN", lit.BOOLEAN).otherwise(number_type)
+    kind_type = F.when(c("is_json"), "@json").when(c("value_object"), c("full")).when(~_no(c("t").isin("@id", "@vocab", "@none", "@json")) & ~_no(in_map), c("t"))
+    n = n.withColumns({"lang_": F.when(~c("is_json"), language), "dir_": F.when(~c("is_json"), direction), "said": kind_type, "scalar": scalar, "scalar_type": scalar_type})
+    n = n.withColumn("datatype_", F.when(c("is_json"), lit.JSON).when(c("lang_").isNotNull(), lit.LANG_STRING).otherwise(F.coalesce("said", "scalar_type")))
+    lexical = F.when(c("is_json"), lit.canonical_text("x")).when((c("datatype_") == lit.DOUBLE) & ~is_string, lit.xsd_double(F.try_variant_get("x", "$", "double"))).otherwise(c("scalar"))
+    here = F.when(c("part"), F.concat_ws("_", "at", F.coalesce("item_at", F.lit(0)))).otherwise(F.concat_ws("_", "at", "key_at", F.coalesce("item_at", F.lit(0))))
+    own_list = _blank(c("doc_id"), F.concat(F.lit("l"), c("at")))
+    list_me, in_list = c("kind") == "list", c("part") & (c("kind") == "list")
+    nested = list_me & c("list").isNotNull()
+    empty = list_me & F.coalesce(F.size(F.try_variant_get("content", "$", "array<variant>")) == 0, F.lit(False))
+    n = n.withColumns({"here": here, "own_list": own_list, "in_list": in_list, "nested": nested, "empty": empty, "is_node": c("me") & (c("kind") == "node"), "names": c("is_type") | c("by_id")})
+    leaf = ~c("me") & ~c("deeper") & c("v").isNotNull() | c("value_object") & ~(is_null(c("x")) & ~c("is_json"))
+    n = n.withColumn("leaf", _no(leaf))
+    # Where a row stands: the object itself and a set's or list's members under their parent's property, others under their own.
+    under_parent = c("me") | c("part")
     n = n.withColumns({
-        "datatype_": F.when(literal, c("datatype_")), "language_": F.when(literal, c("language_")), "direction_": F.when(literal, c("direction_")),
-        "idx": F.when(c("map_kind") == "@index", c("mk")).otherwise(text_of(of("@index"))), "error": error, "swap": c("rev") != no(c("term.reverse")),
-        "extra": F.when(c("is_node") & (c("map_kind") == "@type"), c("full")), "child": F.when(c("is_node") & holds, F.to_json(F.to_variant_object("in"))),
-        "child_g": F.when(c("p") == "@graph", c("s")).otherwise(c("g")), "keep": ~c("p").isin("@graph", "@included") & (c("o_").isNotNull() | c("list").isNotNull()),
+        "subject": F.when(c("in_list") & c("nested"), c("own_list")).when(under_parent, c("s")).otherwise(c("node")),
+        "predicate": F.when(c("in_list") & c("nested"), "@list").when(under_parent, c("p")).otherwise(c("prop")),
+        "swap": F.when(under_parent, c("rev")).otherwise(c("under") != _no(c("term.reverse"))),
+        "lst": F.when(c("in_list"), c("own_list")).when(under_parent, c("list")), "at_pos": F.when(c("in_list"), c("item_at")).when(under_parent, c("pos")).cast("int"),
+        "inside": F.when(c("in_list"), c("at")).when(under_parent, c("up")).otherwise(c("at")),
+        "order": F.when(c("me"), c("ord")).when(c("in_list"), F.array(F.coalesce("item_at", F.lit(0)))).when(c("part"), F.concat("ord", F.array(F.coalesce("item_at", F.lit(0))))).otherwise(F.array("key_at", F.coalesce("item_at", F.lit(0)))),
+        "graph_": F.when(c("role") == "@graph", c("node")).when(c("is_node") & c("wrapped"), c("g")).otherwise(c("inner_g")),
     })
-    main = F.struct(
-        F.when(c("swap"), c("o_")).otherwise(c("s")).alias("s"), F.when(c("keep"), c("p")).alias("p"), F.when(c("swap"), c("s")).otherwise(c("o_")).alias("o"),
-        F.when(c("swap"), F.when(c("s").startswith("_:"), "bnode").otherwise("iri")).otherwise(c("o_kind")).alias("o_kind"),
-        c("datatype_").alias("datatype"), c("language_").alias("language"), c("direction_").alias("direction"), c("list").alias("list"),
-        F.when(c("o").isNotNull() & c("list").isNotNull(), c("pos")).alias("pos"), c("child").alias("child"),
+    object_ = F.when(c("is_node"), F.coalesce("graph_id", "node")).when(c("names"), _written_blank(c("doc_id"), c("full"))).when(c("nested") & c("me"), F.when(c("empty"), lit.NIL).otherwise(c("own_list"))).when(c("leaf"), lexical)
+    n = n.withColumn("o_", object_)
+    literal = c("leaf") & ~c("names")
+    o_kind = F.when(c("nested") & c("me"), "list").when(c("o_").isNull(), None).when(c("is_node") | c("names"), F.when(c("o_").startswith("_:"), "bnode").otherwise("iri")).when(c("is_json"), "json").otherwise("lit")
+    idx = F.when(c("me"), F.coalesce("index_")).when((c("map_kind") == "@index") & c("term.index").isNull(), c("item_mk"))
+    idx = F.when(c("is_node") & c("wrapped"), F.when(c("mk_kind") == "@index", c("mk"))).otherwise(idx)
+    raw = F.when(c("is_json") & c("x").isNull(), "null").otherwise(F.to_json("x"))
+    member = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), lit.json_string(value)))
+    n = n.withColumns({"o_kind": o_kind, "idx_": idx, "literal": literal})
+    value_text = F.concat(F.lit("{"), F.concat_ws(",", member("@direction", c("dir_")), member("@index", c("idx_")), member("@language", c("lang_")), member("@type", c("said")), F.concat(F.lit('"@value":'), raw)), F.lit("}"))
+    ref_text = F.when(c("is_type"), lit.json_string(c("o_"))).otherwise(F.concat(F.lit("{"), F.concat_ws(",", member("@id", c("o_")), member("@index", c("idx_"))), F.lit("}")))
+    free = c("predicate").isNull() | (c("predicate") == "@graph")
+    unsafe = F.lit(safe) & c("dropped")
+    error = F.when(c("me"), c("error")).when(unsafe, "invalid property")
+    error = F.coalesce(
+        error,
+        F.when(c("role") == "bad reverse", "invalid reverse property map")
+        .when(c("is_type") & c("v").isNotNull() & c("text").isNull(), "invalid type value")
+        .when(c("value_object") & c("type_in").isNotNull() & ~c("is_json") & ~is_null(c("type_in")) & ~_no(F.contains("full", F.lit(":"))), "invalid typed value")
+        .when(in_map & ~c("me") & c("v").isNotNull() & ~is_string, "invalid language map value")
+        .when((c("role") == "@included") & ~c("deeper"), "invalid @included value")
+        .when((c("map_kind") == "@index") & c("term.index").isNotNull() & c("leaf") & ~c("names") & ~c("me"), "invalid value object")
+        .when(c("swap") & c("leaf") & ~c("names") & ~free, "invalid reverse property value"),
+    )
+    # A member is no row of its own where its object isn't one (floating values), or where it goes to the next level.
+    real = c("predicate").isNotNull() & ~c("predicate").isin("@graph", "@included") & c("subject").isNotNull() & ~c("dropped")
+    hole = ~c("deeper") & c("v").isNull() & ~c("me")
+    says = real & (c("o_").isNotNull() | (c("in_list") & hole & ~c("nested")))
+    tree = ~c("dropped") & (c("is_node") | (c("me") & list_me & ~free) | (c("leaf") & ~free) | (hole & ~free & ~c("in_list")))
+    child = F.when(~c("deeper"), None).when(is_obj, F.to_json("v")).when(c("arr"), F.concat(F.lit(F.when(c("in_list"), '{"@list":').otherwise('{"@set":')), F.to_json("v"), F.lit("}"))).otherwise(F.concat(F.lit('{"@id":'), F.to_json("v"), F.lit("}")))
+    kid_s = F.when(c("predicate").isin("@graph", "@included"), None).otherwise(c("subject"))
+    enter = F.when(c("term.scoped").isNotNull(), F.concat(F.lit("["), step(c("term.scoped"), c("term.scoped_base"), override=True), F.lit("]")))
+    kid = F.struct(
+        c("ctx_key").alias("ctx_key"), enter.alias("enter"), _no(c("map_kind") == "@index").alias("lone"), c("graph_").alias("g"), kid_s.alias("s"), c("predicate").alias("p"), c("swap").alias("rev"), c("how_").alias("how"), c("lst").alias("list"), c("at_pos").alias("pos"),
+        F.when(~c("part"), c("map_kind")).otherwise(c("mk_kind")).alias("mk_kind"), F.when(~c("part"), c("item_mk")).otherwise(c("mk")).alias("mk"), F.when(~c("part") & (c("map_kind") == "@index"), c("term.index")).alias("ip"),
+        _no(F.array_contains("kinds", "@graph") & ~c("part")).alias("graph"), c("inside").alias("up"), c("here").alias("at"), c("order").alias("ord"), child.alias("obj"),
     )
+    row = lambda s, p, o, kind, up, at, order, rev, named, idx_, lst, pos, json, err, says_, tree_, g_: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), up.alias("up"), at.alias("at"), order.alias("ord"), rev.alias("rev"), named.alias("named"), idx_.alias("idx"), lst.alias("list"), pos.alias("pos"), json.alias("json"), err.alias("error"), says_.alias("says"), tree_.alias("in_tree"), g_.alias("g"))
+    place = F.when(c("is_node") & c("wrapped"), F.concat("at", F.lit("g"))).when(c("is_node") | (c("me") & list_me), c("at"))
+    main = row(
+        F.when(c("swap"), c("o_")).otherwise(c("subject")), c("predicate"), F.when(c("swap"), c("subject")).otherwise(c("o_")), F.when(c("swap"), F.when(c("subject").startswith("_:"), "bnode").otherwise("iri")).otherwise(c("o_kind")),
+        c("inside"), place, c("order"), c("swap"), F.when(c("wrapped"), c("mk_kind").eqNullSafe("@id") & c("mk").isNotNull()).otherwise(c("named")) & c("is_node"), c("idx_"), c("lst"), F.when(c("o_").isNotNull(), c("at_pos")),
+        F.when(c("leaf"), F.when(c("names"), ref_text).otherwise(value_text)), error, says, tree, c("graph_"),
+    )
+    inner = row(none, F.lit("@graph"), c("node"), F.when(c("node").startswith("_:"), "bnode").otherwise("iri"), F.concat("at", F.lit("g")), c("at"), F.array(F.lit(0)), F.lit(False), c("named"), text_of(c("index_in")), none, F.lit(None).cast("int"), none, none, F.lit(False), F.lit(True), c("inner_g"))
+    n = n.withColumns({"next": F.when(c("deeper") & ~c("dropped") & error.isNull(), kid), "rows": F.when(c("is_node") & c("wrapped"), F.array(main, inner)).otherwise(F.array(main))})
+    out = n.select("doc_id", "base_url", "literal", F.when(c("literal"), c("datatype_")).alias("datatype"), F.when(c("literal"), c("lang_")).alias("language"), F.when(c("literal"), c("dir_")).alias("direction"), "next", F.posexplode("rows").alias("nth", "r"))
+    out = out.withColumn("next", F.when(c("nth") == 0, c("next")))
+    return out.select(
+        "doc_id", "base_url", c("r.g").alias("g"), "r.s", "r.p", "r.o", "r.o_kind", "datatype", "language", "direction", "r.idx", "r.list", "r.pos", "r.error", "r.says", "r.in_tree", "r.up", "r.at", "r.ord", "r.rev", "r.named", "r.json", "next",
+    ).filter("says or in_tree or error is not null or next is not null")
+
+
+def expand(docs: DataFrame, remote: DataFrame | None = None, base: str | None = None, max_depth: int | None = None, context: str | None = None, mode: str = "json-ld-1.1", safe: bool = False, chain: int = 50) -> Expanded:
+    """Statements, errors and tree of (doc_id, doc), doc being JSON text.
+
+    remote is (url, document), context a local context for all documents, mode
+    json-ld-1.1 or json-ld-1.0, chain the longest chain of remote contexts. A
+    document that isn't JSON, whose context is invalid, that has an invalid
+    value or nests deeper than max_depth, and with ``safe`` one that has a key
+    which means nothing, has an error row (doc_id, code) and no statements. A
+    null doc counts as one that isn't JSON. doc_id names documents: rows that
+    share one, or have none, are one document in several parts.
+    """
+    spark = docs.sparkSession
+    contexts = Contexts(spark, base, remote, mode, chain)
+    start = contexts.start
+    bad = []
+    if context is not None:
+        made = contexts.derive(spark.createDataFrame([(start,)], "parent string").select("parent", F.concat(F.lit("["), step(F.lit(context), base), F.lit("]")).alias("steps"))).first()
+        if made["error"]:
+            bad.append(docs.select("doc_id", F.lit(made["error"]).alias("code")))
+            docs = docs.limit(0)
+        start = made["ctx_key"] or start
+    parsed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.try_parse_json("doc").alias("v"))
+    bad.append(parsed.filter("v is null").select("doc_id", F.lit("loading document failed").alias("code")))
+    tops = parsed.filter("v is not null").select("doc_id", F.posexplode(items(F.col("v"))).alias("at", "v")).filter(members(F.col("v")).isNotNull())
     none = F.lit(None).cast("string")
-    typed = F.struct(c("child_s").alias("s"), F.lit("@type").alias("p"), c("extra").alias("o"), F.lit("iri").alias("o_kind"), none.alias("datatype"), none.alias("language"), none.alias("direction"), none.alias("list"), F.lit(None).cast("int").alias("pos"), none.alias("child"))
-    rows = F.when(c("extra").isNotNull(), F.array(main, typed)).otherwise(F.array(main))
-    out = n.select("doc_id", "ctx_key", "g", "idx", "error", "child_g", "child_s", c("path").alias("child_path"), F.explode(rows).alias("r"))
-    return out.select("doc_id", "ctx_key", "g", "r.s", "r.p", "r.o", "r.o_kind", "r.datatype", "r.language", "r.direction", "idx", "r.list", "r.pos", "error", "child_g", "child_s", "child_path", "r.child")
+    frontier = tops.select(
+        "doc_id", F.lit(start).alias("ctx_key"), none.alias("enter"), F.lit(False).alias("lone"), none.alias("g"), none.alias("s"), none.alias("p"), F.lit(False).alias("rev"), F.lit(None).cast(HOW).alias("how"), none.alias("list"), F.lit(None).cast("int").alias("pos"),
+        none.alias("mk_kind"), none.alias("mk"), none.alias("ip"), F.lit(False).alias("graph"), none.alias("up"), F.col("at").cast("string").alias("at"), F.array("at").alias("ord"), F.to_json("v").alias("obj"), F.lit(base).cast("string").alias("base_url"),
+    )
+    frontier = written(frontier, "objects")
+    tables: list[DataFrame] = []
+    depth = 0
+    while True:
+        n, local, nests = frontier.agg(F.count(F.lit(1)), F.max(F.contains("obj", F.lit('"@context"')) | F.col("enter").isNotNull()), F.max(F.contains("obj", F.lit('"@nest"')))).first()
+        if not n:
+            break
+        if max_depth is not None and depth >= max_depth:
+            bad.append(frontier.select("doc_id", F.lit("nesting too deep").alias("code")))
+            break
+        entered, wrong = _enter(frontier, contexts, bool(local))
+        bad.append(wrong)
+        judged = _judged(entered, contexts, bool(nests) or contexts.nests)
+        judged = judged.join(contexts.rows.select(F.col("ctx_key").alias("type_key"), F.col("terms").alias("type_terms"), F.col("vocab").alias("type_vocab")), "type_key") if contexts.scoped else judged.withColumns({"type_terms": F.col("terms"), "type_vocab": F.col("vocab")})
+        judged = judged.withColumn("inner_g", F.coalesce("graph_id", "g"))
+        level = written(_rows(_values(judged, contexts), safe), "level")
+        tables.append(level.drop("next", "base_url"))
+        frontier = level.filter("next is not null").select("doc_id", "next.*", "base_url")
+        depth += 1
+    rows = reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame([], LEVEL + ", says boolean, in_tree boolean")
+    bad.append(rows.filter("error is not null").select("doc_id", F.col("error").alias("code")))
+    errors = written(reduce(DataFrame.unionByName, bad).groupBy("doc_id").agg(F.min("code").alias("code")), "errors")
+    good = rows.join(errors.select(F.col("doc_id").alias("bad_id")), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return Expanded(good.filter("says").select(*STATEMENT), errors, good.filter("in_tree").select(*STATEMENT, *TREE))
