@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,10 +26,14 @@ from .common import table
 PAGES, STEPS, PENALTY = 500, 150, 1e-3
 OTHER, MAIN = 0, 1
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template title iframe object svg math canvas audio video textarea select".split())
+#: Elements whose content is no markup: it ends at their end tag or with the page.
+RAW = frozenset("script style noscript title iframe textarea xmp noembed noframes".split())
+#: Elements whose content is no text of the page, whatever markup it holds.
+HIDDEN = frozenset("template object svg canvas audio video select datalist".split())
+#: Start tags that end an open svg.
+LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Tags that end an open element of the same group.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
@@ -68,10 +73,23 @@ def kinds(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(sorted(out, key=lambda k: k in ("content", "article", "main", "section"), reverse=True)))
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], str, int]]:
-    """(tag, kinds of the ancestors from outside in, text, its characters in links) of the leaf blocks in order."""
-    out: list[tuple[str, tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = [("body", ())]
+#: What a block's ancestors are: their kinds, and the last two of them that tell most, from outside in.
+Path = tuple[frozenset[str], tuple[str, ...]]
+_ROOT: Path = (frozenset(), ())
+
+
+def below(path: Path, own: tuple[str, ...]) -> Path:
+    """The path of what lies in an element of these kinds. As large for a deep page as for a flat one."""
+    if not own:
+        return path
+    strong = [k for k in own if k not in ("list", "table", "section", "figure", "quote")]
+    return path[0].union(own), (*path[1], *strong)[-2:]
+
+
+def blocks(page: str) -> list[tuple[str, Path, str, int]]:
+    """(tag, path of the ancestors, text, its characters in links) of the leaf blocks in order."""
+    out: list[tuple[str, Path, str, int]] = []
+    stack: list[tuple[str, Path, bool]] = [("body", _ROOT, False)]
     parts: list[str] = []
     links = linked = 0
     at = 0
@@ -81,30 +99,42 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], str, int]]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                tag, path = stack[-1]
+                tag, path, _ = next(e for e in reversed(stack) if not e[2])
                 out.append((tag, path, text, linked))
             parts.clear()
         linked = 0
 
-    length, skip = len(page), None
+    length = len(page)
     while at < length:
         m = _TAG.search(page, at)
-        text = page[at : m.start() if m else length]
-        if text:
-            parts.append(text)
-            if links:
-                linked += len(text)
+        if not stack[-1][2]:
+            text = page[at : m.start() if m else length]
+            if text:
+                parts.append(text)
+                if links:
+                    linked += len(text)
         if not m:
             break
         at = m.end()
         if m.group(2) is None:  # a comment or declaration
             continue
         end, tag = m.group(1), m.group(2).lower()
-        if tag in SKIPPED and not end:
-            skip = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if not end and tag in LEAVES_SVG and any(e[0] == "svg" for e in stack):
+            del stack[next(i for i, e in enumerate(stack) if e[0] == "svg") :]
+        if tag in RAW and not end:
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if tag not in INLINE:
                 flush()
-            at = skip.end() if skip else length
+            at = close.end() if close else length
+        elif tag in HIDDEN:
+            if not end:
+                if not (tag == "svg" and m.group(3).rstrip(">").endswith("/")):
+                    stack.append((tag, stack[-1][1], True))
+            elif any(e[0] == tag for e in stack):
+                del stack[len(stack) - 1 - next(i for i, e in enumerate(reversed(stack)) if e[0] == tag) :]
+        elif stack[-1][2] and not end:
+            if tag not in VOID and tag not in INLINE and not m.group(3).rstrip(">").endswith("/"):
+                stack.append((tag, stack[-1][1], True))
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
@@ -130,16 +160,16 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], str, int]]:
                 if stack[i][0] in closed:
                     del stack[i:]
                     break
-            stack.append((tag, stack[-1][1] + kinds(tag, m.group(3))))
+            stack.append((tag, below(stack[-1][1], kinds(tag, m.group(3))), False))
     flush()
     return out
 
 
-def context_features(tag: str, path: tuple[str, ...]) -> list[str]:
-    strong = [k for k in path if k not in ("list", "table", "section", "figure", "quote")]
+def context_features(tag: str, path: Path) -> list[str]:
+    every, strong = path
     return [
-        "any", f"tag {tag}", *(f"in {k}" for k in sorted(set(path))), f"near {strong[-1] if strong else 'none'}",
-        f"pair {'>'.join(strong[-2:]) if len(strong) > 1 else 'none'}", f"tag {tag} near {strong[-1] if strong else 'none'}",
+        "any", f"tag {tag}", *(f"in {k}" for k in sorted(every)), f"near {strong[-1] if strong else 'none'}",
+        f"pair {'>'.join(strong) if len(strong) > 1 else 'none'}", f"tag {tag} near {strong[-1] if strong else 'none'}",
     ]
 
 
@@ -164,7 +194,7 @@ class Model:
         found = [self.weights[f] for f in features if f in self.weights]
         return sum(f[0] for f in found), sum(f[1] for f in found)
 
-    def decode(self, page: list[tuple[str, tuple[str, ...], str, int]]) -> list[int]:
+    def decode(self, page: list[tuple[str, Path, str, int]]) -> list[int]:
         """The most likely labels of a page's blocks."""
         (t00, t01), (t10, t11) = self.transitions
         back: list[tuple[int, int]] = []
@@ -343,6 +373,12 @@ def labelled_pages(count: int = PAGES, seed: int = 7) -> list[tuple[list, list[i
     return out
 
 
+@lru_cache(1)
+def default_model() -> Model:
+    """The model of PAGES template pages, trained once a process."""
+    return train(labelled_pages())
+
+
 def main_text(page: str | None, model: Model) -> str:
     found = blocks(page or "")
     return " ".join(text for (*_, text, _), label in zip(found, model.decode(found)) if label == MAIN)
@@ -353,12 +389,13 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     A null or empty page, and one without main blocks, has an empty text.
     Comments, scripts, styles and other elements that hold no text are
-    skipped; character references are decoded; white space in a block becomes
+    skipped; a self-closed svg is empty and an open one ends where HTML ends it;
+    memory grows with a page's length, not with its depth; character references are decoded; white space in a block becomes
     one space; blocks are joined in page order by one space.
     """
     from pyspark.sql import types as T
 
-    model = train(labelled_pages()) if model is None else model
+    model = default_model() if model is None else model
     keep = [c for c in pages.columns if c != "html"]
     html_at = pages.columns.index("html")
 

@@ -305,6 +305,44 @@ def test_html_model_on_unseen_templates():
     assert wrong <= 0.01 * total
 
 
+#: Pages written by hand, with layouts that no template has, and what is their article.
+BY_HAND = [
+    ("<HTML><BODY BGCOLOR=white><TABLE WIDTH=100%><TR><TD><A HREF=/>Home</A> <A HREF=/a>News</A> <A HREF=/b>Sport</A></TD></TR><TR><TD><H1>Harbour bridge reopens</H1><P>The bridge over the old harbour opened again on Monday after two years of repairs.<P>Ferries keep running until the end of the month, the council said.</TD></TR></TABLE></BODY></HTML>",
+     "Harbour bridge reopens The bridge over the old harbour opened again on Monday after two years of repairs. Ferries keep running until the end of the month, the council said."),
+    ("<body><nav><a href=/x>Start</a><a href=/y>About</a></nav><article><h1>Snow</h1><p>It snowed <svg width=1><text>icon</text></svg>all night.<p>Formula <math><mi>x</mi></math> holds.<svg viewBox='0 0'/><p>Roads stayed shut until noon on Tuesday.<svg><path><p>Trains ran late, too, all day long.</article><footer>&copy; 2020 Example</footer>",
+     "Snow It snowed all night. Formula x holds. Roads stayed shut until noon on Tuesday. Trains ran late, too, all day long."),
+    ("<main><div><div><p>A long paragraph without any names around it tells the story of the town.</p><div>And a second one goes on with it, in a plain block &amp; with a reference.</div></div></div></main><div class=comments><p>First! Great story.</p></div>",
+     "A long paragraph without any names around it tells the story of the town. And a second one goes on with it, in a plain block & with a reference."),
+]
+
+
+@pytest.mark.parametrize("page, want", BY_HAND)
+def test_html_pages_labelled_by_hand(page, want):
+    from tessera.llm import html_text as ht
+
+    assert ht.main_text(page, ht.default_model()) == want
+
+
+def test_html_depth_and_viterbi():
+    """A very deep page in bounded memory; decoding against enumeration of all label sequences."""
+    import itertools
+    import tracemalloc
+
+    from tessera.llm import html_text as ht
+
+    tracemalloc.start()
+    assert len(ht.blocks("<nav>" * 10_000 + "x")) == 1
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    model = ht.train(ht.labelled_pages(60))
+    for page, _ in ht.labelled_pages(30, seed=5):
+        page = page[:8]
+        own = [[a + b for a, b in zip(model._sum(ht.context_features(t, p)), model._sum(ht.text_features(x, n)))] for t, p, x, n in page]
+        score = lambda y: model.first[y[0]] + sum(o[k] for o, k in zip(own, y)) + sum(model.transitions[a][b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+        best = max(map(score, itertools.product((0, 1), repeat=len(page))))
+        assert abs(score(model.decode(page)) - best) < 1e-9
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, data, name):
     import duckdb
