@@ -1,19 +1,25 @@
 """WARC archives as a Python data source, and revisit records for equal payloads.
 
-Writing: every task writes one archive of gzip members, a record each; the
-commit lists the archives of the tasks that succeeded in a manifest, so files
-of failed attempts are never read. A member carries its own and its content's
-length in the gzip "sl" field, which lets a reader pass it by unread.
-
-Reading: the manifest's files are dealt to partitions by size. Filters on the
-record type and on header columns are pushed down; a record's headers are
-inflated first, and the rest of an unwanted record is skipped.
+Writing: every task writes archives of gzip members, a record each; a commit
+lists the archives of the tasks that succeeded in a manifest of its own, so
+files of failed attempts are never read and appends add up. A member carries
+its own and its content's length in the gzip "sl" field, which lets a reader
+pass it by unread.
+
+Reading: the files of all manifests, or in a folder without one all .warc and
+.warc.gz files, are dealt to partitions by size. Filters on the record type and
+on header columns are pushed down; a record's headers are read first, and the
+rest of an unwanted record is passed by: unread where a member has an "sl"
+field or the file is plain, else inflated and thrown away in pieces. Records of
+other writers may lack a digest (it is computed if the payload is read) or a
+page id (null).
 """
 from __future__ import annotations
 
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import shared_path, table, written
 
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 #: Bytes of archives that a read task is given, as far as files allow, and that a write task puts in one file.
 PART_BYTES, FILE_BYTES = 64 << 20, 256 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -33,6 +39,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "warc_type string, page_id long, refers_to long, target_uri string, record_id string, payload_digest string, payload_bytes long, payload binary"
 #: Header of each column that filters may name.
 HEADERS = {"warc_type": "WARC-Type", "page_id": "X-Page-ID", "refers_to": "X-Refers-To-Page-ID", "target_uri": "WARC-Target-URI", "record_id": "WARC-Record-ID", "payload_digest": "WARC-Payload-Digest"}
+_CASE = {k.lower(): k for k in (*HEADERS.values(), "Content-Length", "Content-Type", "WARC-Date")}
 _BATCH, _BATCH_BYTES = 1000, 16 << 20
 
 
@@ -73,7 +80,72 @@ def record(page_id, url, payload: bytes, refers_to, of: str) -> bytes:
 
 
 def _headers(text: bytes) -> dict[str, str]:
-    return dict(line.split(": ", 1) for line in text.decode().split("\r\n")[1:] if ": " in line)
+    """Header lines by name as the known ones are written; continued lines are joined, names are compared without case."""
+    lines = re.sub(r"\r?\n[ \t]+", " ", text.decode("utf-8", "replace")).splitlines()[1:]
+    return {_CASE.get(k.strip().lower(), k.strip()): v.strip() for k, c, v in (line.partition(":") for line in lines) if c}
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text is not None and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+
+
+class _Source:
+    """Bytes of one archive from a record's start on, inflated where the file is gzip."""
+
+    def __init__(self, file, at: int, gzip: bool, size: int):
+        self.file, self.at, self.gzip, self.size = file, at, gzip, size
+        self.held, self.inflate, self.jump = b"", None, None
+        file.seek(at)
+        if gzip:
+            fixed = file.read(24)
+            if fixed[:4] == b"\x1f\x8b\x08\x04" and fixed[12:14] == b"sl":
+                self.jump = at + struct.unpack("<I", fixed[16:20])[0]
+            file.seek(at)
+            self.inflate = zlib.decompressobj(31)
+
+    def read(self, n: int) -> bytes:
+        """n bytes more, or what is left."""
+        parts, size = [self.held[:n]], min(n, len(self.held))
+        self.held = self.held[n:]
+        while size < n:
+            if self.gzip and self.inflate.eof:
+                break
+            piece = self.file.read(min(n - size, 1 << 20) if not self.gzip else 1 << 14)
+            if not piece:
+                break
+            piece = self.inflate.decompress(piece) if self.gzip else piece
+            parts.append(piece[: n - size])
+            self.held += piece[n - size :]
+            size += len(parts[-1])
+        return b"".join(parts)
+
+    def until_blank(self) -> bytes | None:
+        """Bytes up to an empty line, which is passed; null where there is none."""
+        out = b""
+        while True:
+            found = re.search(rb"\r?\n\r?\n", out)
+            if found:
+                self.held = out[found.end() :] + self.held
+                return out[: found.start()]
+            piece = self.read(1024)
+            if not piece:
+                return None
+            out += piece
+
+    def next(self, left: int) -> int:
+        """Where the next record begins, ``left`` bytes of this one being unread."""
+        if self.jump is not None:
+            return self.jump
+        if not self.gzip:
+            return self.file.tell() - len(self.held) + left
+        while not self.inflate.eof:  # an unwanted member, in pieces
+            piece = self.file.read(1 << 16)
+            if not piece:
+                return self.size
+            while piece and not self.inflate.eof:
+                self.inflate.decompress(piece, 1 << 20)
+                piece = self.inflate.unconsumed_tail
+        return self.file.tell() - len(self.inflate.unused_data)
 
 
 def _open(path: str):
@@ -120,7 +192,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         store, root = _open(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
+        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(sorted(f for m in messages if m for f in m.files)).encode())
 
     def abort(self, messages):
@@ -153,9 +225,19 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
+        from pyarrow import fs
+
         store, root = _open(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-            files = json.loads(f.read())
+        found = [store.get_file_info(root)]
+        if found[0].type == fs.FileType.Directory:
+            found = [f for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File]
+        manifests = sorted(f.path for f in found if f.base_name.startswith(MANIFEST))
+        files = []
+        for path in manifests:
+            with store.open_input_stream(path, compression=None) as f:
+                files += [(f"{root}/{name}", size) for name, size in json.loads(f.read())]
+        if not manifests:
+            files = sorted((f.path, f.size) for f in found if f.path.endswith((".warc", ".warc.gz")))
         parts: list[list] = []
         room = 0
         for name, size in files:
@@ -183,57 +265,77 @@ class WarcReader(DataSourceReader):
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], [n for n, _ in fields])
 
-        store, root = _open(self.path)
+        store, _ = _open(self.path)
         rows, held = [], 0
         for name in partition.files:
-            with store.open_input_file(f"{root}/{name}") as file:
+            with store.open_input_file(name) as file:
                 size, at = file.size(), 0
+                gzip = file.read(2) == b"\x1f\x8b"
                 while at < size:
-                    file.seek(at)
-                    fixed = file.read(24)
-                    if fixed[:4] != b"\x1f\x8b\x08\x04" or fixed[12:14] != b"sl":
-                        raise ValueError(f"{name}, byte {at}: no gzip member with an sl field")
-                    length = struct.unpack("<I", fixed[16:20])[0]
-                    inflate = zlib.decompressobj(-15)
-                    head, taken = b"", 24
-                    while b"\r\n\r\n" not in head:
-                        piece = file.read(min(1024, length - 8 - taken))
-                        if not piece:
-                            raise ValueError(f"{name}, byte {at}: a record without end of headers")
-                        taken += len(piece)
-                        head += inflate.decompress(piece)
-                    headers = _headers(head[: head.index(b"\r\n\r\n")])
+                    source = _Source(file, at, gzip, size)
+                    head = source.until_blank()
+                    while head is not None and not head.strip():  # empty lines between records
+                        head = source.until_blank()
+                    if head is None:
+                        if gzip and source.inflate.eof and not source.held.strip():
+                            at = source.next(0)  # a member without a record
+                            continue
+                        if not gzip and not source.held.strip():
+                            break
+                        raise ValueError(f"{name}, byte {at}: a record without end of headers")
+                    headers = _headers(head.lstrip())
+                    length = _number(headers.get("Content-Length"))
+                    if length is None or "WARC-Type" not in headers:
+                        raise ValueError(f"{name}, byte {at}: no record of a known length")
+                    left = length
                     if self._keeps(headers):
-                        block = head[head.index(b"\r\n\r\n") + 4 :]
-                        if self.payload != "skip":
-                            block += inflate.decompress(file.read(length - 8 - taken)) + inflate.flush()
-                        else:
-                            while b"\r\n\r\n" not in block:
-                                piece = file.read(min(1024, length - 8 - taken))
-                                taken += len(piece)
-                                block += inflate.decompress(piece)
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        of = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                        stated = int(_headers(http)["Content-Length"])
-                        if self.payload == "skip" or headers["WARC-Type"] == "revisit":
-                            payload = None
-                        else:
-                            payload = payload[: int(headers["Content-Length"]) - len(http) - 4]
-                            if len(payload) != stated or digest(payload) != of:
-                                raise ValueError(f"{name}, byte {at}: the payload doesn't match its digest")
-                            if self.payload == "check":
-                                payload = None
-                        refers = headers.get("X-Refers-To-Page-ID")
-                        page = headers.get("X-Page-ID")
-                        rows.append((headers["WARC-Type"], page and int(page), refers and int(refers), headers.get("WARC-Target-URI"), headers["WARC-Record-ID"], of, stated, payload))
-                        held += len(payload or b"")
+                        row, left = self._row(headers, source, length, f"{name}, byte {at}")
+                        rows.append(row)
+                        held += len(row[-1] or b"")
                         if len(rows) >= _BATCH or held >= _BATCH_BYTES:
                             yield batch(rows)
                             rows, held = [], 0
-                    at += length
+                    at = source.next(left)
         if rows:
             yield batch(rows)
 
+    def _row(self, headers: dict[str, str], source: _Source, length: int, where: str) -> tuple[tuple, int]:
+        """A record's row, and how many bytes of its block are unread."""
+        http = headers.get("Content-Type", "").startswith("application/http")
+        wanted = self.payload != "skip" and headers["WARC-Type"] != "revisit"
+        stated, payload, left = None if http else length, None, length
+        if wanted:
+            payload, left = source.read(length), 0
+            if len(payload) < length:
+                raise ValueError(f"{where}: the record ends early")
+            if http:
+                top = re.search(rb"\r?\n\r?\n", payload)
+                head, payload = (payload[: top.start()], payload[top.end() :]) if top else (payload, b"")
+                stated = len(payload)
+        elif http:
+            head = b""
+            while left and not re.search(rb"\r?\n\r?\n", head):
+                piece = source.read(min(1024, left))
+                if not piece:
+                    break
+                head, left = head + piece, left - len(piece)
+            top = re.search(rb"\r?\n\r?\n", head)
+            stated = _number(_headers(head[: top.start()] if top else head).get("Content-Length"))
+            if stated is None and headers["WARC-Type"] != "revisit":
+                stated = length - (top.end() if top else length)
+        of = headers.get("WARC-Payload-Digest")
+        kind, _, of = of.rpartition(":") if of else ("", "", None)
+        if payload is not None:
+            own = digest(payload)
+            if of is None:
+                of = own
+            elif kind == "sha1" and len(of) == 32 and of.upper() != own:
+                raise ValueError(f"{where}: the payload doesn't match its digest")
+            if self.payload == "check":
+                payload = None
+        row = (headers["WARC-Type"], _number(headers.get("X-Page-ID")), _number(headers.get("X-Refers-To-Page-ID")), headers.get("WARC-Target-URI"), headers.get("WARC-Record-ID"), of, stated, payload)
+        return row, left
+
 
 class WarcSource(DataSource):
     """Format "warc". Options: path; payload = bytes (default), check (decode and compare with the digest, then drop) or skip."""

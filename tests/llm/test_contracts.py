@@ -179,6 +179,35 @@ def test_warc_round_trip_and_pushdown(spark, data, pages_rows):
     assert [r["page_id"] for r in one.collect()] == [4]
 
 
+def test_foreign_archives_and_appends(spark, tmp_path):
+    """Archives by hand: plain, one gzip stream of members without lengths, headers missing, continued or in other case; two appends."""
+    import gzip
+
+    from pyspark.sql import functions as F
+    from tessera.llm import warc
+    from tessera.llm.common import shared_path
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\ncontent-length: 5\r\n\r\nabcde\r\n\r\n"
+    one = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a/\r\n b\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "plain.warc").write_bytes(info + one + info)
+    (tmp_path / "w" / "members.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (info, one * 1, one)))
+    (tmp_path / "w" / "note.txt").write_text("no archive")
+    path = f"file://{tmp_path}/w"
+    for payload in ("bytes", "skip"):
+        got = warc.read(spark, path, payload).collect()
+        assert Counter(r["warc_type"] for r in got) == {"warcinfo": 3, "response": 3}
+        page = [r for r in got if r["warc_type"] == "response"]
+        assert {(r["page_id"], r["payload_bytes"], r["target_uri"]) for r in page} == {(None, 9, "http://a/ b")}
+        assert {r["payload"] for r in page} == {b"<p>hi</p>" if payload == "bytes" else None}
+    assert {r["payload_digest"] for r in warc.read(spark, path).filter("warc_type = 'response'").collect()} == {base64.b32encode(hashlib.sha1(b"<p>hi</p>").digest()).decode()}
+    twice = shared_path(spark, "twice")
+    for k in (1, 2):
+        warc.archive(spark.createDataFrame([(k, "http://u", f"<p>{k}")], "page_id long, url string, html string").withColumn("refers_to", F.lit(None).cast("long")), twice)
+    assert sorted((r["page_id"], r["payload"]) for r in warc.read(spark, twice).collect()) == [(1, b"<p>1"), (2, b"<p>2")]
+
+
 def targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
