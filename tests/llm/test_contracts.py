@@ -100,6 +100,8 @@ def test_op4(spark, data, docs_rows):
             assert 0 <= by[d]["near_edited"] <= 1
             grams = lambda x: {tuple(words(x)[i : i + 5]) for i in range(len(words(x)) - 4)}
             a, b = grams(t), grams(edited)
+            if a and b and len(a) <= 128 and len(b) <= 128:
+                assert by[d]["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and by[d]["contained_edited"] == pytest.approx(len(a & b) / len(a))
             if len(a | b) > 100:
                 assert abs(by[d]["near_edited"] - len(a & b) / len(a | b)) < 0.25
     assert all(len(p) == 1 for p in prints.values())
@@ -116,6 +118,33 @@ def test_sketches_merge_and_contain(spark):
     assert r["c"] == 1 and r["m"] and 0.2 < r["j"] < 0.3
 
 
+def test_sketches_by_recomputation(spark):
+    """Every sketch, likeness and containment from the hashes of a text's shingles."""
+    from pyspark.sql import functions as F
+    from tessera.llm import fingerprints as fp
+
+    texts = ["", "one", "a b c d", " ".join(f"w{i % 40}" for i in range(300)), " ".join(f"x{i}" for i in range(132)), " ".join(f"x{i}" for i in range(133)), " ".join(f"x{i}" for i in range(3000)), " ".join(f"x{i % 500}" for i in range(4000)), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    grams = [[(t or "").split()[i : i + 5] for i in range(max(1, len((t or "").split()) - 4))] if (t or "").split() else [] for t in texts]
+    rows = spark.createDataFrame([(i, g) for i, gs in enumerate(grams) for g in gs], "i int, g array<string>")
+    hashed = defaultdict(set)
+    for r in rows.select("i", "g", F.when(F.size("g") == 5, F.xxhash64(*[F.get("g", k) for k in range(5)])).otherwise(F.xxhash64("g")).alias("h")).collect():
+        hashed[r["i"]].add(r["h"])
+    limit = -(1 << 63) + (1 << 64) // 8
+    low = lambda s: {h for h in s if h < limit}
+    got = {r["i"]: r["s"] for r in fp.with_sketch(df, "t", "s").collect()}
+    for i in range(len(texts)):
+        assert got[i] == sorted(hashed[i] if len(hashed[i]) <= 128 else low(hashed[i])), i
+    both = fp.with_sketch(df, "t", "a").select("i", "a").crossJoin(fp.with_sketch(df, "t", "b").select(F.col("i").alias("j"), "b"))
+    for r in both.select("i", "j", fp.likeness(F.col("a"), F.col("b")).alias("l"), fp.containment(F.col("a"), F.col("b")).alias("c")).collect():
+        a, b = hashed[r["i"]], hashed[r["j"]]
+        if not (len(a) <= 128 and len(b) <= 128):
+            a, b = low(a), low(b)
+        same = hashed[r["i"]] == hashed[r["j"]]
+        assert r["l"] == pytest.approx(1 if same else len(a & b) / len(a | b) if a | b else 0), (r["i"], r["j"])
+        assert r["c"] == pytest.approx(1 if same or not hashed[r["i"]] else len(a & b) / len(a) if a else 0)
+
+
 def test_op5(spark, data, docs_rows):
     want = Counter()
     for d, t, *_ in docs_rows:
