@@ -48,8 +48,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.withColumn("target", F.coalesce(F.least("most", F.col("level") * F.col("weight")), F.col("most")))
 
 
-def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, positions for every row of docs.
+def mix(docs: DataFrame, whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, positions, and the columns ``carry``, for every row of docs.
 
     docs needs doc_id, text and source. taken counts the words of the document
     that the mix takes, repeats counted; the source's stream is cut at its
@@ -60,14 +60,14 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     size = F.size(words(F.col("text"))).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key_")).withColumn("bucket", F.substring("key_", 1, 3))
+    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key_"), *carry).withColumn("bucket", F.substring("key_", 1, 3))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     w = Window.partitionBy("source").orderBy("bucket")
     buckets = buckets.withColumn("before", F.sum("bucket_size").over(w) - F.col("bucket_size"))
     sizes = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("size_")))
     sizes = sizes.select(F.col("source").alias("source_"), F.col("size_").alias("source_size"), "target", "rank")
     known = buckets.join(sizes, F.col("source").eqNullSafe(F.col("source_"))).select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), "before", "source_size", "target", "rank")
-    inside = Window.partitionBy("source", "bucket").orderBy("key_", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key_", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
     rows = rows.withColumn("offset", F.col("offset") + F.col("before"))
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
         return 2 * x / (a + F.sqrt(F.greatest(F.lit(0.0), a * a + 2 * b * x)))
 
     each = F.array(*[F.when(x > 0, needed(F.col("offset") + F.col("source_size") * e)) for e, x in enumerate(left)])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.filter(each, lambda p: p.isNotNull()).alias("positions"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.filter(each, lambda p: p.isNotNull()).alias("positions"), *carry)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
