@@ -116,7 +116,12 @@ class Contexts:
         parsed = F.from_json("state", f"struct<base:string,vocab:string,language:string,direction:string,prev:string,terms:map<string,{TERM}>>")
         rows = states.select("ctx_key", "state", parsed.alias("s")).select("ctx_key", "state", "s.base", "s.vocab", "s.language", "s.direction", "s.prev", "s.terms")
         aliases = F.transform_values(F.map_filter("terms", lambda k, t: t["iri"].isin(sorted(KEYWORDS))), lambda k, t: t["iri"])
-        self.rows = written(rows.withColumn("aliases", aliases), "contexts")
+        first = getattr(self, "rows", None) is None
+        self.rows = rows.withColumn("aliases", aliases)
+        if first:  # one row without terms
+            self.reverts = self.scoped = self.nests = False
+            return
+        self.rows = written(self.rows, "contexts")
         scoped = F.exists(F.map_values("terms"), lambda t: t["scoped"].isNotNull())
         nests = F.array_contains(F.map_values("aliases"), "@nest")
         known = self.rows.agg(F.count("prev") > 0, F.max(scoped), F.max(nests)).first()

@@ -82,11 +82,46 @@ def _of(entries: str, keyword: str) -> Column:
 
 
 def _roles(df: DataFrame) -> DataFrame:
-    """df with its obj as entries (key, value, role); @context is left out."""
-    own = F.transform(_entries(members(F.parse_json("obj"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _role(e["key"]).alias("role")))
+    """df with its obj, or what was made of it in ``extra``, as entries (key, value, role); @context is left out."""
+    raw = _entries(members(F.parse_json("obj")))
+    if "extra" in df.columns:
+        raw = F.coalesce(F.transform(F.from_json("extra", _ENTRY), lambda x: F.struct(x["key"].alias("key"), F.parse_json(x["value"]).alias("value"))), raw)
+    own = F.transform(raw, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _role(e["key"]).alias("role")))
     return df.withColumn("entries", F.filter(own, lambda e: ~e["role"].eqNullSafe(F.lit("@context"))))
 
 
+class _Steps:
+    """Takes the calls that are made of a DataFrame and repeats them on others: a level's expressions are built once."""
+
+    def __init__(self):
+        self.columns, self.calls = ["extra"], []
+
+    def __getattr__(self, name):
+        def call(*args, **kwargs):
+            self.calls.append((name, args, kwargs))
+            return self
+
+        return call
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        for name, args, kwargs in self.calls:
+            df = getattr(df, name)(*args, **kwargs)
+        return df
+
+
+_LEVELS: dict[tuple, _Steps] = {}
+
+
+def _level(e: DataFrame, safe: bool) -> DataFrame:
+    """What a level's objects, joined with their contexts, come to."""
+    key = (id(e.sparkSession.sparkContext), safe)
+    if key not in _LEVELS:
+        steps = _Steps()
+        _rows(_values(_judged(steps)), safe)
+        _LEVELS[key] = steps
+    return _LEVELS[key](e)
+
+
 def _enter(frontier: DataFrame, contexts: Contexts, local: bool) -> tuple[DataFrame, DataFrame]:
     """The frontier with every object's active context as ctx_key, the one that its types are read in as type_key, and ``fail``."""
     f = frontier.withColumn("fail", F.lit(None).cast("string"))
@@ -106,7 +141,7 @@ def _enter(frontier: DataFrame, contexts: Contexts, local: bool) -> tuple[DataFr
         own = F.try_variant_get(F.parse_json("obj"), "$['@context']", "variant")
         # The context of an object comes from its document, whose address is that of relative URLs.
         both = F.concat_ws(",", F.expr("substring(enter, 2, length(enter) - 2)"), F.when(own.isNotNull(), step(F.to_json(own), F.col("base_url"))))
-        f = written(apply(f, F.when(both != "", F.concat(F.lit("["), both, F.lit("]")))), "entered")
+        f = apply(f, F.when(both != "", F.concat(F.lit("["), both, F.lit("]"))))
     f = f.withColumn("type_key", F.col("ctx_key"))
     if contexts.scoped:
         f = _roles(f.join(contexts.rows.select("ctx_key", "aliases", "terms"), "ctx_key"))
@@ -114,31 +149,34 @@ def _enter(frontier: DataFrame, contexts: Contexts, local: bool) -> tuple[DataFr
         types = F.array_sort(F.array_distinct(F.concat(types, F.when(F.col("mk_kind") == "@type", F.array("mk")).otherwise(F.array().cast("array<string>")))))
         each = F.filter(F.transform(types, lambda t: F.when(F.element_at("terms", t)["scoped"].isNotNull(), step(F.element_at("terms", t)["scoped"], F.element_at("terms", t)["scoped_base"], propagate=False))), lambda x: x.isNotNull())
         f = f.withColumn("each", each).drop("aliases", "terms", "entries")
-        f = written(apply(f, F.when(F.size("each") > 0, F.concat(F.lit("["), F.array_join("each", ","), F.lit("]")))).drop("each"), "entered")
+        f = apply(f, F.when(F.size("each") > 0, F.concat(F.lit("["), F.array_join("each", ","), F.lit("]")))).drop("each")
     bad = f.filter("fail is not null").select("doc_id", F.col("fail").alias("code"))
     return f.filter("fail is null").drop("fail", "enter", "lone"), bad
 
 
+_ENTRY = "array<struct<key:string,value:string>>"
+
+
 def _unnested(e: DataFrame, contexts: Contexts) -> DataFrame:
-    """Entries under @nest, at any depth, as the object's own."""
-    held = lambda x: F.when(x["role"] == "@nest", F.flatten(F.transform(items(x["value"]), lambda v: F.coalesce(_entries(members(v)), F.array().cast("array<struct<key:string,value:variant>>"))))).otherwise(F.array(F.struct(x["key"].alias("key"), x["value"].alias("value"))))
+    """e with ``extra``: the entries of objects, those under @nest at any depth among their own (JSON text); and ``bad_nest``."""
+    none = F.array().cast("array<struct<key:string,value:variant>>")
+    held = lambda x: F.when(x["role"] == "@nest", F.flatten(F.transform(items(x["value"]), lambda v: F.coalesce(_entries(members(v)), none)))).otherwise(F.array(F.struct(x["key"].alias("key"), x["value"].alias("value"))))
     wrong = F.exists("entries", lambda x: (x["role"] == "@nest") & F.exists(items(x["value"]), lambda v: members(v).isNull()))
-    role = lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), _role(x["key"]).alias("role"))
-    as_text = lambda c: F.to_json(F.transform(c, lambda x: F.struct(x["key"].alias("key"), F.to_json(x["value"]).alias("value"))))
-    back = lambda c: F.transform(F.from_json(c, "array<struct<key:string,value:string>>"), lambda x: role({"key": x["key"], "value": F.parse_json(x["value"])}))
-    e = e.withColumn("bad_nest", F.lit(False))
+    out = F.to_json(F.transform(F.flatten(F.transform("entries", held)), lambda x: F.struct(x["key"].alias("key"), F.to_json(x["value"]).alias("value"))))
+    columns = [c for c in e.columns]
+    e = e.withColumns({"extra": F.lit(None).cast("string"), "bad_nest": F.lit(False)})
     while True:
-        e = e.withColumn("bad_nest", F.col("bad_nest") | _no(wrong)).withColumn("entries", as_text(F.flatten(F.transform("entries", held))))
-        e = written(e.drop("aliases"), "unnested").join(contexts.rows.select("ctx_key", "aliases"), "ctx_key").withColumn("entries", back("entries"))
-        if e.filter(_has("entries", "@nest") & ~F.col("bad_nest")).isEmpty():
-            return e
+        e = _roles(e.join(contexts.rows.select("ctx_key", "aliases"), "ctx_key")).withColumn("more", _has("entries", "@nest"))
+        e = e.withColumns({"bad_nest": F.col("bad_nest") | _no(wrong), "extra": out})
+        e = written(e.select(*columns, "extra", "bad_nest", "more"), "unnested")
+        if e.filter("more and not bad_nest").isEmpty():
+            return e.drop("more")
 
 
-def _judged(e: DataFrame, contexts: Contexts, nests: bool) -> DataFrame:
+def _judged(e: DataFrame) -> DataFrame:
     """Objects with their kind (value, list, set, node), their name, and what is wrong with them."""
     c = F.col
-    e = _roles(e.join(contexts.rows.select("ctx_key", "aliases"), "ctx_key"))
-    e = _unnested(e, contexts) if nests else e.withColumn("bad_nest", F.lit(False))
+    e = _roles(e)
     top = c("p").isNull()
     only_graph = top & _has("entries", "@graph") & (F.size("entries") == 1)
     e = e.withColumn("kind", F.when(_has("entries", "@value"), "value").when(_has("entries", "@list"), "list").when(_has("entries", "@set") | only_graph, "set").when(_has("entries", "@language") & (F.size("entries") == 1), "none").otherwise("node"))
@@ -146,7 +184,6 @@ def _judged(e: DataFrame, contexts: Contexts, nests: bool) -> DataFrame:
         "content": F.when(only_graph, _of("entries", "@graph")).when(c("kind") == "list", _of("entries", "@list")).when(c("kind") == "set", _of("entries", "@set")).when(c("kind") == "value", _of("entries", "@value")),
         "id_in": _of("entries", "@id"), "type_in": _of("entries", "@type"), "lang_in": _of("entries", "@language"), "dir_in": _of("entries", "@direction"), "index_in": _of("entries", "@index"), "roles": F.transform("entries", lambda x: x["role"]),
     })
-    e = e.join(contexts.rows.select("ctx_key", "base", "vocab", F.col("language").alias("own_language"), F.col("direction").alias("own_direction"), "terms"), "ctx_key")
     id_text = text_of(c("id_in"))
     raw = F.coalesce(id_text, F.when((c("mk_kind") == "@id") & ~c("graph"), c("mk")))
     e = e.withColumns({"raw": raw, "index_": F.coalesce(F.when((c("mk_kind") == "@index") & c("ip").isNull() & ~c("graph"), c("mk")), text_of(c("index_in")))})
@@ -178,10 +215,10 @@ def _judged(e: DataFrame, contexts: Contexts, nests: bool) -> DataFrame:
         .when((c("p") == "@included") & ~c("kind").isin("node", "set"), "invalid @included value")
         .when(c("rev") & c("kind").isin("value", "list") & ~free, "invalid reverse property value")
     )
-    return e.withColumn("error", error)
+    return e.withColumns({"error": error, "inner_g": F.coalesce("graph_id", "g")})
 
 
-def _values(e: DataFrame, contexts: Contexts) -> DataFrame:
+def _values(e: DataFrame) -> DataFrame:
     """One row for each object itself (role "self") and for each value under its keys, with what its key says of it."""
     c = F.col
     row = lambda key, value, rev, role: F.struct(key.alias("key"), value.alias("value"), F.lit(rev).alias("under"), role.alias("role"))
@@ -302,19 +339,24 @@ def _rows(n: DataFrame, safe: bool) -> DataFrame:
         _no(F.array_contains("kinds", "@graph") & ~c("part")).alias("graph"), c("inside").alias("up"), c("here").alias("at"), c("order").alias("ord"), child.alias("obj"),
     )
     row = lambda s, p, o, kind, up, at, order, rev, named, idx_, lst, pos, json, err, says_, tree_, g_: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), up.alias("up"), at.alias("at"), order.alias("ord"), rev.alias("rev"), named.alias("named"), idx_.alias("idx"), lst.alias("list"), pos.alias("pos"), json.alias("json"), err.alias("error"), says_.alias("says"), tree_.alias("in_tree"), g_.alias("g"))
-    place = F.when(c("is_node") & c("wrapped"), F.concat("at", F.lit("g"))).when(c("is_node") | (c("me") & list_me), c("at"))
+    place = F.when(c("is_node") & c("wrapped"), F.concat("at", F.lit("_g"))).when(c("is_node") | (c("me") & list_me), c("at"))
     main = row(
         F.when(c("swap"), c("o_")).otherwise(c("subject")), c("predicate"), F.when(c("swap"), c("subject")).otherwise(c("o_")), F.when(c("swap"), F.when(c("subject").startswith("_:"), "bnode").otherwise("iri")).otherwise(c("o_kind")),
         c("inside"), place, c("order"), c("swap"), F.when(c("wrapped"), c("mk_kind").eqNullSafe("@id") & c("mk").isNotNull()).otherwise(c("named")) & c("is_node"), c("idx_"), c("lst"), F.when(c("o_").isNotNull(), c("at_pos")),
         F.when(c("leaf"), F.when(c("names"), ref_text).otherwise(value_text)), error, says, tree, c("graph_"),
     )
-    inner = row(none, F.lit("@graph"), c("node"), F.when(c("node").startswith("_:"), "bnode").otherwise("iri"), F.concat("at", F.lit("g")), c("at"), F.array(F.lit(0)), F.lit(False), c("named"), text_of(c("index_in")), none, F.lit(None).cast("int"), none, none, F.lit(False), F.lit(True), c("inner_g"))
-    n = n.withColumns({"next": F.when(c("deeper") & ~c("dropped") & error.isNull(), kid), "rows": F.when(c("is_node") & c("wrapped"), F.array(main, inner)).otherwise(F.array(main))})
-    out = n.select("doc_id", "base_url", "literal", F.when(c("literal"), c("datatype_")).alias("datatype"), F.when(c("literal"), c("lang_")).alias("language"), F.when(c("literal"), c("dir_")).alias("direction"), "next", F.posexplode("rows").alias("nth", "r"))
-    out = out.withColumn("next", F.when(c("nth") == 0, c("next")))
-    return out.select(
-        "doc_id", "base_url", c("r.g").alias("g"), "r.s", "r.p", "r.o", "r.o_kind", "datatype", "language", "direction", "r.idx", "r.list", "r.pos", "r.error", "r.says", "r.in_tree", "r.up", "r.at", "r.ord", "r.rev", "r.named", "r.json", "next",
-    ).filter("says or in_tree or error is not null or next is not null")
+    inner = row(none, F.lit("@graph"), c("node"), F.when(c("node").startswith("_:"), "bnode").otherwise("iri"), F.concat("at", F.lit("_g")), c("at"), F.array(F.lit(0)), F.lit(False), c("named"), text_of(c("index_in")), none, F.lit(None).cast("int"), none, none, F.lit(False), F.lit(True), c("inner_g"))
+    n = n.withColumns({"next": F.when(c("deeper") & ~c("dropped") & error.isNull(), kid), "main": main, "inner": F.when(c("is_node") & c("wrapped"), inner)})
+    return n.select("doc_id", "base_url", F.when(c("literal"), c("datatype_")).alias("datatype"), F.when(c("literal"), c("lang_")).alias("language"), F.when(c("literal"), c("dir_")).alias("direction"), "next", "main", "inner")
+
+
+def _flat(level: DataFrame) -> DataFrame:
+    """LEVEL rows of a written level."""
+    fields = ["s", "p", "o", "o_kind", "idx", "list", "pos", "error", "says", "in_tree", "up", "at", "ord", "rev", "named", "json", "g"]
+    main = level.filter("main.says or main.in_tree or main.error is not null").select("doc_id", "datatype", "language", "direction", *[F.col(f"main.{f}").alias(f) for f in fields])
+    none = F.lit(None).cast("string")
+    inner = level.filter("inner is not null").select("doc_id", none.alias("datatype"), none.alias("language"), none.alias("direction"), *[F.col(f"inner.{f}").alias(f) for f in fields])
+    return main.unionByName(inner)
 
 
 def expand(docs: DataFrame, remote: DataFrame | None = None, base: str | None = None, max_depth: int | None = None, context: str | None = None, mode: str = "json-ld-1.1", safe: bool = False, chain: int = 50) -> Expanded:
@@ -358,11 +400,14 @@ def expand(docs: DataFrame, remote: DataFrame | None = None, base: str | None =
             break
         entered, wrong = _enter(frontier, contexts, bool(local))
         bad.append(wrong)
-        judged = _judged(entered, contexts, bool(nests) or contexts.nests)
-        judged = judged.join(contexts.rows.select(F.col("ctx_key").alias("type_key"), F.col("terms").alias("type_terms"), F.col("vocab").alias("type_vocab")), "type_key") if contexts.scoped else judged.withColumns({"type_terms": F.col("terms"), "type_vocab": F.col("vocab")})
-        judged = judged.withColumn("inner_g", F.coalesce("graph_id", "g"))
-        level = written(_rows(_values(judged, contexts), safe), "level")
-        tables.append(level.drop("next", "base_url"))
+        entered = _unnested(entered, contexts) if nests or contexts.nests else entered.withColumns({"extra": F.lit(None).cast("string"), "bad_nest": F.lit(False)})
+        entered = entered.join(contexts.rows.select("ctx_key", "aliases", "base", "vocab", F.col("language").alias("own_language"), F.col("direction").alias("own_direction"), "terms"), "ctx_key")
+        if contexts.scoped:
+            entered = entered.join(contexts.rows.select(F.col("ctx_key").alias("type_key"), F.col("terms").alias("type_terms"), F.col("vocab").alias("type_vocab")), "type_key")
+        else:
+            entered = entered.withColumns({"type_terms": F.col("terms"), "type_vocab": F.col("vocab")})
+        level = written(_level(entered, safe), "level")
+        tables.append(_flat(level))
         frontier = level.filter("next is not null").select("doc_id", "next.*", "base_url")
         depth += 1
     rows = reduce(DataFrame.unionByName, tables) if tables else spark.createDataFrame([], LEVEL + ", says boolean, in_tree boolean")

@@ -1,12 +1,14 @@
 """Node objects from statements: flattening, merging graphs, and RDF to JSON-LD."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
 from tessera.operators.expand import STATEMENT
-from tessera.operators.rdf import value_json, with_lists
+from tessera.operators.rdf import NO_DOC, value_json, with_lists
 from tessera.sources.shared import written
 
 
@@ -23,16 +25,44 @@ def reversed_edges(statements: DataFrame) -> DataFrame:
     return edges.select("doc_id", "g", F.col("o").alias("s"), "p", F.col("s").alias("o"), kind.alias("o_kind"), *STATEMENT[6:])
 
 
+def _references(statements: DataFrame) -> DataFrame:
+    """Statements in which every list is a value of kind list, and its items are rows of it, as with_lists gives them."""
+    listed = F.col("list").isNotNull()
+    items = statements.filter(listed).withColumns({"s": F.col("list"), "p": F.lit("@list")})
+    none = F.lit(None)
+    refs = statements.filter(listed & (F.col("p") != "@list")).select("doc_id", "g", "s", "p", F.col("list").alias("o"), F.lit("list").alias("o_kind"), *[none.cast("string").alias(c) for c in STATEMENT[6:11]], none.cast("int").alias("pos")).distinct()
+    return statements.filter(~listed).unionByName(refs).unionByName(items)
+
+
+def _with_values(st: DataFrame, native_types: bool) -> tuple[DataFrame, DataFrame]:
+    """(statements that are no items, with ``value``: their JSON, lists in lists put together from the inside, a level a round; (doc_id, list) of those that hold each other)."""
+    st = st.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC))).withColumn("value", value_json(native_types))
+    st = st.withColumn("value", F.when(F.col("o_kind") != "list", F.col("value")).when(F.col("o") == lit.NIL, '{"@list":[]}'))
+    waiting = written(st.filter("list is not null").select("doc_id", "list", "pos", "o", "o_kind", "value"), "items")
+    done = []
+    while not waiting.isEmpty():
+        lists = waiting.groupBy("doc_id", "list").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "value")))).alias("items"), F.max((F.col("value").isNull() & F.col("pos").isNotNull()).cast("int")).alias("open"))
+        ready = written(lists.filter("open = 0").select("doc_id", F.col("list").alias("o"), F.concat(F.lit('{"@list":['), F.array_join(F.transform("items", lambda x: x["value"]), ","), F.lit("]}")).alias("text")), "lists")
+        if ready.isEmpty():
+            break
+        done.append(ready)
+        left = waiting.join(ready.select("doc_id", F.col("o").alias("list")), ["doc_id", "list"], "left_anti")
+        found = ready.withColumn("o_kind", F.lit("list"))
+        waiting = written(left.join(found, ["doc_id", "o", "o_kind"], "left").select("doc_id", "list", "pos", "o", "o_kind", F.coalesce("value", "text").alias("value")), "items")
+    plain = st.filter("list is null")
+    if done:
+        text = reduce(DataFrame.unionByName, done).withColumn("o_kind", F.lit("list"))
+        plain = plain.join(text, ["doc_id", "o", "o_kind"], "left").withColumn("value", F.coalesce("value", "text")).drop("text")
+    return plain.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_DOC))), waiting.select(F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), "list").distinct()
+
+
+def _by_property(valued: DataFrame) -> DataFrame:
+    return valued.select("doc_id", "g", "s", "p", "value").distinct().groupBy("doc_id", "g", "s", "p").agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
 def properties(statements: DataFrame, native_types: bool = False) -> DataFrame:
     """(doc_id, g, s, p, values): the sorted, distinct values of every property as JSON; list items in order, as one value."""
-    st = statements.withColumn("value", value_json(native_types))
-    # Lists of plain items: one value per list. A value of kind list points to the rows of that list.
-    own = ["doc_id", "g", "s", "p"]
-    listed = st.filter("list is not null and p != '@list'")
-    lists = listed.groupBy(*own, "list").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "value")))).alias("items"))
-    lists = lists.select(*own, F.concat(F.lit('{"@list":['), F.array_join(F.transform("items", lambda x: x["value"]), ","), F.lit("]}")).alias("value"), F.lit(True).alias("is_list"))
-    flat = st.filter("list is null and (o_kind is null or o_kind != 'list')").select(*own, "value").distinct().withColumn("is_list", F.lit(False))
-    return flat.unionByName(lists).groupBy(*own).agg(F.array_sort(F.collect_list("value")).alias("values"))
+    return _by_property(_with_values(_references(statements), native_types)[0])
 
 
 def conflicting_indexes(statements: DataFrame) -> DataFrame:
@@ -40,15 +70,18 @@ def conflicting_indexes(statements: DataFrame) -> DataFrame:
     return statements.filter("idx is not null and o_kind in ('iri', 'bnode')").groupBy("doc_id", "g", "o").agg(F.countDistinct("idx").alias("n")).filter("n > 1").select("doc_id", F.lit("conflicting indexes").alias("code")).distinct()
 
 
-def nodes(statements: DataFrame, native_types: bool = False) -> DataFrame:
-    """(doc_id, g, id, node): one flattened node object per graph and subject, keys sorted. A node that only has a name has no row."""
-    props = properties(statements, native_types)
+def _nodes(props: DataFrame) -> DataFrame:
     entry = F.concat(lit.json_string(F.col("p")), F.lit(":["), F.array_join("values", ","), F.lit("]"))
     each = props.groupBy("doc_id", "g", "s").agg(F.array_sort(F.collect_list(F.struct("p", entry.alias("entry")))).alias("entries"))
     text = F.concat(F.lit('{"@id":'), lit.json_string(F.col("s")), F.lit(","), F.array_join(F.transform("entries", lambda x: x["entry"]), ","), F.lit("}"))
     return each.select("doc_id", "g", F.col("s").alias("id"), text.alias("node"))
 
 
+def nodes(statements: DataFrame, native_types: bool = False) -> DataFrame:
+    """(doc_id, g, id, node): one flattened node object per graph and subject, keys sorted. A node that only has a name has no row."""
+    return _nodes(properties(statements, native_types))
+
+
 def flatten(statements: DataFrame, native_types: bool = False) -> DataFrame:
     """(doc_id, doc): every document as an array of node objects in order of name; a named graph is in @graph of its node."""
     all_nodes = nodes(statements, native_types)
@@ -61,25 +94,17 @@ def flatten(statements: DataFrame, native_types: bool = False) -> DataFrame:
     return top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", node.alias("node")))).alias("all")).select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["node"]), ","), F.lit("]")).alias("doc"))
 
 
-def from_rdf(quads: DataFrame, native_types: bool = False, max_nesting: int = 16) -> DataFrame:
-    """(doc_id, g, id, node) of quads, lists rebuilt. Lists in lists are put together from the inside, a level a round."""
-    st = written(with_lists(quads), "statements").withColumn("value", value_json(native_types))
-    st = st.withColumn("value", F.when(F.col("o") == lit.NIL, '{"@list":[]}').when(F.col("o_kind") == "list", F.lit(None)).otherwise(F.col("value")))
-    key = ["doc_id", F.coalesce("g", F.lit("")).alias("graph")]
-    waiting = written(st.filter("list is not null").select(*key, "list", "pos", "o", "value"), "items")
-    done = None
-    for _ in range(max_nesting):
-        lists = waiting.groupBy("doc_id", "graph", "list").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("items"), F.max(F.col("value").isNull()).alias("open"))
-        ready = lists.filter("not open").select("doc_id", "graph", F.col("list").alias("o"), F.concat(F.lit('{"@list":['), F.array_join(F.transform("items", lambda x: x["value"]), ","), F.lit("]}")).alias("text"))
-        ready = written(ready, "lists")
-        done = ready if done is None else done.unionByName(ready)
-        left = waiting.join(ready.select("doc_id", "graph", F.col("o").alias("list")), ["doc_id", "graph", "list"], "left_anti")
-        waiting = written(left.join(ready, ["doc_id", "graph", "o"], "left").select("doc_id", "graph", "list", "pos", "o", F.coalesce("value", "text").alias("value")), "items")
-        if waiting.isEmpty():
-            break
-    plain = st.filter("list is null").withColumn("graph", F.coalesce("g", F.lit(""))).join(done, ["doc_id", "graph", "o"], "left").withColumn("value", F.coalesce("value", "text"))
-    props = plain.select("doc_id", "g", "s", "p", "value").distinct().groupBy("doc_id", "g", "s", "p").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    entry = F.concat(lit.json_string(F.col("p")), F.lit(":["), F.array_join("values", ","), F.lit("]"))
-    each = props.groupBy("doc_id", "g", "s").agg(F.array_sort(F.collect_list(F.struct("p", entry.alias("entry")))).alias("entries"))
-    text = F.concat(F.lit('{"@id":'), lit.json_string(F.col("s")), F.lit(","), F.array_join(F.transform("entries", lambda x: x["entry"]), ","), F.lit("}"))
-    return each.select("doc_id", "g", F.col("s").alias("id"), text.alias("node"))
+def from_rdf(quads: DataFrame, native_types: bool = False, rdf_type: bool = False) -> DataFrame:
+    """(doc_id, g, id, node) of quads, lists rebuilt, to any depth of lists in lists.
+
+    Lists that hold each other in a circle stay the cells they are. With
+    rdf_type, types are values of rdf:type, not of @type. Quads without a
+    doc_id are one document.
+    """
+    valued, stuck = _with_values(with_lists(quads), native_types)
+    if not stuck.isEmpty():
+        valued, _ = _with_values(with_lists(quads, stuck), native_types)
+    if rdf_type:
+        is_type = F.col("p") == "@type"
+        valued = valued.withColumns({"value": F.when(is_type, F.concat(F.lit('{"@id":'), F.col("value"), F.lit("}"))).otherwise(F.col("value")), "p": F.when(is_type, lit.TYPE).otherwise(F.col("p"))})
+    return _nodes(_by_property(valued))

@@ -1,6 +1,8 @@
 """Statements to quads and back, with ordered lists as chains of cells."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +11,15 @@ from tessera.operators.expand import STATEMENT
 from tessera.sources.nquads import QUAD, kind_of, well_formed
 from tessera.sources.shared import written
 
+#: Stands for a missing doc_id while rows are joined.
+NO_DOC = -(1 << 63)
+
 
 def to_rdf(statements: DataFrame, keep_ill_formed: bool = False) -> DataFrame:
     """Quads of statements. A list becomes a chain of first and rest; an empty one is rdf:nil.
 
     Ill-formed quads (relative IRIs, forbidden characters, bad language tags)
-    are left out unless asked for.
+    are left out unless asked for; ill_formed names the documents that have some.
     """
     p = F.when(F.col("p") == "@type", lit.TYPE).otherwise(F.col("p"))
     kind = F.when(F.col("o_kind") == "json", "lit").otherwise(F.col("o_kind"))
@@ -26,10 +31,14 @@ def to_rdf(statements: DataFrame, keep_ill_formed: bool = False) -> DataFrame:
     cells = st.filter("list is not null").withColumn("n", F.row_number().over(chain)).withColumn("more", F.lead("pos").over(chain).isNotNull())
     own, following = cell(F.col("n")), F.when(F.col("more"), cell(F.col("n") + 1)).otherwise(lit.NIL)
     head = F.when(F.col("pos").isNull(), lit.NIL).otherwise(own)
+    # A list in a list is an item that names its first cell.
+    nested = F.col("o_kind") == "list"
+    item = F.when(nested & (F.col("o") != lit.NIL), F.concat("o", F.lit("_1"))).otherwise(F.col("o"))
+    item_kind = F.when(nested, kind_of(item)).otherwise(F.col("o_kind"))
     row = lambda s, p, o, kind, dt=none, lang=none: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), dt.alias("datatype"), lang.alias("language"))
     rows = F.array(
-        F.when(F.col("n") == 1, row(F.col("s"), F.col("p"), head, kind_of(head))),
-        F.when(F.col("pos").isNotNull(), row(own, F.lit(lit.FIRST), F.col("o"), F.col("o_kind"), F.col("datatype"), F.col("language"))),
+        F.when((F.col("n") == 1) & (F.col("p") != "@list"), row(F.col("s"), F.col("p"), head, kind_of(head))),
+        F.when(F.col("pos").isNotNull(), row(own, F.lit(lit.FIRST), item, item_kind, F.col("datatype"), F.col("language"))),
         F.when(F.col("pos").isNotNull(), row(own, F.lit(lit.REST), following, kind_of(following))),
     )
     listed = cells.select("doc_id", "g", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("doc_id", "r.s", "r.p", "r.o", "r.o_kind", "r.datatype", "r.language", "g")
@@ -37,50 +46,70 @@ def to_rdf(statements: DataFrame, keep_ill_formed: bool = False) -> DataFrame:
     return quads if keep_ill_formed else quads.filter(well_formed())
 
 
-def with_lists(quads: DataFrame) -> DataFrame:
+def ill_formed(statements: DataFrame) -> DataFrame:
+    """(doc_id, code) of documents with quads that can't stand in RDF: what safe mode refuses."""
+    return to_rdf(statements, keep_ill_formed=True).filter(~F.coalesce(well_formed(), F.lit(False))).select("doc_id", F.lit("invalid term").alias("code")).distinct()
+
+
+def _chains(cells: DataFrame) -> DataFrame:
+    """(doc_id, k, head, depth) of every cell (doc_id, k, rest) that a chain of rests leads to from a cell which no rest names.
+
+    A cell knows one above it and how far that is; each round it takes what
+    that one knows, so the distance doubles. Cells that have met their head
+    rest. A round in which none does so leaves circles only, which stay out.
+    """
+    before = cells.select("doc_id", F.col("k").alias("up"), F.col("rest").alias("k"))
+    first = cells.select("doc_id", "k").join(before, ["doc_id", "k"], "left")
+    state = written(first.select("doc_id", "k", F.coalesce("up", "k").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("up").isNull().alias("met")), "jump")
+    done, still = [state.filter("met")], state.filter("not met")
+    while True:
+        known = reduce(DataFrame.unionByName, done)
+        above = known.unionByName(still).select("doc_id", F.col("k").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"), F.col("met").alias("top_met"))
+        far = written(still.join(above, ["doc_id", "up"]).select("doc_id", "k", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top_met").alias("met")), "jump")
+        new, still = far.filter("met"), far.filter("not met")
+        if new.isEmpty():
+            return known.select("doc_id", "k", F.col("up").alias("head"), "depth")
+        done.append(new)
+
+
+def with_lists(quads: DataFrame, unlisted: DataFrame | None = None) -> DataFrame:
     """Statements of quads (doc_id, s, p, o, o_kind, datatype, language, g): every chain of
     cells that only its one reference and its own rests reach is one list again.
 
     A cell has one first, one rest, at most the type rdf:List and nothing else,
-    and one use in its document. Cells find their head by pointer jumping: the
-    distance doubles each round, so a list of a million items takes 20 rounds.
-    Cycles and chains that don't end in rdf:nil stay as they are. o_kind is
+    and one use in its document. Circles, chains that don't end in rdf:nil, and
+    those whose (doc_id, list) is in unlisted stay as they are. o_kind is
     ``list`` where a value is a list; its items are rows whose s is that list.
+    Repeated quads count once; quads without a doc_id are one document.
     """
-    q = quads.select(*QUAD).distinct()
-    at = ["doc_id", "g", "s"]
     graph = F.coalesce("g", F.lit(""))
-    q = q.withColumn("graph", graph)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))
+    q = quads.select(*QUAD).distinct().withColumn("doc_id", doc)
+    # Names are compared within a document, as 64-bit hashes.
+    q = written(q.withColumns({"k": F.xxhash64(graph, "s"), "k_o": F.when(F.col("o_kind") != "lit", F.xxhash64(graph, "o"))}), "quads")
     is_list_type = (F.col("p") == lit.TYPE) & (F.col("o") == lit.LIST)
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    shape = q.filter("startswith(s, '_:')").groupBy("doc_id", "graph", "s").agg(
-        count(F.col("p") == lit.FIRST).alias("firsts"), count(F.col("p") == lit.REST).alias("rests"), count(~(F.col("p").isin(lit.FIRST, lit.REST) | is_list_type)).alias("others"),
-        F.max(F.when((F.col("p") == lit.REST) & (F.col("o_kind") != "lit"), F.col("o"))).alias("rest"),
+    is_rest = (F.col("p") == lit.REST) & (F.col("o_kind") != "lit")
+    shape = q.filter("startswith(s, '_:')").groupBy("doc_id", "k").agg(
+        F.max("s").alias("s"), count(F.col("p") == lit.FIRST).alias("firsts"), count(F.col("p") == lit.REST).alias("rests"), count(~(F.col("p").isin(lit.FIRST, lit.REST) | is_list_type)).alias("others"),
+        F.max(F.when(is_rest, F.col("k_o"))).alias("rest"), F.max(F.when(is_rest, F.col("o") == lit.NIL)).alias("last"),
     ).filter("firsts = 1 and rests = 1 and others = 0 and rest is not null")
-    uses = q.filter("o_kind = 'bnode'").groupBy("doc_id", F.col("o").alias("s")).agg(F.count(F.lit(1)).alias("uses"))
-    cells = written(shape.join(uses, ["doc_id", "s"]).filter("uses = 1").select("doc_id", "graph", "s", "rest"), "cells")
-    before = cells.select("doc_id", "graph", F.col("s").alias("up"), F.col("rest").alias("s"))
-    jump = cells.select("doc_id", "graph", "s").join(before, ["doc_id", "graph", "s"], "left").select("doc_id", "graph", "s", F.coalesce("up", "s").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
-    jump = written(jump, "jump")
-    for _ in range(64):
-        above = jump.select("doc_id", "graph", F.col("s").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        far = written(jump.join(above, ["doc_id", "graph", "up"]).select("doc_id", "graph", "s", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("top") == F.col("up")).alias("done")), "jump")
-        done, jump = far.filter("not done").isEmpty(), far.drop("done")
-        if done:
-            break
-    heads = jump.filter("depth = 0").select("doc_id", "graph", F.col("s").alias("head"))
-    found = jump.withColumnRenamed("up", "head").join(heads, ["doc_id", "graph", "head"]).join(cells, ["doc_id", "graph", "s"])
-    ends = found.groupBy("doc_id", "graph", "head").agg(F.max((F.col("rest") == lit.NIL).cast("int")).alias("ends")).filter("ends = 1").drop("ends")
-    members = written(found.join(ends, ["doc_id", "graph", "head"]).select("doc_id", "graph", "s", "head", "depth"), "members")
-    in_list = q.join(members, ["doc_id", "graph", "s"], "left")
-    refs = members.filter("depth = 0").select("doc_id", "graph", F.col("head").alias("o"), F.lit(True).alias("is_head"))
-    rows = in_list.filter(F.col("head").isNull() | (F.col("p") == lit.FIRST)).join(refs, ["doc_id", "graph", "o"], "left")
-    p = F.when(F.col("head").isNotNull(), F.lit("@list")).when((F.col("p") == lit.TYPE) & (F.col("o_kind") != "lit"), "@type").otherwise(F.col("p"))
+    uses = q.filter("o_kind = 'bnode'").groupBy("doc_id", F.xxhash64("o").alias("name")).agg(F.count(F.lit(1)).alias("uses")).filter("uses = 1")
+    cells = written(shape.withColumn("name", F.xxhash64("s")).join(uses, ["doc_id", "name"]).select("doc_id", "k", "s", "rest", "last"), "cells")
+    found = _chains(cells).join(cells, ["doc_id", "k"])
+    names = cells.select("doc_id", F.col("k").alias("head"), F.col("s").alias("list"))
+    ends = found.groupBy("doc_id", "head").agg(F.max("last").alias("ends")).filter("ends").drop("ends").join(names, ["doc_id", "head"])
+    if unlisted is not None:
+        ends = ends.join(unlisted.select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"), "list"), ["doc_id", "list"], "left_anti")
+    chained = written(found.select("doc_id", "k", "head", "depth").join(ends, ["doc_id", "head"]).select("doc_id", "k", "list", "depth"), "members")
+    refs = chained.filter("depth = 0").select("doc_id", F.col("k").alias("k_o"), F.lit(True).alias("is_head"))
+    rows = q.join(chained, ["doc_id", "k"], "left").filter(F.col("list").isNull() | (F.col("p") == lit.FIRST)).join(refs, ["doc_id", "k_o"], "left")
+    p = F.when(F.col("list").isNotNull(), F.lit("@list")).when((F.col("p") == lit.TYPE) & (F.col("o_kind") != "lit"), "@type").otherwise(F.col("p"))
     empty = (F.col("o") == lit.NIL) & (F.col("o_kind") == "iri")
     kind = F.when(F.coalesce("is_head", F.lit(False)) | empty, "list").when((F.col("o_kind") == "lit") & (F.col("datatype") == lit.JSON), "json").otherwise(F.col("o_kind"))
     return rows.select(
-        "doc_id", "g", F.coalesce("head", "s").alias("s"), p.alias("p"), "o", kind.alias("o_kind"), "datatype", "language", F.lit(None).cast("string").alias("direction"),
-        F.lit(None).cast("string").alias("idx"), F.col("head").alias("list"), F.col("depth").cast("int").alias("pos"),
+        F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), "g", F.coalesce("list", "s").alias("s"), p.alias("p"), "o", kind.alias("o_kind"), "datatype", "language", F.lit(None).cast("string").alias("direction"),
+        F.lit(None).cast("string").alias("idx"), "list", F.col("depth").cast("int").alias("pos"),
     ).select(*STATEMENT)
 
 

@@ -76,6 +76,121 @@ def test_named_graph(expanded):
     assert of(expanded, 4) == {(EX + "g", EX + "s", EX + "p", "in graph", lit.STRING, None, None), (None, EX + "g", EX + "about", "a graph", lit.STRING, None, None)}
 
 
+V = {"@vocab": EX}
+TREES = {
+    20: {"@context": V, "@id": "http://a", "p": {"@context": {"@vocab": "http://in/"}, "@id": "http://b", "q": 1}},
+    21: {"@context": {**V, "Person": {"@id": EX + "Person", "@context": {"name": "http://foaf/name"}}}, "@id": "http://a", "@type": "Person", "name": "Ann", "knows": {"@id": "http://b", "name": "Bo"}},
+    22: {"@context": {**V, "prop": {"@id": EX + "prop", "@context": {"q": "http://scoped/q"}}}, "@id": "http://a", "q": 1, "prop": {"@id": "http://b", "q": 2, "r": {"q": 3}}},
+    23: {"@context": {**V, "value": "@value", "lang": "@language", "typ": "@type"}, "@id": "http://a", "p": {"value": "x", "lang": "en"}, "q": {"value": "3", "typ": "http://dt"}},
+    24: {"@context": {**V, "labels": "@nest", "rev": "@reverse"}, "@id": "http://a", "labels": {"name": "N", "labels": {"deep": 1}}, "rev": {"parent": {"@id": "http://c"}}},
+    25: {"@context": {**V, "l": {"@container": "@list"}}, "@id": "http://a", "l": [[1, 2], [3], []], "m": {"@list": [], "@index": "i"}},
+    26: {"@context": {**V, "c": {"@container": "@graph"}}, "@id": "http://a", "c": {"@id": "http://s", "name": "x"}},
+    27: {"@context": {**V, "c": {"@container": ["@graph", "@id"]}}, "@id": "http://a", "c": {"http://g1": {"@id": "http://s", "name": "x"}}},
+    28: {"@context": {**V, "i": {"@id": EX + "i", "@container": "@index", "@index": "cat"}}, "@id": "http://a", "i": {"k": {"@id": "http://b"}}},
+    30: {"@context": {"@version": 1.1, "tag": {"@id": "http://tag/"}}, "@id": "http://a", "tag:x": 1},
+    31: {"@context": {"@version": 1.1, "tag": "http://tag/"}, "@id": "http://a", "tag:x": 1},
+    32: {"@context": {"@base": None, "p": EX + "p"}, "@id": "rel", "p": 1},
+    33: {"@context": {"@base": "dir/", "p": EX + "p"}, "@id": "x", "p": 1},
+    34: {"@context": V, "@id": "http://a", "e": [], "s": {"@set": [1, [2]]}, "n": None},
+    35: {"@context": V, "@id": "http://a", "@included": [{"@id": "http://inc", "p": 1}]},
+    36: {"@context": {"@propagate": False, **V}, "@id": "http://a", "p": {"@id": "http://b", "q": 1, "http://r": 2}},
+    38: {"@context": {**V, "j": {"@type": "@json"}}, "@id": "http://a", "j": {"b": [1.5, {"z": 1, "a": "\x1f"}], "a": None}},
+    39: {"@context": {"name": "http://xmlns.com/foaf/0.1/name"}, "name": "Alice"},
+    40: {"@context": ["https://example.com/c0", V], "@id": "http://a", "t": "through five"},
+    41: {"@context": {**V, **{f"t{i}": f"t{i + 1}:x" for i in range(300)}, "t300": "http://end/"}, "@id": "http://a", "t0": 1},
+    42: {"@context": {**V, "@import": "https://example.com/base"}, "@id": "http://a", "name": 1, "other": 2},
+    43: {"@id": "http://only"},
+}
+WANT = {
+    20: [{"@id": "http://a", EX + "p": [{"@id": "http://b", "http://in/q": [{"@value": 1}]}]}],
+    21: [{"@id": "http://a", "@type": [EX + "Person"], EX + "knows": [{"@id": "http://b", EX + "name": [{"@value": "Bo"}]}], "http://foaf/name": [{"@value": "Ann"}]}],
+    22: [{"@id": "http://a", EX + "q": [{"@value": 1}], EX + "prop": [{"@id": "http://b", "http://scoped/q": [{"@value": 2}], EX + "r": [{"http://scoped/q": [{"@value": 3}]}]}]}],
+    23: [{"@id": "http://a", EX + "p": [{"@value": "x", "@language": "en"}], EX + "q": [{"@value": "3", "@type": "http://dt"}]}],
+    24: [{"@id": "http://a", EX + "name": [{"@value": "N"}], EX + "deep": [{"@value": 1}], "@reverse": {EX + "parent": [{"@id": "http://c"}]}}],
+    25: [{"@id": "http://a", EX + "l": [{"@list": [{"@list": [{"@value": 1}, {"@value": 2}]}, {"@list": [{"@value": 3}]}, {"@list": []}]}], EX + "m": [{"@list": [], "@index": "i"}]}],
+    26: [{"@id": "http://a", EX + "c": [{"@graph": [{"@id": "http://s", EX + "name": [{"@value": "x"}]}]}]}],
+    27: [{"@id": "http://a", EX + "c": [{"@id": "http://g1", "@graph": [{"@id": "http://s", EX + "name": [{"@value": "x"}]}]}]}],
+    28: [{"@id": "http://a", EX + "i": [{"@id": "http://b", EX + "cat": [{"@value": "k"}]}]}],
+    30: [{"@id": "http://a", "tag:x": [{"@value": 1}]}],
+    31: [{"@id": "http://a", "http://tag/x": [{"@value": 1}]}],
+    32: [{"@id": "rel", EX + "p": [{"@value": 1}]}],
+    33: [{"@id": EX + "dir/x", EX + "p": [{"@value": 1}]}],
+    34: [{"@id": "http://a", EX + "e": [], EX + "s": [{"@value": 1}, {"@value": 2}]}],
+    35: [{"@id": "http://a", "@included": [{"@id": "http://inc", EX + "p": [{"@value": 1}]}]}],
+    36: [{"@id": "http://a", EX + "p": [{"@id": "http://b", "http://r": [{"@value": 2}]}]}],
+    38: [{"@id": "http://a", EX + "j": [{"@type": "@json", "@value": {"a": None, "b": [1.5, {"a": "\x1f", "z": 1}]}}]}],
+    39: [{"http://xmlns.com/foaf/0.1/name": [{"@value": "Alice"}]}],
+    40: [{"@id": "http://a", "http://deep/t": [{"@value": "through five"}]}],
+    41: [{"@id": "http://a", "t1:x": [{"@value": 1}]}],
+    42: [{"@id": "http://a", "http://imported/name": [{"@value": 1}], EX + "other": [{"@value": 2}]}],
+    43: [],
+}
+WRONG = {
+    60: ({"@context": [{"@vocab": EX, "@protected": True, "t": "http://t"}, {"t": "http://other"}], "t": 1}, "protected term redefinition"),
+    61: ({"@context": [{"@protected": True, "t": "http://t"}, None], "t": 1}, "invalid context nullification"),
+    62: ({"@context": {**V, "x": "@id"}, "@id": "http://a", "x": "http://b", "p": 1}, "colliding keywords"),
+    63: ({"@context": "https://example.com/self", "p": 1}, "recursive context inclusion"),
+    64: ({"@context": {"a": {"@id": "http://a", "@prefix": 1}}}, "invalid @prefix value"),
+    65: ({"@context": {"a": {"@id": "http://a", "@context": {"b": 7}}}}, "invalid scoped context"),
+    66: ({"@context": {"a": {"@id": "http://a", "@container": "@type", "@type": "http://t"}}}, "invalid type mapping"),
+    67: ({"@context": {"a:b": "http://other"}}, "invalid IRI mapping"),
+    68: ({"@context": {**V, "n": "@nest"}, "n": 3}, "invalid @nest value"),
+    69: ({"@context": V, "p": {"@list": [], "q": 1}}, "invalid set or list object"),
+    70: ({"@context": V, "@reverse": 3}, "invalid @reverse value"),
+    71: ({"@context": V, "p": {"@value": 1, "q": 1}}, "invalid value object"),
+    72: ({"@context": V, "p": {"@id": "http://b", "@index": 7}}, "invalid @index value"),
+    73: ({"@context": {"@version": 1.0}}, "invalid @version value"),
+    74: ({"@context": {"@import": 7}}, "invalid @import value"),
+    75: ({"@context": {"a": "a:x"}}, None),
+    76: ({"@context": {**V, "a": "b:x", "b": "a:y"}}, "cyclic IRI mapping"),
+    77: ({"@context": {**V, "i": {"@id": EX + "i", "@container": "@index", "@index": "cat"}}, "i": {"k": "v"}}, "invalid value object"),
+}
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    docs = spark.createDataFrame([(k, json.dumps(v)) for k, v in TREES.items()] + [(k, json.dumps(v)) for k, (v, _) in WRONG.items()], "doc_id long, doc string")
+    chain = [(f"https://example.com/c{i}", json.dumps({"@context": f"c{i + 1}"})) for i in range(5)] + [("https://example.com/c5", json.dumps({"@context": {"t": "http://deep/t"}}))]
+    remote = spark.createDataFrame([*chain, ("https://example.com/self", '{"@context":"self"}'), ("https://example.com/base", '{"@context":{"name":"http://imported/name"}}')], "url string, document string")
+    return expand(docs, remote=remote, base=EX), docs
+
+
+def test_expanded_json(trees):
+    """Contexts that change along the tree, aliases, containers, lists of lists: documents as expanded JSON."""
+    from tessera.operators import tree
+
+    e, docs = trees
+    assert {r["doc_id"]: r["code"] for r in e.errors.collect()} == {k: c for k, (_, c) in WRONG.items() if c}
+    got = {r["doc_id"]: json.loads(r["doc"]) for r in tree.expanded_json(e.tree, docs).collect()}
+    assert {k: got[k] for k in WANT} == WANT
+
+
+def test_keys_of_statements(trees):
+    """No statement has a keyword but @type and @list as its property; a graph container's content is in its graph."""
+    st = trees[0].statements
+    assert {r["p"] for r in st.filter("p like '@%'").select("p").distinct().collect()} <= {"@type", "@list"}
+    assert [r["g"] for r in st.filter("doc_id = 27 and s = 'http://s'").collect()] == ["http://g1"]
+    quads = rdf.to_rdf(st.filter("doc_id = 25"))
+    node = {r["id"]: json.loads(r["node"]) for r in graph.from_rdf(quads, native_types=True).collect()}["http://a"]
+    assert node[EX + "l"] == WANT[25][0][EX + "l"] and node[EX + "m"] == [{"@list": []}]
+    flat = {r["id"]: json.loads(r["node"]) for r in graph.nodes(st.filter("doc_id = 25"), native_types=True).collect()}
+    assert flat["http://a"][EX + "l"] == WANT[25][0][EX + "l"]
+
+
+def test_safe_mode_expand_context_and_old_mode(spark):
+    docs = spark.createDataFrame([(1, '{"a":1,"b":2}'), (2, '{"a":1}'), (3, '{"@context":{"c":null},"c":1}'), (4, '{"@context":{"@version":1.1},"a":1}'), (5, None)], "doc_id long, doc string")
+    safe = expand(docs, context='{"a":"http://a"}', safe=True)
+    assert {r["doc_id"]: r["code"] for r in safe.errors.collect()} == {1: "invalid property", 3: "invalid property", 5: "loading document failed"}
+    old = expand(docs, context='{"a":"http://a"}', mode="json-ld-1.0")
+    assert {r["doc_id"]: r["code"] for r in old.errors.collect()} == {4: "processing mode conflict", 5: "loading document failed"}
+    assert {r["doc_id"] for r in old.statements.collect()} == {1, 2}
+    deep = spark.createDataFrame([(1, '{"http://p":' * 12 + '{"http://p":1}' + "}" * 12), (2, '{"http://p":{"http://p":1}}')], "doc_id long, doc string")
+    cut = expand(deep, max_depth=5)
+    assert {r["doc_id"]: r["code"] for r in cut.errors.collect()} == {1: "nesting too deep"} and {r["doc_id"] for r in cut.statements.collect()} == {2}
+    empty = expand(docs.limit(0))
+    assert empty.statements.count() == empty.errors.count() == empty.tree.count() == 0
+
+
 def test_rdf_round_trip(spark, expanded):
     quads = rdf.to_rdf(expanded[0])
     back = nquads.parse(nquads.serialize(quads))
@@ -129,6 +244,28 @@ _:t {r} {nil} .
     assert s["http://twice"] == [{"@id": "_:t"}] and lit.FIRST in nodes["_:t"]
 
 
+def test_circles_and_deep_lists(spark):
+    """Circles of one to seven cells stay cells; lists nest 25 deep; two lists that hold each other stay cells; a null doc_id is a document."""
+    f, r, nil = f"<{lit.FIRST}>", f"<{lit.REST}>", f"<{lit.NIL}>"
+    lines = []
+    for n in range(1, 8):
+        lines += [x for i in range(n) for x in (f'_:c{n}x{i} {f} "{i}" .', f"_:c{n}x{i} {r} _:c{n}x{(i + 1) % n} .")]
+    depth = 25
+    lines += [x for i in range(depth) for x in (f"_:d{i} {f} " + (f"_:d{i + 1} ." if i < depth - 1 else '"in" .'), f"_:d{i} {r} {nil} .")] + ["<http://s> <http://deep> _:d0 ."]
+    lines += [f"_:m {f} _:n .", f"_:m {r} {nil} .", f"_:n {f} _:m .", f"_:n {r} {nil} ."]
+    q = quads(spark, "\n".join(lines))
+    q = q.unionByName(q.withColumn("doc_id", F.lit(None).cast("long")))
+    got = graph.from_rdf(q).collect()
+    for doc in (0, None):
+        nodes = {x["id"]: json.loads(x["node"]) for x in got if x["doc_id"] == doc}
+        value = nodes["http://s"]["http://deep"][0]
+        for _ in range(depth - 1):
+            (value,) = value["@list"]
+        assert value == {"@list": [{"@value": "in"}]}
+        assert all(nodes[f"_:c{n}x{i}"][lit.REST] == [{"@id": f"_:c{n}x{(i + 1) % n}"}] for n in range(1, 8) for i in range(n)), doc
+        assert nodes["_:m"][lit.FIRST] == [{"@id": "_:n"}] and nodes["_:n"][lit.FIRST] == [{"@id": "_:m"}]
+
+
 def test_long_list(spark):
     n = 3000
     q = spark.range(n).select(F.lit(0).cast("long").alias("doc_id"), F.explode(F.array(
