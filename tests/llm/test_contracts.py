@@ -37,6 +37,40 @@ def test_op1(spark, data, docs_rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_ring_and_walk():
+    """The walk against a row-by-row model of the ring: each row at its place takes the next point clockwise with room; and what one more shard moves."""
+    import random
+
+    from tessera.llm import sharding
+
+    nodes = sharding.ring(7, 5)
+    assert len({p for p, _ in nodes}) == 35 and [p for p, _ in nodes] == sorted(p for p, _ in nodes)
+    owners = [s for _, s in nodes]
+    rng = random.Random(4)
+    for counts in ([rng.randrange(20) for _ in owners], [300 if i == 3 else 0 for i in range(35)], [0] * 35):
+        room = sharding.capacities(sum(counts), 7)
+        got = Counter()
+        for arc, start, n, shard in sharding.overflow_walk(owners, counts, room):
+            for rank in range(start, start + n):
+                got[arc, rank, shard] += 1
+        # Rows of an arc up to its shard's room stay; then the overflow of all arcs goes on in order.
+        left, want, over = list(room), Counter(), []
+        for a, (s, n) in enumerate(zip(owners, counts)):
+            own = min(n, left[s])
+            left[s] -= own
+            want.update((a, r, s) for r in range(own))
+            over += [(a, r) for r in range(own, n)]
+        assert {(a, r) for a, r, _ in got} == {(a, r) for a, n in enumerate(counts) for r in range(n)}
+        assert max(got.values(), default=1) == 1 and not want - got
+        assert Counter(s for _, _, s in got) == Counter({s: k for s, k in enumerate(room) if k})
+    # From 40 to 41 shards, of 20,000 keys on the ring few change their point.
+    old, new = sharding.ring(40, 64), sharding.ring(41, 64)
+    owner = lambda ring, place: next((s for p, s in ring if p >= place), ring[0][1])
+    keys = [rng.randrange(sharding.RING) for _ in range(3000)]
+    moved = [(owner(old, k), owner(new, k)) for k in keys]
+    assert all(b in (a, 40) for a, b in moved) and sum(a != b for a, b in moved) < 0.05 * len(keys)
+
+
 def test_op2(spark, data, docs_rows):
     starts = defaultdict(set)
     for d, t, *_ in docs_rows:
