@@ -53,3 +53,19 @@ def resolve(base: Column, ref: Column) -> Column:
     new_query = F.when((path == "") & (query == ""), base_query).otherwise(query)
     full = F.when(of(ref, 3) != "", F.concat(start, of(ref, 3), without_dot_segments(path), query, fragment)).otherwise(F.concat(start, authority, new_path, new_query, fragment))
     return F.when(base.isNull() | is_absolute(ref), ref).otherwise(full)
+
+
+def relative_to(base: Column, iri: Column) -> Column:
+    """iri as a reference that resolves to it against base: the inverse of resolve. As it is where they share no authority."""
+    of = lambda c, i: F.regexp_extract(c, PARTS, i)
+    folders, parts = F.split(F.regexp_replace(of(base, 5), "[^/]*$", ""), "/", -1), F.split(of(iri, 5), "/", -1)
+    # The folder's path ends in a slash, so its last part is empty and no folder.
+    up = F.size(folders) - 1
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(up - 1, F.lit(0))), lambda i: F.when(F.get(folders, i) == F.get(parts, i), i + 1).otherwise(-1))
+    first_off = F.array_position(pairs, F.lit(-1).cast("int")).cast("int")
+    common = F.least(F.when(first_off > 0, first_off - 1).otherwise(up), F.size(parts) - 1)
+    path = F.concat(F.repeat(F.lit("../"), up - common), F.array_join(F.slice(parts, common + 1, F.lit(1 << 30)), "/"))
+    short = F.concat(path, of(iri, 6), F.regexp_extract(iri, "(#.*)$", 1))
+    short = F.when(short == "", "./").when(short.rlike(r"^@[A-Za-z]+$") | F.contains(F.substring_index(short, "/", 1), F.lit(":")), F.concat(F.lit("./"), short)).otherwise(short)
+    same = (of(base, 1) == of(iri, 1)) & (of(base, 3) == of(iri, 3)) & (of(base, 3) != "")
+    return F.when(base.isNotNull() & same, short).otherwise(iri)

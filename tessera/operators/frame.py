@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
+from tessera.operators.compact import compact_json
 from tessera.operators.context import compiled, expand_iri
+from tessera.operators.expand import expand
 from tessera.operators.graph import merged, properties
 from tessera.sources.shared import written
 
@@ -201,6 +203,27 @@ def framed(statements: DataFrame, frame: dict, native_types: bool = True) -> Dat
     return _nodes(st, frame, found, native_types).select("doc_id", F.col("s").alias("id"), "node")
 
 
+def frame_json(statements: DataFrame, frame: dict, native_types: bool = True, compact_arrays: bool = True, omit_graph: bool = True, prune: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, doc), errors): every document framed and compacted under the frame's context.
+
+    Several nodes stand in @graph, one alone only without omit_graph. With
+    prune, a blank node that the result names once has no @id. "@null" values
+    of defaults are null.
+    """
+    f = resolved(statements.sparkSession, frame)
+    nodes = framed(statements, f, native_types)
+    # The nodes are expanded documents in several parts; @null stands for null until the end.
+    e = expand(nodes.select("doc_id", F.regexp_replace("node", r'":null(?=[,}])', '":[{"@value":"@null"}]').alias("doc")))
+    rows = e.tree
+    if prune:
+        once = rows.filter("o_kind = 'bnode' and o is not null").groupBy("doc_id", F.when(F.col("rev"), F.col("s")).otherwise(F.col("o")).alias("name_")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+        once = once.select(F.col("doc_id").alias("id_"), "name_", F.lit(True).alias("once_"))
+        rows = rows.join(once, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.when(F.col("rev"), F.col("s")).otherwise(F.col("o")) == F.col("name_")), "left")
+        rows = rows.withColumn("named", F.col("named") & F.col("once_").isNull()).drop("id_", "name_", "once_")
+    docs, errors = compact_json(rows, json.dumps(frame.get("@context", {}), sort_keys=True, separators=(",", ":"), ensure_ascii=False), compact_arrays=compact_arrays, graph=not omit_graph)
+    return docs.select("doc_id", F.replace("doc", F.lit('"@null"'), F.lit("null")).alias("doc")), errors
+
+
 def _nodes(st: DataFrame, frame: dict, found: DataFrame, native_types: bool) -> DataFrame:
     own = st.join(found, ["doc_id", "s"], "left_semi")
     explicit = _flag(frame, "@explicit", False)

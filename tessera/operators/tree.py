@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from tessera.functions import literals as lit
 from tessera.sources.shared import written
 
+#: Stands for a missing doc_id while rows are joined.
+NO_DOC = -(1 << 63)
+
 
 def joined(parts: Column) -> Column:
     return F.array_join(parts, ",")
@@ -17,18 +20,18 @@ def member(name: str, text: Column) -> Column:
     return F.when(text.isNotNull(), F.concat(F.lit(f'"{name}":'), lit.json_string(text)))
 
 
-def put_together(tree: DataFrame, entries, close) -> DataFrame:
+def put_together(tree: DataFrame, entries, close, keyed=None) -> DataFrame:
     """doc_id, up, p, ord, rev and text of the outermost objects of a tree.
 
     Rows with ``at`` are objects or lists, which hold the rows whose ``up`` is
     their ``at``. entries(rows) makes a table (doc_id, up, parts) of the rows of
     one depth, whose texts are known; close(rows) the text of objects from
-    their ``parts`` (null for none).
+    their ``parts`` (null for none); keyed(rows), if given, their ``key``.
     """
     depth = F.size(F.split("at", "_"))
     rows = written(tree.withColumn("depth", F.when(F.col("at").isNotNull(), depth)), "tree")
     deepest = rows.agg(F.max("depth")).first()[0] or 0
-    leaves = rows.filter("at is null").withColumn("text", F.col("json"))
+    leaves = rows.filter("at is null").withColumns({"text": F.col("json"), "parts_empty": F.lit(True)})
     done = None
     depths = [r[0] for r in rows.filter("depth is not null").select("depth").distinct().orderBy(F.desc("depth")).collect()] if deepest else []
     tops = None
@@ -39,12 +42,13 @@ def put_together(tree: DataFrame, entries, close) -> DataFrame:
         if done is not None:
             inner = inner.unionByName(done.join(keys, ["doc_id", "up"], "left_semi"))
         made = here.join(entries(inner).withColumnRenamed("up", "at"), ["doc_id", "at"], "left")
-        made = written(made.withColumn("text", close(made)).drop("parts").select(*rows.columns, "text"), "objects")
+        made = made.withColumns({"text": close(made), "parts_empty": F.col("parts").isNull(), **({"key": keyed(made)} if keyed else {})})
+        made = written(made.select(*rows.columns, "text", "parts_empty"), "objects")
         inside, top = made.filter("up is not null"), made.filter("up is null")
         done = inside if done is None else done.unionByName(inside)
         tops = top if tops is None else tops.unionByName(top)
     if tops is None:
-        tops = rows.filter("false").withColumn("text", F.lit(None).cast("string"))
+        tops = rows.filter("false").withColumns({"text": F.lit(None).cast("string"), "parts_empty": F.lit(True)})
     return tops
 
 
@@ -55,6 +59,7 @@ def expanded_json(tree: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     they have no row.
     """
     own = ["doc_id", "up"]
+    tree = tree.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC)))
 
     def entries(rows: DataFrame) -> DataFrame:
         values = rows.groupBy(*own, "rev", "p").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text")))).alias("vs"))
@@ -75,7 +80,7 @@ def expanded_json(tree: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     tops = put_together(tree, entries, close)
     # A top object that only has a name says nothing.
     tops = tops.filter(~F.col("text").rlike(r'^\{(?:"@id":"(?:[^"\\]|\\.)*+")?\}$'))
-    out = tops.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("all")).select("doc_id", F.concat(F.lit("["), joined(F.transform("all", lambda x: x["text"])), F.lit("]")).alias("doc"))
+    out = tops.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("all")).select(F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.concat(F.lit("["), joined(F.transform("all", lambda x: x["text"])), F.lit("]")).alias("doc"))
     if docs is None:
         return out
     return docs.select("doc_id").distinct().join(out.withColumnRenamed("doc_id", "id_"), F.col("doc_id").eqNullSafe(F.col("id_")), "left").select("doc_id", F.coalesce("doc", F.lit("[]")).alias("doc"))

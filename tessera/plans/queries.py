@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions import iri
 from tessera.functions import literals as lit
 from tessera.operators import canon, compact, frame, graph, rdf
-from tessera.operators.context import compiled
-from tessera.operators.expand import STATEMENT, expand
+from tessera.operators.expand import expand
+from tessera.plans import shapes
 from tessera.sources import nquads
 
 EX = "http://ex.org/"
@@ -275,9 +275,9 @@ def frame_default(spark, sf_dir):
 @query("compact_customer", f"SELECT '{EX}customer/' || c_custkey AS id, c_name AS name, c_acctbal AS balance, 'ex:nation/' || c_nationkey AS nation, 'ex:Customer' AS type FROM customer")
 def compact_customer(spark, sf_dir):
     context = {"ex": EX, "label": EX + "name", "balance": EX + "balance", "nation": {"@id": EX + "nation", "@type": "@id"}, "segments": {"@id": EX + "segment", "@container": "@set"}}
-    got = compact.compact(expand(customers(spark, sf_dir)).statements, json.dumps(context))
-    of = lambda path: F.get_json_object("node", path)
-    return got.select("id", of("$.label").alias("name"), of("$.balance").cast("double").alias("balance"), of("$.nation").alias("nation"), of("$['@type']").alias("type"))
+    got, _ = compact.compact_json(expand(customers(spark, sf_dir)).tree, json.dumps(context))
+    of = lambda path: F.get_json_object("doc", path)
+    return got.select(of("$['@id']").alias("id"), of("$.label").alias("name"), of("$.balance").cast("double").alias("balance"), of("$.nation").alias("nation"), of("$['@type']").alias("type"))
 
 
 @query("canonical_hash", f"""
@@ -300,6 +300,36 @@ def canonical_json(spark, sf_dir):
     return e.select("event_id", canon.canonical_json(v).alias("json"))
 
 
+@query("canonical_nested", """SELECT event_id, '{"a":{"t":"' || event_type || '","z":null},"b":[' || user_id || ',[true,{"id":' || event_id || '}]]}' AS json FROM events""")
+def canonical_nested(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    doc = F.format_string('{"b":[%d.0, [true, {"id": %d}]], "a":{"z":null,"t":"%s"}}', "user_id", "event_id", "event_type")
+    return e.select("event_id", canon.canonical_json(F.parse_json(doc)).alias("json"))
+
+
+@query("canonical_ties", f"SELECT n_nationkey::BIGINT AS doc_id, '<{EX}nation/' || n_nationkey || '> <{EX}has> _:c14n' || i || ' .' AS line FROM nation, (VALUES (0), (1)) t(i)")
+def canonical_ties(spark, sf_dir):
+    """Two blank nodes that nothing tells apart."""
+    n = table(spark, sf_dir, "nation")
+    none = F.lit(None).cast("string")
+    quads = n.select(F.col("n_nationkey").cast("long").alias("doc_id"), link("nation", "n_nationkey").alias("s"), F.lit(EX + "has").alias("p"), F.explode(F.array(F.lit("_:x"), F.lit("_:y"))).alias("o"), F.lit("bnode").alias("o_kind"), none.alias("datatype"), none.alias("language"), none.alias("g"))
+    return canon.canonize(quads)[0]
+
+
+@query("relative_urls", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/x/y' AS url, '../x/y' AS ref FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]+')")
+def relative_urls(spark, sf_dir):
+    """An address beside every page's host, as a reference, and resolved again."""
+    p = table(spark, sf_dir, "pages").filter(F.col("url").rlike("^[a-z]+://[^/?#]+"))
+    host = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    p = p.select("page_id", F.concat(host, F.lit("/a/b")).alias("base"), F.concat(host, F.lit("/x/y")).alias("to")).withColumn("ref", iri.relative_to(F.col("base"), F.col("to")))
+    return p.select("page_id", iri.resolve(F.col("base"), F.col("ref")).alias("url"), "ref")
+
+
+@query("reversed_edges", f"SELECT '{EX}region/' || n_regionkey AS s, '{EX}region' AS p, '{EX}nation/' || n_nationkey AS o FROM nation")
+def reversed_edges(spark, sf_dir):
+    return graph.reversed_edges(geography(spark, sf_dir)).select("s", "p", "o")
+
+
 @query("error_codes", """
 SELECT CASE p_partkey % 6 WHEN 0 THEN 'loading document failed' WHEN 1 THEN 'cyclic IRI mapping' WHEN 2 THEN 'invalid type value' WHEN 3 THEN 'invalid container mapping' WHEN 4 THEN 'invalid language-tagged string' END AS code, count(*) AS n
 FROM part WHERE p_partkey % 6 < 5 GROUP BY 1""")
@@ -316,6 +346,10 @@ def resolve_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", iri.resolve(F.col("url"), F.lit("/a/./b/../c?q")).alias("url"))
 
 
+QUERIES |= shapes.QUERIES
+ORACLE |= shapes.ORACLE
+
+
 def flagship(spark, sf_dir) -> DataFrame:
     """Documents to RDF, lists and nodes rebuilt, customers framed with their nations and regions."""
     return frame_embed(spark, sf_dir)
