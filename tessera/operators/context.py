@@ -19,6 +19,8 @@ from tessera.sources.shared import written
 
 #: Contexts of a chain of remote contexts, at most.
 CHAIN = 50
+#: Distinct contexts, and requests for them, that the driver compiles itself.
+FEW = 500
 
 TERM = "struct<iri:string,type:string,container:array<string>,language:string,plain:boolean,direction:string,undirected:boolean,reverse:boolean,nest:string,index:string,prefix:boolean,scoped:string,scoped_base:string>"
 ROW = f"ctx_key string, state string, base string, vocab string, language string, direction string, prev string, aliases map<string,string>, terms map<string,{TERM}>"
@@ -49,26 +51,32 @@ def step(local: Column, base: Column | str | None = None, override: bool = False
     return F.concat(F.lit('{"local":'), local, F.when(base.isNotNull(), F.concat(F.lit(',"base":'), F.get(F.split(F.to_json(F.array(base)), r"^\[|\]$"), F.lit(1)))).otherwise(""), F.lit(f',"override":{json.dumps(override)},"propagate":{json.dumps(propagate)}}}'))
 
 
+def _compiled(rows: list[tuple], most: int) -> tuple[list[tuple], dict[str, dict]]:
+    """DERIVED rows, without states, of (parent, steps, state, remote); and the contexts that they come to."""
+    out, states = [], {}
+    for parent, steps, state, remote in rows:
+        loading = definitions.Loading(None if remote is None else dict(remote), {}, most)
+        try:
+            active = json.loads(state)
+            for s in json.loads(steps):
+                active = definitions.apply(active, s["local"], loading, s.get("base"), (), s["override"], s["propagate"])
+                loading.kept[definitions.key_of(active)] = active
+        except definitions.Invalid as e:
+            out.append((parent, steps, None, e.args[0], None))
+        except ValueError:
+            out.append((parent, steps, None, "invalid local context", None))
+        else:
+            out.append((parent, steps, definitions.key_of(active), None, None))
+            states |= loading.kept
+    return out, states
+
+
 def _derived(batches, most: int):
     import pyarrow as pa
 
     for b in batches:
-        out = []
-        for parent, steps, state, remote in zip(*(c.to_pylist() for c in b.columns)):
-            loading = definitions.Loading(None if remote is None else dict(remote), {}, most)
-            try:
-                active = json.loads(state)
-                for s in json.loads(steps):
-                    active = definitions.apply(active, s["local"], loading, s.get("base"), (), s["override"], s["propagate"])
-                    loading.kept[definitions.key_of(active)] = active
-            except definitions.Invalid as e:
-                out.append((parent, steps, None, e.args[0], None))
-                continue
-            except ValueError:
-                out.append((parent, steps, None, "invalid local context", None))
-                continue
-            out.append((parent, steps, definitions.key_of(active), None, None))
-            out += [(None, None, k, None, json.dumps(a, ensure_ascii=False)) for k, a in loading.kept.items()]
+        out, states = _compiled(list(zip(*(c.to_pylist() for c in b.columns))), most)
+        out += [(None, None, k, None, json.dumps(a, ensure_ascii=False)) for k, a in states.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out) if out else [[]] * 5)], ["parent", "steps", "ctx_key", "error", "state"])
 
 
@@ -108,38 +116,52 @@ class Contexts:
         self.spark, self.remote, self.chain = spark, remote, chain
         first = definitions.initial(base, mode == "json-ld-1.0")
         self.start = definitions.key_of(first)
-        self._set(spark.createDataFrame([(self.start, json.dumps(first))], "ctx_key string, state string"))
+        #: The contexts, while they are few enough to be known here too.
+        self.few: dict[str, dict] | None = {self.start: first}
+        self._known(self.few)
 
-    def _set(self, states: DataFrame) -> None:
-        if getattr(self, "rows", None) is not None:
-            states = self.rows.select("ctx_key", "state").unionByName(states).dropDuplicates(["ctx_key"])
+    def _parsed(self, states: DataFrame) -> DataFrame:
         parsed = F.from_json("state", f"struct<base:string,vocab:string,language:string,direction:string,prev:string,terms:map<string,{TERM}>>")
         rows = states.select("ctx_key", "state", parsed.alias("s")).select("ctx_key", "state", "s.base", "s.vocab", "s.language", "s.direction", "s.prev", "s.terms")
-        aliases = F.transform_values(F.map_filter("terms", lambda k, t: t["iri"].isin(sorted(KEYWORDS))), lambda k, t: t["iri"])
-        first = getattr(self, "rows", None) is None
-        self.rows = rows.withColumn("aliases", aliases)
-        if first:  # one row without terms
-            self.reverts = self.scoped = self.nests = False
-            return
-        self.rows = written(self.rows, "contexts")
-        scoped = F.exists(F.map_values("terms"), lambda t: t["scoped"].isNotNull())
-        nests = F.array_contains(F.map_values("aliases"), "@nest")
-        known = self.rows.agg(F.count("prev") > 0, F.max(scoped), F.max(nests)).first()
+        return rows.withColumn("aliases", F.transform_values(F.map_filter("terms", lambda k, t: t["iri"].isin(sorted(KEYWORDS))), lambda k, t: t["iri"]))
+
+    def _known(self, few: dict[str, dict]) -> None:
+        self.rows = self._parsed(self.spark.createDataFrame([(k, json.dumps(a, ensure_ascii=False)) for k, a in few.items()], "ctx_key string, state string"))
+        terms = [t for a in few.values() for t in a["terms"].values()]
         #: Whether any context goes back to another, has scoped contexts, or has a name for @nest.
+        self.reverts, self.scoped, self.nests = any(a["prev"] for a in few.values()), any(t["scoped"] for t in terms), any(t["iri"] == "@nest" for t in terms)
+
+    def _written(self, states: DataFrame) -> None:
+        states = self.rows.select("ctx_key", "state").unionByName(states).dropDuplicates(["ctx_key"])
+        self.rows, self.few = written(self._parsed(states), "contexts"), None
+        scoped = F.exists(F.map_values("terms"), lambda t: t["scoped"].isNotNull())
+        known = self.rows.agg(F.count("prev") > 0, F.max(scoped), F.max(F.array_contains(F.map_values("aliases"), "@nest"))).first()
         self.reverts, self.scoped, self.nests = (bool(k) for k in known)
 
     def derive(self, requests: DataFrame) -> DataFrame:
-        """parent, steps, ctx_key, error of every distinct (parent, steps): steps is a JSON array of ``step``. Rows of new contexts are added."""
+        """parent, steps, ctx_key, error of every distinct (parent, steps): steps is a JSON array of ``step``. Rows of new contexts are added.
+
+        Up to FEW requests are compiled here and joined from memory; more are
+        compiled by tasks and written.
+        """
         asked = requests.select("parent", "steps").distinct()
+        most = self.chain
+        if self.remote is None and self.few is not None and len(self.few) <= FEW:
+            some = asked.limit(FEW + 1).collect()
+            if len(some) <= FEW:
+                made, states = _compiled([(r[0], r[1], json.dumps(self.few[r[0]]), None) for r in some], most)
+                self.few |= states
+                if states:
+                    self._known(self.few)
+                return self.spark.createDataFrame(made, DERIVED).drop("state")
         if self.remote is None:
             asked = asked.withColumn("remote", F.lit(None).cast("map<string,string>"))
         else:
             asked = written(asked.withColumn("id", F.sha2(F.concat("parent", "steps"), 256)), "asked")
             asked = asked.join(self._fetched(asked), "id", "left").select("parent", "steps", F.coalesce("remote", F.create_map().cast("map<string,string>")).alias("remote"))
-        most = self.chain
         of = asked.join(self.rows.select(F.col("ctx_key").alias("parent"), "state"), "parent").select("parent", "steps", "state", "remote")
         done = written(of.mapInArrow(lambda batches: _derived(batches, most), DERIVED), "derived")
-        self._set(done.filter("state is not null").select("ctx_key", "state"))
+        self._written(done.filter("state is not null").select("ctx_key", "state"))
         return done.filter("state is null").drop("state")
 
     def _fetched(self, asked: DataFrame) -> DataFrame:

@@ -297,7 +297,7 @@ def _rows(n: DataFrame, safe: bool) -> DataFrame:
         "predicate": F.when(c("in_list") & c("nested"), "@list").when(under_parent, c("p")).otherwise(c("prop")),
         "swap": F.when(under_parent, c("rev")).otherwise(c("under") != _no(c("term.reverse"))),
         "lst": F.when(c("in_list"), c("own_list")).when(under_parent, c("list")), "at_pos": F.when(c("in_list"), c("item_at")).when(under_parent, c("pos")).cast("int"),
-        "inside": F.when(c("in_list"), c("at")).when(under_parent, c("up")).otherwise(c("at")),
+        "inside": F.when(c("in_list"), c("at")).when(under_parent, c("up")).when(c("wrapped"), F.concat("at", F.lit("_g"))).otherwise(c("at")),
         "order": F.when(c("me"), c("ord")).when(c("in_list"), F.array(F.coalesce("item_at", F.lit(0)))).when(c("part"), F.concat("ord", F.array(F.coalesce("item_at", F.lit(0))))).otherwise(F.array("key_at", F.coalesce("item_at", F.lit(0)))),
         "graph_": F.when(c("role") == "@graph", c("node")).when(c("is_node") & c("wrapped"), c("g")).otherwise(c("inner_g")),
     })
@@ -339,13 +339,13 @@ def _rows(n: DataFrame, safe: bool) -> DataFrame:
         _no(F.array_contains("kinds", "@graph") & ~c("part")).alias("graph"), c("inside").alias("up"), c("here").alias("at"), c("order").alias("ord"), child.alias("obj"),
     )
     row = lambda s, p, o, kind, up, at, order, rev, named, idx_, lst, pos, json, err, says_, tree_, g_: F.struct(s.alias("s"), p.alias("p"), o.alias("o"), kind.alias("o_kind"), up.alias("up"), at.alias("at"), order.alias("ord"), rev.alias("rev"), named.alias("named"), idx_.alias("idx"), lst.alias("list"), pos.alias("pos"), json.alias("json"), err.alias("error"), says_.alias("says"), tree_.alias("in_tree"), g_.alias("g"))
-    place = F.when(c("is_node") & c("wrapped"), F.concat("at", F.lit("_g"))).when(c("is_node") | (c("me") & list_me), c("at"))
+    place = F.when(c("is_node") | (c("me") & list_me), c("at"))
     main = row(
         F.when(c("swap"), c("o_")).otherwise(c("subject")), c("predicate"), F.when(c("swap"), c("subject")).otherwise(c("o_")), F.when(c("swap"), F.when(c("subject").startswith("_:"), "bnode").otherwise("iri")).otherwise(c("o_kind")),
         c("inside"), place, c("order"), c("swap"), F.when(c("wrapped"), c("mk_kind").eqNullSafe("@id") & c("mk").isNotNull()).otherwise(c("named")) & c("is_node"), c("idx_"), c("lst"), F.when(c("o_").isNotNull(), c("at_pos")),
         F.when(c("leaf"), F.when(c("names"), ref_text).otherwise(value_text)), error, says, tree, c("graph_"),
     )
-    inner = row(none, F.lit("@graph"), c("node"), F.when(c("node").startswith("_:"), "bnode").otherwise("iri"), F.concat("at", F.lit("_g")), c("at"), F.array(F.lit(0)), F.lit(False), c("named"), text_of(c("index_in")), none, F.lit(None).cast("int"), none, none, F.lit(False), F.lit(True), c("inner_g"))
+    inner = row(none, F.lit("@graph"), c("node"), F.when(c("node").startswith("_:"), "bnode").otherwise("iri"), c("at"), F.concat("at", F.lit("_g")), F.array(F.lit(0)), F.lit(False), c("named"), text_of(c("index_in")), none, F.lit(None).cast("int"), none, none, F.lit(False), F.lit(True), c("inner_g"))
     n = n.withColumns({"next": F.when(c("deeper") & ~c("dropped") & error.isNull(), kid), "main": main, "inner": F.when(c("is_node") & c("wrapped"), inner)})
     return n.select("doc_id", "base_url", F.when(c("literal"), c("datatype_")).alias("datatype"), F.when(c("literal"), c("lang_")).alias("language"), F.when(c("literal"), c("dir_")).alias("direction"), "next", "main", "inner")
 

@@ -82,16 +82,27 @@ def nodes(statements: DataFrame, native_types: bool = False) -> DataFrame:
     return _nodes(properties(statements, native_types))
 
 
-def flatten(statements: DataFrame, native_types: bool = False) -> DataFrame:
-    """(doc_id, doc): every document as an array of node objects in order of name; a named graph is in @graph of its node."""
-    all_nodes = nodes(statements, native_types)
+def folded(all_nodes: DataFrame) -> DataFrame:
+    """(doc_id, doc) of nodes (doc_id, g, id, node): every document as an array of node objects in order of name; a named graph is in @graph of its node."""
+    all_nodes = all_nodes.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC)))
     graphs = all_nodes.filter("g is not null").groupBy("doc_id", F.col("g").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "node"))).alias("inner"))
     inside = F.concat(F.lit('"@graph":['), F.array_join(F.transform("inner", lambda x: x["node"]), ","), F.lit("]"))
     top = all_nodes.filter("g is null").drop("g").join(graphs, ["doc_id", "id"], "full")
     opening = F.concat(F.lit('{"@id":'), lit.json_string(F.col("id")))
     rest = F.expr("substring(node, length(to_json(array(id))) + 6)")  # behind the name
     node = F.when(F.col("node").isNull(), F.concat(opening, F.lit(","), inside, F.lit("}"))).when(F.col("inner").isNull(), F.col("node")).otherwise(F.concat(opening, F.lit(","), inside, rest))
-    return top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", node.alias("node")))).alias("all")).select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["node"]), ","), F.lit("]")).alias("doc"))
+    each = top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", node.alias("node")))).alias("all"))
+    return each.select(F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["node"]), ","), F.lit("]")).alias("doc"))
+
+
+def flatten(statements: DataFrame, native_types: bool = False) -> DataFrame:
+    """(doc_id, doc): every document flattened."""
+    return folded(nodes(statements, native_types))
+
+
+def from_rdf_json(quads: DataFrame, native_types: bool = False, rdf_type: bool = False) -> DataFrame:
+    """(doc_id, doc): the quads of every document as one expanded document."""
+    return folded(from_rdf(quads, native_types, rdf_type))
 
 
 def from_rdf(quads: DataFrame, native_types: bool = False, rdf_type: bool = False) -> DataFrame:

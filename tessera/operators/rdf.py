@@ -46,6 +46,12 @@ def to_rdf(statements: DataFrame, keep_ill_formed: bool = False) -> DataFrame:
     return quads if keep_ill_formed else quads.filter(well_formed())
 
 
+def invalid_json(quads: DataFrame) -> DataFrame:
+    """(doc_id, code) of documents with a JSON literal that is no JSON; from_rdf keeps their text as it is."""
+    wrong = (F.col("o_kind") == "lit") & (F.col("datatype") == lit.JSON) & F.try_parse_json("o").isNull()
+    return quads.filter(wrong).select("doc_id", F.lit("invalid JSON literal").alias("code")).distinct()
+
+
 def ill_formed(statements: DataFrame) -> DataFrame:
     """(doc_id, code) of documents with quads that can't stand in RDF: what safe mode refuses."""
     return to_rdf(statements, keep_ill_formed=True).filter(~F.coalesce(well_formed(), F.lit(False))).select("doc_id", F.lit("invalid term").alias("code")).distinct()

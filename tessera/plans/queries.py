@@ -277,7 +277,7 @@ def compact_customer(spark, sf_dir):
     context = {"ex": EX, "label": EX + "name", "balance": EX + "balance", "nation": {"@id": EX + "nation", "@type": "@id"}, "segments": {"@id": EX + "segment", "@container": "@set"}}
     got, _ = compact.compact_json(expand(customers(spark, sf_dir)).tree, json.dumps(context))
     of = lambda path: F.get_json_object("doc", path)
-    return got.select(of("$['@id']").alias("id"), of("$.label").alias("name"), of("$.balance").cast("double").alias("balance"), of("$.nation").alias("nation"), of("$['@type']").alias("type"))
+    return got.select(F.regexp_replace(of("$['@id']"), "^ex:", EX).alias("id"), of("$.label").alias("name"), of("$.balance").cast("double").alias("balance"), of("$.nation").alias("nation"), of("$['@type']").alias("type"))
 
 
 @query("canonical_hash", f"""

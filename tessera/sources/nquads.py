@@ -53,12 +53,12 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Quads of (doc_id, line), plus an error for lines that are none; blank lines and comments give no row.
+    """Quads of (doc_id, line), plus an error for lines that are none, null ones among them; blank lines and comments give no row.
 
     A literal is cut out between its quotes first, so no pattern runs over it
     and its length doesn't matter.
     """
-    c = settled(lines.select("doc_id", "line"), line=F.col("line")).filter(~F.col("line").rlike(r"^\s*(#.*)?$"))
+    c = settled(lines.select("doc_id", "line"), line=F.col("line")).filter(~F.coalesce(F.col("line").rlike(r"^\s*(#.*)?$"), F.lit(False)))
     # Escapes hide their second character, so that the next quote is the closing one.
     c = settled(c, hidden=F.when(F.contains("line", F.lit("\\")), F.regexp_replace("line", r"(?s)\\.", "__")).otherwise(F.col("line")))
     first = F.instr("hidden", '"')

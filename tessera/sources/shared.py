@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where spark.checkpoint.dir is unset, a session remembers the folder that was made for it.
+#: Where spark.checkpoint.dir is unset, a local session remembers the folder that was made for it.
 OWN = "spark.tessera.own.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset a folder of our own."""
+    """spark.checkpoint.dir. Where that is unset: a folder of our own if driver and executors are one process, else an error, as other machines wouldn't see it."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN, None)
     if not place:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(OWN, place)
     return place.rstrip("/")
@@ -24,8 +26,24 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet in the shared folder and read them back."""
+    """Cut the lineage: write the rows as Parquet in the shared folder and read them back. What isn't dropped is the cluster's to clear."""
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, and let go of the shuffles behind plans that are gone."""
+    import gc
+
+    from pyarrow import fs
+
+    for t in tables:
+        store, path = fs.FileSystem.from_uri(t.written_at)
+        store.delete_dir(path)
+    gc.collect()  # frees the plans that Python held, so that Spark's cleaner finds their shuffles
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()

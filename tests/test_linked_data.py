@@ -33,7 +33,7 @@ def expanded(spark):
     docs = spark.createDataFrame([(k, json.dumps(v)) for k, v in DOCS.items()] + [(12, None), (13, "{")], "doc_id long, doc string")
     remote = spark.createDataFrame([("https://example.com/ctx.jsonld", '{"@context":{"name":"http://schema.org/name"}}')], "url string, document string")
     e = expand(docs, remote=remote, base=EX)
-    return e.statements.cache(), {r["doc_id"]: r["code"] for r in e.errors.collect()}
+    return e.statements.cache(), {r["doc_id"]: r["code"] for r in e.errors.collect()}, e.tree
 
 
 def of(expanded, doc):
@@ -322,8 +322,80 @@ def test_resolution(spark):
     assert {r["r"]: r["o"] for r in got} == want
 
 
+def test_relative_references(spark):
+    """What a reference is made of resolves to it again."""
+    base = "http://a/b/c/d"
+    want = {"http://a/b/c/e": "e", "http://a/b/x": "../x", "http://a/": "../../", "http://a/b/c/": "./", "http://a/b/c/d?q#f": "d?q#f", "http://other/x": "http://other/x", "urn:x": "urn:x", "http://a/b/c/x:y": "./x:y", "http://a/b/c/e/f": "e/f"}
+    got = spark.createDataFrame(list(want), "string").select("value", iri.relative_to(F.lit(base), F.col("value")).alias("r")).withColumn("back", iri.resolve(F.lit(base), F.col("r"))).collect()
+    assert {r["value"]: r["r"] for r in got} == want
+    assert all(r["back"] == r["value"] for r in got)
+
+
+def test_missing_values(spark):
+    """Null lines are errors; null doc_ids are a document; repeated quads count once."""
+    got = nquads.parse(spark.createDataFrame([(1, None), (None, "<http://a> <http://p> _:x ."), (None, "<http://a> <http://p> _:x .")], "doc_id long, line string"))
+    assert sorted((r["doc_id"] or 0, r["error"]) for r in got.select("doc_id", "error").collect() if r["doc_id"]) == [(1, "invalid line")]
+    lines, errors = canon.canonize(got.filter("error is null").drop("error"))
+    assert [(r["doc_id"], r["line"]) for r in lines.collect()] == [(None, "<http://a> <http://p> _:c14n0 .")] and errors.count() == 0
+
+
+def test_remote_contexts_over_http(spark):
+    """Contexts of contexts from a server of this machine, each loaded once; a redirect, a Link header, a missing one."""
+    import threading
+    from collections import Counter
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tessera.sources import remote
+
+    seen = Counter()
+    pages = {"/one": {"@context": ["two", "missing"]}, "/two": {"@context": {"name": "http://two/name"}}, "/linked": {"name": "x"}}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen[self.path] += 1
+            if self.path == "/moved":
+                self.send_response(302)
+                self.send_header("Location", "/one")
+                self.end_headers()
+                return
+            self.send_response(200 if self.path in pages else 404)
+            self.send_header("Content-Type", "application/json")
+            if self.path == "/linked":
+                self.send_header("Link", '</two>; rel="http://www.w3.org/ns/json-ld#context"')
+            self.end_headers()
+            self.wfile.write(json.dumps(pages.get(self.path, {})).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    docs = spark.createDataFrame([(k, json.dumps({"@context": u, "name": "Ada"})) for k, u in enumerate([f"{at}/one", f"{at}/one", "one", f"{at}/moved"])] + [(9, "{"), (10, None)], "doc_id long, doc string")
+    got = {r["url"].removeprefix(at) for r in remote.contexts_of(docs, base=f"{at}/x").collect()}
+    linked = remote.load(f"{at}/linked")[0]
+    server.shutdown()
+    assert got == {"/one", "/two", "/moved"} and seen["/two"] == 1 and seen["/missing"] == 1
+    assert json.loads(linked) == {"@context": f"{at}/two", "name": "x"}
+
+
+def test_shared_folder(spark):
+    """Without a named folder, only a local session may make one."""
+    from tessera.sources import shared
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session)
+
+
 def test_numbers(spark):
-    rows = [(1.5, "1.5E0", "1.5"), (2095.23, "2.09523E3", "2095.23"), (-0.001, "-1.0E-3", "-0.001"), (1e21, "1.0E21", "1e+21"), (1e-7, "1.0E-7", "1e-7"), (123456789012345680000.0, "1.234567890123457E20", "123456789012345680000"), (0.0, "0.0E0", "0"), (100.0, "1.0E2", "100"), (0.000001, "1.0E-6", "0.000001"), (1.25e-9, "1.25E-9", "1.25e-9")]
+    rows = [(1.5, "1.5E0", "1.5"), (2095.23, "2.09523E3", "2095.23"), (-0.001, "-1.0E-3", "-0.001"), (1e21, "1.0E21", "1e+21"), (1e-7, "1.0E-7", "1e-7"), (123456789012345680000.0, "1.234567890123457E20", "123456789012345680000"), (0.0, "0.0E0", "0"), (100.0, "1.0E2", "100"), (0.000001, "1.0E-6", "0.000001"), (1.25e-9, "1.25E-9", "1.25e-9"), (2e23, "2.0E23", "2e+23"), (5e-324, "4.9E-324", "5e-324"), (-1.6130484589462314e17, "-1.613048458946231E17", "-161304845894623140")]
     got = spark.createDataFrame(rows, "x double, xsd string, js string").select("xsd", "js", lit.xsd_double(F.col("x")).alias("a"), lit.json_number(F.col("x")).alias("b")).collect()
     assert [(r["a"], r["b"]) for r in got] == [(r["xsd"], r["js"]) for r in got]
 
@@ -359,10 +431,13 @@ def test_canonical_forms(spark):
 
 def test_compact(spark, expanded):
     context = {"ex": EX, "@vocab": "http://none/", "l": {"@id": EX + "l", "@container": "@list"}, "d": {"@id": EX + "d", "@container": "@language"}, "when": {"@id": EX + "t", "@type": EX + "date"}, "ok": EX + "ok", "w": {"@id": EX + "w", "@container": "@set"}}
-    got = {r["id"]: json.loads(r["node"]) for r in compact.compact(expanded[0].filter("doc_id = 2"), json.dumps(context)).collect()}
-    a = got[EX + "a"]
-    assert a["l"] == [1, "x", {"@id": "ex:z"}] and a["d"] == {"@none": "?", "en": ["Hi", "Ho"]} and a["when"] == "2024" and a["ok"] is False and a["w"] == [1]
-    assert sorted(a["@type"]) == ["ex:A", "ex:B"] and a["ex:e"] == {"@list": []} and a["ex:i"] == "v"
+    docs, errors = compact.compact_json(expanded[2].filter("doc_id = 2"), json.dumps(context))
+    (a,) = [json.loads(r["doc"]) for r in docs.collect()]
+    assert errors.count() == 0 and a["@context"] == context and a["@id"] == "ex:a"
+    assert a["l"] == [1, "x", {"@id": "ex:z"}] and a["d"] == {"@none": "?", "en": ["Hi", "Ho"]} and a["when"] == "2024" and a["ok"] is False and a["w"] == [1.0]
+    assert sorted(a["@type"]) == ["ex:A", "ex:B"] and a["ex:e"] == {"@list": []} and a["ex:i"] == {"@index": "k", "@value": "v"}
+    with pytest.raises(ValueError, match="invalid IRI mapping"):
+        compact.compact_json(expanded[2], '{"a":"b"}')
 
 
 def test_frames(spark):
