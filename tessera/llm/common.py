@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import shared_path, written  # noqa: F401
+from tessera.sources.shared import dropped, shared_path, written  # noqa: F401
 
 #: White space that separates words: space and \t \n \v \f \r, nothing else.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _state(edges: DataFrame):
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         small = near.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        e = written(small.distinct(), "edges")
+        last, e = e, written(small.distinct(), "edges")
+        dropped(last)
         before, state = state, _state(e)
         if state == before:
             break
