@@ -8,6 +8,7 @@ frame is).
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import literals as lit
 from tessera.operators.compact import compact_json
 from tessera.operators.context import compiled, expand_iri
-from tessera.operators.expand import expand
+from tessera.operators.expand import STATEMENT, expand
 from tessera.operators.graph import merged, properties
 from tessera.sources.shared import written
 
@@ -230,18 +231,30 @@ def _nodes(st: DataFrame, frame: dict, found: DataFrame, native_types: bool) ->
     nested = {p: v[0] for p, v in frame.items() if not p.startswith("@") and v and isinstance(v[0], dict) and not (set(v[0]) & {"@value", "@language", "@list"}) and v[0].get("@embed") not in ("@never", False, "false") and (set(v[0]) - {"@default", "@omitDefault"} or "@embed" in v[0] or v[0] == {})}
     if explicit:
         own = own.filter(F.col("p").isin(["@type", *(p for p in frame if not p.startswith("@"))]))
-    props = properties(own, native_types)
-    entries = props.select("doc_id", "s", "p", F.concat(lit.json_string(F.col("p")), F.lit(":["), F.array_join("values", ","), F.lit("]")).alias("entry"))
+    # What nested frames embed: objects of their properties, items of lists too.
+    is_ref = F.col("o_kind").isin("iri", "bnode")
+    given, held_by = [], []
     for p, sub in nested.items():
-        edges = own.filter((F.col("p") == p) & F.col("o_kind").isin("iri", "bnode") & F.col("list").isNull()).select("doc_id", "s", "o").distinct()
+        edges = own.filter((F.col("p") == p) & is_ref).select("doc_id", "s", "o", F.col("list").isNotNull().alias("listed")).distinct()
         fit = edges.select("doc_id", F.col("o").alias("s")).distinct()
         if any(not k.startswith("@") or k in ("@id", "@type") for k in sub):
             fit = fit.join(matching(st, sub).select("doc_id", "s").distinct(), ["doc_id", "s"], "left_semi")
         child = _nodes(st, sub, written(fit, "found"), native_types).select("doc_id", F.col("s").alias("o"), F.col("node").alias("child"))
+        given.append(child.withColumn("p", F.lit(p)))
         ref = F.concat(F.lit('{"@id":'), lit.json_string(F.col("o")), F.lit("}"))
-        held = edges.join(child, ["doc_id", "o"], "left").groupBy("doc_id", "s").agg(F.array_sort(F.collect_list(F.struct("o", F.coalesce("child", ref).alias("child")))).alias("held"))
-        held = held.select("doc_id", "s", F.lit(p).alias("p"), F.concat(F.lit(json.dumps(p) + ":["), F.array_join(F.transform("held", lambda x: x["child"]), ","), F.lit("]")).alias("embedded"))
-        entries = entries.join(held, ["doc_id", "s", "p"], "left").select("doc_id", "s", "p", F.coalesce("embedded", "entry").alias("entry"))
+        held = edges.filter("not listed").join(child, ["doc_id", "o"], "left").groupBy("doc_id", "s").agg(F.array_sort(F.collect_list(F.struct("o", F.coalesce("child", ref).alias("child")))).alias("held"))
+        held_by.append(held.select("doc_id", "s", F.lit(p).alias("p"), F.concat(F.lit(json.dumps(p) + ":["), F.array_join(F.transform("held", lambda x: x["child"]), ","), F.lit("]")).alias("embedded")))
+    if given:
+        own = own.join(reduce(DataFrame.unionByName, given), ["doc_id", "p", "o"], "left")
+        own = own.withColumn("given", F.when(F.col("list").isNotNull() & is_ref, F.col("child"))).select(*STATEMENT, "given")
+    props = properties(own, native_types)
+    entries = props.select("doc_id", "s", "p", F.concat(lit.json_string(F.col("p")), F.lit(":["), F.array_join("values", ","), F.lit("]")).alias("entry"))
+    if held_by:
+        # A property that has lists keeps them, with what they embed.
+        held = reduce(DataFrame.unionByName, held_by)
+        lists = own.filter("list is not null").select("doc_id", "s", "p").distinct().withColumn("has_list", F.lit(True))
+        entries = entries.join(held, ["doc_id", "s", "p"], "left").join(lists, ["doc_id", "s", "p"], "left")
+        entries = entries.select("doc_id", "s", "p", F.when(F.col("has_list"), F.col("entry")).otherwise(F.coalesce("embedded", "entry")).alias("entry"))
     for p, sub in frame.get("@reverse", {}).items():
         edges = st.filter((F.col("p") == p) & F.col("o_kind").isin("iri", "bnode")).select("doc_id", F.col("s").alias("from_"), F.col("o").alias("s")).join(found, ["doc_id", "s"], "left_semi")
         fit = edges.select("doc_id", F.col("from_").alias("s")).distinct()

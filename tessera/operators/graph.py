@@ -30,13 +30,24 @@ def _references(statements: DataFrame) -> DataFrame:
     listed = F.col("list").isNotNull()
     items = statements.filter(listed).withColumns({"s": F.col("list"), "p": F.lit("@list")})
     none = F.lit(None)
-    refs = statements.filter(listed & (F.col("p") != "@list")).select("doc_id", "g", "s", "p", F.col("list").alias("o"), F.lit("list").alias("o_kind"), *[none.cast("string").alias(c) for c in STATEMENT[6:11]], none.cast("int").alias("pos")).distinct()
+    more = [none.cast("string").alias("given")] if "given" in statements.columns else []
+    refs = statements.filter(listed & (F.col("p") != "@list")).select("doc_id", "g", "s", "p", F.col("list").alias("o"), F.lit("list").alias("o_kind"), *[none.cast("string").alias(c) for c in STATEMENT[6:11]], none.cast("int").alias("pos"), *more).distinct()
     return statements.filter(~listed).unionByName(refs).unionByName(items)
 
 
+def listed(statements: DataFrame) -> DataFrame:
+    """Statements of with_lists in the form that expansion gives: items of a list that is a property's value stand under that property."""
+    refs = statements.filter((F.col("o_kind") == "list") & (F.col("p") != "@list") & (F.col("o") != lit.NIL)).select("doc_id", F.col("o").alias("list"), F.col("s").alias("own_s"), F.col("p").alias("own_p"))
+    rest = statements.filter(~((F.col("o_kind") == "list") & (F.col("p") != "@list") & (F.col("o") != lit.NIL)))
+    joined = rest.join(refs.withColumnRenamed("doc_id", "id_").withColumnRenamed("list", "list_"), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("list") == F.col("list_")), "left")
+    return joined.withColumns({"s": F.coalesce("own_s", "s"), "p": F.coalesce("own_p", "p")}).select(*STATEMENT)
+
+
 def _with_values(st: DataFrame, native_types: bool) -> tuple[DataFrame, DataFrame]:
     """(statements that are no items, with ``value``: their JSON, lists in lists put together from the inside, a level a round; (doc_id, list) of those that hold each other)."""
     st = st.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC))).withColumn("value", value_json(native_types))
+    if "given" in st.columns:
+        st = st.withColumn("value", F.coalesce("given", "value")).drop("given")
     st = st.withColumn("value", F.when(F.col("o_kind") != "list", F.col("value")).when(F.col("o") == lit.NIL, '{"@list":[]}'))
     waiting = written(st.filter("list is not null").select("doc_id", "list", "pos", "o", "o_kind", "value"), "items")
     done = []
@@ -61,7 +72,7 @@ def _by_property(valued: DataFrame) -> DataFrame:
 
 
 def properties(statements: DataFrame, native_types: bool = False) -> DataFrame:
-    """(doc_id, g, s, p, values): the sorted, distinct values of every property as JSON; list items in order, as one value."""
+    """(doc_id, g, s, p, values): the sorted, distinct values of every property as JSON; list items in order, as one value. A column ``given``, if there, is the JSON of a statement's value."""
     return _by_property(_with_values(_references(statements), native_types)[0])
 
 

@@ -460,6 +460,15 @@ def test_frames(spark):
     f = frame.resolved(spark, {"@context": {"@vocab": EX}, "@type": "Person", "knows": {"@explicit": True, "name": {}}, "age": {"@default": 7}})
     got = [json.loads(r["node"]) for r in frame.framed(st, f).collect()]
     assert got == [{"@id": EX + "a", "@type": [EX + "Person"], EX + "name": [{"@value": "Ann"}], EX + "knows": [{"@id": EX + "b", "@type": [EX + "Dog"], EX + "name": [{"@language": "en", "@value": "Bo"}]}], EX + "age": [{"@value": 7}]}]
+    listed = rdf.with_lists(quads(spark, f"""
+<{EX}a> <{lit.TYPE}> <{EX}Person> .
+<{EX}a> <{EX}l> _:c .
+_:c <{lit.FIRST}> <{EX}b> .
+_:c <{lit.REST}> <{lit.NIL}> .
+<{EX}b> <{EX}name> "Bo" .
+"""))
+    got = [json.loads(r["node"]) for r in frame.framed(graph.listed(listed), frame.resolved(spark, {"@context": {"@vocab": EX}, "@type": "Person", "l": {"name": {}}})).collect()]
+    assert got == [{"@id": EX + "a", "@type": [EX + "Person"], EX + "l": [{"@list": [{"@id": EX + "b", EX + "name": [{"@value": "Bo"}]}]}]}]
     for bad, code in (({"@embed": "@maybe"}, "invalid @embed value"), ({"@id": 5}, "invalid frame"), ({"@type": "no iri", "@context": {}}, "invalid frame")):
         with pytest.raises(frame.FrameError) as e:
             frame.resolved(spark, {"@context": {"@vocab": EX}} | bad)
