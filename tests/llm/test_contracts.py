@@ -211,6 +211,29 @@ def test_op6(spark, data, docs_rows):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (200, 201, 202, 206)} == {"und"}
 
 
+def test_votes_by_recomputation():
+    """The winner of one-versus-one machines against counting by hand."""
+    import math
+
+    import numpy as np
+    from tessera.llm import language
+
+    rng = np.random.default_rng(3)
+    classes = ["a", "b", "c", "d"]
+    pairs = [(x, y) for i, x in enumerate(classes) for y in classes[i + 1 :]]
+    margins = {p: rng.normal(0, 1, 50) for p in pairs}
+    best, score = language._winner(classes, pairs, margins)
+    for row in range(50):
+        votes, mean = Counter(), Counter()
+        for x, y in pairs:
+            p = 1 / (1 + math.exp(-language.SLOPE * margins[x, y][row]))
+            votes[x if p > 0.5 else y] += 1
+            mean[x] += p / 3
+            mean[y] += (1 - p) / 3
+        top = max(classes, key=lambda c: (votes[c] + mean[c]))
+        assert classes[best[row]] == top and score[row] == pytest.approx(mean[top])
+
+
 def test_op7(spark, data, pages_rows):
     digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
     top = {}
