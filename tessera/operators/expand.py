@@ -368,7 +368,8 @@ def expand(docs: DataFrame, remote: DataFrame | None = None, base: str | None =
     value or nests deeper than max_depth, and with ``safe`` one that has a key
     which means nothing, has an error row (doc_id, code) and no statements. A
     null doc counts as one that isn't JSON. doc_id names documents: rows that
-    share one, or have none, are one document in several parts.
+    share one, or have none, are one document in several parts; equal rows are
+    one part.
     """
     spark = docs.sparkSession
     contexts = Contexts(spark, base, remote, mode, chain)
@@ -380,13 +381,14 @@ def expand(docs: DataFrame, remote: DataFrame | None = None, base: str | None =
             bad.append(docs.select("doc_id", F.lit(made["error"]).alias("code")))
             docs = docs.limit(0)
         start = made["ctx_key"] or start
-    parsed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.try_parse_json("doc").alias("v"))
+    # Places begin with a hash of the text, so that blank nodes of the parts of a document stay apart.
+    parsed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hex(F.xxhash64("doc")).alias("part"), F.try_parse_json("doc").alias("v"))
     bad.append(parsed.filter("v is null").select("doc_id", F.lit("loading document failed").alias("code")))
-    tops = parsed.filter("v is not null").select("doc_id", F.posexplode(items(F.col("v"))).alias("at", "v")).filter(members(F.col("v")).isNotNull())
+    tops = parsed.filter("v is not null").select("doc_id", "part", F.posexplode(items(F.col("v"))).alias("at", "v")).filter(members(F.col("v")).isNotNull())
     none = F.lit(None).cast("string")
     frontier = tops.select(
         "doc_id", F.lit(start).alias("ctx_key"), none.alias("enter"), F.lit(False).alias("lone"), none.alias("g"), none.alias("s"), none.alias("p"), F.lit(False).alias("rev"), F.lit(None).cast(HOW).alias("how"), none.alias("list"), F.lit(None).cast("int").alias("pos"),
-        none.alias("mk_kind"), none.alias("mk"), none.alias("ip"), F.lit(False).alias("graph"), none.alias("up"), F.col("at").cast("string").alias("at"), F.array("at").alias("ord"), F.to_json("v").alias("obj"), F.lit(base).cast("string").alias("base_url"),
+        none.alias("mk_kind"), none.alias("mk"), none.alias("ip"), F.lit(False).alias("graph"), none.alias("up"), F.concat_ws("_", "part", "at").alias("at"), F.array("at").alias("ord"), F.to_json("v").alias("obj"), F.lit(base).cast("string").alias("base_url"),
     )
     frontier = written(frontier, "objects")
     tables: list[DataFrame] = []

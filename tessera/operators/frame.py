@@ -178,11 +178,11 @@ def matching(statements: DataFrame, frame: dict, require_all: bool = False) -> D
     return reduced.filter(out).select(*node)
 
 
-def _defaults(frame: dict, present: Column) -> Column:
+def _defaults(frame: dict, present: Column, omit_default: bool = False) -> Column:
     """Entries for properties that a frame gives defaults and a node lacks."""
     extra = []
     for p, patterns in frame.items():
-        if p.startswith("@") or not patterns or not isinstance(patterns[0], dict) or _flag(patterns[0], "@omitDefault", _flag(frame, "@omitDefault", False)):
+        if p.startswith("@") or not patterns or not isinstance(patterns[0], dict) or _flag(patterns[0], "@omitDefault", _flag(frame, "@omitDefault", omit_default)):
             continue
         v = patterns[0].get("@default", "@null")
         text = "null" if v == "@null" else json.dumps(v if isinstance(v, (dict, list)) else {"@value": v}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -191,28 +191,30 @@ def _defaults(frame: dict, present: Column) -> Column:
     return F.filter(F.array(*extra), lambda x: x.isNotNull()) if extra else F.array().cast("array<struct<p:string,entry:string>>")
 
 
-def framed(statements: DataFrame, frame: dict, native_types: bool = True) -> DataFrame:
+def framed(statements: DataFrame, frame: dict, native_types: bool = True, explicit: bool = False, require_all: bool = False, omit_default: bool = False, default_graph: bool = False) -> DataFrame:
     """(doc_id, id, node): the nodes that a resolved frame describes, with what it embeds, as JSON.
 
-    Graphs are merged. Properties with a nested frame hold the nodes that fit
+    Graphs are merged, unless default_graph or a frame with @graph asks for the
+    default graph alone. explicit, require_all and omit_default hold where a
+    frame doesn't say. Properties with a nested frame hold the nodes that fit
     it, properties under @reverse those that point here; others keep their
     values, or go under @explicit. @embed: @never leaves references. Depth is
     the frame's own, so a circle in the data ends where the frame ends.
     """
-    st = written(merged(statements), "merged")
-    found = written(matching(st, frame).select("doc_id", "s").distinct(), "found")
-    return _nodes(st, frame, found, native_types).select("doc_id", F.col("s").alias("id"), "node")
+    st = written(statements.filter("g is null") if default_graph or "@graph" in frame else merged(statements), "merged")
+    found = written(matching(st, frame, require_all).select("doc_id", "s").distinct(), "found")
+    return _nodes(st, frame, found, native_types, (explicit, require_all, omit_default)).select("doc_id", F.col("s").alias("id"), "node")
 
 
-def frame_json(statements: DataFrame, frame: dict, native_types: bool = True, compact_arrays: bool = True, omit_graph: bool = True, prune: bool = True) -> tuple[DataFrame, DataFrame]:
+def frame_json(statements: DataFrame, frame: dict, native_types: bool = True, compact_arrays: bool = True, omit_graph: bool = True, prune: bool = True, **flags: bool) -> tuple[DataFrame, DataFrame]:
     """((doc_id, doc), errors): every document framed and compacted under the frame's context.
 
-    Several nodes stand in @graph, one alone only without omit_graph. With
+    flags are those of framed. Several nodes stand in @graph, one alone only without omit_graph. With
     prune, a blank node that the result names once has no @id. "@null" values
     of defaults are null.
     """
     f = resolved(statements.sparkSession, frame)
-    nodes = framed(statements, f, native_types)
+    nodes = framed(statements, f, native_types, **flags)
     # The nodes are expanded documents in several parts; @null stands for null until the end.
     e = expand(nodes.select("doc_id", F.regexp_replace("node", r'":null(?=[,}])', '":[{"@value":"@null"}]').alias("doc")))
     rows = e.tree
@@ -225,9 +227,9 @@ def frame_json(statements: DataFrame, frame: dict, native_types: bool = True, co
     return docs.select("doc_id", F.replace("doc", F.lit('"@null"'), F.lit("null")).alias("doc")), errors
 
 
-def _nodes(st: DataFrame, frame: dict, found: DataFrame, native_types: bool) -> DataFrame:
+def _nodes(st: DataFrame, frame: dict, found: DataFrame, native_types: bool, flags: tuple[bool, bool, bool]) -> DataFrame:
     own = st.join(found, ["doc_id", "s"], "left_semi")
-    explicit = _flag(frame, "@explicit", False)
+    explicit = _flag(frame, "@explicit", flags[0])
     nested = {p: v[0] for p, v in frame.items() if not p.startswith("@") and v and isinstance(v[0], dict) and not (set(v[0]) & {"@value", "@language", "@list"}) and v[0].get("@embed") not in ("@never", False, "false") and (set(v[0]) - {"@default", "@omitDefault"} or "@embed" in v[0] or v[0] == {})}
     if explicit:
         own = own.filter(F.col("p").isin(["@type", *(p for p in frame if not p.startswith("@"))]))
@@ -238,8 +240,8 @@ def _nodes(st: DataFrame, frame: dict, found: DataFrame, native_types: bool) ->
         edges = own.filter((F.col("p") == p) & is_ref).select("doc_id", "s", "o", F.col("list").isNotNull().alias("listed")).distinct()
         fit = edges.select("doc_id", F.col("o").alias("s")).distinct()
         if any(not k.startswith("@") or k in ("@id", "@type") for k in sub):
-            fit = fit.join(matching(st, sub).select("doc_id", "s").distinct(), ["doc_id", "s"], "left_semi")
-        child = _nodes(st, sub, written(fit, "found"), native_types).select("doc_id", F.col("s").alias("o"), F.col("node").alias("child"))
+            fit = fit.join(matching(st, sub, flags[1]).select("doc_id", "s").distinct(), ["doc_id", "s"], "left_semi")
+        child = _nodes(st, sub, written(fit, "found"), native_types, flags).select("doc_id", F.col("s").alias("o"), F.col("node").alias("child"))
         given.append(child.withColumn("p", F.lit(p)))
         ref = F.concat(F.lit('{"@id":'), lit.json_string(F.col("o")), F.lit("}"))
         held = edges.filter("not listed").join(child, ["doc_id", "o"], "left").groupBy("doc_id", "s").agg(F.array_sort(F.collect_list(F.struct("o", F.coalesce("child", ref).alias("child")))).alias("held"))
@@ -258,11 +260,11 @@ def _nodes(st: DataFrame, frame: dict, found: DataFrame, native_types: bool) ->
     for p, sub in frame.get("@reverse", {}).items():
         edges = st.filter((F.col("p") == p) & F.col("o_kind").isin("iri", "bnode")).select("doc_id", F.col("s").alias("from_"), F.col("o").alias("s")).join(found, ["doc_id", "s"], "left_semi")
         fit = edges.select("doc_id", F.col("from_").alias("s")).distinct()
-        child = _nodes(st, sub, written(fit, "found"), native_types).select("doc_id", F.col("s").alias("from_"), F.col("node").alias("child"))
+        child = _nodes(st, sub, written(fit, "found"), native_types, flags).select("doc_id", F.col("s").alias("from_"), F.col("node").alias("child"))
         held = edges.join(child, ["doc_id", "from_"]).groupBy("doc_id", "s").agg(F.array_sort(F.collect_set(F.struct("from_", "child"))).alias("held"))
         entries = entries.unionByName(held.select("doc_id", "s", F.lit("@reverse").alias("p"), F.concat(F.lit('"@reverse":{' + json.dumps(p) + ":["), F.array_join(F.transform("held", lambda x: x["child"]), ","), F.lit("]}")).alias("entry")))
     each = found.join(entries.groupBy("doc_id", "s").agg(F.collect_list(F.struct("p", "entry")).alias("es")), ["doc_id", "s"], "left")
     es = F.coalesce("es", F.array().cast("array<struct<p:string,entry:string>>"))
-    es = F.array_sort(F.concat(es, _defaults(frame, F.transform(es, lambda x: x["p"]))))
+    es = F.array_sort(F.concat(es, _defaults(frame, F.transform(es, lambda x: x["p"]), flags[2])))
     body = F.array_join(F.transform(es, lambda x: x["entry"]), ",")
     return each.select("doc_id", "s", F.concat(F.lit('{"@id":'), lit.json_string(F.col("s")), F.when(F.size(es) > 0, F.lit(",")).otherwise(""), body, F.lit("}")).alias("node"))

@@ -192,6 +192,18 @@ def test_safe_mode_expand_context_and_old_mode(spark):
     assert empty.statements.count() == empty.errors.count() == empty.tree.count() == 0
 
 
+def test_documents_in_parts(spark):
+    """Rows of one doc_id, and rows without one, are parts of a document: their blank nodes stay apart."""
+    from tessera.operators import tree
+
+    docs = spark.createDataFrame([(d, json.dumps({"http://p": {"http://q": k}})) for d in (1, None) for k in (1, 2)], "doc_id long, doc string")
+    e = expand(docs)
+    assert e.statements.filter("p = 'http://p'").select("doc_id", "s", "o").distinct().count() == 4
+    assert {r["doc_id"]: json.loads(r["doc"]) for r in tree.expanded_json(e.tree, docs).collect()} == {d: [{"http://p": [{"http://q": [{"@value": k}]}]} for k in (1, 2)] for d in (1, None)}
+    both, _ = frame.frame_json(e.statements, {"http://q": {}})
+    assert sorted(len(json.loads(r["doc"])["@graph"]) for r in both.collect()) == [2, 2]
+
+
 def test_rdf_round_trip(spark, expanded):
     quads = rdf.to_rdf(expanded[0])
     back = nquads.parse(nquads.serialize(quads))
@@ -460,6 +472,9 @@ def test_frames(spark):
     f = frame.resolved(spark, {"@context": {"@vocab": EX}, "@type": "Person", "knows": {"@explicit": True, "name": {}}, "age": {"@default": 7}})
     got = [json.loads(r["node"]) for r in frame.framed(st, f).collect()]
     assert got == [{"@id": EX + "a", "@type": [EX + "Person"], EX + "name": [{"@value": "Ann"}], EX + "knows": [{"@id": EX + "b", "@type": [EX + "Dog"], EX + "name": [{"@language": "en", "@value": "Bo"}]}], EX + "age": [{"@value": 7}]}]
+    plain = frame.resolved(spark, {"@context": {"@vocab": EX}, "@type": "Person", "knows": {}, "age": {"@default": 7}})
+    got = [json.loads(r["node"]) for r in frame.framed(st, plain, explicit=True, omit_default=True, default_graph=True).collect()]
+    assert got == [{"@id": EX + "a", "@type": [EX + "Person"], EX + "knows": [{"@id": EX + "b", "@type": [EX + "Dog"]}]}]
     listed = rdf.with_lists(quads(spark, f"""
 <{EX}a> <{lit.TYPE}> <{EX}Person> .
 <{EX}a> <{EX}l> _:c .
