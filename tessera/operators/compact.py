@@ -102,7 +102,7 @@ def _preferences(rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     graphs = F.when(c("is_graph"), F.concat(F.when(index, lits("@graph@index", "@graph@index@set", "@index", "@index@set")).otherwise(none), F.when(c("named"), lits("@graph@id", "@graph@id@set")).otherwise(none), lits("@graph", "@graph@set", "@set"), F.when(~index, lits("@graph@index", "@graph@index@set")).otherwise(none), F.when(~c("named"), lits("@graph@id", "@graph@id@set")).otherwise(none)))
     containers = F.concat(
-        F.when(index & ~c("is_graph"), lits("@index", "@index@set")).otherwise(none), F.coalesce(graphs, none), F.when(ref & ~c("is_graph") & leaf | ref & ~c("is_graph") & ~leaf, lits("@id", "@id@set", "@type", "@set@type")).otherwise(none),
+        F.when(index & ~c("is_graph"), lits("@index", "@index@set")).otherwise(none), F.coalesce(graphs, none), F.when(ref & ~c("is_graph"), lits("@id", "@id@set", "@type", "@set@type")).otherwise(none),
         F.when(is_list & ~index, lits("@list")).otherwise(none), F.when(literal & tongue.isNotNull() & ~index, lits("@language", "@language@set")).otherwise(none), lits("@set", "@none"),
         F.when(~index, lits("@index", "@index@set")).otherwise(none), F.when(literal & tongue.isNull() & said.isNull() & ~index, lits("@language", "@language@set")).otherwise(none),
     )

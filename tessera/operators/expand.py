@@ -35,6 +35,10 @@ FRONTIER = f"doc_id long, ctx_key string, enter string, lone boolean, g string,
 LEVEL = "doc_id long, g string, s string, p string, o string, o_kind string, datatype string, language string, direction string, idx string, list string, pos int, error string, up string, at string, ord array<int>, rev boolean, named boolean, json string"
 
 
+#: Objects of a level up to which its file may be one, and is dealt to all cores again: reading them costs more than moving them.
+FEW_OBJECTS = 1_000_000
+
+
 @dataclass
 class Expanded:
     """statements; errors (doc_id, code); tree: the rows with what the JSON form needs of them (STATEMENT and TREE columns, p and o null where a row is no statement)."""
@@ -403,6 +407,8 @@ def expand(docs: DataFrame, remote: DataFrame | None = None, base: str | None =
         entered, wrong = _enter(frontier, contexts, bool(local))
         bad.append(wrong)
         entered = _unnested(entered, contexts) if nests or contexts.nests else entered.withColumns({"extra": F.lit(None).cast("string"), "bad_nest": F.lit(False)})
+        if n <= FEW_OBJECTS:
+            entered = entered.repartition(spark.sparkContext.defaultParallelism)
         entered = entered.join(contexts.rows.select("ctx_key", "aliases", "base", "vocab", F.col("language").alias("own_language"), F.col("direction").alias("own_direction"), "terms"), "ctx_key")
         if contexts.scoped:
             entered = entered.join(contexts.rows.select(F.col("ctx_key").alias("type_key"), F.col("terms").alias("type_terms"), F.col("vocab").alias("type_vocab")), "type_key")
