@@ -6,10 +6,13 @@ from .html_text import op10
 from .language import op6
 from .mixing import ORACLE8, op8
 from .packing import op9
+from .phrases import ORACLE13, op13
 from .quality import ORACLE5, op5
 from .sharding import op1
 from .simhash import op3
+from .spelling import ORACLE12, op12
 from .substrings import op2
+from .toxicity import op11
 from .warc import op7
 
 QUERIES = {
@@ -23,8 +26,13 @@ QUERIES = {
     "op8_mixing": op8,
     "op9_packing": op9,
     "op10_html_text": op10,
+    "op11_toxicity": op11,
+    "op12_spelling": op12,
+    "op13_phrases": op13,
 }
 ORACLE = {
     "op5_quality": ORACLE5,
     "op8_mixing": ORACLE8,
+    "op12_spelling": ORACLE12,
+    "op13_phrases": ORACLE13,
 }

@@ -4,6 +4,7 @@ import random
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket string"
+LABELS = "doc_id long, quality int, toxic int, text string, score double"
 PAGES = "page_id long, url string, html string, text string"
 
 STOPS = {"en": "the of and to in is".split(), "de": "der die und das ist ein".split(), "fr": "le la et les des est".split(), "es": "el los y que del una".split()}
@@ -52,6 +53,12 @@ def site():
     return [(p, u, h, "clash") for p, u, h in rows]
 
 
+def judged():
+    """Labels of every other document, some twice, null or of no document."""
+    rows = [(i, 1, int(i % 10 == 0), "clash", 0.5) for i in range(0, 130, 2)]
+    return [*rows, (4, 1, 1, "clash", 0.5), (6, 1, None, None, None), (None, 0, 1, None, None), (999, 0, 1, None, None), (200, 0, 0, None, None), (205, 0, 1, None, None)]
+
+
 @pytest.fixture(scope="session")
 def docs_rows():
     return corpus()
@@ -64,9 +71,9 @@ def pages_rows():
 
 @pytest.fixture(scope="session")
 def data(spark, tmp_path_factory):
-    """A folder with documents and pages, and one with empty tables."""
+    """A folder with documents, pages and labels, and one with empty tables."""
     full, empty = tmp_path_factory.mktemp("full"), tmp_path_factory.mktemp("empty")
-    for rows, schema, name in ((corpus(), DOCS, "documents"), (site(), PAGES, "pages")):
+    for rows, schema, name in ((corpus(), DOCS, "documents"), (site(), PAGES, "pages"), (judged(), LABELS, "labels")):
         spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{full}/{name}.parquet")
         spark.createDataFrame([], schema).write.parquet(f"{empty}/{name}.parquet")
     return str(full), str(empty)
