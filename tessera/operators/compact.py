@@ -90,7 +90,7 @@ def _preferences(rows: DataFrame) -> DataFrame:
     c = F.col
     leaf = c("at").isNull()
     is_list = c("is_list")
-    literal = leaf & c("o_kind").isin("lit", "json")
+    literal = leaf & c("o_kind").isin("lit", "json", "null")
     ref = ~is_list & ~literal & (c("o_kind").isin("iri", "bnode"))
     said = F.when(literal, F.when(c("o_kind") == "json", F.lit("@json")).otherwise(F.get_json_object("json", "$['@type']")))
     tongue = F.when(c("direction").isNotNull(), F.concat(F.coalesce("language", F.lit("")), F.lit("_"), "direction")).otherwise(c("language"))
@@ -152,7 +152,7 @@ def _leaf_text(rows: DataFrame) -> DataFrame:
     name = F.when((c("p") == "@type") | (c("def.type") == "@vocab"), c("id_vocab")).otherwise(c("id_short"))
     as_name = (c("p") == "@type") | (c("def.type").isin("@id", "@vocab") & index.isNull())
     ref = F.when(_no(as_name), lit.json_string(name)).otherwise(F.concat(F.lit("{"), joined(F.array_sort(F.filter(F.array(member("@id", lit.json_string(name)), member("@index", string(index))), lambda x: x.isNotNull()))), F.lit("}")))
-    return rows.withColumn("leaf", F.when(c("literal"), value).when(c("at").isNull() & c("json").isNotNull(), ref))
+    return rows.withColumn("leaf", F.when(c("o_kind") == "null", "null").when(c("literal"), value).when(c("at").isNull() & c("json").isNotNull(), ref))
 
 
 _KEEP = ["doc_id", "up", "at", "ord", "p", "rev", "named", "idx", "is_list", "is_graph", "term", "under_reverse", "json", "language", "o_kind", "o"]

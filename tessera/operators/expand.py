@@ -1,11 +1,13 @@
 """Expansion: JSON-LD documents to statements, level by level.
 
 A statement is a row (doc_id, g, s, p, o, o_kind, datatype, language,
-direction, idx, list, pos). o_kind is iri, bnode, lit, json or list. Items of
-an ordered list share ``list`` and count up in ``pos``; an empty list is one
-row with pos null. A list in a list is an item of kind list, and its own items
-have it as s and "@list" as p. Native numbers and booleans keep their text
-under their XSD type.
+direction, idx, list, pos, json). o_kind is iri, bnode, lit, json, list or
+empty. Items of an ordered list share ``list`` and count up in ``pos``; an
+empty list is one row with pos null. A list in a list is an item of kind list,
+and its own items have it as s and "@list" as p. A property that holds an
+empty array is a row of kind empty without an o. Native numbers and booleans
+keep their text under their XSD type, as RDF sees them; ``json`` is the value
+as the document has it, so that 1 and "1" with a type stay apart.
 
 A level holds the objects of one depth. Each finds its active context (going
 back from type-scoped ones, then its property's, its own and its types'), is
@@ -26,13 +28,13 @@ from tessera.functions import literals as lit
 from tessera.operators.context import KEYWORDS, Contexts, expand_iri, is_null, items, members, step, text_of
 from tessera.sources.shared import written
 
-STATEMENT = ["doc_id", "g", "s", "p", "o", "o_kind", "datatype", "language", "direction", "idx", "list", "pos"]
-#: Of a row in the document's tree: the place of the object it lies in, its own place (of objects and lists), its order there, whether under @reverse, whether it wrote its name, and a leaf's JSON.
-TREE = ["up", "at", "ord", "rev", "named", "json"]
+STATEMENT = ["doc_id", "g", "s", "p", "o", "o_kind", "datatype", "language", "direction", "idx", "list", "pos", "json"]
+#: Of a row in the document's tree: the place of the object it lies in, its own place (of objects and lists), its order there, whether under @reverse, and whether it wrote its name.
+TREE = ["up", "at", "ord", "rev", "named"]
 #: How values under a property are read.
 HOW = "struct<type:string,language:string,plain:boolean,direction:string,undirected:boolean>"
 FRONTIER = f"doc_id long, ctx_key string, enter string, lone boolean, g string, s string, p string, rev boolean, how {HOW}, list string, pos int, mk_kind string, mk string, ip string, graph boolean, up string, at string, ord array<int>, obj string"
-LEVEL = "doc_id long, g string, s string, p string, o string, o_kind string, datatype string, language string, direction string, idx string, list string, pos int, error string, up string, at string, ord array<int>, rev boolean, named boolean, json string"
+LEVEL = "doc_id long, g string, s string, p string, o string, o_kind string, datatype string, language string, direction string, idx string, list string, pos int, json string, error string, up string, at string, ord array<int>, rev boolean, named boolean"
 
 
 #: Objects of a level up to which its file may be one, and is dealt to all cores again: reading them costs more than moving them.
@@ -332,7 +334,9 @@ def _rows(n: DataFrame, safe: bool) -> DataFrame:
     # A member is no row of its own where its object isn't one (floating values), or where it goes to the next level.
     real = c("predicate").isNotNull() & ~c("predicate").isin("@graph", "@included") & c("subject").isNotNull() & ~c("dropped")
     hole = ~c("deeper") & c("v").isNull() & ~c("me")
-    says = real & (c("o_").isNotNull() | (c("in_list") & hole & ~c("nested")))
+    nothing = hole & ~c("in_list") & ~c("swap")
+    n = n.withColumn("o_kind", F.when(nothing & real, "empty").otherwise(c("o_kind")))
+    says = real & (c("o_").isNotNull() | (c("in_list") & hole & ~c("nested")) | nothing)
     tree = ~c("dropped") & (c("is_node") | (c("me") & list_me & ~free) | (c("leaf") & ~free) | (hole & ~free & ~c("in_list")))
     child = F.when(~c("deeper"), None).when(is_obj, F.to_json("v")).when(c("arr"), F.concat(F.lit(F.when(c("in_list"), '{"@list":').otherwise('{"@set":')), F.to_json("v"), F.lit("}"))).otherwise(F.concat(F.lit('{"@id":'), F.to_json("v"), F.lit("}")))
     kid_s = F.when(c("predicate").isin("@graph", "@included"), None).otherwise(c("subject"))

@@ -22,7 +22,7 @@ def reversed_edges(statements: DataFrame) -> DataFrame:
     """Node-to-node statements with subject and object in each other's place."""
     kind = F.when(F.col("s").startswith("_:"), "bnode").otherwise("iri")
     edges = statements.filter(F.col("o_kind").isin("iri", "bnode") & (F.col("p") != "@type") & F.col("list").isNull())
-    return edges.select("doc_id", "g", F.col("o").alias("s"), "p", F.col("s").alias("o"), kind.alias("o_kind"), *STATEMENT[6:])
+    return edges.select("doc_id", "g", F.col("o").alias("s"), "p", F.col("s").alias("o"), kind.alias("o_kind"), *STATEMENT[6:12], F.lit(None).cast("string").alias("json"))
 
 
 def _references(statements: DataFrame) -> DataFrame:
@@ -30,8 +30,7 @@ def _references(statements: DataFrame) -> DataFrame:
     listed = F.col("list").isNotNull()
     items = statements.filter(listed).withColumns({"s": F.col("list"), "p": F.lit("@list")})
     none = F.lit(None)
-    more = [none.cast("string").alias("given")] if "given" in statements.columns else []
-    refs = statements.filter(listed & (F.col("p") != "@list")).select("doc_id", "g", "s", "p", F.col("list").alias("o"), F.lit("list").alias("o_kind"), *[none.cast("string").alias(c) for c in STATEMENT[6:11]], none.cast("int").alias("pos"), *more).distinct()
+    refs = statements.filter(listed & (F.col("p") != "@list")).select("doc_id", "g", "s", "p", F.col("list").alias("o"), F.lit("list").alias("o_kind"), *[none.cast("string").alias(c) for c in STATEMENT[6:11]], none.cast("int").alias("pos"), none.cast("string").alias("json")).distinct()
     return statements.filter(~listed).unionByName(refs).unionByName(items)
 
 
@@ -46,8 +45,6 @@ def listed(statements: DataFrame) -> DataFrame:
 def _with_values(st: DataFrame, native_types: bool) -> tuple[DataFrame, DataFrame]:
     """(statements that are no items, with ``value``: their JSON, lists in lists put together from the inside, a level a round; (doc_id, list) of those that hold each other)."""
     st = st.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC))).withColumn("value", value_json(native_types))
-    if "given" in st.columns:
-        st = st.withColumn("value", F.coalesce("given", "value")).drop("given")
     st = st.withColumn("value", F.when(F.col("o_kind") != "list", F.col("value")).when(F.col("o") == lit.NIL, '{"@list":[]}'))
     waiting = written(st.filter("list is not null").select("doc_id", "list", "pos", "o", "o_kind", "value"), "items")
     done = []
@@ -72,25 +69,30 @@ def _by_property(valued: DataFrame) -> DataFrame:
 
 
 def properties(statements: DataFrame, native_types: bool = False) -> DataFrame:
-    """(doc_id, g, s, p, values): the sorted, distinct values of every property as JSON; list items in order, as one value. A column ``given``, if there, is the JSON of a statement's value."""
+    """(doc_id, g, s, p, values): the sorted, distinct values of every property as JSON; list items in order, as one value; none for an empty array."""
     return _by_property(_with_values(_references(statements), native_types)[0])
 
 
 def conflicting_indexes(statements: DataFrame) -> DataFrame:
-    """(doc_id, code) of documents that give one node two indexes."""
+    """(doc_id, code) of documents that give one node two indexes in a graph."""
     return statements.filter("idx is not null and o_kind in ('iri', 'bnode')").groupBy("doc_id", "g", "o").agg(F.countDistinct("idx").alias("n")).filter("n > 1").select("doc_id", F.lit("conflicting indexes").alias("code")).distinct()
 
 
 def _nodes(props: DataFrame) -> DataFrame:
-    entry = F.concat(lit.json_string(F.col("p")), F.lit(":["), F.array_join("values", ","), F.lit("]"))
+    held = F.array_join("values", ",")
+    entry = F.concat(lit.json_string(F.col("p")), F.lit(":"), F.when(F.col("p") == "@index", held).otherwise(F.concat(F.lit("["), held, F.lit("]"))))
     each = props.groupBy("doc_id", "g", "s").agg(F.array_sort(F.collect_list(F.struct("p", entry.alias("entry")))).alias("entries"))
     text = F.concat(F.lit('{"@id":'), lit.json_string(F.col("s")), F.lit(","), F.array_join(F.transform("entries", lambda x: x["entry"]), ","), F.lit("}"))
     return each.select("doc_id", "g", F.col("s").alias("id"), text.alias("node"))
 
 
 def nodes(statements: DataFrame, native_types: bool = False) -> DataFrame:
-    """(doc_id, g, id, node): one flattened node object per graph and subject, keys sorted. A node that only has a name has no row."""
-    return _nodes(properties(statements, native_types))
+    """(doc_id, g, id, node): one flattened node object per graph and subject, keys sorted, with the index that it is given where it is named. A node that only has a name has no row."""
+    props = properties(statements, native_types)
+    indexed = statements.filter("idx is not null and o_kind in ('iri', 'bnode') and p != '@type'").groupBy("doc_id", "g", F.col("o").alias("s")).agg(F.min("idx").alias("idx"))
+    keys = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("doc_id", "g", "s")]
+    own = indexed.alias("a").join(props.select("doc_id", "g", "s").distinct().alias("b"), keys, "left_semi")
+    return _nodes(props.unionByName(own.select("doc_id", "g", "s", F.lit("@index").alias("p"), F.array(lit.json_string(F.col("idx"))).alias("values"))))
 
 
 def folded(all_nodes: DataFrame) -> DataFrame:
@@ -107,8 +109,15 @@ def folded(all_nodes: DataFrame) -> DataFrame:
 
 
 def flatten(statements: DataFrame, native_types: bool = False) -> DataFrame:
-    """(doc_id, doc): every document flattened."""
-    return folded(nodes(statements, native_types))
+    """(doc_id, doc): every document flattened, values as it has them (with native_types those that come from RDF as native ones), but those that flatten_errors names."""
+    wrong = written(flatten_errors(statements), "conflicts").select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("wrong_"))
+    right = statements.join(wrong, F.coalesce("doc_id", F.lit(NO_DOC)) == F.col("wrong_"), "left_anti")
+    return folded(nodes(right, native_types))
+
+
+def flatten_errors(statements: DataFrame) -> DataFrame:
+    """(doc_id, code) of the documents that can't be flattened."""
+    return conflicting_indexes(statements)
 
 
 def from_rdf_json(quads: DataFrame, native_types: bool = False, rdf_type: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ def to_rdf(statements: DataFrame, keep_ill_formed: bool = False) -> DataFrame:
     """
     p = F.when(F.col("p") == "@type", lit.TYPE).otherwise(F.col("p"))
     kind = F.when(F.col("o_kind") == "json", "lit").otherwise(F.col("o_kind"))
-    st = statements.withColumn("p", p).withColumn("o_kind", kind)
+    st = statements.filter("o_kind is distinct from 'empty'").withColumn("p", p).withColumn("o_kind", kind)
     none = F.lit(None).cast("string")
     plain = st.filter("list is null").select(*QUAD)
     chain = Window.partitionBy("doc_id", "list").orderBy("pos")
@@ -115,7 +115,7 @@ def with_lists(quads: DataFrame, unlisted: DataFrame | None = None) -> DataFrame
     kind = F.when(F.coalesce("is_head", F.lit(False)) | empty, "list").when((F.col("o_kind") == "lit") & (F.col("datatype") == lit.JSON), "json").otherwise(F.col("o_kind"))
     return rows.select(
         F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), "g", F.coalesce("list", "s").alias("s"), p.alias("p"), "o", kind.alias("o_kind"), "datatype", "language", F.lit(None).cast("string").alias("direction"),
-        F.lit(None).cast("string").alias("idx"), "list", F.col("depth").cast("int").alias("pos"),
+        F.lit(None).cast("string").alias("idx"), "list", F.col("depth").cast("int").alias("pos"), F.lit(None).cast("string").alias("json"),
     ).select(*STATEMENT)
 
 
@@ -128,7 +128,7 @@ def native(value: Column, datatype: Column) -> Column:
 
 
 def value_json(native_types: bool = False) -> Column:
-    """A statement's object as an expanded value, JSON text with sorted keys."""
+    """A statement's object as an expanded value, JSON text with sorted keys: as its document has it, or with native_types as its XSD type allows. Null for kind empty."""
     o = lit.json_string(F.col("o"))
     typed = F.concat(F.lit('{"@type":'), lit.json_string(F.col("datatype")), F.lit(',"@value":'), o, F.lit("}"))
     tagged = F.concat(F.lit("{"), F.when(F.col("direction").isNotNull(), F.concat(F.lit('"@direction":'), lit.json_string(F.col("direction")), F.lit(","))).otherwise(""), F.when(F.col("language").isNotNull(), F.concat(F.lit('"@language":'), lit.json_string(F.col("language")), F.lit(","))).otherwise(""), F.lit('"@value":'), o, F.lit("}"))
@@ -137,4 +137,5 @@ def value_json(native_types: bool = False) -> Column:
         literal = F.coalesce(F.concat(F.lit('{"@value":'), native(F.col("o"), F.col("datatype")), F.lit("}")), literal)
     node = F.concat(F.lit('{"@id":'), o, F.lit("}"))
     json = F.concat(F.lit('{"@type":"@json","@value":'), F.col("o"), F.lit("}"))
-    return F.when(F.col("o_kind").isin("iri", "bnode"), F.when(F.col("p") == "@type", o).otherwise(node)).when(F.col("o_kind") == "json", json).otherwise(literal)
+    own = F.when(F.col("o_kind").isin("lit", "json"), F.col("json"))
+    return F.when(F.col("o_kind").isin("iri", "bnode"), F.when(F.col("p") == "@type", o).otherwise(node)).when(F.col("o_kind") == "empty", None).when(own.isNotNull(), own).when(F.col("o_kind") == "json", json).otherwise(literal)

@@ -52,12 +52,8 @@ def put_together(tree: DataFrame, entries, close, keyed=None) -> DataFrame:
     return tops
 
 
-def expanded_json(tree: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, doc): every document of an expanded tree as expanded JSON, keys sorted.
-
-    With docs (doc_id), documents that say nothing are empty arrays; without,
-    they have no row.
-    """
+def top_objects(tree: DataFrame) -> DataFrame:
+    """The outermost objects of an expanded tree, with ``text``, their expanded JSON; a missing doc_id is NO_DOC."""
     own = ["doc_id", "up"]
     tree = tree.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_DOC)))
 
@@ -77,7 +73,16 @@ def expanded_json(tree: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         listed = F.concat(F.lit("{"), F.concat_ws(",", member("@index", F.col("idx")), F.concat(F.lit('"@list":['), F.coalesce("parts.items", F.lit("")), F.lit("]"))), F.lit("}"))
         return F.when(is_list, listed).otherwise(F.concat(F.lit("{"), joined(F.transform(every, lambda x: x["e"])), F.lit("}")))
 
-    tops = put_together(tree, entries, close)
+    return put_together(tree, entries, close)
+
+
+def expanded_json(tree: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, doc): every document of an expanded tree as expanded JSON, keys sorted.
+
+    With docs (doc_id), documents that say nothing are empty arrays; without,
+    they have no row.
+    """
+    tops = top_objects(tree)
     # A top object that only has a name says nothing.
     tops = tops.filter(~F.col("text").rlike(r'^\{(?:"@id":"(?:[^"\\]|\\.)*+")?\}$'))
     out = tops.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("all")).select(F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.concat(F.lit("["), joined(F.transform("all", lambda x: x["text"])), F.lit("]")).alias("doc"))

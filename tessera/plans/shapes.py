@@ -10,6 +10,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import literals as lit
 from tessera.operators import compact, frame, graph, rdf, tree
 from tessera.operators.expand import Expanded, expand
 
@@ -178,6 +179,62 @@ def _unsafe_terms(spark, sf_dir):
 QUERIES["error_invalid_term"], ORACLE["error_invalid_term"] = _unsafe_terms, "SELECT c_custkey::BIGINT AS doc_id, 'invalid term' AS code FROM customer"
 
 
+def frames(name: str, doc, shape: dict, want: dict, **options) -> None:
+    """A query that frames every document, and another that names documents which can't be."""
+    template = json.dumps(doc)
+    QUERIES[f"frame_{name}"] = lambda spark, sf_dir: frame.frame_json(expanded(spark, sf_dir, template).statements, shape, **options)[0]
+    context = '{"@context":' + text_of(shape["@context"]) + ","
+    ORACLE[f"frame_{name}"] = wanted(context + text_of(want)[1:])
+
+
+_C = {"@context": V}
+#: A customer, a nation and a region that name each other in circles.
+_CIRCLE = [{**_C, "@id": ME, "@type": "Customer", "name": "$n", "nation": {"@id": EX + "n/$k", "@type": "Nation", "region": {"@id": EX + "r/$k", "size": 5, "best": {"@id": ME}, "holds": {"@id": EX + "n/$k"}}}, "region": {"@id": EX + "r/$k"}}]
+_REGION = {"@id": EX + "r/$k", "size": 5, "best": {"@id": ME}, "holds": {"@id": EX + "n/$k"}}
+_NATION = {"@id": EX + "n/$k", "@type": "Nation", "region": _REGION}
+_LEFT = {"@id": ME, "@type": "Customer", "name": "$n"}
+_ID = lambda x: {"@id": x["@id"]}
+frames("once", _CIRCLE, {**_C, "@type": "Customer"}, {**_LEFT, "nation": _NATION, "region": _ID(_REGION)})
+frames("first", _CIRCLE, {**_C, "@type": "Customer", "@embed": "@first"}, {**_LEFT, "nation": _NATION, "region": _ID(_REGION)})
+frames("last", _CIRCLE, {**_C, "@type": "Customer"}, {**_LEFT, "nation": _ID(_NATION), "region": {**_REGION, "holds": {**_NATION, "region": _ID(_REGION)}}}, embed="@last")
+frames("cycle", _CIRCLE, {**_C, "@type": "Customer", "@embed": "@always"}, {**_LEFT, "nation": _NATION, "region": {**_REGION, "holds": {**_NATION, "region": _ID(_REGION)}}})
+frames("link", _CIRCLE, {**_C, "@type": "Customer", "@embed": "@link"}, {**_LEFT, "nation": _NATION, "region": {**_REGION, "holds": {**_NATION, "region": _ID(_REGION)}}})
+frames("never", _CIRCLE, {**_C, "@type": "Customer", "@embed": "@never"}, {**_LEFT, "nation": _ID(_NATION), "region": _ID(_REGION)})
+frames("explicit", _CIRCLE, {**_C, "@type": "Customer", "@explicit": True, "nation": {"@explicit": True, "region": {}}}, {"@id": ME, "@type": "Customer", "nation": _NATION})
+frames("nested_never", _CIRCLE, {**_C, "@type": "Customer", "nation": {"region": {"@embed": "@never"}}}, {**_LEFT, "nation": {**_NATION, "region": _ID(_REGION)}, "region": _REGION})
+frames("unfit", _CIRCLE, {**_C, "@type": "Customer", "nation": {"@type": "Else"}, "region": {"size": {"@value": 5}}}, {**_LEFT, "nation": None, "region": {**_REGION, "holds": {**_NATION, "region": _ID(_REGION)}}})
+#: Two graphs that customers name, and a default graph.
+_GRAPHS = [{**_C, "@id": ME, "@type": "Customer", "name": "$n", "@graph": [{"@id": EX + "o/$k", "@type": "Order", "part": {"@id": EX + "p/$k"}}, {"@id": EX + "p/$k", "@type": "Part", "n": 1}]}, {**_C, "@id": EX + "other", "@type": "Thing"}]
+frames("graphs", _GRAPHS, {**_C, "@type": "Customer", "@graph": {}}, {**_LEFT, "@graph": [{"@id": EX + "o/$k", "@type": "Order", "part": {"@id": EX + "p/$k", "@type": "Part", "n": 1}}]})
+frames("graph_parts", _GRAPHS, {**_C, "@type": "Customer", "@graph": {"@type": "Part"}}, {**_LEFT, "@graph": [{"@id": EX + "p/$k", "@type": "Part", "n": 1}]})
+frames("default_graph", _GRAPHS, {**_C, "@type": "Customer"}, {**_LEFT, "@graph": [{"@id": EX + "o/$k", "@type": "Order", "part": {"@id": EX + "p/$k", "@type": "Part", "n": 1}}]}, default_graph=True)
+frames("merged_graphs", _GRAPHS, {**_C, "@type": "Order"}, {"@id": EX + "o/$k", "@type": "Order", "part": {"@id": EX + "p/$k", "@type": "Part", "n": 1}})
+frames("included", _CIRCLE, {**_C, "@type": "Customer", "@explicit": True, "name": {}, "@included": {"@type": "Nation"}}, {**_LEFT, "@included": {**_NATION}})
+_TEXTS = [{**_C, "@id": ME, "@type": "Customer", "a": "a\":null}", "b": "@null", "c": "\":null,", "j": {"@type": "@json", "@value": {"k": None, "n": "$n"}}, "none": [], "l": {"@list": [1, {"@id": EX + "x", "size": True}, {"@list": ["1", 2.5]}]}}]
+frames("null_texts", _TEXTS, {**_C, "@type": "Customer", "missing": {}, "said": {"@default": "@null"}, "given": {"@default": "null"}},
+       {"@id": ME, "@type": "Customer", "a": "a\":null}", "b": "@null", "c": "\":null,", "j": {"@type": "@json", "@value": {"k": None, "n": "$n"}}, "l": {"@list": [1, {"@id": EX + "x", "size": True}, {"@list": ["1", 2.5]}]}, "missing": None, "said": None, "given": "null"})
+frames("list_items", [{**_C, "@id": ME, "@type": "Customer", "l": {"@list": [{"@id": EX + "x", "size": 1, "name": "$n"}, 3]}}], {**_C, "l": {"@list": [{"@explicit": True, "name": {}}]}}, {"@id": ME, "@type": "Customer", "l": {"@list": [{"@id": EX + "x", "name": "$n"}, 3]}})
+frames("omit_graph", _CIRCLE, {**_C, "@type": "Customer", "@explicit": True}, {"@graph": [{"@id": ME, "@type": "Customer"}]}, omit_graph=False)
+frames("blank_names", [{**_C, "@id": ME, "@type": "Customer", "p": {"name": "$n", "q": {"n": 2}}}], {**_C, "@type": "Customer"}, {"@id": ME, "@type": "Customer", "p": {"name": "$n", "q": {"n": 2}}})
+
+
+def _flattened_as_it_is(spark, sf_dir):
+    """Native values, the same as strings with a type, empty arrays and an index."""
+    doc = {**_C, "@id": ME, "e": [], "i": 1, "t": {"@value": "1", "@type": lit.INTEGER}, "d": {"@value": 1, "@type": lit.DOUBLE}, "b": True, "f": 1.5, "s": {"@set": []}, "both": [1, {"@value": "1", "@type": lit.INTEGER}], "x": {"@id": EX + "x", "@index": "i", "name": "$n"}, "v": {"@value": "v", "@index": "k"}}
+    return graph.flatten(expanded(spark, sf_dir, json.dumps(doc)).statements)
+
+
+QUERIES["flatten_native"], ORACLE["flatten_native"] = _flattened_as_it_is, wanted(text_of([
+    {"@id": ME, EX + "b": value(True), EX + "both": [{"@type": lit.INTEGER, "@value": "1"}, {"@value": 1}], EX + "d": [{"@type": lit.DOUBLE, "@value": 1}], EX + "e": [], EX + "f": value(1.5), EX + "i": value(1), EX + "s": [], EX + "t": [{"@type": lit.INTEGER, "@value": "1"}], EX + "v": [{"@index": "k", "@value": "v"}], EX + "x": [{"@id": EX + "x"}]},
+    {"@id": EX + "x", "@index": "i", EX + "name": value("$n")},
+]))
+
+_TWO_INDEXES = json.dumps({"@context": V, "a": {"@id": ME, "@index": "one"}, "b": {"@id": ME, "@index": "two"}, "name": "$n"})
+QUERIES["error_flatten"] = lambda spark, sf_dir: graph.flatten_errors(expanded(spark, sf_dir, _TWO_INDEXES).statements)
+QUERIES["error_frame"] = lambda spark, sf_dir: frame.frame_json(expanded(spark, sf_dir, _TWO_INDEXES).statements, {**_C, "name": {}})[1]
+ORACLE["error_flatten"] = ORACLE["error_frame"] = ORACLE["error_conflicting_indexes"]
+
+
 def _framed(spark, sf_dir):
     """Framed and compacted, blank nodes that are named once without a name."""
     context = {**V, "knows": {"@type": "@id"}}

@@ -452,6 +452,31 @@ def test_compact(spark, expanded):
         compact.compact_json(expanded[2], '{"a":"b"}')
 
 
+def walked(edges, kind):
+    """What node 0 embeds, by walking: @last walks backwards, as the last place of one walk is the first of the other."""
+    if not any(a == 0 for a, _, _ in edges):
+        return None
+    seen, subjects = {0}, {a for a, _, _ in edges}
+
+    def node(n, above):
+        out = {"@id": f"{EX}{n}"}
+        if n in subjects:
+            out["@type"] = [EX + ("N" if n else "R")]
+        for _, p, b in sorted((x for x in edges if x[0] == n), key=lambda x: (x[1], x[2]), reverse=kind == "@last"):
+            if b in above or (kind != "@always" and b in seen):
+                child = {"@id": f"{EX}{b}"}
+            else:
+                seen.add(b)
+                child = node(b, above | {b})
+            out.setdefault(EX + p, []).append(child)
+        for p in ("p", "q"):
+            if EX + p in out:
+                out[EX + p].sort(key=lambda x: x["@id"])
+        return out
+
+    return node(0, {0})
+
+
 def test_frames(spark):
     q = quads(spark, f"""
 <{EX}a> <{lit.TYPE}> <{EX}Person> .
@@ -484,6 +509,17 @@ _:c <{lit.REST}> <{lit.NIL}> .
 """))
     got = [json.loads(r["node"]) for r in frame.framed(graph.listed(listed), frame.resolved(spark, {"@context": {"@vocab": EX}, "@type": "Person", "l": {"name": {}}})).collect()]
     assert got == [{"@id": EX + "a", "@type": [EX + "Person"], EX + "l": [{"@list": [{"@id": EX + "b", EX + "name": [{"@value": "Bo"}]}]}]}]
+    # Walks against a model: random graphs, each kind of embedding.
+    import random
+
+    rng = random.Random(2)
+    edges = {d: {(rng.randrange(6), rng.choice("pq"), rng.randrange(6)) for _ in range(rng.randrange(4, 14))} for d in range(12)}
+    st = expand(spark.createDataFrame([(d, json.dumps([{"@context": {"@vocab": EX}, "@id": f"{EX}{a}", "@type": "N" if a else "R", p: {"@id": f"{EX}{b}"}} for a, p, b in sorted(e)])) for d, e in edges.items()], "doc_id long, doc string")).statements
+    for kind in ("@once", "@last", "@always"):
+        shape = frame.resolved(spark, {"@context": {"@vocab": EX}, "@type": "R"})
+        got = {r["doc_id"]: json.loads(r["node"]) for r in frame.framed(st, shape, embed=kind).collect()}
+        for d, e in edges.items():
+            assert got.get(d) == walked(e, kind), (kind, d)
     for bad, code in (({"@embed": "@maybe"}, "invalid @embed value"), ({"@id": 5}, "invalid frame"), ({"@type": "no iri", "@context": {}}, "invalid frame")):
         with pytest.raises(frame.FrameError) as e:
             frame.resolved(spark, {"@context": {"@vocab": EX}} | bad)
