@@ -21,7 +21,7 @@ def xsd_double(x: Column) -> Column:
 
 
 def is_integral(x: Column) -> Column:
-    return (F.abs(x) < 1e21) & (F.floor(x).cast("double") == x) | (F.abs(x).between(9e18, 1e21))
+    return (F.abs(x) < 1e21) & (F.floor(x).cast("double") == x) | (F.abs(x) >= 9e18) & (F.abs(x) < 1e21)
 
 
 def xsd_integer(x: Column) -> Column:

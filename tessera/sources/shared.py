@@ -36,14 +36,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete written tables that nothing will read again, and let go of the shuffles behind plans that are gone."""
+    """Delete written tables that nothing will read again, through the file system that Spark wrote them with, and let go of the shuffles behind plans that are gone."""
     import gc
 
-    from pyarrow import fs
-
     for t in tables:
-        store, path = fs.FileSystem.from_uri(t.written_at)
-        store.delete_dir(path)
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(conf).delete(path, True)
     gc.collect()  # frees the plans that Python held, so that Spark's cleaner finds their shuffles
     if tables:
         tables[0].sparkSession.sparkContext._jvm.System.gc()

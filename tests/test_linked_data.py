@@ -477,6 +477,27 @@ def walked(edges, kind):
     return node(0, {0})
 
 
+def test_dropped_tables_of_any_store(spark):
+    """Tables are deleted through Spark's file systems: one that only Hadoop knows."""
+    from tessera.sources import shared
+
+    place = spark.conf.get("spark.checkpoint.dir")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.drop.link./x", place)
+    spark.range(1).write.parquet(f"{place}/one")
+    t = spark.read.parquet("viewfs://drop/x/one")
+    t.written_at = "viewfs://drop/x/one"
+    shared.dropped(t)
+    import os
+
+    assert not os.path.exists(place.removeprefix("file://") + "/one")
+
+
+def test_whole_numbers_end_below_1e21(spark):
+    e = expand(spark.createDataFrame([(1, '{"http://p":[1e21,999999999999999900000,-1e21,1e19]}')], "doc_id long, doc string"))
+    got = {(r["o"], r["datatype"]) for r in e.statements.collect()}
+    assert got == {("1.0E21", lit.DOUBLE), ("999999999999999900000", lit.INTEGER), ("-1.0E21", lit.DOUBLE), ("10000000000000000000", lit.INTEGER)}
+
+
 def test_frames(spark):
     q = quads(spark, f"""
 <{EX}a> <{lit.TYPE}> <{EX}Person> .
