@@ -55,7 +55,8 @@ KIND_OF_NAME = {
 }
 NAME_KIND = {n: k for k, names in KIND_OF_NAME.items() for n in names}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*+>)|<[!?/][^>]*+>", re.S)
+# A comment may end at once (<!-->, <!--->), and at --!> as well.
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*+>)|<[!?/][^>]*+>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none", re.I)

@@ -148,10 +148,19 @@ class _Source:
         return self.file.tell() - len(self.inflate.unused_data)
 
 
+#: Names that Hadoop has for stores which tasks reach by another.
+STORES = {"s3a://": "s3://", "s3n://": "s3://", "gcs://": "gs://", "dbfs:/": "file:///dbfs/", "wasbs://": "abfss://"}
+
+
+def address(path: str) -> str:
+    """A path of Spark's as Python tasks open it."""
+    return next((new + path[len(old) :] for old, new in STORES.items() if path.startswith(old)), path)
+
+
 def _open(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(address(path))
 
 
 @dataclass

@@ -161,3 +161,17 @@ def test_measures_of_a_text():
     far = m("you a b c d e f scum")
     assert far["near_second"] == 0 and far["strong"] == 1 / 8
     assert set(m(None).values()) == {0.0}
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- a --!>", "<!-- a -->", "<!---->", "<!-- > -- -!> -->"])
+def test_comments_end_as_html_ends_them(comment):
+    from tessera.llm import html_text
+
+    found = html_text.blocks(f"<article><p>one</p>{comment}<p>two</p></article>")
+    assert [t for _, _, t, _ in found] == ["one", "two"]
+
+
+def test_addresses_of_stores():
+    from tessera.llm import warc
+
+    assert warc.address("s3a://bucket/a") == "s3://bucket/a" and warc.address("dbfs:/x/y") == "file:///dbfs/x/y" and warc.address("file:///x") == "file:///x"
