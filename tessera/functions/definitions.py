@@ -77,9 +77,9 @@ def key_of(active: dict) -> str:
 
 @dataclass
 class Loading:
-    """Documents by URL, contexts that others go back to, and the longest chain of remote contexts."""
+    """Documents by URL, each with the address that it was found at (final), contexts that others go back to, and the longest chain of remote contexts."""
 
-    remote: dict[str, str] | None = None
+    remote: dict[str, dict] | None = None
     kept: dict[str, dict] = field(default_factory=dict)
     most: int = 50
 
@@ -97,19 +97,20 @@ class _Local:
     done: dict[str, bool] = field(default_factory=dict)
 
 
-def fetched(url: str, base: str | None, chain: tuple, loading: Loading) -> tuple[str, object]:
+def fetched(url: str, base: str | None, chain: tuple, loading: Loading) -> tuple[str, str, object]:
+    """The address asked for, the one that the document was found at, and the document's context."""
     url = resolve(base, url)
     if url in chain:
         raise Invalid("recursive context inclusion")
     if len(chain) >= loading.most or loading.remote is None or url not in loading.remote:
         raise Invalid("loading remote context failed")
     try:
-        document = json.loads(loading.remote[url])
+        document = json.loads(loading.remote[url]["document"])
     except (TypeError, ValueError):
         raise Invalid("loading remote context failed") from None
     if not isinstance(document, dict) or "@context" not in document:
         raise Invalid("invalid remote context")
-    return url, document["@context"]
+    return url, loading.remote[url]["final"] or url, document["@context"]
 
 
 def apply(active: dict, local, loading: Loading, base: str | None = None, chain: tuple = (), override: bool = False, propagate: bool = True) -> dict:
@@ -132,8 +133,8 @@ def apply(active: dict, local, loading: Loading, base: str | None = None, chain:
                 raise Invalid("invalid context nullification")
             out = {**initial(out["original"], out["old"]), "prev": None if propagate else out["prev"]}
         elif isinstance(c, str):
-            url, inner = fetched(c, base, chain, loading)
-            out = apply(out, inner, loading, url, (*chain, url), override, propagate)
+            url, final, inner = fetched(c, base, chain, loading)
+            out = apply(out, inner, loading, final, (*chain, url), override, propagate)
         elif isinstance(c, dict):
             out = _with_object(out, c, loading, base, chain, override)
         else:
@@ -152,7 +153,7 @@ def _with_object(out: dict, c: dict, loading: Loading, base, chain, override) ->
             raise Invalid("invalid context entry")
         if not isinstance(c["@import"], str):
             raise Invalid("invalid @import value")
-        _, imported = fetched(c["@import"], base, (), loading)
+        *_, imported = fetched(c["@import"], base, (), loading)
         if not isinstance(imported, dict):
             raise Invalid("invalid remote context")
         if "@import" in imported:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import iri as iris
 from tessera.functions import literals as lit
-from tessera.operators.context import Contexts, step
+from tessera.operators.context import Contexts, expand_iri, step
 from tessera.operators.tree import NO_DOC, joined, put_together
 from tessera.sources.shared import written
 
@@ -184,7 +184,7 @@ def _with_terms(tree: DataFrame, contexts: Contexts, key: str) -> DataFrame:
     def pick(rows: DataFrame) -> DataFrame:
         # Written, as what lies below is picked from it.
         rows = _leaf_text(_chosen(rows.join(turned(), "ctx_key")))
-        return rows.select(*[c for c in _KEEP], "ctx_key", F.struct(F.col("def.container").alias("container"), F.col("def.nest").alias("nest"), F.col("def.index").alias("index"), F.col("def.type").alias("type"), scoped.alias("scoped"), F.col("def.scoped_base").alias("scoped_base")).alias("how"), "id_short", "id_vocab", "leaf", "wrong", F.element_at("keyword", F.lit("@none")).alias("none_name"), "keyword")
+        return rows.select(*[c for c in _KEEP], "ctx_key", F.struct(F.col("def.container").alias("container"), F.col("def.nest").alias("nest"), F.col("def.index").alias("index"), F.when(F.col("def.index").isNotNull(), expand_iri(F.col("def.index"), F.col("terms"), F.col("vocab"), None)).alias("index_iri"), F.col("def.type").alias("type"), scoped.alias("scoped"), F.col("def.scoped_base").alias("scoped_base")).alias("how"), "id_short", "id_vocab", "leaf", "wrong", F.element_at("keyword", F.lit("@none")).alias("none_name"), "keyword")
 
     if not contexts.scoped:
         return written(pick(facts.withColumn("ctx_key", F.lit(key))), "terms")
@@ -216,6 +216,22 @@ def _stepped(rows: DataFrame, contexts: Contexts, steps: Column) -> DataFrame:
     return rows.join(made, ["ctx_key", "steps"], "left").withColumn("ctx_key", F.coalesce("new", "ctx_key")).drop("steps", "new")
 
 
+def _index_keys(rows: DataFrame) -> DataFrame:
+    """rows with ``index_key``: the first value of the property that keys an object in a map by a property, if it is a string. That value's own row goes."""
+    c = F.col
+    if rows.filter("how.index_iri is not null").isEmpty():
+        return rows.withColumn("index_key", F.lit(None).cast("string"))
+    mapped = c("at").isNotNull() & ~c("is_list") & ~c("is_graph") & F.array_contains("how.container", "@index") & c("how.index_iri").isNotNull()
+    holders = rows.filter(mapped).select("doc_id", c("at").alias("up"), c("how.index_iri").alias("p"))
+    # A literal's string is the key whatever its type or language; a name is if the property's term is of names.
+    own = F.when(c("o_kind") == "lit", F.to_json(F.try_variant_get(F.parse_json("json"), "$['@value']", "variant"))).otherwise(c("leaf"))
+    first = rows.filter("at is null and leaf is not null").join(holders, ["doc_id", "up", "p"]).groupBy("doc_id", "up", "p").agg(F.min(F.struct("ord", "leaf", own.alias("own"))).alias("first"))
+    first = written(first.filter(c("first.own").startswith('"')).select("doc_id", "up", "p", "first.ord", "first.leaf", "first.own"), "keys")
+    rows = rows.join(first.drop("own"), ["doc_id", "up", "p", "ord", "leaf"], "left_anti")
+    keys = first.select("doc_id", c("up").alias("at"), F.get(F.from_json(F.concat(F.lit("["), "own", F.lit("]")), "array<string>"), F.lit(0)).alias("index_key"))
+    return rows.join(keys, ["doc_id", "at"], "left")
+
+
 def compact_json(tree: DataFrame, context: str, base: str | None = None, remote: DataFrame | None = None, compact_arrays: bool = True, graph: bool = False) -> tuple[DataFrame, DataFrame]:
     """((doc_id, doc), errors): every document of an expanded tree as compact JSON under one target context (JSON text).
 
@@ -230,7 +246,7 @@ def compact_json(tree: DataFrame, context: str, base: str | None = None, remote:
         raise ValueError(made["error"])
     rows = _with_terms(tree, contexts, made["ctx_key"])
     bad = written(rows.filter("wrong is not null").select("doc_id", F.col("wrong").alias("code")).distinct(), "wrong")
-    rows = rows.join(bad.select("doc_id"), "doc_id", "left_anti")
+    rows = _index_keys(rows.join(bad.select("doc_id"), "doc_id", "left_anti"))
     own = ["doc_id", "up"]
     c = F.col
     arrays = F.lit(compact_arrays)
@@ -276,7 +292,7 @@ def compact_json(tree: DataFrame, context: str, base: str | None = None, remote:
         own_entries = F.filter(F.array(single("@id", id_text), single("@type", type_text), single("@index", index), single("@reverse", back)), lambda x: x.isNotNull())
         every = F.array_sort(F.concat(own_entries, F.coalesce("parts.forward", none), F.coalesce(nested, none)))
         node = F.concat(F.lit("{"), joined(F.transform(every, lambda x: x["e"])), F.lit("}"))
-        lone = (F.size(every) == 1) & (F.size(own_entries) == 1) & id_text.isNotNull()
+        lone = (F.size(every) == 1) & (F.size(own_entries) == 1) & id_text.isNotNull() & c("index_key").isNull()
         name = F.when(c("how.type") == "@vocab", lit.json_string("id_vocab")).when(c("how.type") == "@id", lit.json_string("id_short"))
         node = F.when(lone & name.isNotNull(), name).otherwise(node)
         items = F.coalesce("parts.items", F.array().cast("array<string>"))
@@ -286,8 +302,8 @@ def compact_json(tree: DataFrame, context: str, base: str | None = None, remote:
         return F.when(c("is_list"), listed).when(in_graph & (has("@id") | has("@index") | ~c("named")), included).otherwise(node)
 
     def keyed(made: DataFrame) -> Column:
-        """The key of an object in a map of ids or types."""
-        return F.when(has("@id"), F.when(F.col("named"), F.col("id_short"))).when(has("@type"), F.get(F.from_json(array_of(F.col("parts.types")), "array<string>"), F.lit(0)))
+        """The key of an object in a map of ids, types or values of a property."""
+        return F.when(c("index_key").isNotNull(), c("index_key")).when(has("@id"), F.when(F.col("named"), F.col("id_short"))).when(has("@type"), F.get(F.from_json(array_of(F.col("parts.types")), "array<string>"), F.lit(0)))
 
     rows = rows.withColumn("json", F.col("leaf")).withColumn("key", F.lit(None).cast("string"))
     tops = put_together(rows, entries, close, keyed).filter("text != '{}'")

@@ -17,6 +17,8 @@ from tessera.functions import definitions, iri
 from tessera.functions.definitions import KEYWORDS  # noqa: F401
 from tessera.sources.shared import written
 
+#: Documents by URL, and where they were found.
+REMOTE = "map<string,struct<document:string,final:string>>"
 #: Contexts of a chain of remote contexts, at most.
 CHAIN = 50
 #: Distinct contexts, and requests for them, that the driver compiles itself.
@@ -106,7 +108,7 @@ def _urls(batches):
 
 
 class Contexts:
-    """The dimension as far as it is needed. remote is (url, document).
+    """The dimension as far as it is needed. remote is (url, document), and final_url if it has one: where a document was found, which addresses in it go by.
 
     rows: ctx_key, base, vocab, language, direction, prev (the context to go
     back to), aliases (term -> keyword), terms; and state for further steps.
@@ -155,10 +157,10 @@ class Contexts:
                     self._known(self.few)
                 return self.spark.createDataFrame(made, DERIVED).drop("state")
         if self.remote is None:
-            asked = asked.withColumn("remote", F.lit(None).cast("map<string,string>"))
+            asked = asked.withColumn("remote", F.lit(None).cast(REMOTE))
         else:
             asked = written(asked.withColumn("id", F.sha2(F.concat("parent", "steps"), 256)), "asked")
-            asked = asked.join(self._fetched(asked), "id", "left").select("parent", "steps", F.coalesce("remote", F.create_map().cast("map<string,string>")).alias("remote"))
+            asked = asked.join(self._fetched(asked), "id", "left").select("parent", "steps", F.coalesce("remote", F.create_map().cast(REMOTE)).alias("remote"))
         of = asked.join(self.rows.select(F.col("ctx_key").alias("parent"), "state"), "parent").select("parent", "steps", "state", "remote")
         done = written(of.mapInArrow(lambda batches: _derived(batches, most), DERIVED), "derived")
         self._written(done.filter("state is not null").select("ctx_key", "state"))
@@ -166,18 +168,19 @@ class Contexts:
 
     def _fetched(self, asked: DataFrame) -> DataFrame:
         """id, remote: the documents that a request can come to, by URL."""
-        documents = self.remote.select("url", "document").dropDuplicates(["url"])
+        final = F.coalesce("final_url", "url") if "final_url" in self.remote.columns else F.col("url")
+        documents = self.remote.select("url", "document", final.alias("final")).dropDuplicates(["url"])
         new = asked.select("id", F.lit(None).cast("string").alias("base"), F.col("steps").alias("text")).mapInArrow(_urls, "id string, url string").distinct()
         seen = None
         for _ in range(self.chain + 1):
-            new = written(new.join(documents, "url").select("id", "url", "document"), "remote")
+            new = written(new.join(documents, "url").select("id", "url", "document", "final"), "remote")
             if new.isEmpty():
                 break
             seen = new if seen is None else seen.unionByName(new)
-            new = new.select("id", F.col("url").alias("base"), F.col("document").alias("text")).mapInArrow(_urls, "id string, url string").distinct().join(seen.select("id", "url"), ["id", "url"], "left_anti")
+            new = new.select("id", F.col("final").alias("base"), F.col("document").alias("text")).mapInArrow(_urls, "id string, url string").distinct().join(seen.select("id", "url"), ["id", "url"], "left_anti")
         if seen is None:
-            return self.spark.createDataFrame([], "id string, remote map<string,string>")
-        return seen.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("url", "document"))).alias("remote"))
+            return self.spark.createDataFrame([], f"id string, remote {REMOTE}")
+        return seen.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("url", F.struct("document", "final")))).alias("remote"))
 
 
 def compiled(contexts: DataFrame, remote: DataFrame | None = None, base: str | None = None) -> DataFrame:

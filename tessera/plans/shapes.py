@@ -137,6 +137,8 @@ compacts("scoped", [{"@id": ME, "@type": [EX + "P"], EX + "name": value("$n"), E
          {**V, "P": {"@id": EX + "P", "@context": {"nom": EX + "name"}}}, {"@id": ME, "@type": "P", "nom": "$n", "knows": {"@id": EX + "b", "name": "Bo"}})
 compacts("aliases", [{"@id": ME, "@index": "ii", "@included": [{"@id": EX + "i", EX + "name": value("$n", **{"@language": "en"})}]}],
          {**V, "inc": "@included", "ix": "@index", "val": "@value", "lang": "@language"}, {"@id": ME, "ix": "ii", "inc": {"@id": EX + "i", "name": {"lang": "en", "val": "$n"}}})
+compacts("index_property", [{"@id": ME, EX + "i": [{"@id": EX + "b", EX + "category": value("z$n"), EX + "n": value(1)}, {"@id": EX + "c", EX + "category": [{"@value": "k1"}, {"@value": "k2"}]}, {"@id": EX + "d", EX + "n": value(2)}, {"@id": EX + "e", EX + "category": value("k1", **{"@language": "en"})}]}],
+         {**V, "i": {"@container": "@index", "@index": "category"}}, {"@id": ME, "i": {"z$n": {"@id": EX + "b", "n": 1}, "@none": {"@id": EX + "d", "n": 2}, "k1": [{"@id": EX + "c", "category": "k2"}, {"@id": EX + "e"}]}})
 
 
 def _confused(spark, sf_dir):

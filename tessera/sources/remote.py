@@ -46,7 +46,7 @@ def fetch(urls: DataFrame, timeout: float = 30.0, loader=load) -> DataFrame:
 
 
 def contexts_of(docs: DataFrame, base: str | None = None, timeout: float = 30.0, chain: int = 50, loader=load) -> DataFrame:
-    """(url, document) of all contexts that documents (doc_id, doc) name at their top, and those that these name in turn."""
+    """(url, document, final_url) of all contexts that documents (doc_id, doc) name at their top, and those that these name in turn; final_url is where a document was in the end, which relative addresses in it go by."""
     v = F.try_parse_json("doc")
     tops = docs.select(F.explode(items(v)).alias("v")).select(F.explode(items(F.try_variant_get("v", "$['@context']", "variant"))).alias("c"))
 
@@ -81,5 +81,5 @@ def contexts_of(docs: DataFrame, base: str | None = None, timeout: float = 30.0,
         # Inner addresses go by where a document was in the end.
         new = got.filter("document is not null").select("final_url", "document").mapInArrow(named, "url string").distinct().join(every.select("url"), "url", "left_anti")
     if every is None:
-        return docs.sparkSession.createDataFrame([], "url string, document string")
-    return every.filter("document is not null").select("url", "document")
+        return docs.sparkSession.createDataFrame([], "url string, document string, final_url string")
+    return every.filter("document is not null").select("url", "document", "final_url")

@@ -498,6 +498,41 @@ def test_whole_numbers_end_below_1e21(spark):
     assert got == {("1.0E21", lit.DOUBLE), ("999999999999999900000", lit.INTEGER), ("-1.0E21", lit.DOUBLE), ("10000000000000000000", lit.INTEGER)}
 
 
+def test_redirected_contexts(spark):
+    """A context that moved to another folder names one beside it there."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tessera.sources import remote
+
+    pages = {"/b/moved": {"@context": ["inner", {"x": EX + "x"}]}, "/b/inner": {"@context": {"name": EX + "right"}}, "/a/inner": {"@context": {"name": EX + "wrong"}}}
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            if self.path == "/a/start":
+                self.send_response(302)
+                self.send_header("Location", "/b/moved")
+                self.end_headers()
+                return
+            self.send_response(200)
+            self.send_header("Content-Type", "application/ld+json")
+            self.end_headers()
+            self.wfile.write(json.dumps(pages[self.path]).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        docs = spark.createDataFrame([(1, json.dumps({"@context": f"http://127.0.0.1:{server.server_port}/a/start", "name": "n"}))], "doc_id long, doc string")
+        found = remote.contexts_of(docs)
+        e = expand(docs, remote=found)
+        assert [(r["p"], r["o"]) for r in e.statements.collect()] == [(EX + "right", "n")] and e.errors.count() == 0
+    finally:
+        server.shutdown()
+
+
 def test_frames(spark):
     q = quads(spark, f"""
 <{EX}a> <{lit.TYPE}> <{EX}Person> .
