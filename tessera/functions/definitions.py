@@ -37,17 +37,16 @@ def absolute(iri: str) -> bool:
 
 
 def without_dots(path: str) -> str:
-    out: list[str] = []
-    parts = path.split("/")[1:]
+    first, *parts = re.sub(r"^(?:\.\.?/)+", "", path).split("/")
+    out = ["" if not parts and first in (".", "..") else first]
     for i, x in enumerate(parts):
-        if x in (".", ".."):
-            if x == ".." and out:
-                out.pop()
-            if i == len(parts) - 1:
-                out.append("")
-        else:
-            out.append(x)
-    return "/" + "/".join(out)
+        if x == "..":
+            del out[-1:]
+        if x not in (".", ".."):
+            out.append("/" + x)
+        elif i == len(parts) - 1:
+            out.append("/")
+    return "".join(out)
 
 
 def resolve(base: str | None, ref: str) -> str:
@@ -63,7 +62,7 @@ def resolve(base: str | None, ref: str) -> str:
     else:
         if not path_2.startswith("/"):
             path_2 = "/" + path_2 if authority is not None and not path else path.rpartition("/")[0] + "/" + path_2 if "/" in path else path_2
-        path, query = without_dots(path_2) if path_2.startswith("/") else path_2, query_2
+        path, query = without_dots(path_2), query_2
     return (f"{scheme}:" if scheme else "") + (f"//{authority}" if authority is not None else "") + path + (f"?{query}" if query is not None else "") + (f"#{fragment}" if fragment is not None else "")
 
 
@@ -231,11 +230,15 @@ def define(active: dict, local: _Local, term: str) -> None:
             raise Invalid("cyclic IRI mapping")
         return
     if term == "" or term.startswith(("./", "../")):
-        raise Invalid("invalid term definition")
+        raise Invalid("invalid term definition" if term == "" or isinstance(local.members[term], dict) else "invalid IRI mapping")
     value, old = local.members[term], active["old"]
     local.done[term] = False
-    if term == "@type":
-        if old or not isinstance(value, dict) or not value or not set(value) <= {"@container", "@protected"} or value.get("@container", "@set") not in ("@set", ["@set"]):
+    if term in ("@type", "@id"):
+        known = active["terms"].get(term)
+        if known is not None and known["protected"] and not local.override:
+            raise Invalid("protected term redefinition")
+        members = {"@container", "@protected"} | ({"@id"} if term == "@type" else set())
+        if old or not isinstance(value, dict) or not set(value) <= members or value.get("@container") not in ("@set", ["@set"]):
             raise Invalid("keyword redefinition")
     elif term in KEYWORDS:
         raise Invalid("keyword redefinition")
@@ -327,7 +330,7 @@ def _iri(active: dict, local: _Local, term: str, value: dict, simple: bool, d: d
         d["iri"] = expand({**active, "terms": {}}, term, None, vocab=True, relative=True)
         if not absolute(d["iri"]):
             raise Invalid("invalid IRI mapping")
-    elif term == "@type":
+    elif term in ("@type", "@id"):
         d["iri"] = term
     elif active["vocab"] is not None:
         d["iri"] = active["vocab"] + term

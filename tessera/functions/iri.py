@@ -31,16 +31,16 @@ def is_well_formed_language(tag: Column) -> Column:
 
 
 def without_dot_segments(path: Column) -> Column:
-    """RFC 3986, 5.2.4, for a path that begins with a slash (others are left as they are)."""
-    segments = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    """RFC 3986, 5.2.4, for paths with and without a slash at their beginning."""
+    parts = F.split(F.regexp_replace(path, r"^(?:\.\.?/)+", ""), "/", -1)
+    first = F.get(parts, F.lit(0))
     kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+        F.slice(parts, 2, 1 << 30),
+        F.array(F.when((F.size(parts) == 1) & first.isin(".", ".."), "").otherwise(first)),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(F.concat(F.lit("/"), x)))),
     )
-    last = F.element_at(segments, -1)
-    tail = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.when(path.startswith("/"), F.concat(F.lit("/"), F.array_join(tail, "/"))).otherwise(path)
+    ends = (F.size(parts) > 1) & F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.array_join(kept, ""), F.when(ends, "/").otherwise(""))
 
 
 def resolve(base: Column, ref: Column) -> Column:
@@ -49,7 +49,7 @@ def resolve(base: Column, ref: Column) -> Column:
     start, authority, base_path, base_query = of(base, 1), of(base, 3), of(base, 5), of(base, 6)
     path, query, fragment = of(ref, 5), of(ref, 6), of(ref, 8)
     merged = F.when((base_path == "") & (authority != ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_replace(base_path, "[^/]*$", ""), path))
-    new_path = F.when(path == "", base_path).when(path.startswith("/"), without_dot_segments(path)).otherwise(without_dot_segments(merged))
+    new_path = F.when(path == "", base_path).otherwise(without_dot_segments(F.when(path.startswith("/"), path).otherwise(merged)))
     new_query = F.when((path == "") & (query == ""), base_query).otherwise(query)
     full = F.when(of(ref, 3) != "", F.concat(start, of(ref, 3), without_dot_segments(path), query, fragment)).otherwise(F.concat(start, authority, new_path, new_query, fragment))
     return F.when(base.isNull() | is_absolute(ref), ref).otherwise(full)

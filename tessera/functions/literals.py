@@ -104,12 +104,14 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    r"""N-Quads: \t \b \n \r \f \" \' \\ \/, \uXXXX and \UXXXXXXXX; null for an unknown escape."""
+    r"""N-Quads: \t \b \n \r \f \" \' \\ \/, \uXXXX and \UXXXXXXXX; null for an unknown escape, or one of no character (a surrogate, or past 10FFFF)."""
     plain = F.regexp_replace(text, r"\\\\", r"\\u005C")  # now every backslash begins an escape
     plain = F.replace(plain, F.lit("\\'"), F.lit("'"))
-    wide = r"\\U([0-9A-Fa-f]{8})"
-    parts = F.split(plain, r"\\U[0-9A-Fa-f]{8}", -1)
+    plain = F.regexp_replace(plain, r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
+    wide = r"\\U(00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4})"
+    parts = F.split(plain, wide, -1)
     codes = F.transform(F.regexp_extract_all(plain, F.lit(wide), F.lit(1)), lambda x: F.decode(F.unhex(x), "UTF-32"))
     plain = F.array_join(F.flatten(F.zip_with(parts, codes, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
     read = F.from_json(F.concat(F.lit('["'), plain, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"})
-    return F.when(F.contains(text, F.lit("\\")), F.get(read, F.lit(0))).otherwise(text)
+    read = F.when(~plain.rlike(r"\\u[Dd][89A-Fa-f]"), F.get(read, F.lit(0)))
+    return F.when(F.contains(text, F.lit("\\")), read).otherwise(text)

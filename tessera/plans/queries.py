@@ -316,6 +316,36 @@ def canonical_ties(spark, sf_dir):
     return canon.canonize(quads)[0]
 
 
+@query("canonical_chains", "SELECT c_custkey::BIGINT AS doc_id, 40::BIGINT AS names, true AS same FROM customer")
+def canonical_chains(spark, sf_dir):
+    """Two like chains of 20 blank nodes a customer: as many names as nodes, and the same lines under other labels in another order."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(37))).alias("i"))
+    none = F.lit(None).cast("string")
+    at = lambda i: F.concat(F.lit("_:"), F.when(i % 2 == 0, "a").otherwise("b"), i.cast("string"))
+    other = lambda i: F.concat(F.lit("_:x"), (F.col("doc_id") * 40 + 39 - i).cast("string"))
+    quads = lambda name: c.select("doc_id", name(F.col("i")).alias("s"), F.lit(EX + "next").alias("p"), name(F.col("i") + 2).alias("o"), F.lit("bnode").alias("o_kind"), none.alias("datatype"), none.alias("language"), none.alias("g"))
+    one, two = (canon.canonize(quads(name), work=None)[0] for name in (at, other))
+    names = one.select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(r"_:c14n\d+"), F.lit(0))).alias("name")).groupBy("doc_id").agg(F.count_distinct("name").alias("names"))
+    same = canon.digest(one).join(canon.digest(two).withColumnRenamed("hash", "other"), "doc_id", "left")
+    return names.join(same, "doc_id").select("doc_id", "names", (F.col("hash") == F.col("other")).alias("same"))
+
+
+_A = f"<{EX}c/"
+#: Ends of a line after its subject, which of their characters the error is at, and its code.
+_ENDS = [("> <p> \"$n .", 7, "invalid literal"), ("> <p> $n .", 7, "unexpected character"), ("> <p> <o> <g> <h> .", 15, "expected '.'"), ("> <p> <o>", 10, "unexpected end"), ("> <p> <o> <$n .", 11, "invalid IRI"), ("> \"$n\" <o> .", 3, "literal out of place"), ("> <p> \"$n\"@en <g> .", None, None)]
+
+
+@query("nquads_errors", f"""
+SELECT c_custkey::BIGINT AS doc_id, 2::INTEGER AS number, (length('{_A}' || c_custkey) + ([{", ".join(str(at) for _, at, _ in _ENDS[:-1])}])[c_custkey % {len(_ENDS)} + 1])::INTEGER AS "column", ([{", ".join("'" + code.replace("'", "''") + "'" for *_, code in _ENDS[:-1])}])[c_custkey % {len(_ENDS)} + 1] AS code
+FROM customer WHERE c_custkey % {len(_ENDS)} < {len(_ENDS) - 1}""")
+def nquads_errors(spark, sf_dir):
+    """A text of three lines for every customer, the second broken in one of six ways or sound."""
+    c = table(spark, sf_dir, "customer")
+    end = F.replace(F.get(F.array(*[F.lit(end) for end, *_ in _ENDS]), (F.col("c_custkey") % len(_ENDS)).cast("int")), F.lit("$n"), F.col("c_name"))
+    text = F.concat(F.lit("# customers\n" + _A), F.col("c_custkey").cast("string"), end, F.lit(f"\n<{EX}a> <{EX}b> _:c ."))
+    return nquads.errors(nquads.lines_of(c.select(F.col("c_custkey").cast("long").alias("doc_id"), text.alias("text")))).select("doc_id", "number", "column", "code")
+
+
 @query("relative_urls", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/x/y' AS url, '../x/y' AS ref FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/?#]+')")
 def relative_urls(spark, sf_dir):
     """An address beside every page's host, as a reference, and resolved again."""

@@ -109,6 +109,13 @@ expands("maps", {"@context": {**V, "l": {"@container": "@language"}, "i": {"@con
         [{"@id": ME, EX + "l": [{"@value": "$n", "@language": "en"}, {"@value": "x"}], EX + "i": value("v", **{"@index": "k"}), EX + "d": [{EX + "name": value("y")}, {"@id": EX + "d", EX + "name": value("$n")}], EX + "t": [{"@type": [EX + "T", EX + "U"], EX + "name": value("$n")}]}])
 expands("expand_context", {"@id": ME, "name": "$n"}, [{"@id": ME, EX + "given": value("$n")}], context=json.dumps({"name": EX + "given"}))
 
+expands("terms", {"@context": {**V, "gone": None, "lost": {"@id": None}, "named": {"@id": "http://n/named"}, EX + "iri": {"@type": "@id"}, "z": EX + "same", "a": EX + "same", "@unknown": EX + "x", "@ignored": "http://i/", "made.up": "http://dotted/"}, "@id": ME, "gone": 1, "lost": 2, "named": "$n", EX + "iri": EX + "x", "z": 3, "a": ["$n", 4], "@unknown": 5, "@ignored": 6, "made.up": 7},
+        [{"@id": ME, "http://n/named": value("$n"), EX + "iri": [{"@id": EX + "x"}], EX + "same": [{"@value": "$n"}, {"@value": 4}, {"@value": 3}], "http://dotted/": value(7)}])
+expands("relative_vocab", {"@context": [V, {"@vocab": "in/"}, {"@vocab": "deep#"}], "@id": ME, "@type": "T", "name": "$n"}, [{"@id": ME, "@type": [EX + "in/deep#T"], EX + "in/deep#name": value("$n")}])
+expands("opaque_base", {"@context": {"@base": "tag:example/foo/bar", "p": {"@id": EX + "p", "@type": "@id"}}, "@id": "$k", "p": ["../up", "/top", "#f", {"@id": "s", EX + "name": "$n"}]},
+        [{"@id": "tag:example/foo/$k", EX + "p": [{"@id": "tag:example/up"}, {"@id": "tag:/top"}, {"@id": "tag:example/foo/bar#f"}, {"@id": "tag:example/foo/s", EX + "name": value("$n")}]}])
+expands("set_keywords", {"@context": {**V, "@id": {"@container": "@set"}, "@type": {"@container": ["@set"], "@protected": True}}, "@id": ME, "@type": "T", "name": "$n"}, [{"@id": ME, "@type": [EX + "T"], EX + "name": value("$n")}])
+
 fails("protected", {"@context": [{"@protected": True, "name": EX + "a"}, {"name": EX + "b"}], "name": "$n"}, "protected term redefinition")
 fails("nullified", {"@context": [{"@protected": True, "name": EX + "a"}, None], "name": "$n"}, "invalid context nullification")
 fails("colliding", {"@context": {**V, "id": "@id"}, "@id": ME, "id": EX, "name": "$n"}, "colliding keywords")
@@ -119,6 +126,31 @@ fails("scoped", {"@context": {"a": {"@id": EX + "a", "@context": {"b": 7}}}, "a"
 fails("nest", {"@context": {**V, "n": "@nest"}, "n": "$n"}, "invalid @nest value")
 fails("remote", {"@context": "http://ctx.org/missing", "name": "$n"}, "loading remote context failed")
 
+#: Broken documents, each with its code.
+BROKEN = [(({"@context": c, EX + "p": "$n"}), code) for c, code in (
+    ({"": EX}, "invalid term definition"), ({"./a": EX + "a"}, "invalid IRI mapping"), ({"../a": {"@id": EX + "a"}}, "invalid term definition"), ({"@id": {"@id": EX}}, "keyword redefinition"), ({"@id": {"@container": "@list"}}, "keyword redefinition"),
+    ({"@type": {"@protected": True}}, "keyword redefinition"), ({"@type": "@id"}, "keyword redefinition"), ([{"@type": {"@container": "@set", "@protected": True}}, {"@type": {"@container": "@set"}}], "protected term redefinition"), ([{"@protected": True, "@id": {"@container": "@set"}}, {"@id": 7}], "protected term redefinition"),
+    ({"@graph": EX}, "keyword redefinition"), ({"a": {"@id": EX + "a", "@type": 7}}, "invalid type mapping"), ({"a": {"@id": EX + "a", "@container": "@type", "@type": EX + "T"}}, "invalid type mapping"), ({"a": "http://a/", "a:b": EX + "x"}, "invalid IRI mapping"), ({"a": {"@reverse": EX + "p", "@nest": "n"}}, "invalid reverse property"),
+    ({"a": 7}, "invalid term definition"), (7, "invalid local context"), ({"@base": 7}, "invalid base IRI"), ({"@vocab": 7}, "invalid vocab mapping"), ({"@language": 7}, "invalid default language"), ({"@direction": "up"}, "invalid base direction"), ({"@version": 1.0}, "invalid @version value"),
+    ({"@propagate": 7}, "invalid @propagate value"), ({"@import": 7}, "invalid @import value"), ({"a": {"@id": EX + "a", "@language": 7}}, "invalid language mapping"), ({"a": "@context"}, "invalid keyword alias"), ({"a": {"@id": EX + "a", "@protected": 7}}, "invalid @protected value"), ({"a": {"@id": EX + "a", "@direction": "up"}}, "invalid base direction"),
+)]
+BROKEN += [({"@context": V, **d}, code) for d, code in (
+    ({"@id": 7, "p": "$n"}, "invalid @id value"), ({"p": {"@value": {"a": 1}}}, "invalid value object value"), ({"p": {"@value": "x", "@type": EX + "T", "@language": "en"}}, "invalid value object"), ({"p": {"@value": 1, "@language": "en"}}, "invalid language-tagged value"), ({"p": {"@value": "x", "@type": ["a"]}}, "invalid typed value"),
+    ({"p": {"@list": [1], "@id": EX}}, "invalid set or list object"), ({"p": {"@index": 7, "@value": 1}}, "invalid @index value"), ({"@reverse": 7}, "invalid @reverse value"), ({"@reverse": {"p": "$n"}}, "invalid reverse property value"), ({"@included": "$n"}, "invalid @included value"), ({"p": {"@value": "x", "@direction": "up"}}, "invalid base direction"),
+    ({"@context": {**V, "l": {"@container": "@language"}}, "l": {"en": 7}}, "invalid language map value"), ({"@reverse": {"@id": ME}}, "invalid reverse property map"), ({"p": {"@type": {"a": 1}}}, "invalid type value"), ({"@nest": "$n"}, "invalid @nest value"),
+)]
+
+
+def _broken(spark, sf_dir):
+    """Every customer's key deals it one of the broken documents."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    doc = F.get(F.array(*[F.lit(json.dumps(d)) for d, _ in BROKEN]), (F.col("c_custkey") % len(BROKEN)).cast("int"))
+    return expand(c.select(F.col("c_custkey").cast("long").alias("doc_id"), F.replace(F.replace(doc, F.lit("$k"), F.col("c_custkey").cast("string")), F.lit("$n"), F.col("c_name")).alias("doc"))).errors
+
+
+QUERIES["error_catalogue"] = _broken
+ORACLE["error_catalogue"] = "SELECT c_custkey::BIGINT AS doc_id, (list_value(" + ", ".join(f"'{code}'" for _, code in BROKEN) + f"))[c_custkey % {len(BROKEN)} + 1] AS code FROM customer"
+
 compacts("json", [{"@id": ME, "@type": [EX + "T"], EX + "name": value("$n"), EX + "nested": [{"@id": EX + "b", EX + "n": [{"@value": 1}, {"@value": True}]}], EX + "d": value("2024", **{"@type": EX + "date"}), EX + "l": [{"@list": [{"@value": 1}, {"@list": value(2)}]}]}],
          {**V, "id": "@id", "type": "@type", "d": {"@type": EX + "date"}, "l": {"@container": "@list"}},
          {"id": ME, "type": "T", "name": "$n", "nested": {"id": EX + "b", "n": [1, True]}, "d": "2024", "l": [1, [2]]})
@@ -157,6 +189,17 @@ def _lists_back(spark, sf_dir):
 QUERIES["from_rdf_nested_lists"], ORACLE["from_rdf_nested_lists"] = _lists_back, wanted(text_of({"@id": ME, EX + "l": [{"@list": [{"@list": [{"@value": 1}, {"@value": "$n"}]}, {"@list": []}, {"@list": [{"@list": value(3)}]}]}]}))
 
 
+def _from_quads(spark, sf_dir):
+    """Types as values of rdf:type, a named graph, a list, and native values, by way of quads."""
+    e = expanded(spark, sf_dir, json.dumps({"@context": V, "@id": ME, "@type": "T", "name": "$n", "l": {"@list": [1, True]}, "@graph": {"@id": EX + "s", "@type": "U", "p": [2.5, 2.5]}}))
+    return graph.from_rdf_json(rdf.to_rdf(e.statements), native_types=True, rdf_type=True)
+
+
+QUERIES["from_rdf_json"] = _from_quads
+_RDF_TYPE = lambda t: {lit.TYPE: [{"@id": EX + t}]}
+ORACLE["from_rdf_json"] = wanted("[" + text_of({"@graph": [{"@id": EX + "s", EX + "p": value(2.5), **_RDF_TYPE("U")}]})[:-1].replace('{"@graph"', '{"@id":"' + ME + '","@graph"') + "," + text_of({EX + "l": [{"@list": [{"@value": 1}, {"@value": True}]}], EX + "name": value("$n"), **_RDF_TYPE("T")})[1:] + "]")
+
+
 def _flattened(spark, sf_dir):
     e = expanded(spark, sf_dir, json.dumps({"@context": V, "@id": ME, "name": "$n", "knows": {"@id": EX + "b", "l": {"@list": [1]}}, "@graph": {"@id": EX + "s", "p": 1}}))
     return graph.flatten(e.statements, native_types=True)

@@ -19,6 +19,9 @@ _NODE = f"({_IRI}|{_BLANK})"
 _END = r"\s*\.\s*(?:#.*)?$"
 _PLAIN = rf"^\s*{_NODE}\s*{_NODE}\s*{_NODE}\s*{_NODE}?{_END}"
 _HEAD = rf"^\s*{_NODE}\s*{_NODE}\s*$"
+# One literal without a step of the regular expression's stack per character, its escapes among those that unescape knows.
+_ESCAPE = r"\\(?:[tbnrf\"'\\/]|u(?![Dd][89A-Fa-f])[0-9A-Fa-f]{4}|U(?!0000[Dd][89A-Fa-f])00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4})"
+_LITERAL = rf"\"(?:[^\"\\\n\r]|{_ESCAPE})*+\"(?:@[A-Za-z0-9\-]+|\^\^<(?:[^<>\"\\\n\r]|{_ESCAPE})*+>)?"
 _TAIL = rf"^(?:@([A-Za-z0-9\-]+)|\^\^(<[^<>\"\n\r]*>))?\s*{_NODE}?{_END}"
 
 
@@ -89,6 +92,38 @@ def parse(lines: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(~sound, "invalid line")).drop("ok")
 
 
+def lines_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, number, line) of (doc_id, text): the lines of whole documents, from 1; a null text has none."""
+    return texts.select("doc_id", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("number", "line")).withColumn("number", F.col("number") + 1)
+
+
+def errors(lines: DataFrame) -> DataFrame:
+    """Where and why the lines that ``parse`` refuses are none: their columns, plus ``column`` and ``code``.
+
+    The column (code points, from 1) is that at which the first term that
+    doesn't fit begins, or one past the end if the line ends too early; a null
+    line has none. Codes: unexpected end, unexpected character, invalid IRI,
+    invalid literal (not closed, an unknown escape, or no address after ^^),
+    literal out of place, expected '.', and null line.
+    """
+    node = rf"(?:<(?:[^<>\"\\\n\r]|{_ESCAPE})*+>|{_BLANK})"
+    upto = [r"^\s*"]
+    for one in (node, node, rf"(?:{node}|{_LITERAL})", node):
+        upto.append(upto[-1] + one + r"\s*")
+    whole = F.col("line").rlike(upto[3] + rf"(?:{node})?{_END}")
+    c = lines.filter(F.col("line").isNull() | ~(F.col("line").rlike(r"^\s*(#.*)?$") | whole))
+    fits = [F.length(F.regexp_extract("line", one, 0)) for one in upto]
+    c = settled(c, fit_=F.greatest(*fits), terms_=F.size(F.filter(F.array(*[F.col("line").rlike(one) for one in upto[1:]]), lambda x: x)))
+    c = settled(c, next_=F.expr("substring(line, fit_ + 1, 1)"))
+    starts = lambda x: F.col("next_") == x
+    code = (
+        F.when(F.col("line").isNull(), "null line").when(starts(""), "unexpected end").when(starts("<") & (F.col("terms_") < 4), "invalid IRI")
+        .when(starts('"') & (F.col("terms_") == 2), "invalid literal").when(starts('"') & (F.col("terms_") < 4), "literal out of place")
+        .when(F.col("terms_") < 3, "unexpected character").when(starts("."), "unexpected character").otherwise("expected '.'")
+    )
+    return c.withColumn("column", F.when(F.col("line").isNotNull(), F.col("fit_") + 1)).withColumn("code", code).drop("fit_", "terms_", "next_")
+
+
 def well_formed() -> Column:
     """Whether a quad's terms can stand in RDF."""
     node = lambda c: F.col(c).startswith("_:") | iri.is_well_formed(F.col(c))

@@ -300,6 +300,26 @@ def test_nquads_lines(spark):
     assert by[4]["s"] == "_:b.1" and by[4]["datatype"] == "http://dt"
     assert by[1]["error"] and by[5]["error"] and by[6]["error"]
     assert by[7]["o"] == "long \n" * 20_000
+    escaped = spark.createDataFrame([(0, '<http://a> <http://p> "\\U00000022\\U0000005C\\u0022\\U0001f600\\U0010FFFF" .')], "doc_id long, line string")
+    assert nquads.parse(escaped).first()["o"] == '"\\"\U0001f600\U0010ffff'
+
+
+def test_nquads_error_places(spark):
+    """Errors are those of the parser, each at the first term that doesn't fit."""
+    a = "<http://a> <http://p> "
+    wrong = [
+        ("bad", 1, "unexpected character"), ("<http://a> _x <http://o> .", 12, "unexpected character"), (a + "<http://o>", 33, "unexpected end"), ("  <http://a", 3, "invalid IRI"), ("<http://a\\q> <p:q> <o:o> .", 1, "invalid IRI"),
+        (a + '"open .', 23, "invalid literal"), (a + '"\\q" .', 23, "invalid literal"), (a + '"\\U00110000" .', 23, "invalid literal"), ('"x" <http://p> <http://o> .', 1, "literal out of place"), ('<http://a> "x" <http://o> .', 12, "literal out of place"),
+        (a + '<http://o> "g" .', 34, "literal out of place"), (a + "<http://o> <http://g> <http://h> .", 45, "expected '.'"), (a + '"x"^^int .', 26, "expected '.'"), (a + "\U0001f600 .", 23, "unexpected character"), (a + "_:b . left", 27, "unexpected character"), (None, None, "null line"),
+        (a + '"\\uD83D\\uDE00" .', 23, "invalid literal"), (a + '"\\U0000dfff" .', 23, "invalid literal"), (a + '"\\\\uD83D" .', 0, ""),
+        (a + '"' + "long " * 50_000, 23, "invalid literal"), ("", 0, ""), (" # comment", 0, ""), (a + "_:b.1 <http://g> . # end", 0, ""), (a + '"a\\u00e9\\U0001F600\\n"@en .', 0, ""), (a + '"' + "long \\n" * 50_000 + '" .', 0, ""), (a + '"x"^^<d:t>_:g.', 0, ""),
+    ]
+    lines = spark.createDataFrame([(i, line) for i, (line, *_) in enumerate(wrong)], "doc_id long, line string")
+    got = {r["doc_id"]: (r["column"], r["code"]) for r in nquads.errors(lines).collect()}
+    assert got == {i: (column, code) for i, (_, column, code) in enumerate(wrong) if code}
+    assert set(got) == {r["doc_id"] for r in nquads.parse(lines).filter("error is not null").collect()}
+    texts = spark.createDataFrame([(1, "bad\r\n<a:b> <p:q> <o:o> .\n  worse"), (2, None), (3, "")], "doc_id long, text string")
+    assert [(r["doc_id"], r["number"], r["column"]) for r in nquads.errors(nquads.lines_of(texts)).orderBy("number").collect()] == [(1, 1, 1), (1, 3, 3)]
 
 
 def test_nquads_files(spark, tmp_path):
@@ -334,6 +354,40 @@ def test_resolution(spark):
     assert {r["r"]: r["o"] for r in got} == want
 
 
+def test_opaque_bases(spark):
+    """Bases without an authority, and dot segments of random paths against the steps of RFC 3986, 5.2.4, for columns and for contexts."""
+    import random
+
+    from tessera.functions import definitions
+
+    want = {("tag:example", "a"): "tag:a", ("tag:example/foo", "a"): "tag:example/a", ("tag:example/foo/", "a"): "tag:example/foo/a", ("ex:", "test"): "ex:test", ("tag:x/y/z", "../up"): "tag:x/up", ("tag:x/y/z", "/./top/../t"): "tag:/t", ("tag:x", "../a"): "tag:a", ("tag:x?q", "#f"): "tag:x?q#f"}
+    got = spark.createDataFrame([(*k, v) for k, v in want.items()], "b string, r string, w string").select("b", "r", iri.resolve(F.col("b"), F.col("r")).alias("o")).collect()
+    assert {(r["b"], r["r"]): r["o"] for r in got} == want
+    assert all(definitions.resolve(b, r) == w for (b, r), w in want.items())
+
+    def steps(left):
+        done = ""
+        while left:
+            if left.startswith(("../", "./")):
+                left = left.partition("/")[2]
+            elif left in (".", ".."):
+                left = ""
+            elif left.startswith("/./") or left == "/.":
+                left = "/" + left[3:]
+            elif left.startswith("/../") or left == "/..":
+                left, done = "/" + left[4:], done.rpartition("/")[0]
+            else:
+                cut = left.find("/", 1) if "/" in left[1:] else len(left)
+                done, left = done + left[:cut], left[cut:]
+        return done
+
+    r = random.Random(5)
+    paths = [r.choice(["", "/"]) + "/".join(r.choice(["a", "bc", ".", "..", "..."]) for _ in range(r.randint(1, 7))) + r.choice(["", "/"]) for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in paths], "x string").select("x", iri.without_dot_segments(F.col("x")).alias("y")).collect()
+    assert [(x["x"], x["y"]) for x in got] == [(x, steps(x)) for x in paths]
+    assert [definitions.without_dots(x) for x in paths] == [steps(x) for x in paths]
+
+
 def test_relative_references(spark):
     """What a reference is made of resolves to it again."""
     base = "http://a/b/c/d"
@@ -434,6 +488,17 @@ def test_canonical_forms(spark):
         assert errors.count() == 0
         forms.append(sorted((r["doc_id"], r["line"]) for r in got.collect()))
     assert forms[0] == forms[1] and len(forms[0]) == 10
+    # Two like chains, longer than any call stack, and a document in which few of many nodes are tied.
+    ends = "<http://first>", "<http://last>"
+    chain = "\n".join(f"_:{c}{i} <http://p> _:{c}{i + 1} ." for c in "ab" for i in range(3000)) + "".join(f"\n_:{c}0 <http://q> {ends[0]} ." for c in "ab")
+    many = "\n".join(f'_:n{i} <http://p> "{i}" .\n_:n{i} <http://next> _:n{i + 1} .' for i in range(3000)) + "\n_:x <http://p> _:n7 .\n_:y <http://p> _:n8 .\n_:x <http://p> _:y .\n_:y <http://p> _:x ."
+    rows = [(k, x) for k, t in enumerate((chain, many)) for x in t.split("\n")]
+    got, errors = canon.canonize(nquads.parse(spark.createDataFrame(rows, "doc_id long, line string")).drop("error"))
+    assert errors.count() == 0 and got.groupBy("doc_id").count().orderBy("doc_id").collect() == [(0, 6002), (1, 6004)]
+    names = got.select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(r"_:c14n(\d+)"), F.lit(1))).alias("n")).distinct().groupBy("doc_id").agg(F.count("*"), F.max(F.col("n").cast("int")) + 1)
+    assert sorted(tuple(r) for r in names.collect()) == [(0, 6002, 6002), (1, 3003, 3003)]
+    lines, errors = canon.canonize(nquads.parse(spark.createDataFrame(rows[:100], "doc_id long, line string")).drop("error"), most=10, work=None)
+    assert lines.count() == 0 and errors.count() == 1
     star = "\n".join(f"_:h{k} <http://p> _:l{k}x{i} ." for k in (0, 1) for i in range(10))
     lines, errors = canon.canonize(quads(spark, star), work=2000)
     assert lines.count() == 0 and [r["code"] for r in errors.collect()] == ["canonicalize-failed"]
