@@ -21,8 +21,8 @@ from tessera.sources.shared import written
 REMOTE = "map<string,struct<document:string,final:string>>"
 #: Contexts of a chain of remote contexts, at most.
 CHAIN = 50
-#: Distinct contexts, and requests for them, that the driver compiles itself.
-FEW = 500
+#: Distinct contexts, and requests for them, that the driver compiles itself; what each request, and all contexts, may take there (characters).
+FEW, SMALL, ALL = 500, 1 << 17, 1 << 25
 
 TERM = "struct<iri:string,type:string,container:array<string>,language:string,plain:boolean,direction:string,undirected:boolean,reverse:boolean,nest:string,index:string,prefix:boolean,scoped:string,scoped_base:string>"
 ROW = f"ctx_key string, state string, base string, vocab string, language string, direction string, prev string, aliases map<string,string>, terms map<string,{TERM}>"
@@ -120,6 +120,7 @@ class Contexts:
         self.start = definitions.key_of(first)
         #: The contexts, while they are few enough to be known here too.
         self.few: dict[str, dict] | None = {self.start: first}
+        self.size = 0
         self._known(self.few)
 
     def _parsed(self, states: DataFrame) -> DataFrame:
@@ -127,8 +128,11 @@ class Contexts:
         rows = states.select("ctx_key", "state", parsed.alias("s")).select("ctx_key", "state", "s.base", "s.vocab", "s.language", "s.direction", "s.prev", "s.terms")
         return rows.withColumn("aliases", F.transform_values(F.map_filter("terms", lambda k, t: t["iri"].isin(sorted(KEYWORDS))), lambda k, t: t["iri"]))
 
+    def _states(self, few: dict[str, dict]) -> DataFrame:
+        return self.spark.createDataFrame([(k, json.dumps(a, ensure_ascii=False)) for k, a in few.items()], "ctx_key string, state string")
+
     def _known(self, few: dict[str, dict]) -> None:
-        self.rows = self._parsed(self.spark.createDataFrame([(k, json.dumps(a, ensure_ascii=False)) for k, a in few.items()], "ctx_key string, state string"))
+        self.rows = self._parsed(self._states(few))
         terms = [t for a in few.values() for t in a["terms"].values()]
         #: Whether any context goes back to another, has scoped contexts, or has a name for @nest.
         self.reverts, self.scoped, self.nests = any(a["prev"] for a in few.values()), any(t["scoped"] for t in terms), any(t["iri"] == "@nest" for t in terms)
@@ -143,17 +147,22 @@ class Contexts:
     def derive(self, requests: DataFrame) -> DataFrame:
         """parent, steps, ctx_key, error of every distinct (parent, steps): steps is a JSON array of ``step``. Rows of new contexts are added.
 
-        Up to FEW requests are compiled here and joined from memory; more are
-        compiled by tasks and written.
+        Up to FEW requests of up to SMALL characters are compiled here, and
+        joined from memory while all contexts have up to ALL characters; more
+        are compiled by tasks and written.
         """
         asked = requests.select("parent", "steps").distinct()
         most = self.chain
         if self.remote is None and self.few is not None and len(self.few) <= FEW:
-            some = asked.limit(FEW + 1).collect()
-            if len(some) <= FEW:
+            some = asked.select("parent", F.when(F.length("steps") <= SMALL, F.col("steps"))).limit(FEW + 1).collect()
+            if len(some) <= FEW and all(r[1] is not None for r in some):
                 made, states = _compiled([(r[0], r[1], json.dumps(self.few[r[0]]), None) for r in some], most)
-                self.few |= states
-                if states:
+                new = {k: a for k, a in states.items() if k not in self.few}
+                self.size += sum(len(json.dumps(a, ensure_ascii=False)) for a in new.values())
+                self.few |= new
+                if new and self.size > ALL:
+                    self._written(self._states(new))
+                elif new:
                     self._known(self.few)
                 return self.spark.createDataFrame(made, DERIVED).drop("state")
         if self.remote is None:

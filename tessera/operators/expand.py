@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,17 +116,18 @@ class _Steps:
         return df
 
 
-_LEVELS: dict[tuple, _Steps] = {}
+#: Steps by Spark context and safe mode.
+_LEVELS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def _level(e: DataFrame, safe: bool) -> DataFrame:
     """What a level's objects, joined with their contexts, come to."""
-    key = (id(e.sparkSession.sparkContext), safe)
-    if key not in _LEVELS:
+    own = _LEVELS.setdefault(e.sparkSession.sparkContext, {})
+    if safe not in own:
         steps = _Steps()
         _rows(_values(_judged(steps)), safe)
-        _LEVELS[key] = steps
-    return _LEVELS[key](e)
+        own[safe] = steps
+    return own[safe](e)
 
 
 def _enter(frontier: DataFrame, contexts: Contexts, local: bool) -> tuple[DataFrame, DataFrame]:

@@ -13,9 +13,22 @@ from tessera.sources.shared import written
 
 #: Stands for a missing doc_id while rows are joined.
 NO_DOC = -(1 << 63)
+#: Positions of a list that one task numbers.
+BLOCK = 1 << 16
 
 
-def to_rdf(statements: DataFrame, keep_ill_formed: bool = False) -> DataFrame:
+def _numbered(items: DataFrame, block: int) -> DataFrame:
+    """Items of lists with ``n``, their number from 1 (positions may have gaps), and ``more``, whether others follow; a list of any length goes over all tasks, a block at a time."""
+    items = items.withColumns({"doc_": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)), "block": F.floor(F.coalesce("pos", F.lit(0)) / block)})
+    whole = Window.partitionBy("doc_", "list")
+    counts = items.groupBy("doc_", "list", "block").agg(F.count(F.lit(1)).alias("inside"))
+    counts = counts.select("doc_", "list", "block", (F.sum("inside").over(whole.orderBy("block")) - F.col("inside")).alias("before"), F.sum("inside").over(whole).alias("length"))
+    ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("doc_", "list", "block").orderBy("pos")))
+    n = ranked.join(counts, ["doc_", "list", "block"]).withColumn("n", F.col("before") + F.col("rank"))
+    return n.withColumn("more", F.col("n") < F.col("length")).drop("doc_", "block", "rank", "before", "length")
+
+
+def to_rdf(statements: DataFrame, keep_ill_formed: bool = False, block: int = BLOCK) -> DataFrame:
     """Quads of statements. A list becomes a chain of first and rest; an empty one is rdf:nil.
 
     Ill-formed quads (relative IRIs, forbidden characters, bad language tags)
@@ -26,9 +39,8 @@ def to_rdf(statements: DataFrame, keep_ill_formed: bool = False) -> DataFrame:
     st = statements.filter("o_kind is distinct from 'empty'").withColumn("p", p).withColumn("o_kind", kind)
     none = F.lit(None).cast("string")
     plain = st.filter("list is null").select(*QUAD)
-    chain = Window.partitionBy("doc_id", "list").orderBy("pos")
     cell = lambda n: F.concat("list", F.lit("_"), n.cast("string"))
-    cells = st.filter("list is not null").withColumn("n", F.row_number().over(chain)).withColumn("more", F.lead("pos").over(chain).isNotNull())
+    cells = _numbered(st.filter("list is not null"), block)
     own, following = cell(F.col("n")), F.when(F.col("more"), cell(F.col("n") + 1)).otherwise(lit.NIL)
     head = F.when(F.col("pos").isNull(), lit.NIL).otherwise(own)
     # A list in a list is an item that names its first cell.
@@ -91,8 +103,10 @@ def with_lists(quads: DataFrame, unlisted: DataFrame | None = None) -> DataFrame
     graph = F.coalesce("g", F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))
     q = quads.select(*QUAD).distinct().withColumn("doc_id", doc)
-    # Names are compared within a document, as 64-bit hashes.
-    q = written(q.withColumns({"k": F.xxhash64(graph, "s"), "k_o": F.when(F.col("o_kind") != "lit", F.xxhash64(graph, "o"))}), "quads")
+    # Names are compared within a document, as 128-bit hashes.
+    hashed = lambda *text: F.unhex(F.md5(F.concat(*text)))
+    key = lambda c: hashed(F.length(graph).cast("string"), F.lit(":"), graph, F.col(c))
+    q = written(q.withColumns({"k": key("s"), "k_o": F.when(F.col("o_kind") != "lit", key("o"))}), "quads")
     is_list_type = (F.col("p") == lit.TYPE) & (F.col("o") == lit.LIST)
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     is_rest = (F.col("p") == lit.REST) & (F.col("o_kind") != "lit")
@@ -100,8 +114,8 @@ def with_lists(quads: DataFrame, unlisted: DataFrame | None = None) -> DataFrame
         F.max("s").alias("s"), count(F.col("p") == lit.FIRST).alias("firsts"), count(F.col("p") == lit.REST).alias("rests"), count(~(F.col("p").isin(lit.FIRST, lit.REST) | is_list_type)).alias("others"),
         F.max(F.when(is_rest, F.col("k_o"))).alias("rest"), F.max(F.when(is_rest, F.col("o") == lit.NIL)).alias("last"),
     ).filter("firsts = 1 and rests = 1 and others = 0 and rest is not null")
-    uses = q.filter("o_kind = 'bnode'").groupBy("doc_id", F.xxhash64("o").alias("name")).agg(F.count(F.lit(1)).alias("uses")).filter("uses = 1")
-    cells = written(shape.withColumn("name", F.xxhash64("s")).join(uses, ["doc_id", "name"]).select("doc_id", "k", "s", "rest", "last"), "cells")
+    uses = q.filter("o_kind = 'bnode'").groupBy("doc_id", hashed(F.col("o")).alias("name")).agg(F.count(F.lit(1)).alias("uses")).filter("uses = 1")
+    cells = written(shape.withColumn("name", hashed(F.col("s"))).join(uses, ["doc_id", "name"]).select("doc_id", "k", "s", "rest", "last"), "cells")
     found = _chains(cells).join(cells, ["doc_id", "k"])
     names = cells.select("doc_id", F.col("k").alias("head"), F.col("s").alias("list"))
     ends = found.groupBy("doc_id", "head").agg(F.max("last").alias("ends")).filter("ends").drop("ends").join(names, ["doc_id", "head"])

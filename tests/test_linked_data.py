@@ -291,6 +291,30 @@ def test_long_list(spark):
     assert [r["o"] for r in got] == [str(i) for i in range(n)]
 
 
+def test_lists_in_blocks(spark):
+    """A list's cells are the same whatever the block of positions that a task numbers: with nulls left out, lists in lists, empty ones, no doc_id."""
+    items = [None, *range(7), None, [1, None, 2], None, None, [], *"abc"]
+    docs = spark.createDataFrame([(d, json.dumps({"@context": {**V, "l": {"@container": "@list"}}, "@id": "http://a", "l": items[:n]})) for d, n in ((1, 16), (2, 5), (3, 0), (None, 12))], "doc_id long, doc string")
+    st = expand(docs).statements
+    whole, parts = (sorted(map(str, rdf.to_rdf(st, block=b).collect())) for b in (1 << 16, 3))
+    assert whole == parts and sum("'" + lit.FIRST + "'" in x for x in whole) == (12 + 2) + 4 + 0 + (8 + 2)
+    back = graph.from_rdf_json(rdf.to_rdf(st, block=2), native_types=True).filter("doc_id = 1").first()["doc"]
+    assert json.loads(back)[0][EX + "l"] == [{"@list": [*({"@value": i} for i in range(7)), {"@list": [{"@value": 1}, {"@value": 2}]}, {"@list": []}, *({"@value": x} for x in "abc")]}]
+
+
+def test_contexts_beyond_the_driver(spark, monkeypatch):
+    """Statements are the same where contexts are too long, or too many, for the driver."""
+    from tessera.operators import context
+
+    docs = spark.createDataFrame([(i, json.dumps({"@context": {**V, f"t{i}": {"@id": f"http://t/{i}", "@context": {"in": f"http://in/{i}"}}}, f"t{i}": {"in": i}})) for i in range(4)], "doc_id long, doc string")
+    want = sorted(map(str, expand(docs).statements.collect()))
+    for name in ("SMALL", "ALL", "FEW"):
+        with monkeypatch.context() as m:
+            m.setattr(context, name, 2)
+            assert sorted(map(str, expand(docs).statements.collect())) == want
+    assert len(want) == 8
+
+
 def test_nquads_lines(spark):
     lines = ['<http://a> <http://p> "a\\"b\\\\\\n\\u00e9\\U0001F600\\t"@en-us <http://g> . # "c"', "bad", "# comment", "", '_:b.1 <p:q> "x"^^<http://dt> .', "<http://a> <http://p> <http://o>", '<http://a> <http://p> "\\q" .', '<http://a> <http://p> "' + "long \\n" * 20_000 + '" .']
     got = nquads.parse(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, line string")).collect()
