@@ -17,7 +17,7 @@ def xsd_double(x: Column) -> Column:
     mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"^([^E]*)E", 1), r"0+$", ""), r"\.$", ".0")
     exponent = F.regexp_extract(text, r"E(.*)$", 1).try_cast("int").cast("string")
     special = F.when(F.isnan(x), "NaN").when(x == float("inf"), "INF").when(x == float("-inf"), "-INF").when(x == 0, "0.0E0")
-    return F.coalesce(special, F.concat(mantissa, F.lit("E"), exponent))
+    return F.when(x.isNotNull(), F.coalesce(special, F.concat(mantissa, F.lit("E"), exponent)))
 
 
 def is_integral(x: Column) -> Column:

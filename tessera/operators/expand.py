@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import literals as lit
 from tessera.operators.context import KEYWORDS, Contexts, expand_iri, is_null, items, members, step, text_of
-from tessera.sources.shared import written
+from tessera.sources.shared import split_code, written
 
 STATEMENT = ["doc_id", "g", "s", "p", "o", "o_kind", "datatype", "language", "direction", "idx", "list", "pos", "json"]
 #: Of a row in the document's tree: the place of the object it lies in, its own place (of objects and lists), its order there, whether under @reverse, and whether it wrote its name.
@@ -55,10 +55,9 @@ def _no(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
-def _number(v: Column) -> tuple[Column, Column]:
-    """Text and XSD type of a number: whole ones below 1e21 are integers, as text 1.0 is."""
-    x = F.try_variant_get(v, "$", "double")
-    whole = F.coalesce(F.try_variant_get(v, "$", "decimal(38,0)").cast("string"), lit.xsd_integer(x))
+def _number(text: Column, x: Column) -> tuple[Column, Column]:
+    """Text and XSD type of a number, x, from its JSON text: whole ones below 1e21 are integers, as text 1.0 is."""
+    whole = F.coalesce(text.try_cast("decimal(38,0)").cast("string"), lit.xsd_integer(x))
     return F.when(lit.is_integral(x), whole).otherwise(lit.xsd_double(x)), F.when(lit.is_integral(x), lit.INTEGER).otherwise(lit.DOUBLE)
 
 
@@ -238,7 +237,9 @@ def _values(e: DataFrame) -> DataFrame:
     every = F.when(c("kind") == "node", F.concat(F.array(row(none, variant, False, F.lit("self"))), given, own, F.coalesce(back, F.array().cast("array<struct<key:string,value:variant,under:boolean,role:string>>"))))
     every = every.when(c("kind") == "set", F.array(row(none, c("content"), False, F.lit("members"))))
     every = every.when(c("kind") == "list", F.array(row(none, variant, False, F.lit("self")), row(none, c("content"), False, F.lit("members")))).otherwise(F.array(row(none, variant, False, F.lit("self"))))
-    n = e.select("*", F.posexplode(every).alias("key_at", "e_")).select("*", "e_.key", "e_.value", "e_.under", F.col("e_.role").alias("role")).drop("e_", "entries", "roles")
+    # A list's own content stays behind: it would be copied with every item. No object has no rows, and an outer explode doesn't compute them twice to find that out.
+    e = e.withColumns({"every": every, "empty": c("kind").eqNullSafe("list") & _no(F.size(F.try_variant_get("content", "$", "array<variant>")) == 0), "content": F.when(c("kind") == "value", c("content"))})
+    n = e.select("*", F.posexplode_outer("every").alias("key_at", "e_")).drop("every").select("*", "e_.key", "e_.value", "e_.under", F.col("e_.role").alias("role")).drop("e_", "entries", "roles")
     n = n.withColumn("term", F.when(c("role").isNull(), F.element_at("terms", c("key"))))
     n = n.withColumn("prop", F.when(c("role").isNull(), F.when(F.map_contains_key("terms", c("key")), c("term.iri")).otherwise(expand_iri(c("key"), c("terms"), c("vocab"), None))).otherwise(F.when(c("role").isin("@type", "@graph", "@included"), c("role"))))
     n = n.withColumn("dropped", c("role").isNull() & ~_no(F.contains("prop", F.lit(":"))))
@@ -268,11 +269,14 @@ def _rows(n: DataFrame, safe: bool) -> DataFrame:
     c = F.col
     none = F.lit(None).cast("string")
     me, part, typed = _no(c("role") == "self"), _no(c("role") == "members"), _no(c("role") == "@type")
-    n = n.withColumns({"me": me, "part": part, "is_type": typed, "arr": F.try_variant_get("v", "$", "array<variant>").isNotNull()})
+    n = n.withColumns({"me": me, "part": part, "is_type": typed})
     n = n.withColumns({"value_object": c("me") & (c("kind") == "value"), "how_": F.when(c("part"), c("how")).otherwise(F.struct(c("term.type"), c("term.language"), c("term.plain"), c("term.direction"), c("term.undirected")).cast(HOW))})
     n = n.withColumns({"x": F.when(c("value_object"), c("content")).otherwise(c("v")), "t": c("how_.type"), "json_part": c("part") & _no(c("how.type") == "@json")})
     n = n.withColumns({"x_kind": F.schema_of_variant("x"), "text": text_of(c("x")), "is_json": F.when(c("value_object"), _no(text_of(c("type_in")) == "@json")).otherwise(c("is_json") | c("json_part"))})
-    is_obj = F.col("v").isNotNull() & members(c("v")).isNotNull()
+    # A variant's kind is asked for once: reading it as a type builds a cast for every row.
+    is_obj = c("v").isNotNull() & _no(c("x_kind").startswith("OBJECT"))
+    n = n.withColumns({"arr": c("v").isNotNull() & _no(c("x_kind").startswith("ARRAY")), "digits": F.when(c("x_kind").rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.to_json("x"))})
+    n = n.withColumn("number", c("digits").try_cast("double"))
     n = n.withColumns({"deeper": ~c("me") & ~c("is_json") & ~c("is_type") & (is_obj | c("arr") | ((c("map_kind") == "@type") & c("text").isNotNull()))})
     n = n.withColumns({"deeper": _no(c("deeper")), "by_id": ~c("me") & ~c("is_type") & c("text").isNotNull() & _no(c("t").isin("@id", "@vocab"))})
     n = n.withColumn("short", F.when(c("is_type") | c("by_id"), c("text")).when(c("value_object"), text_of(c("type_in"))))
@@ -283,19 +287,18 @@ def _rows(n: DataFrame, safe: bool) -> DataFrame:
     in_map = c("map_kind") == "@language"
     language = F.when(c("value_object"), F.lower(text_of(c("lang_in")))).when(in_map, F.lower("item_mk")).when(plain & ~_no(c("how_.plain")), F.coalesce("how_.language", "own_language"))
     direction = F.when(c("value_object"), text_of(c("dir_in"))).when(plain & ~_no(c("how_.undirected")), F.coalesce("how_.direction", "own_direction"))
-    number, number_type = _number(c("x"))
+    number, number_type = _number(c("digits"), c("number"))
     scalar = F.when(is_string, c("text")).when(c("x_kind") == "BOOLEAN", F.to_json("x")).otherwise(number)
     scalar_type = F.when(is_string, lit.STRING).when(c("x_kind") == "BOOLEAN", lit.BOOLEAN).otherwise(number_type)
     kind_type = F.when(c("is_json"), "@json").when(c("value_object"), c("full")).when(~_no(c("t").isin("@id", "@vocab", "@none", "@json")) & ~_no(in_map), c("t"))
     n = n.withColumns({"lang_": F.when(~c("is_json"), language), "dir_": F.when(~c("is_json"), direction), "said": kind_type, "scalar": scalar, "scalar_type": scalar_type})
     n = n.withColumn("datatype_", F.when(c("is_json"), lit.JSON).when(c("lang_").isNotNull(), lit.LANG_STRING).otherwise(F.coalesce("said", "scalar_type")))
-    lexical = F.when(c("is_json"), lit.canonical_text("x")).when((c("datatype_") == lit.DOUBLE) & ~is_string, lit.xsd_double(F.try_variant_get("x", "$", "double"))).otherwise(c("scalar"))
+    lexical = F.when(c("is_json"), lit.canonical_text("x")).when((c("datatype_") == lit.DOUBLE) & ~is_string, lit.xsd_double(c("number"))).otherwise(c("scalar"))
     here = F.when(c("part"), F.concat_ws("_", "at", F.coalesce("item_at", F.lit(0)))).otherwise(F.concat_ws("_", "at", "key_at", F.coalesce("item_at", F.lit(0))))
     own_list = _blank(c("doc_id"), F.concat(F.lit("l"), c("at")))
     list_me, in_list = c("kind") == "list", c("part") & (c("kind") == "list")
     nested = list_me & c("list").isNotNull()
-    empty = list_me & F.coalesce(F.size(F.try_variant_get("content", "$", "array<variant>")) == 0, F.lit(False))
-    n = n.withColumns({"here": here, "own_list": own_list, "in_list": in_list, "nested": nested, "empty": empty, "is_node": c("me") & (c("kind") == "node"), "names": c("is_type") | c("by_id")})
+    n = n.withColumns({"here": here, "own_list": own_list, "in_list": in_list, "nested": nested, "is_node": c("me") & (c("kind") == "node"), "names": c("is_type") | c("by_id")})
     leaf = ~c("me") & ~c("deeper") & c("v").isNotNull() | c("value_object") & ~(is_null(c("x")) & ~c("is_json"))
     n = n.withColumn("leaf", _no(leaf))
     # Where a row stands: the object itself and a set's or list's members under their parent's property, others under their own.
@@ -420,7 +423,8 @@ def expand(docs: DataFrame, remote: DataFrame | None = None, base: str | None =
             entered = entered.join(contexts.rows.select(F.col("ctx_key").alias("type_key"), F.col("terms").alias("type_terms"), F.col("vocab").alias("type_vocab")), "type_key")
         else:
             entered = entered.withColumns({"type_terms": F.col("terms"), "type_vocab": F.col("vocab")})
-        level = written(_level(entered, safe), "level")
+        with split_code(spark):
+            level = written(_level(entered, safe), "level")
         tables.append(_flat(level))
         frontier = level.filter("next is not null").select("doc_id", "next.*", "base_url")
         depth += 1

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+#: Bytes of a method beyond which the JVM doesn't compile it, by default.
+COMPILED = 8000
+
+
+@contextmanager
+def split_code(spark: SparkSession):
+    """Jobs within it run stages of very wide expressions as projections of small methods: one method for such a stage is longer than the JVM compiles, and would be interpreted for every row."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(min(int(before), COMPILED)))
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, before)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again, through the file system that Spark wrote them with, and let go of the shuffles behind plans that are gone."""
     import gc
