@@ -27,8 +27,8 @@ SEED = 42
 RADIUS = 4
 BLOCKS = RADIUS + 2
 TILE = 4096
-#: Words of 64 lanes compared at once, and bit planes between looks for words to abandon.
-CHUNK, LOOK = 1 << 16, 8
+#: Words of 64 lanes compared at once, and looks for words to abandon.
+CHUNK, LOOKS = 1 << 14, 8
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> bytes:
@@ -84,24 +84,41 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def link(sizes: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For members of buckets (``sizes`` of each, members one after another): the least
-    member index that each is linked with, through any chain in its bucket."""
-    blocks = -(-sizes // 64)
-    member0, block0 = np.cumsum(sizes) - sizes, np.cumsum(blocks) - blocks
-    place = np.arange(len(fps)) - np.repeat(member0, sizes)
-    block = np.repeat(block0, sizes) + place // 64
-    lanes = np.zeros((int(blocks.sum()), 64), np.uint64)
-    lanes[block, place % 64] = fps
-    bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+def majority(hashes: np.ndarray, words: int = 1) -> bytes:
+    """The fingerprint of a set of 64-bit hashes, 64 * words bits: the first word is that of the hashes, each other that of another mix of them."""
+    all_ = np.empty((len(hashes), words), np.uint64)
+    for k in range(words):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        if k:  # splitmix64
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+        all_[:, k] = x
+    bits = np.unpackbits(all_.view(np.uint8), axis=1)
+    ones = np.zeros(64 * words, np.int64)
+    for start in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+        ones += bits[start : start + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def within(until: np.ndarray, fps: np.ndarray, radius: int):
+    """Pairs i < j of members whose fingerprints (a row of 64-bit words each) differ in at most ``radius`` bits, as arrays, in order of i.
+
+    Members of a bucket lie one after another; i meets those up to ``until[i]``.
+    64 members are the lanes of a word in every bit plane, and a word's distances
+    are counted at once, in carry-save bitwise counters.
+    """
+    if not len(fps):
+        return
+    fps = fps.reshape(len(fps), -1)
+    width, depth = 64 * fps.shape[1], max(1, radius.bit_length())
+    lanes = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), np.uint64)
+    lanes[: len(fps)] = fps
+    bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 64, width // 8), axis=2, bitorder="little")
     planes = np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0].T.copy()
-    used = np.zeros((len(lanes), 64), np.uint8)
-    used[block, place % 64] = 1
-    used = np.ascontiguousarray(np.packbits(used, axis=1, bitorder="little")).view(np.uint64)[:, 0]
-    first = np.repeat(member0, blocks) + 64 * (np.arange(len(lanes)) - np.repeat(block0, blocks))
-    # Every member meets its own block and the later ones of its bucket.
-    meets = np.repeat(block0 + blocks, sizes) - block
-    label = np.arange(len(fps))
+    # A member meets its own word of lanes and the later ones of its bucket.
+    block = np.arange(len(fps)) // 64
+    meets = (until - 1) // 64 - block + 1
     ends = np.cumsum(meets)
     row = 0
     while row < len(fps):
@@ -109,34 +126,57 @@ def link(sizes: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray
         member = np.repeat(np.arange(row, end), meets[row:end])
         at = block[member] + np.arange(len(member)) - np.repeat(np.cumsum(meets[row:end]) - meets[row:end], meets[row:end])
         row = end
-        one = two = four = over = np.zeros(len(at), np.uint64)
-        for bit in range(64):
-            x = planes[bit][at] ^ (np.uint64(0) - ((fps[member] >> np.uint64(bit)) & np.uint64(1)))
-            carry = one & x
-            one = one ^ x
-            carry, two = two & carry, two ^ carry
-            carry, four = four & carry, four ^ carry
-            over = over | carry
-            if bit % LOOK == LOOK - 1:
-                far = over | _above(one, two, four, radius)
-                alive = (~far & used[at]) != 0
+        own = fps[member].T.copy()
+        over = np.zeros(len(at), np.uint64)
+        counter, waiting = [over] * depth, [None] * depth
+        for bit in range(width):
+            x = planes[bit][at] ^ (np.uint64(0) - ((own[bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)))
+            # Two bits of a level are added to its counter at once, and carry one to the next.
+            for level in range(depth):
+                if waiting[level] is None:
+                    waiting[level] = x
+                    break
+                y, waiting[level], c = waiting[level], None, counter[level]
+                t = c ^ x
+                counter[level], x = t ^ y, (c & x) | (t & y)
+            else:
+                over = over | x
+            if (bit + 1) % (width // LOOKS) == 0 and (bit >= radius or bit + 1 == width):
+                for level in range(depth):
+                    if waiting[level] is not None:
+                        x, waiting[level] = waiting[level], None
+                        for k in range(level, depth):
+                            counter[k], x = counter[k] ^ x, counter[k] & x
+                        over = over | x
+                near = ~(over | _above(counter, radius))
+                alive = near != 0
                 if not alive.all():
-                    member, at, one, two, four, over = (v[alive] for v in (member, at, one, two, four, over))
-        near = ~(over | _above(one, two, four, radius)) & used[at]
+                    member, at, over, near, own = member[alive], at[alive], over[alive], near[alive], own[:, alive]
+                    counter = [c[alive] for c in counter]
         hit, lane = np.nonzero(np.unpackbits(np.ascontiguousarray(near).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        label = _hook(label, member[hit], first[at[hit]] + lane)
+        i, j = member[hit], 64 * at[hit] + lane
+        good = (i < j) & (j < until[i])
+        yield i[good], j[good]
+
+
+def link(sizes: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For members of buckets (``sizes`` of each, members one after another): the least
+    member index that each is linked with, through any chain in its bucket."""
+    label = np.arange(len(fps))
+    for i, j in within(np.repeat(np.cumsum(sizes), sizes), fps, radius):
+        label = _hook(label, i, j)
     return label
 
 
-def _above(one, two, four, radius: int):
-    """Lanes whose three-bit counter is above radius (0 to 7)."""
-    out = np.zeros_like(one)
+def _above(counter: list[np.ndarray], radius: int):
+    """Lanes whose counter (its bits, lowest first) is above radius."""
+    out = np.zeros_like(counter[0])
     equal = ~out
-    for bit, plane in ((2, four), (1, two), (0, one)):
+    for bit in reversed(range(len(counter))):
         if radius >> bit & 1:
-            equal = equal & plane
+            equal = equal & counter[bit]
         else:
-            out, equal = out | (equal & plane), equal & ~plane
+            out, equal = out | (equal & counter[bit]), equal & ~counter[bit]
     return out
 
 

@@ -91,3 +91,42 @@ def test_near_dedup_links_by_jaccard(spark, data):
         assert {r["doc_id"] for r in cp.near_dedup(spark, docs, data[0]).collect()} == want
     finally:
         near.TILE = tile
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_dedup_goes_by_fingerprints(spark, data):
+    """A near copy goes if its fingerprint is within the radius, and only then."""
+    from tessera.llm import near
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[:k] + ["v"] + words[k + 1 :]) for k in range(0, 200, 10)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert [r["doc_id"] for r in cp.near_dedup(spark, docs, data[0]).collect()] == [0]
+    radius, near.RADIUS = near.RADIUS, 0
+    try:
+        assert cp.near_dedup(spark, docs, data[0]).count() == len(texts)
+    finally:
+        near.RADIUS = radius
+
+
+def test_fingerprints_within_a_radius():
+    """Bit planes give the pairs that a comparison one by one gives, and lose none of similar sets."""
+    import numpy as np
+    from tessera.llm import near, simhash
+
+    rng = np.random.default_rng(4)
+    for words, radius in ((1, 4), (2, 40), (4, near.RADIUS)):
+        fps = rng.integers(0, 1 << 64, (20, words), np.uint64)[rng.integers(0, 20, 700)]
+        fps ^= np.packbits(rng.random((700, 64 * words)) < rng.choice([0.01, 0.1, 0.3], (700, 1)), axis=1).view(np.uint64)
+        until = np.repeat([1, 3, 67, 300, 700], [1, 2, 64, 233, 400])
+        got = [(a, b) for i, j in simhash.within(until, fps, radius) for a, b in zip(i.tolist(), j.tolist())]
+        want = [(i, j) for i in range(700) for j in range(i + 1, until[i]) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= radius]
+        assert sorted(got) == want
+    for n in (4, 8, 12, 40, 400, 3000):
+        for _ in range(30):
+            a = rng.integers(0, 1 << 64, n, np.uint64)
+            b = np.concatenate([a, rng.integers(0, 1 << 64, n // 4, np.uint64)])
+            x, y = (np.frombuffer(simhash.majority(s, near.WORDS), np.uint64) for s in (a, b))
+            assert near.similar(np.sort(a), np.sort(b)) and np.bitwise_count(x ^ y).sum() <= near.RADIUS
