@@ -21,7 +21,9 @@ bits a shingle, then shingle by shingle on the whole texts.
 A bucket of up to SMALL sets gives all its pairs. A larger one gives a spanning
 forest of its candidates, the likest first, and after their check every pair
 whose sets are still in different components. Only sets of components between
-which the check has cut a candidate go on to that.
+which the check has cut a candidate go on to that. A pair that shares many shingles is given
+by the bucket of the least of them (a few times at most): the bucket of another
+sees, by the sets' BACK shingles before it, that they share a lesser one.
 Buckets of more than TILE sets are compared tile by tile.
 """
 from __future__ import annotations
@@ -29,7 +31,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, written
@@ -43,6 +45,8 @@ BITS, LONG = 1024, 1600
 SMALL, TILE = 16, 4096
 #: Words of a fingerprint, and most bits in which those of two similar sets differ.
 WORDS, RADIUS = 4, 104
+#: Shingles of a set before one that tell of other buckets.
+BACK = 4
 #: Pairs looked at, and pairs hung on a forest, at once.
 LOOK, HANG = 1 << 13, 1 << 17
 #: Sets held for comparison in a task.
@@ -242,13 +246,13 @@ def _hang(up: np.ndarray, i, j, slack):
 
 
 def _large(forest: bool, radius: int):
-    """(token, x, y, tile, key, size, bits, fp, label), sorted -> candidates of each bucket between sets of different labels: a spanning forest, or all."""
+    """(token, x, y, tile, key, size, bits, fp, label, BACK lesser tokens), sorted -> candidates of each bucket between sets of different labels: a spanning forest, or all."""
 
     def of(batches):
         for t in _whole(batches, 3):
             token, x, y, tile = (t.column(k).to_numpy().astype(np.int64) for k in range(4))
             key, size, bits, fps = _columns(t, 4)
-            label = t.column(8).to_numpy()
+            label, back = t.column(8).to_numpy(), np.stack([t.column(9 + k).to_numpy() for k in range(BACK)], 1)
             edges = _runs(token, x, y)
             bucket = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
             # In order of size, those that a set can be similar to follow it at once.
@@ -261,7 +265,13 @@ def _large(forest: bool, radius: int):
             held = []
 
             def open_(i, j):
-                return (up[i] != up[j]) & ((x[i] == y[i]) | (tile[i] != tile[j]))
+                good = (up[i] != up[j]) & ((x[i] == y[i]) | (tile[i] != tile[j]))
+                at = np.flatnonzero(good)
+                p, q = back[i[at]], back[j[at]]
+                # Tokens of none before are the bucket's own.
+                both = (p[:, :, None] == q[:, None, :]) & (p != token[i[at]][:, None])[:, :, None]
+                good[at] = ~both.any((1, 2))
+                return good
 
             for i, j, slack in _candidates(size, bits, fps, until, radius, open_):
                 if not forest:
@@ -317,6 +327,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     tokens = found.select("key", "prefix").dropDuplicates(["key"]).mapInArrow(_spread, "token long, key long")
     shared = tokens.repartition(parts, "token").sortWithinPartitions("token", "key").mapInArrow(_shared, "token long, key long, n long")
     facts = found.select("key", "size", "bits", "fp").dropDuplicates(["key"])
+    lesser = Window.partitionBy("key", F.col("n") > SMALL).orderBy("token")
+    back = {f"back_{k}": F.lag("token", k).over(lesser) for k in range(1, BACK + 1)}
+    shared = shared.repartition(parts, "key").withColumns(back).withColumns({k: F.when(F.col("n") > SMALL, F.coalesce(k, "token")) for k in back})
     shared = written(shared.join(facts, "key"), "buckets")
     texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = written(found.filter("sketch is not null").select("key", "size", "sketch").dropDuplicates(["key"]), "sketches")
@@ -349,10 +362,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         tiles = F.ceil(F.col("n") / TILE).cast("int")
         large = large.withColumn("tile", F.pmod(F.xxhash64("key"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        large = large.select("token", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "key", "size", "bits", "fp")
+        large = large.select("token", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "key", "size", "bits", "fp", *back)
 
         def candidates(rows: DataFrame, forest: bool) -> DataFrame:
-            dealt = rows.select(*large.columns[:8], "label").repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "size", "key")
+            dealt = rows.select(*large.columns[:8], "label", *back).repartition(parts, "token", "x", "y").sortWithinPartitions("token", "x", "y", "size", "key")
             return dealt.mapInArrow(_large(forest, RADIUS), "a long, b long")
 
         def labelled() -> DataFrame:

@@ -130,3 +130,41 @@ def test_fingerprints_within_a_radius():
             b = np.concatenate([a, rng.integers(0, 1 << 64, n // 4, np.uint64)])
             x, y = (np.frombuffer(simhash.majority(s, near.WORDS), np.uint64) for s in (a, b))
             assert near.similar(np.sort(a), np.sort(b)) and np.bitwise_count(x ^ y).sum() <= near.RADIUS
+
+
+def test_one_bucket_gives_a_pair():
+    """A group of near copies shares many buckets, and few of them give a pair; none is lost. A forest grows as the group does."""
+    import numpy as np
+    import pyarrow as pa
+    from tessera.llm import near, simhash
+
+    rng = np.random.default_rng(7)
+
+    def rows(n, forest):
+        base = rng.integers(0, 1 << 64, 300, np.uint64)
+        sets = [np.sort(np.concatenate([base[rng.random(300) < 0.95], rng.integers(0, 1 << 64, 10, np.uint64)])) for _ in range(n)]
+        prefixes = [s[: len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64) for s in sets]
+        of = {}
+        for k, p in enumerate(prefixes):
+            for t in p.tolist():
+                of.setdefault(t, []).append(k)
+        large = {t for t, m in of.items() if len(m) > near.SMALL}
+        own = [sorted(large & set(p.tolist())) for p in prefixes]
+        table = []
+        for t in sorted(large):
+            for k in sorted(of[t], key=lambda k: len(sets[k])):
+                at, s = own[k].index(t), sets[k]
+                back = [own[k][at - b] if at >= b else t for b in range(1, near.BACK + 1)]
+                table.append((t, 0, 0, 0, k, len(s), near.parity(s) + bytes(near.BITS // 8), simhash.majority(s, near.WORDS), k, *back))
+        names = ["token", "x", "y", "tile", "key", "size", "bits", "fp", "label", *(f"back_{b}" for b in range(1, near.BACK + 1))]
+        batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in table])
+        out = [tuple(r.values()) for b in near._large(forest, near.RADIUS)(iter([batch])) for r in b.to_pylist()]
+        met = {(a, b) for m in (of[t] for t in large) for a in m for b in m if a < b}
+        return out, {(a, b) for a, b in met if near.similar(sets[a], sets[b])}
+
+    out, similar = rows(60, False)
+    assert set(out) >= similar and len(similar) > 500
+    assert len(out) <= 1.5 * len(set(out))
+    out, _ = rows(60, True)
+    twice, _ = rows(120, True)
+    assert len(twice) <= 3 * len(out)
