@@ -12,16 +12,17 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 from .recompression import chunks
 
 #: Hashed trigrams, and labelled rows of a language that are learned from (about: rows are taken by a hash of doc_id).
 DIM = 4096
 SAMPLE = 1000
+#: Rows of a matrix of features: short texts would make one of all rows of a batch, 32 KB each.
+ROWS = 256
 #: Strength of the penalty, steps of the solver, and slope of the logistic that turns margins into scores.
 PENALTY, STEPS, SLOPE = 1e-3, 200, 4.0
 UNKNOWN = "und"
@@ -54,7 +55,7 @@ def features(texts) -> "iter":
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    for row, data, offsets in chunks(pc.utf8_lower(texts.cast(pa.large_string()))):
+    for row, data, offsets in chunks(pc.utf8_lower(texts.cast(pa.large_string())), rows=ROWS):
         m = len(offsets) - 1
         out = np.zeros((m, DIM), np.float32)
         if len(data) >= 3:
@@ -71,8 +72,7 @@ def features(texts) -> "iter":
 
 
 def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights, the bias last, of a linear machine for labels 1 and -1, both classes with equal weight."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights, the bias last, of a linear machine for labels 1 and -1, both classes with equal weight. x has a last column of ones."""
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = at = np.zeros(x.shape[1], np.float32)
     step = np.float32(1 / (PENALTY + 4))
@@ -95,22 +95,34 @@ def machines(sample: DataFrame, langs: list[str]) -> list[tuple[str, str, str, b
     def featured(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.column(0).to_pylist()
             for row, x in features(batch.column(1)):
                 half = x.astype(np.float16)
                 out = [(j, lang, half[i].tobytes()) for i, lang in enumerate(names[row : row + len(x)]) for j, (level, a, b) in enumerate(jobs) if (lang if level else family_of(lang)) in (a, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int32(), pa.string(), pa.binary()))], ["job", "lang", "x"])
 
-    def fit(key, pdf):
-        level, a, b = jobs[key[0]]
-        # The order of rows would show in the last digits.
-        pdf = pdf.sort_values(["lang", "x"])
-        x = np.frombuffer(b"".join(pdf["x"]), np.float16).reshape(len(pdf), DIM).astype(np.float32)
-        y = np.where([(lang if level else family_of(lang)) == a for lang in pdf["lang"]], 1, -1).astype(np.float32)
-        return pd.DataFrame({"job": [key[0]], "w": [train(x, y).tobytes()]})
+    def fit(key, rows):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    found = sample.select("lang", "text").mapInArrow(featured, "job int, lang string, x binary").groupBy("job").applyInPandas(fit, "job int, w binary").collect()
+        level, a, b = jobs[job := key[0].as_py()]
+        # The order of rows would show in the last digits.
+        order = pc.sort_indices(rows, sort_keys=[("lang", "ascending"), ("x", "ascending")]).to_numpy()
+        names = np.array(rows.column("lang").to_pylist(), object)[order]
+        # The only matrix of all rows: no copies of it, and none of the rows' bytes.
+        x = np.ones((len(order), DIM + 1), np.float32)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        row = 0
+        for chunk in rows.column("x").chunks:
+            for at in range(len(chunk)):
+                x[place[row], :DIM] = np.frombuffer(chunk[at].as_buffer(), np.float16)
+                row += 1
+        y = np.where([(lang if level else family_of(lang)) == a for lang in names], 1, -1).astype(np.float32)
+        return pa.table({"job": pa.array([job], pa.int32()), "w": pa.array([train(x, y).tobytes()], pa.binary())})
+
+    found = sample.select("lang", "text").mapInArrow(featured, "job int, lang string, x binary").groupBy("job").applyInArrow(fit, "job int, w binary").collect()
     return [(*jobs[r["job"]], bytes(r["w"])) for r in sorted(found)]
 
 
@@ -153,7 +165,7 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
         import pyarrow.compute as pc
 
         weights = np.stack([np.frombuffer(w, np.float32) for *_, w in found], 1) if found else None
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text_at)
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))

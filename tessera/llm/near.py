@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, sliced, written
 from .components import components
 from .simhash import majority, within
 
@@ -99,7 +99,7 @@ def sets(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for b in batches:
+        for b in sliced(batches):
             keys, sizes, bits, fps, sketches, prefixes = [], [], [], [], [], []
             for t in b.column(2).cast(pa.binary()):
                 s = shingles(t.as_py() or b"")
@@ -293,7 +293,7 @@ def _close(batches):
     """(a, b, size_a, size_b, sketch_a, sketch_b) -> (a, b) that agree in their sketches too."""
     import pyarrow as pa
 
-    for b in batches:
+    for b in sliced(batches):
         kept = []
         for m, n, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
             if x is None or y is None:
@@ -310,7 +310,7 @@ def _verified(batches):
     import pyarrow as pa
 
     known = lru_cache(HELD)(shingles)
-    for b in batches:
+    for b in sliced(batches):
         ends = zip(*(b.column(i).cast(pa.binary()).to_pylist() for i in (2, 3)))
         good = np.array([similar(known(x or b""), known(y or b"")) for x, y in ends], bool)
         yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(good)) for i in (0, 1)], ["a", "b"])

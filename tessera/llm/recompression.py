@@ -191,8 +191,8 @@ def window_names(words: Words, parsed: Parsed, which: np.ndarray) -> tuple[np.nd
     return out[0], out[1]
 
 
-def chunks(array, most: int = 1 << 20):
-    """(first row, data, offsets) of runs of rows of a pyarrow string array, of about ``most`` bytes or one row; a null is an empty text."""
+def chunks(array, most: int = 1 << 20, rows: int | None = None):
+    """(first row, data, offsets) of runs of rows of a pyarrow string array, of about ``most`` bytes or one row, and of up to ``rows`` rows; a null is an empty text."""
     import pyarrow as pa
 
     array = array.cast(pa.large_string()).fill_null("")
@@ -202,5 +202,6 @@ def chunks(array, most: int = 1 << 20):
     row = 0
     while row < len(array):
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        end = min(end, row + (rows or end))
         yield row, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end

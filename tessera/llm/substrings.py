@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import recompression as rc
-from .common import table
+from .common import sliced, table
 
 #: Documents that share a symbol for each group of a window's name.
 GROUP = 1000
@@ -166,7 +166,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
             n_words, n_removed, kept_text, digest = [], [], [], []
             for text, copy, tie, places in zip(texts, *(batch.column(len(own) + k).to_pylist() for k in (0, 1)), batch.column(len(own) + 2)):

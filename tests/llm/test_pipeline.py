@@ -168,3 +168,40 @@ def test_one_bucket_gives_a_pair():
     out, _ = rows(60, True)
     twice, _ = rows(120, True)
     assert len(twice) <= 3 * len(out)
+
+
+def test_memory_of_short_texts():
+    """The features of a batch of short texts are no matrix of all its rows."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import language
+
+    texts = pa.array([f"word {i % 700} of a short text" for i in range(6000)])
+    tracemalloc.start()
+    try:
+        at = [(row, len(x), x[[0, -1]].copy()) for row, x in language.features(texts)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+    assert [row for row, _, _ in at] == list(np.cumsum([0, *(n for _, n, _ in at)])[:-1]) and sum(n for _, n, _ in at) == 6000
+    for row, n, ends in at[::7]:
+        for k, x in zip((row, row + n - 1), ends):
+            assert np.array_equal(x, next(language.features(texts.slice(k, 1)))[1][0])
+
+
+def test_slices_hold_every_row_once():
+    import pyarrow as pa
+
+    from tessera.llm.common import sliced
+
+    texts = ["x" * (i * 37 % 900) for i in range(2000)] + ["long " * 9000, None, ""]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    for most in (1, 5000, 1 << 22):
+        parts = list(sliced([whole.slice(0, 0), whole.slice(3, 1500), whole.slice(1503)], most))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([whole.slice(3)]))
+        assert most > 1 or all(p.num_rows == 1 for p in parts)
+    assert max(p.nbytes for p in sliced([whole.slice(0, 2000)], 50_000)) < 100_000
