@@ -678,3 +678,13 @@ def test_without_the_training_data_subpackage():
     root = Path(__file__).resolve().parent.parent
     for path in [*root.glob("tessera/*.py"), *root.glob("tessera/[!l]*/*.py")]:
         assert "tessera.llm" not in path.read_text() and "corpus_pipeline" not in path.read_text(), path
+
+
+def test_documents_with_one_context_go_over_all_tasks(spark, monkeypatch):
+    import tessera.operators.expand as module
+
+    levels = []
+    monkeypatch.setattr(module, "written", lambda df, what, write=module.written: levels.append(write(df, what)) or levels[-1])
+    docs = spark.createDataFrame([(i, json.dumps({"@context": {"@vocab": EX, "v": "@value"}, "@id": f"{EX}{i}", "p": {"v": "x"}, "q": [{"v": i}]})) for i in range(400)], "doc_id long, doc string").coalesce(1)
+    assert expand(docs).statements.count() == 800
+    assert [len(t.inputFiles()) for t in levels if "next" in t.columns] == [4, 4]
