@@ -688,3 +688,19 @@ def test_documents_with_one_context_go_over_all_tasks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, json.dumps({"@context": {"@vocab": EX, "v": "@value"}, "@id": f"{EX}{i}", "p": {"v": "x"}, "q": [{"v": i}]})) for i in range(400)], "doc_id long, doc string").coalesce(1)
     assert expand(docs).statements.count() == 800
     assert [len(t.inputFiles()) for t in levels if "next" in t.columns] == [4, 4]
+
+
+def test_many_documents_of_tied_nodes_a_batch(spark):
+    """Documents are named together, each as it would be alone, and cost little more than their own steps."""
+    row = lambda doc, s, o: (doc, s, EX + "next", o, "bnode", None, None, None)
+    quads = [row(d, f"_:{c}{i}", f"_:{c}{i + 1}") for d in range(300) for c in "ab" for i in range(1 + d % 3)]
+    q = spark.createDataFrame(quads, "doc_id long, s string, p string, o string, o_kind string, datatype string, language string, g string")
+    lines = {}
+    for r in canon.canonize(q)[0].collect():
+        lines.setdefault(r["doc_id"], set()).add(r["line"])
+    assert len(lines) == 300 and all(lines[d] == lines[d % 3] and len(lines[d]) == 2 * (1 + d % 3) for d in lines)
+    linked = [(1, "_:a", EX, "_:b", None), (1, "_:b", EX, "_:a", None), (2, "_:a", EX, "_:b", None), (2, "_:b", EX, "_:a", None)]
+    tied = [(d, n, "h", d) for d in (1, 2) for n in ("_:a", "_:b")]
+    made = canon._apart(spark.createDataFrame(linked, "doc_id long, s string, p string, o string, g string"), spark.createDataFrame(tied, "doc_id long, me string, hash string, start long"), None)
+    assert "FlatMapCoGroups" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["doc_id"], r["name"]) for r in made.collect()} == {(1, "_:c14n1"), (1, "_:c14n2"), (2, "_:c14n2"), (2, "_:c14n3")}
